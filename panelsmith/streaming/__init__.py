@@ -1,0 +1,5 @@
+"""No streaming operators: the engine is a batch engine over daily and intraday panels.
+
+Every transform in :mod:`panelsmith.operators` takes and returns a DataFrame, so the ones
+without window frames can be used inside ``foreachBatch`` unchanged.
+"""
