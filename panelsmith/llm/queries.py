@@ -5,15 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from panelsmith.llm.common import table
+from panelsmith.llm.language import identify_documents
 from panelsmith.llm.mixing import mix_documents
 from panelsmith.llm.sharding import shard_documents
 from panelsmith.llm.simhash import simhash_components
+from panelsmith.llm.toxicity import score_documents
 
 
 def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op4_toxicity_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_language_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), bits=2, words_per_shingle=3)
 
@@ -22,5 +32,5 @@ def op10_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_rendezvous_sharding, op8_simhash_pigeonring, op10_pivotal_mixing)}
+QUERIES = {f.__name__: f for f in (op2_rendezvous_sharding, op4_toxicity_boosted_trees, op6_language_output_codes, op8_simhash_pigeonring, op10_pivotal_mixing)}
 ORACLE_SQL: dict[str, str] = {}
