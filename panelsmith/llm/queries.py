@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from panelsmith.llm.common import table
 from panelsmith.llm.language import identify_documents
 from panelsmith.llm.mixing import mix_documents
+from panelsmith.llm.packing import pack_documents
 from panelsmith.llm.sharding import shard_documents
 from panelsmith.llm.simhash import simhash_components
+from panelsmith.llm.tokens import public_tokenizer, token_documents
 from panelsmith.llm.toxicity import score_documents
 
 
@@ -16,6 +18,10 @@ def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_documents(table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"), end_id=2)
+
+
 def op4_toxicity_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -28,9 +34,13 @@ def op8_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), bits=2, words_per_shingle=3)
 
 
+def op9_differencing_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"), end_id=1)
+
+
 def op10_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_rendezvous_sharding, op4_toxicity_boosted_trees, op6_language_output_codes, op8_simhash_pigeonring, op10_pivotal_mixing)}
+QUERIES = {f.__name__: f for f in (op2_rendezvous_sharding, op3_token_files, op4_toxicity_boosted_trees, op6_language_output_codes, op8_simhash_pigeonring, op9_differencing_packing, op10_pivotal_mixing)}
 ORACLE_SQL: dict[str, str] = {}
