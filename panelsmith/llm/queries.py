@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from panelsmith.llm.common import table
+from panelsmith.llm.fingerprints import fingerprint_documents
 from panelsmith.llm.language import identify_documents
 from panelsmith.llm.mixing import mix_documents
 from panelsmith.llm.packing import pack_documents
@@ -26,6 +27,10 @@ def op4_toxicity_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_language_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(table(spark, sf_dir, "documents"))
 
@@ -42,5 +47,5 @@ def op10_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_rendezvous_sharding, op3_token_files, op4_toxicity_boosted_trees, op6_language_output_codes, op8_simhash_pigeonring, op9_differencing_packing, op10_pivotal_mixing)}
+QUERIES = {f.__name__: f for f in (op2_rendezvous_sharding, op3_token_files, op4_toxicity_boosted_trees, op5_minhash_fingerprints, op6_language_output_codes, op8_simhash_pigeonring, op9_differencing_packing, op10_pivotal_mixing)}
 ORACLE_SQL: dict[str, str] = {}
