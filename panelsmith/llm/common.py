@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,3 +94,40 @@ def block_pairs(df: DataFrame, bucket: list[str], row: str, block_rows: int) ->
         F.greatest("_b", "_o").alias("hi"),
         F.when(F.col("_b") > F.col("_o"), 1).otherwise(0).alias("side"),
     )
+
+
+def map_blocks(df: DataFrame, keys: list[str], run: Callable[[pd.DataFrame, list[slice]], pd.DataFrame], schema: str) -> DataFrame:
+    """Call ``run`` on frames of whole groups of ``keys``, with the slice of each group.
+
+    Like ``applyInPandas``, but many small groups share a call; a group that ends a frame waits for
+    the next one. Groups must be bounded (see :func:`block_pairs`).
+    """
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for f in frames:
+            if not len(f):
+                continue
+            new = _group_starts(f, keys)
+            if len(new) > 1 or (held and (f[keys].iloc[0] != held[-1][keys].iloc[-1]).any()):
+                rows = pd.concat([*held, f], ignore_index=True)
+                last = len(rows) - len(f) + int(new[-1])
+                yield run(done := rows[:last], _slices(done, keys))
+                held = [rows[last:]]
+            else:
+                held.append(f)
+        if held:
+            yield run(rows := pd.concat(held, ignore_index=True), _slices(rows, keys))
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys).mapInPandas(batches, schema)
+
+
+def _group_starts(f: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    k = f[keys].to_numpy()
+    return np.concatenate([[0], np.nonzero((k[1:] != k[:-1]).any(axis=1))[0] + 1])
+
+
+def _slices(f: pd.DataFrame, keys: list[str]) -> list[slice]:
+    starts = _group_starts(f, keys).tolist()
+    return [slice(a, b) for a, b in zip(starts, [*starts[1:], len(f)])]

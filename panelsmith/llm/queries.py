@@ -13,6 +13,11 @@ from panelsmith.llm.sharding import shard_documents
 from panelsmith.llm.simhash import simhash_components
 from panelsmith.llm.tokens import public_tokenizer, token_documents
 from panelsmith.llm.toxicity import score_documents
+from panelsmith.llm.vectors import near_vectors
+
+
+def op7_stable_hash_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,5 +52,5 @@ def op10_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_rendezvous_sharding, op3_token_files, op4_toxicity_boosted_trees, op5_minhash_fingerprints, op6_language_output_codes, op8_simhash_pigeonring, op9_differencing_packing, op10_pivotal_mixing)}
+QUERIES = {f.__name__: f for f in (op2_rendezvous_sharding, op3_token_files, op4_toxicity_boosted_trees, op5_minhash_fingerprints, op6_language_output_codes, op7_stable_hash_vectors, op8_simhash_pigeonring, op9_differencing_packing, op10_pivotal_mixing)}
 ORACLE_SQL: dict[str, str] = {}

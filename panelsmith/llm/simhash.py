@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelsmith.llm.common import block_pairs, components, written
+from panelsmith.llm.common import block_pairs, components, map_blocks, written
 
 BITS = 64
 BLOCK_ROWS = 4096
@@ -96,24 +96,27 @@ def near_links(reps: DataFrame, bits: int = 2, parts: int | None = None, block_r
     )
     dealt = block_pairs(reps.select("fp", keys.alias("k")).select("fp", "k.seg", "k.val"), ["seg", "val"], "fp", block_rows)
 
-    def link(group: pd.DataFrame) -> pd.DataFrame:
-        start = int(group["seg"].iloc[0])
-        side = group["side"].to_numpy()
-        fps = group["fp"].to_numpy().view(np.uint64)
-        same = group["lo"].iloc[0] == group["hi"].iloc[0]
-        left = fps if same else fps[side == 0]
-        right = fps if same else fps[side == 1]
-        found_a, found_b = [], []
-        for at in range(0, len(left), 256):
-            diff = left[at : at + 256, None] ^ right[None, :]
-            ok = ring_filter(diff, start, bits, parts) & (diff != 0)
-            i, j = np.nonzero(ok & (np.bitwise_count(diff) <= bits))
-            a, b = forest(left[at + i], right[j])
-            found_a.append(a), found_b.append(b)
-        a, b = forest(np.concatenate([np.zeros(0, np.uint64), *found_a]), np.concatenate([np.zeros(0, np.uint64), *found_b]))
+    def link(frame: pd.DataFrame, groups: list[slice]) -> pd.DataFrame:
+        fp, seg, side = frame["fp"].to_numpy().view(np.uint64), frame["seg"].to_numpy(), frame["side"].to_numpy()
+        same = (frame["lo"] == frame["hi"]).to_numpy()
+        found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
+        for g in groups:
+            left = right = fp[g]
+            if not same[g.start]:
+                left, right = left[side[g] == 0], right[side[g] == 1]
+            links = []
+            for at in range(0, len(left), 256):
+                diff = left[at : at + 256, None] ^ right[None, :]
+                ok = ring_filter(diff, int(seg[g.start]), bits, parts) & (diff != 0)
+                i, j = np.nonzero(ok & (np.bitwise_count(diff) <= bits))
+                if len(i):
+                    links.append(forest(left[at + i], right[j]))
+            if links:
+                found.append(forest(*(np.concatenate(x) for x in zip(*links))))
+        a, b = (np.concatenate(x) for x in zip(*found))
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return dealt.groupBy("seg", "val", "lo", "hi").applyInPandas(link, "a long, b long")
+    return map_blocks(dealt, ["seg", "val", "lo", "hi"], link, "a long, b long")
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
