@@ -7,17 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelsmith.llm.common import table, written
+from panelsmith.llm.language import UNDETERMINED, identify, in_fold, learn
+from panelsmith.llm.mixing import take_copies
+from panelsmith.llm.packing import pack_documents
 from panelsmith.llm.simhash import keep_one
+from panelsmith.llm.tokens import public_tokenizer
+from panelsmith.llm.toxicity import labelled, toxicity
+from panelsmith.llm.toxicity import learn as learn_toxicity
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language: those without text or without a letter go."""
+    model = learn(docs.select("doc_id", "text", "lang").where(~in_fold("doc_id", 4, 2)))
+    return identify(docs, model).where(f"lang_pred <> '{UNDETERMINED}'").select(*docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted to be toxic."""
+    model = learn_toxicity(labelled(docs, table(spark, sf_dir, "labels")))
+    return toxicity(docs, model).where("predicted = 0").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one(docs, bits=2, words_per_shingle=5)
+    """Of each group of near copies (fingerprints joined by links of at most 2 bits) the document of the smallest doc_id."""
+    return keep_one(docs, bits=2, words_per_shingle=3)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return take_copies(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in their sequences."""
+    return pack_documents(docs, public_tokenizer("byte_bpe_50k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("toxicity", drop_toxic),
     ("simhash_near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("pack", pack),
 ]
-ORACLE_SQL = None
+ORACLE_SQL = None  # SQL has no tokenizer and no classifier: tests hold the stages against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,8 +126,8 @@ def pivotal_rounding(items: DataFrame, seed: int = 0, fanout: int = FANOUT, name
 def mix_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
     """How many copies of each document the mix takes, so that sources come near their targets.
 
-    Returns doc_id, size (words; null text 0), source_size, target, taken (copies x size), source
-    and copies for every row. The copies of a source's documents are target / source_size each:
+    Returns doc_id, size (words; null text 0), source_size, target, taken (copies x size), source,
+    copies and text_hash (XXH64) for every row. The copies of a source's documents are target / source_size each:
     whole copies plus a fraction, which pivotal rounding settles; documents without words take
     none. Rows with a null or repeated doc_id, or equal in all, are rows of their own. An empty
     table gives no rows; other columns are not read.
@@ -142,19 +142,31 @@ def mix_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share:
     targets = source_targets(base, weights, share, most).withColumnRenamed("source", "name")
     same = base.groupBy(*base.columns).agg(F.count("*").alias("n"))  # equal rows get ids of their own by their number
     rows = same.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select(
-        "doc_id", "source", "size", F.xxhash64(*base.columns, "nth").alias("id")
+        *base.columns, F.xxhash64(*base.columns, "nth").alias("id")
     )
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = (
         rows.join(targets, F.col("source").eqNullSafe(F.col("name")))
         .withColumn("whole", F.floor(rate))
         .withColumn("frac", rate - F.floor(rate))
-        .withColumn("pay", F.struct("doc_id", "size", "source_size", "target", "source", "whole"))
+        .withColumn("pay", F.struct("doc_id", "size", "source_size", "target", "source", "whole", "text_hash"))
     )
     opened = (F.col("size") > 0) & (F.col("frac") > 0)
     settled = pivotal_rounding(rows.where(opened).select(F.xxhash64("source").alias("src"), "id", "size", "frac", "pay"), seed)
     all_rows = settled.unionByName(rows.where(~opened).select("pay", F.lit(0).alias("up"))).select("pay.*", "up")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("up")).otherwise(0).cast("long")
     return all_rows.withColumn("copies", copies).select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies"
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies", "text_hash"
     )
+
+
+def take_copies(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
+    """``docs`` as the mix takes them: every row as often as :func:`mix_documents` says, with all its columns.
+
+    Rows equal in doc_id, source and text are one row, taken as often as they are together.
+    """
+    key = [F.xxhash64("doc_id", "source").alias("_key"), F.xxhash64("text").alias("_text_key")]
+    taken = mix_documents(docs, weights, share, most, seed).select(key[0], F.col("text_hash").alias("_text_key"), "copies")
+    taken = taken.groupBy("_key", "_text_key").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
+    rows = docs.select("*", *key).join(taken, ["_key", "_text_key"]).dropDuplicates(["_key", "_text_key"])
+    return rows.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelsmith.llm.common import table
 from panelsmith.llm.fingerprints import fingerprint_documents
+from panelsmith.llm.html import extract_pages
 from panelsmith.llm.language import identify_documents
 from panelsmith.llm.mixing import mix_documents
 from panelsmith.llm.packing import pack_documents
@@ -16,6 +17,10 @@ from panelsmith.llm.toxicity import score_documents
 from panelsmith.llm.vectors import near_vectors
 
 
+def op1_html_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_stable_hash_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -52,5 +57,20 @@ def op10_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_rendezvous_sharding, op3_token_files, op4_toxicity_boosted_trees, op5_minhash_fingerprints, op6_language_output_codes, op7_stable_hash_vectors, op8_simhash_pigeonring, op9_differencing_packing, op10_pivotal_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_html_block_labeller,
+        op2_rendezvous_sharding,
+        op3_token_files,
+        op4_toxicity_boosted_trees,
+        op5_minhash_fingerprints,
+        op6_language_output_codes,
+        op7_stable_hash_vectors,
+        op8_simhash_pigeonring,
+        op9_differencing_packing,
+        op10_pivotal_mixing,
+    )
+}
+# no SQL has these operators' hashes, models, tokenizers or random rounding: tests hold them against brute force
 ORACLE_SQL: dict[str, str] = {}
