@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+NUDGE = 1e-9
+
 
 def finite(x: Column) -> Column:
     """Neither null, NaN nor infinite."""
@@ -17,8 +19,8 @@ def nan_to_null(x: Column) -> Column:
 
 
 def rounded(x: Column, digits: int = 6) -> Column:
-    """Rounded, with no negative zero."""
-    return F.round(x, digits) + F.lit(0.0)
+    """Rounded, with no negative zero; the nudge decides ties whatever the last bits of a sum are."""
+    return F.round(x + F.lit(NUDGE), digits) + F.lit(0.0)
 
 
 def spread(name: str, ddof: int = 1):

@@ -443,7 +443,7 @@ _POP = "pop AS (SELECT instrument AS name, avg(close) AS f1, avg(volume) AS f2,
 
 
 def _population(spark, d):
-    return panel(spark, d).groupBy(F.col("instrument").alias("name")).agg(F.round(F.avg("close"), 3).alias("f1"), F.round(F.avg("volume"), 3).alias("f2"), F.round(-F.stddev_samp("close"), 3).alias("f3")).where("f3 is not null")
+    return panel(spark, d).groupBy(F.col("instrument").alias("name")).agg(r(F.avg("close"), 3).alias("f1"), r(F.avg("volume"), 3).alias("f2"), r(-F.stddev_samp("close"), 3).alias("f3")).where("f3 is not null")
 
 
 @query(f", {_POP} SELECT name, f1, row_number() OVER (ORDER BY f1 DESC, name) AS place FROM rp")
@@ -482,19 +482,19 @@ _MASKS = ", ".join(_events_sql(k, e, g, f"_{i}") for i, (k, e, g) in enumerate(_
 @query(f", {_MASKS} SELECT combo, round(count(*)::DOUBLE / (SELECT count(*) FROM (SELECT DISTINCT instrument, trade_date FROM minute_bars) t), 6) AS mean_events FROM mk GROUP BY 1")
 def mask_counts(spark, d):
     out = search.mask_counts(search.event_masks(bars(spark, d), _COMBOS), bars(spark, d))
-    return out.select("combo", F.round("mean_events", 6).alias("mean_events"))
+    return out.select("combo", r(F.col("mean_events")).alias("mean_events"))
 
 
 @query(f""", {_MASKS}, sz AS (SELECT combo, count(*) AS n FROM mk GROUP BY 1), bo AS (SELECT a.combo AS a, c.combo AS b, count(*) AS n FROM mk a JOIN mk c USING (instrument, trade_date, minute) WHERE a.combo < c.combo GROUP BY 1, 2)
     SELECT p.combo AS a, q.combo AS b, round(coalesce(bo.n, 0)::DOUBLE / (p.n + q.n - coalesce(bo.n, 0)), 6) AS jaccard FROM sz p JOIN sz q ON p.combo < q.combo LEFT JOIN bo ON bo.a = p.combo AND bo.b = q.combo""")
 def mask_jaccard(spark, d):
-    return search.mask_jaccard(search.event_masks(bars(spark, d), _COMBOS)).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    return search.mask_jaccard(search.event_masks(bars(spark, d), _COMBOS)).select("a", "b", r(F.col("jaccard")).alias("jaccard"))
 
 
 @query(f""", {_LR}, dd AS (SELECT CASE WHEN count(log_ret) OVER w = {FW} THEN stddev_samp(log_ret) OVER w END AS s1, CASE WHEN count(log_ret) OVER w = {FW} THEN stddev_pop(log_ret) OVER w END AS s0 FROM lr
     WINDOW w AS (PARTITION BY instrument, trade_date ORDER BY minute ROWS BETWEEN CURRENT ROW AND {FW - 1} FOLLOWING)) SELECT round(min(s1 / s0), 6) AS ratio_min, round(max(s1 / s0), 6) AS ratio_max, round(sqrt({FW}.0 / {FW - 1}), 6) AS expected FROM dd WHERE s0 > 1e-12""")
 def ddof_study(spark, d):
-    return search.ddof_study(bars(spark, d), H, FW).select(*[F.round(c, 6).alias(c) for c in ("ratio_min", "ratio_max", "expected")])
+    return search.ddof_study(bars(spark, d), H, FW).select(*[r(F.col(c)).alias(c) for c in ("ratio_min", "ratio_max", "expected")])
 
 
 _HW = [(1, 3), (2, 3), (1, 4)]

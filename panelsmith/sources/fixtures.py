@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from panelsmith.functions import NUDGE
 from panelsmith.sources.panel import pit_mask, with_date_idx
 
 VIEWS = {
@@ -12,9 +12,9 @@ VIEWS = {
         row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS minute,
         value AS close, CAST(regexp_extract(props, '[0-9]+', 0) AS DOUBLE) AS volume FROM {events}""",
     "user_daily": """SELECT CAST(user_id AS VARCHAR(20)) AS instrument, CAST(ts AS DATE) AS trade_date,
-        round(avg(value), 6) AS close, round(sum(value), 6) AS volume, count(*) AS n FROM {events} GROUP BY 1, 2""",
+        round(avg(value) + 1e-9, 6) AS close, round(sum(value) + 1e-9, 6) AS volume, count(*) AS n FROM {events} GROUP BY 1, 2""",
     "supp_week": """SELECT CAST(l_suppkey AS VARCHAR(20)) AS instrument, CAST(date_trunc('week', l_shipdate) AS DATE) AS trade_date,
-        round(avg(l_extendedprice / l_quantity), 6) AS close, sum(l_quantity) AS volume FROM {lineitem} GROUP BY 1, 2""",
+        round(avg(l_extendedprice / l_quantity) + 1e-9, 6) AS close, sum(l_quantity) AS volume FROM {lineitem} GROUP BY 1, 2""",
     "calendar": "SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS date_idx FROM (SELECT DISTINCT trade_date FROM {supp_week}) t",
     "membership": """SELECT a.instrument, c.trade_date FROM {supp_week} a JOIN {calendar} p ON a.trade_date = p.trade_date
         JOIN {calendar} c ON c.date_idx = p.date_idx + 1 WHERE a.volume >= 20""",
@@ -42,8 +42,19 @@ def sql(tail: str) -> str:
     views = ", ".join(f"{k} AS ({v.format(**names)})" for k, v in VIEWS.items())
     pool = """panel AS (SELECT s.*, c.date_idx, m.instrument IS NOT NULL AS in_pool FROM supp_week s JOIN calendar c USING (trade_date)
         LEFT JOIN membership m USING (instrument, trade_date))"""
+    tail = nudged(tail)
     return f"WITH RECURSIVE {views}, {pool}{tail if tail.lstrip().startswith(',') else ' ' + tail}"
 
 
-def months(df: DataFrame) -> DataFrame:
-    return df.withColumn("month", F.date_trunc("month", "trade_date").cast("date"))
+def nudged(text: str) -> str:
+    """``round(x, n)`` becomes ``round((x) + 1e-9, n)``, as :func:`panelsmith.functions.rounded` does."""
+    out, at = "", 0
+    while (start := text.find("round(", at)) >= 0:
+        depth, comma, k = 1, -1, start + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[k], 0)
+            comma = k if text[k] == "," and depth == 1 else comma
+            k += 1
+        out += f"{text[at:start]}round(({nudged(text[start + 6:comma])}) + {NUDGE}, {text[comma + 1:k - 1].strip()})"
+        at = k
+    return out + text[at:]
