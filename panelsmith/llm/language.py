@@ -18,8 +18,8 @@ _PIECE = 1 << 18  # code points of a text that are scored at once
 class Settings:
     """``sample_rows`` and ``sample_chars`` bound what is learned from (rows in all; code points of each)."""
 
-    slots: int = 8192
-    sample_rows: int = 2400
+    slots: int = 4096
+    sample_rows: int = 1200
     sample_chars: int = 20_000
     rounds: int = 120
     ridge: float = 1e-3
@@ -119,9 +119,11 @@ def fit(texts: list[str], langs: list[str], settings: Settings = Settings()) ->
             rows.append(np.bincount(found, minlength=settings.slots).astype(np.float32) / max(1, len(found)))
             which.append(names.index(lang))
     x, which = np.array(rows), np.array(which)
+    del rows
     held = np.arange(len(x)) // 2 % 5 == 0 if len(x) >= 40 else np.zeros(len(x), bool)
     mean, scale = x[~held].mean(0), x[~held].std(0) + 1e-4
-    x = (x - mean) / scale
+    x -= mean
+    x /= scale
     share = np.bincount(which[~held], minlength=len(names)).astype(float)
     importance = (1 / np.maximum(share, 1))[which[~held]]
     importance = (importance / importance.sum())[:, None].astype(np.float32)
