@@ -215,7 +215,8 @@ def learn_lexicons(rows: DataFrame, settings: Settings) -> list[dict[str, float]
                     own = {k for w in words if w for k in terms(w)}
                     seen[half].update(own if known is None else own & known)
                 every = list({*seen[0], *seen[1]})
-                yield pd.DataFrame({"term": every, "n0": [seen[0][t] for t in every], "n1": [seen[1][t] for t in every]})
+                if every:
+                    yield pd.DataFrame({"term": every, "n0": [seen[0][t] for t in every], "n1": [seen[1][t] for t in every]})
 
         return run
 
@@ -263,7 +264,8 @@ def learn(rows: DataFrame, settings: Settings = Settings()) -> ToxicityModel:
         known = [Lexicon(w) for w in lexicons[:2]]
         for f in frames:
             x = [features(t, known[h], settings.window) for t, h in zip(f["text"], f["half"])]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "part": f["part"], "toxic": f["toxic"], "x": x})
+            if x:
+                yield pd.DataFrame({"doc_id": f["doc_id"], "part": f["part"], "toxic": f["toxic"], "x": x})
 
     dense = sample.mapInPandas(run, "doc_id long, part int, toxic int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
     x = np.array(dense["x"].tolist()).reshape(-1, len(FEATURES))

@@ -183,7 +183,7 @@ def test_token_files(docs, odd, none):
 
 
 def test_sequence_files(tmp_path):
-    ids = [np.arange(n, dtype="<u4") for n in (5, 0, 300, 7)]
+    ids = [np.arange(n, dtype="<u4") for n in (5, 0, 300, 6)]
     with open(tmp_path / "a", "wb") as sink:
         w = tokens.SequenceWriter(sink, 8, 4)
         for x in ids:
