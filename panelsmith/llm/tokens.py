@@ -102,15 +102,19 @@ def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
 class SequenceWriter:
     """One Arrow file of record batches with ``ids`` and ``mask``: fixed-size lists of equal length.
 
-    Ids are laid end to end; the last sequence is padded and its mask is 0 there. The lists of a
-    batch share one flat buffer, so a reader that maps the file gets any sequence without a copy.
+    Ids (of the narrowest type that holds the vocabulary) are laid end to end; the last sequence is
+    padded and its mask, a bit an id with the lowest bit first, is 0 there. The lists of a batch
+    share one flat buffer, so a reader that maps the file gets any sequence without a copy.
     """
 
-    def __init__(self, sink, length: int = SEQUENCE, batch_rows: int = BATCH_ROWS):
+    def __init__(self, sink, length: int = SEQUENCE, batch_rows: int = BATCH_ROWS, kind: str = "<u4"):
+        if length % 8:
+            raise ValueError("a sequence's mask is whole bytes")
+        self.kind = np.dtype(kind)
         self.length, self.size, self.total = length, length * batch_rows, 0
         self.parts: list[np.ndarray] = []
         self.held = 0
-        schema = pa.schema([("ids", pa.list_(pa.field("item", pa.uint32(), False), length)), ("mask", pa.list_(pa.field("item", pa.uint8(), False), length))])
+        schema = pa.schema([("ids", pa.list_(pa.field("item", pa.from_numpy_dtype(self.kind), False), length)), ("mask", pa.list_(pa.field("item", pa.uint8(), False), length // 8))])
         self.schema, self.file = schema, ipc.new_file(sink, schema)
 
     def add(self, ids: np.ndarray) -> None:
@@ -125,9 +129,9 @@ class SequenceWriter:
             self.parts, self.held = [rest], len(rest)
 
     def _put(self, flat: np.ndarray) -> None:
-        padded = np.zeros(-(-len(flat) // self.length) * self.length, "<u4")
+        padded = np.zeros(-(-len(flat) // self.length) * self.length, self.kind)
         padded[: len(flat)] = flat
-        mask = (np.arange(len(padded)) < len(flat)).astype(np.uint8)
+        mask = np.packbits(np.arange(len(padded)) < len(flat), bitorder="little")
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=t.type) for x, t in ((padded, self.schema[0]), (mask, self.schema[1]))]
         self.file.write_batch(pa.record_batch(lists, schema=self.schema))
 
@@ -150,10 +154,10 @@ class SequenceFile:
         return self.batch.column(0).flatten().to_numpy(zero_copy_only=True)
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, mask) of sequence i, as views of the file's memory."""
+        """(ids, mask bits) of sequence i, as views of the file's memory."""
         flat, a = self._flat(i // self.rows), i % self.rows * self.length
         mask = self.batch.column(1).flatten().to_numpy(zero_copy_only=True)
-        return flat[a : a + self.length], mask[a : a + self.length]
+        return flat[a : a + self.length], mask[a // 8 : (a + self.length) // 8]
 
     def ids(self, start: int, count: int) -> np.ndarray:
         """``count`` ids from position ``start`` of the file; a view where they lie in one batch."""
@@ -175,6 +179,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, leng
     names. Manifest: part, tokens, rows, n_tokens, one row for each file.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    narrow = max(encoder(path).model.get_vocab_size(), end_id + 1) <= 1 << 16
     sorted_docs = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,7 +194,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, leng
                 store.create_dir(root, recursive=True)
                 sink = store.open_output_stream(f"{root}/tokens-{name}.arrow")
                 row_sink = store.open_output_stream(f"{root}/rows-{name}.arrow")
-                writer, kind = SequenceWriter(sink, length), pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
+                writer, kind = SequenceWriter(sink, length, kind="<u2" if narrow else "<u4"), pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
                 rows = ipc.new_file(row_sink, kind)
             starts, counts = [], []
             for ids in encode(f["text"].tolist(), path, end_id):
