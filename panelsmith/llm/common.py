@@ -52,8 +52,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Alternates large-star and small-star steps until no link changes; each step groups with
     map-side combining and joins back, so a node with very many links is never gathered in
     one task, and each round is written to the shared folder. Self-links and repeated links
-    are allowed. Returns ``node, component`` (the smallest node reachable) for every node that
-    has a link to another one; an empty input gives an empty result.
+    are allowed. Returns ``node, component`` (the smallest node reachable) for every node with a
+    link, but for the smallest of each component; an empty input gives an empty result.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = written(e, name)

@@ -14,32 +14,40 @@ from panelsmith.llm.common import block_pairs, components, map_blocks, written
 
 BITS = 64
 BLOCK_ROWS = 4096
+SET_ROWS = 256  # rows of a block whose shingle sets are compared
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def simhash(text: str | None, words_per_shingle: int = 3) -> int:
-    """The fingerprint of a text: bit by bit, whether over half of its shingle hashes have it.
+def shingle_hashes(text: str | None, words_per_shingle: int) -> np.ndarray:
+    """The hash of each shingle of a text, repeats included; none for a text without words.
 
-    A-Z becomes a-z, words are split at ASCII white space, shingles are joined by one space and
-    counted as often as they occur; a text of fewer words is one shingle, one without words has
-    fingerprint 0. The hash is XXH64 of the UTF-8 bytes with seed 42.
+    A-Z becomes a-z, words are split at ASCII white space, shingles are joined by one space; a
+    text of fewer words is one shingle. The hash is XXH64 of the UTF-8 bytes with seed 42.
     """
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, k = memoryview(b" ".join(words)), min(words_per_shingle, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - k + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    n = len(starts)
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[k - 1 :].tolist())), np.uint64, n)
-    counts = np.zeros(BITS, np.int64)
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[k - 1 :].tolist())), np.uint64, len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit by bit, whether over half of the hashes have it; 0 without hashes."""
+    counts, n = np.zeros(BITS, np.int64), len(hashes)
     for at in range(0, n, 65536):  # bounds the unpacked bits of a very long text
         part = hashes[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def simhash(text: str | None, words_per_shingle: int = 3) -> int:
+    """The fingerprint of a text: bit by bit, whether over half of its shingle hashes have it (0 without words)."""
+    return majority(shingle_hashes(text, words_per_shingle))
+
+
 def fingerprints(docs: DataFrame, key: list[str], text: str = "text", words_per_shingle: int = 3) -> DataFrame:
     """``key``, fp (the fingerprint as a signed long) for every row."""
 
@@ -164,15 +172,171 @@ def simhash_components(docs: DataFrame, bits: int = 2, words_per_shingle: int =
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, bits: int = 2, words_per_shingle: int = 3) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component, the row of the smallest doc_id.
+def profile(text: str | None, words_per_shingle: int, set_words: int) -> tuple[int, int, np.ndarray, int]:
+    """Of a text: its fingerprint, the fingerprint of its longer shingles, their sorted set, and a node id made of the three."""
+    hashes = shingle_hashes(text, set_words)
+    found = np.unique(hashes)
+    fp, fp_set = simhash(text, words_per_shingle), majority(hashes)
+    node = xxhash.xxh64_intdigest(np.array([fp, fp_set, len(found)], "<u8").tobytes())
+    return fp, fp_set, found, node
+
+
+def profiles(docs: DataFrame, key: list[str], words_per_shingle: int, set_words: int, sets: bool = False) -> DataFrame:
+    """``key``, node, fp, fp_set, n (different shingles) for every row; with ``sets`` also those shingles' hashes, as bytes."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            made = [profile(x, words_per_shingle, set_words) for x in f.pop("_text")]
+            for k, name in ((3, "node"), (0, "fp"), (1, "fp_set")):
+                f[name] = np.array([x[k] for x in made], np.uint64).view(np.int64)
+            f["n"] = np.array([len(x[2]) for x in made], np.int64)
+            if sets:
+                f["shingles"] = [x[2].tobytes() for x in made]
+            yield f
+
+    cut = docs.select(*key, F.col("text").alias("_text"))
+    kinds = ", ".join([f"`{c}` {t}" for c, t in cut.dtypes if c != "_text"] + ["node long, fp long, fp_set long, n long"] + ["shingles binary"] * sets)
+    return cut.mapInPandas(run, kinds)
+
+
+def ring_pairs(left: np.ndarray, right: np.ndarray, start: int, bits: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the pairs that pass :func:`ring_filter` from ``start`` and differ in at most ``bits`` bits."""
+    diff, segs = left[:, None] ^ right[None, :], segments(parts)
+    total = np.zeros(diff.shape, np.uint8)
+    for length in range(1, min(2, parts) + 1):
+        first, width = segs[(start + length - 1) % parts]
+        total = total + np.bitwise_count(diff & np.uint64(((1 << width) - 1) << first))
+        near = total <= length * bits // parts if length == 1 else near & (total <= length * bits // parts)
+    i, j = np.nonzero(near)
+    ok = ring_filter(diff := diff[i, j], start, bits, parts)
+    i, j, diff = i[ok], j[ok], diff[ok]
+    ok = np.bitwise_count(diff) <= bits
+    return i[ok], j[ok]
+
+
+def wide_links(nodes: DataFrame, bits: int, bits_set: int, sure_bits: int, similarity: float, parts: int = 4, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Links ``a, b`` that join all nodes whose fingerprints may be near copies.
+
+    A pair passes if it differs in at most ``sure_bits`` bits, or in at most ``bits`` bits where
+    the fingerprints of the longer shingles differ in at most ``bits_set`` and the set sizes allow
+    the similarity. The first segment of a chain may differ in up to ``bits // parts`` = 2 bits, so
+    each node goes to the bucket of its segment and of all values one bit away: values at most two
+    bits apart have a bucket in common. Each block pair returns a spanning forest.
+    """
+    if bits // parts > 2:
+        raise ValueError("the first segment of a chain may differ in two bits at most")
+    segs = segments(parts)
+    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("seg"), F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << w) - 1)).alias("own"), F.lit(w).alias("w")) for i, (a, w) in enumerate(segs)]))
+    flips = F.explode(F.expr("concat(array(0L), transform(sequence(0, k.w - 1), x -> shiftleft(1L, x)))"))
+    near = nodes.select("*", keys.alias("k")).select("*", flips.alias("flip"))
+    near = near.select("node", "fp", "fp_set", "n", "k.seg", F.col("k.own").bitwiseXOR(F.col("flip")).alias("val"))
+    dealt = block_pairs(near, ["seg", "val"], "node", block_rows)
+
+    def link(frame: pd.DataFrame, groups: list[slice]) -> pd.DataFrame:
+        fp, fp_set = (frame[c].to_numpy().view(np.uint64) for c in ("fp", "fp_set"))
+        node, n, seg, side = (frame[c].to_numpy() for c in ("node", "n", "seg", "side"))
+        same = (frame["lo"] == frame["hi"]).to_numpy()
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for g in groups:
+            left = right = np.arange(g.start, g.stop)
+            if not same[g.start]:
+                left, right = left[side[g] == 0], right[side[g] == 1]
+            links = []
+            for at in range(0, len(left), 256):
+                i, j = ring_pairs(fp[left[at : at + 256]], fp[right], int(seg[g.start]), bits, parts)
+                i, j = left[at + i], right[j]
+                ok = np.bitwise_count(fp_set[i] ^ fp_set[j]) <= bits_set
+                ok &= np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
+                ok = (ok | (np.bitwise_count(fp[i] ^ fp[j]) <= sure_bits)) & (i != j)
+                if ok.any():
+                    links.append(forest(node[i[ok]], node[j[ok]]))
+            if links:
+                found.append(forest(*(np.concatenate(x) for x in zip(*links))))
+        a, b = (np.concatenate(x) for x in zip(*found))
+        return pd.DataFrame({"a": a, "b": b})
+
+    return map_blocks(dealt, ["seg", "val", "lo", "hi"], link, "a long, b long")
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; two empty ones are alike."""
+    if not len(a) and not len(b):
+        return 1.0
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common / (len(both) - common)
+
+
+def checked_links(sets: DataFrame, bits: int, bits_set: int, sure_bits: int, similarity: float, block_rows: int = SET_ROWS) -> DataFrame:
+    """Links ``a, b`` that join all near copies among the nodes of each ``component`` of ``sets``.
+
+    Rows of a component meet in pairs of blocks. Pairs that :func:`wide_links` would pass are
+    checked by their shingle sets, unless links found in the block already join them; a block
+    pair returns those links, no more than rows.
+    """
 
-    Rows of equal doc_id count as one document, of which the first in the order of texts stays;
-    rows without a doc_id come last and are told apart by their text. All columns are kept.
+    def link(frame: pd.DataFrame, groups: list[slice]) -> pd.DataFrame:
+        fp, fp_set = (frame[c].to_numpy().view(np.uint64) for c in ("fp", "fp_set"))
+        node, n, side = (frame[c].to_numpy() for c in ("node", "n", "side"))
+        same = (frame["lo"] == frame["hi"]).to_numpy()
+        out = []
+        for g in groups:
+            at = np.arange(g.start, g.stop)
+            held = [np.frombuffer(x, np.uint64) for x in frame["shingles"].iloc[g]]
+            label = np.arange(len(at))
+            left = at if same[g.start] else at[side[g] == 0]
+            right = at if same[g.start] else at[side[g] == 1]
+            for i in left.tolist():
+                d = np.bitwise_count(fp[i] ^ fp[right])
+                sure = d <= sure_bits
+                near = (d <= bits) & (np.bitwise_count(fp_set[i] ^ fp_set[right]) <= bits_set)
+                near &= np.minimum(n[i], n[right]) >= similarity * np.maximum(n[i], n[right]) - 1e-9
+                for j in right[sure | near].tolist():
+                    x, y = label[i - g.start], label[j - g.start]
+                    if x == y:
+                        continue
+                    if np.bitwise_count(fp[i] ^ fp[j]) <= sure_bits or jaccard(held[i - g.start], held[j - g.start]) >= similarity:
+                        label[label == max(x, y)] = min(x, y)
+                        out.append((node[i], node[j]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    dealt = block_pairs(sets, ["component"], "node", block_rows)
+    return map_blocks(dealt, ["component", "lo", "hi"], link, "a long, b long")
+
+
+def near_copy_groups(
+    docs: DataFrame, key: str, words_per_shingle: int = 3, sure_bits: int = 2, bits: int = 11, set_words: int = 5, bits_set: int = 20, similarity: float = 0.8
+) -> DataFrame:
+    """``key``, root for every row: rows share ``root`` exactly if links join them.
+
+    Two texts link if their fingerprints differ in at most ``sure_bits`` bits, or if they differ in
+    at most ``bits`` bits (those of ``set_words`` shingles in at most ``bits_set``) and the Jaccard
+    similarity of their sets of ``set_words`` shingles is ``similarity`` or more. Fingerprints only
+    make the candidates; the second kind of link is checked exactly. Null texts count as empty, and
+    texts without words link with each other.
+    """
+    bounds = dict(bits=bits, bits_set=bits_set, sure_bits=sure_bits, similarity=similarity)
+    made = written(profiles(docs, [key], words_per_shingle, set_words), "profiles")
+    below = components(wide_links(made.select("node", "fp", "fp_set", "n").distinct(), **bounds), "wide-links")
+    wide = written(below.unionByName(below.select(F.col("component").alias("node"), "component").distinct()), "wide")
+    named = made.join(wide, "node").groupBy("node").agg(F.min(key).alias(key)).select(key).distinct()
+    texts = docs.select(key, "text").join(named, key, "left_semi").select("text")
+    sets = profiles(texts, [], words_per_shingle, set_words, sets=True).dropDuplicates(["node"]).join(wide, "node")
+    roots = components(checked_links(written(sets, "shingle-sets"), **bounds), "checked-links")
+    return made.join(roots, "node", "left").select(key, F.coalesce("component", "node").alias("root"))
+
+
+def keep_one(docs: DataFrame, **bounds) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group of :func:`near_copy_groups`, the row of the smallest doc_id.
+
+    Rows of equal doc_id count as one document, of which one row stays; rows without a doc_id come
+    last and are told apart by their text. All columns are kept. An empty table gives no rows.
     """
     tag = F.coalesce(F.concat(F.lit("id"), F.col("doc_id").cast("string")), F.concat(F.lit("text"), F.sha2(F.coalesce("text", F.lit("")), 256)))
     tagged = docs.withColumn("_tag", tag)
-    groups = simhash_groups(tagged, ["doc_id", "_tag"], bits, words_per_shingle)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_tag"))
+    groups = near_copy_groups(tagged, "_tag", **bounds)
+    number = F.when(F.col("_tag").startswith("id"), F.expr("CAST(substring(_tag, 3) AS LONG)"))
+    first = F.min(F.struct(number.isNull().alias("n"), number.alias("i"), F.col("_tag")))
     kept = groups.groupBy("root").agg(first.alias("x")).select("x._tag").distinct()
     return tagged.join(kept, "_tag", "left_semi").dropDuplicates(["_tag"]).drop("_tag")
