@@ -172,30 +172,25 @@ def simhash_components(docs: DataFrame, bits: int = 2, words_per_shingle: int =
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def profile(text: str | None, words_per_shingle: int, set_words: int) -> tuple[int, int, np.ndarray, int]:
-    """Of a text: its fingerprint, the fingerprint of its longer shingles, their sorted set, and a node id made of the three."""
-    hashes = shingle_hashes(text, set_words)
-    found = np.unique(hashes)
-    fp, fp_set = simhash(text, words_per_shingle), majority(hashes)
-    node = xxhash.xxh64_intdigest(np.array([fp, fp_set, len(found)], "<u8").tobytes())
-    return fp, fp_set, found, node
+def normal_id(text: str | None) -> int:
+    """An id of a text's words: A-Z becomes a-z, white space counts as one space."""
+    return xxhash.xxh64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()))
 
 
-def profiles(docs: DataFrame, key: list[str], words_per_shingle: int, set_words: int, sets: bool = False) -> DataFrame:
-    """``key``, node, fp, fp_set, n (different shingles) for every row; with ``sets`` also those shingles' hashes, as bytes."""
+def profiles(docs: DataFrame, key: list[str], words_per_shingle: int, set_words: int | None = None) -> DataFrame:
+    """``key``, node (an id of the text's words), fp for every row; with ``set_words`` also the sorted set of hashes of such shingles, as bytes."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            made = [profile(x, words_per_shingle, set_words) for x in f.pop("_text")]
-            for k, name in ((3, "node"), (0, "fp"), (1, "fp_set")):
-                f[name] = np.array([x[k] for x in made], np.uint64).view(np.int64)
-            f["n"] = np.array([len(x[2]) for x in made], np.int64)
-            if sets:
-                f["shingles"] = [x[2].tobytes() for x in made]
+            texts = f.pop("_text")
+            f["node"] = np.array([normal_id(x) for x in texts], np.uint64).view(np.int64)
+            f["fp"] = np.array([simhash(x, words_per_shingle) for x in texts], np.uint64).view(np.int64)
+            if set_words:
+                f["shingles"] = [np.unique(shingle_hashes(x, set_words)).tobytes() for x in texts]
             yield f
 
     cut = docs.select(*key, F.col("text").alias("_text"))
-    kinds = ", ".join([f"`{c}` {t}" for c, t in cut.dtypes if c != "_text"] + ["node long, fp long, fp_set long, n long"] + ["shingles binary"] * sets)
+    kinds = ", ".join([f"`{c}` {t}" for c, t in cut.dtypes if c != "_text"] + ["node long, fp long"] + ["shingles binary"] * bool(set_words))
     return cut.mapInPandas(run, kinds)
 
 
@@ -208,19 +203,19 @@ def ring_pairs(left: np.ndarray, right: np.ndarray, start: int, bits: int, parts
         total = total + np.bitwise_count(diff & np.uint64(((1 << width) - 1) << first))
         near = total <= length * bits // parts if length == 1 else near & (total <= length * bits // parts)
     i, j = np.nonzero(near)
+    if not len(i):
+        return i, j
     ok = ring_filter(diff := diff[i, j], start, bits, parts)
     i, j, diff = i[ok], j[ok], diff[ok]
     ok = np.bitwise_count(diff) <= bits
     return i[ok], j[ok]
 
 
-def wide_links(nodes: DataFrame, bits: int, bits_set: int, sure_bits: int, similarity: float, parts: int = 4, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def wide_links(nodes: DataFrame, bits: int, parts: int = 4, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Links ``a, b`` that join all nodes whose fingerprints may be near copies.
 
-    A pair passes if it differs in at most ``sure_bits`` bits, or in at most ``bits`` bits where
-    the fingerprints of the longer shingles differ in at most ``bits_set`` and the set sizes allow
-    the similarity. The first segment of a chain may differ in up to ``bits // parts`` = 2 bits, so
-    each node goes to the bucket of its segment and of all values one bit away: values at most two
+    A pair passes if it differs in at most ``bits`` bits. The first segment of a chain may differ
+    in up to ``bits // parts`` = 2 bits, so each node goes to the bucket of its segment and of all values one bit away: values at most two
     bits apart have a bucket in common. Each block pair returns a spanning forest.
     """
     if bits // parts > 2:
@@ -229,12 +224,12 @@ def wide_links(nodes: DataFrame, bits: int, bits_set: int, sure_bits: int, simil
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("seg"), F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << w) - 1)).alias("own"), F.lit(w).alias("w")) for i, (a, w) in enumerate(segs)]))
     flips = F.explode(F.expr("concat(array(0L), transform(sequence(0, k.w - 1), x -> shiftleft(1L, x)))"))
     near = nodes.select("*", keys.alias("k")).select("*", flips.alias("flip"))
-    near = near.select("node", "fp", "fp_set", "n", "k.seg", F.col("k.own").bitwiseXOR(F.col("flip")).alias("val"))
+    near = near.select("node", "fp", "k.seg", F.col("k.own").bitwiseXOR(F.col("flip")).alias("val"))
     dealt = block_pairs(near, ["seg", "val"], "node", block_rows)
 
     def link(frame: pd.DataFrame, groups: list[slice]) -> pd.DataFrame:
-        fp, fp_set = (frame[c].to_numpy().view(np.uint64) for c in ("fp", "fp_set"))
-        node, n, seg, side = (frame[c].to_numpy() for c in ("node", "n", "seg", "side"))
+        fp = frame["fp"].to_numpy().view(np.uint64)
+        node, seg, side = (frame[c].to_numpy() for c in ("node", "seg", "side"))
         same = (frame["lo"] == frame["hi"]).to_numpy()
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for g in groups:
@@ -245,9 +240,7 @@ def wide_links(nodes: DataFrame, bits: int, bits_set: int, sure_bits: int, simil
             for at in range(0, len(left), 256):
                 i, j = ring_pairs(fp[left[at : at + 256]], fp[right], int(seg[g.start]), bits, parts)
                 i, j = left[at + i], right[j]
-                ok = np.bitwise_count(fp_set[i] ^ fp_set[j]) <= bits_set
-                ok &= np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
-                ok = (ok | (np.bitwise_count(fp[i] ^ fp[j]) <= sure_bits)) & (i != j)
+                ok = i != j
                 if ok.any():
                     links.append(forest(node[i[ok]], node[j[ok]]))
             if links:
@@ -268,7 +261,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(both) - common)
 
 
-def checked_links(sets: DataFrame, bits: int, bits_set: int, sure_bits: int, similarity: float, block_rows: int = SET_ROWS) -> DataFrame:
+def checked_links(sets: DataFrame, bits: int, sure_bits: int, similarity: float, block_rows: int = SET_ROWS) -> DataFrame:
     """Links ``a, b`` that join all near copies among the nodes of each ``component`` of ``sets``.
 
     Rows of a component meet in pairs of blocks. Pairs that :func:`wide_links` would pass are
@@ -277,8 +270,8 @@ def checked_links(sets: DataFrame, bits: int, bits_set: int, sure_bits: int, sim
     """
 
     def link(frame: pd.DataFrame, groups: list[slice]) -> pd.DataFrame:
-        fp, fp_set = (frame[c].to_numpy().view(np.uint64) for c in ("fp", "fp_set"))
-        node, n, side = (frame[c].to_numpy() for c in ("node", "n", "side"))
+        fp, n = frame["fp"].to_numpy().view(np.uint64), frame["shingles"].map(len).to_numpy()
+        node, side = frame["node"].to_numpy(), frame["side"].to_numpy()
         same = (frame["lo"] == frame["hi"]).to_numpy()
         out = []
         for g in groups:
@@ -290,8 +283,7 @@ def checked_links(sets: DataFrame, bits: int, bits_set: int, sure_bits: int, sim
             for i in left.tolist():
                 d = np.bitwise_count(fp[i] ^ fp[right])
                 sure = d <= sure_bits
-                near = (d <= bits) & (np.bitwise_count(fp_set[i] ^ fp_set[right]) <= bits_set)
-                near &= np.minimum(n[i], n[right]) >= similarity * np.maximum(n[i], n[right]) - 1e-9
+                near = (d <= bits) & (np.minimum(n[i], n[right]) >= similarity * np.maximum(n[i], n[right]) - 1e-9)
                 for j in right[sure | near].tolist():
                     x, y = label[i - g.start], label[j - g.start]
                     if x == y:
@@ -306,24 +298,22 @@ def checked_links(sets: DataFrame, bits: int, bits_set: int, sure_bits: int, sim
 
 
 def near_copy_groups(
-    docs: DataFrame, key: str, words_per_shingle: int = 3, sure_bits: int = 2, bits: int = 11, set_words: int = 5, bits_set: int = 20, similarity: float = 0.8
+    docs: DataFrame, key: str, words_per_shingle: int = 3, sure_bits: int = 2, bits: int = 11, set_words: int = 5, similarity: float = 0.8
 ) -> DataFrame:
     """``key``, root for every row: rows share ``root`` exactly if links join them.
 
     Two texts link if their fingerprints differ in at most ``sure_bits`` bits, or if they differ in
-    at most ``bits`` bits (those of ``set_words`` shingles in at most ``bits_set``) and the Jaccard
-    similarity of their sets of ``set_words`` shingles is ``similarity`` or more. Fingerprints only
+    at most ``bits`` bits and the Jaccard similarity of their sets of ``set_words`` shingles is ``similarity`` or more. Fingerprints only
     make the candidates; the second kind of link is checked exactly. Null texts count as empty, and
     texts without words link with each other.
     """
-    bounds = dict(bits=bits, bits_set=bits_set, sure_bits=sure_bits, similarity=similarity)
-    made = written(profiles(docs, [key], words_per_shingle, set_words), "profiles")
-    below = components(wide_links(made.select("node", "fp", "fp_set", "n").distinct(), **bounds), "wide-links")
+    made = written(profiles(docs, [key], words_per_shingle), "profiles")
+    below = components(wide_links(made.select("node", "fp").distinct(), bits), "wide-links")
     wide = written(below.unionByName(below.select(F.col("component").alias("node"), "component").distinct()), "wide")
     named = made.join(wide, "node").groupBy("node").agg(F.min(key).alias(key)).select(key).distinct()
     texts = docs.select(key, "text").join(named, key, "left_semi").select("text")
-    sets = profiles(texts, [], words_per_shingle, set_words, sets=True).dropDuplicates(["node"]).join(wide, "node")
-    roots = components(checked_links(written(sets, "shingle-sets"), **bounds), "checked-links")
+    sets = profiles(texts, [], words_per_shingle, set_words).dropDuplicates(["node"]).join(wide, "node")
+    roots = components(checked_links(written(sets, "shingle-sets"), bits, sure_bits, similarity), "checked-links")
     return made.join(roots, "node", "left").select(key, F.coalesce("component", "node").alias("root"))
 
 
