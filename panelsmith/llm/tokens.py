@@ -11,6 +11,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.ipc as ipc
 from pyspark import TaskContext
@@ -22,9 +23,11 @@ from panelsmith.llm.common import new_folder, written
 SEQUENCE = 2048
 BATCH_ROWS = 64
 _ENCODE_CHARS = 1 << 21  # code points that are encoded at once
-_KEPT = 600_000  # words whose ids a worker remembers
+_KEPT = 400_000  # words in a generation of a worker's memory
+_JOINED = 256  # new words that are encoded as one text
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 _RUN = re.compile(r"\s\s")
+_TAIL = re.compile(r"( [^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 
 
 class Encoder:
@@ -32,7 +35,8 @@ class Encoder:
 
     Texts are cut at single spaces between two characters that are not white space: pre-tokenizers
     that start a token at such a space (or drop white space) encode the parts independently, so
-    each word is encoded once for as long as it is remembered.
+    each word is encoded once for as long as it is remembered. Words not met in the last two
+    generations of the memory are forgotten.
     """
 
     def __init__(self, path: str):
@@ -42,27 +46,86 @@ class Encoder:
         self.model.no_truncation()
         self.model.no_padding()
         self.known: dict[str, bytes] = {}  # of words that follow a space
+        self.older: dict[str, bytes] = {}
+        vocabulary = self.model.get_vocab()
+        names = [""] * (1 + max(vocabulary.values()))
+        for name, i in vocabulary.items():
+            names[i] = name
+        self.closes = np.array([x.endswith("</w>") for x in names])  # ids that end a word
+        self.opens = np.array([x.startswith("\u0120") for x in names])  # ids that begin with a space
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as the bytes of unsigned 32-bit little-endian integers."""
+    def _many(self, words: list[str]) -> list[bytes]:
+        """The same for words that follow a space, many to a text: their ids are told apart by the word's end or the space."""
+        ends, out = self.closes.any(), []
+        for at in range(0, len(words), _JOINED):
+            part = words[at : at + _JOINED]
+            ids = np.array(self.model.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            starts = 4 * (np.nonzero(self.closes[ids])[0] + 1 if ends else np.nonzero(self.opens[ids])[0])
+            starts = [0, *starts.tolist()] if ends else [*starts.tolist(), 4 * len(ids)]
+            if len(starts) != len(part) + 1 or starts[0] != 0 or starts[-1] != 4 * len(ids):
+                out += self._plain(part)
+                continue
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip(starts, starts[1:])]
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember words (each as it is in the text, with its space if it follows one)."""
+        single = self.closes.any()  # words are told apart by their ends, so each must be one word
+        many = [w for w in words if (w[1:].isalpha() if single else w[1:] and " " not in w[1:]) and w[0] == " "]
+        self.known.update(zip(many, self._many(many)))
+        rest = [w for w in words if w not in self.known]
+        self.known.update(zip(rest, self._plain(rest)))
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words, each as it is in the text."""
         if len(self.known) > _KEPT:
-            self.known.clear()
-        get, cut, new = self.known.get, [], set()
-        for t in texts:
-            words = _SPLIT.split(t) if not t or t[0].isspace() or t[-1].isspace() or _RUN.search(t) else t.split(" ")
-            ids = list(map(get, words))
-            if None in ids[1:]:
-                new.update(w for w, x in zip(words[1:], ids[1:]) if x is None)
-            cut.append(words)
-        if new:
-            fresh = list(new)
-            self.known.update(zip(fresh, self._plain([f" {w}" for w in fresh])))
-        heads = self._plain([words[0] for words in cut])
-        known = self.known.__getitem__
-        return [head + b"".join(map(known, words[1:])) for head, words in zip(heads, cut)]
+            self.known, self.older = {}, self.known
+        ids = list(map(self.known.get, words))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        new, cut = [], []
+        for i in missing:
+            w = words[i]
+            x = self.older.get(w)
+            if x is not None:
+                self.known[w] = ids[i] = x
+            elif tail := _TAIL.fullmatch(w):  # pre-tokenizers end a word of letters at such a mark
+                cut.append((i, *tail.groups()))
+            else:
+                new.append(w)
+        known = self.known
+        new += {x for _, a, b in cut for x in (a, b) if x not in known}
+        self._learn(list(dict.fromkeys(new)))
+        for i, a, b in cut:
+            ids[i] = known[a] + known[b]
+        return [known[w] if x is None else x for w, x in zip(words, ids)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, as unsigned 32-bit little-endian integers."""
+        if any(not t or t[0].isspace() or t[-1].isspace() or _RUN.search(t) for t in texts):
+            cut = pa.array([_SPLIT.split(t) for t in texts], pa.list_(pa.large_string()))
+        else:
+            cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        flat_words = cut.flatten()
+        words = flat_words.dictionary_encode()
+        codes, firsts = words.indices.to_numpy().astype(np.int64), np.asarray(cut.offsets)[:-1].astype(np.int64)
+        follows = np.ones(len(codes), bool)
+        follows[firsts] = False
+        seen = np.bincount(codes[follows], minlength=len(words.dictionary)) > 0
+        used = np.nonzero(seen)[0]
+        heads = flat_words.take(pa.array(firsts)).to_pylist()
+        codes = np.where(follows, (np.cumsum(seen) - 1)[codes] if len(seen) else codes, 0)
+        codes[firsts] = len(used) + np.arange(len(firsts))
+        pieces = self._words([f" {w}" for w in words.dictionary.take(pa.array(used)).to_pylist()]) + self._plain(heads)
+        flat = np.frombuffer(b"".join(pieces), "<u4")
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        starts, sizes = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
+        ends = np.cumsum(sizes)
+        ids = flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        return np.split(ids, ends[firsts[1:] - 1])
 
 
 @lru_cache(maxsize=4)
@@ -79,14 +142,14 @@ def public_tokenizer(name: str) -> str:
 
 def encode(texts: list[str | None], path: str, end_id: int) -> Iterator[np.ndarray]:
     """The ids of each whole text (null: empty), and the end id, as unsigned 32-bit integers."""
-    model, at, end = encoder(path), 0, np.array([end_id], "<u4").tobytes()
+    model, at, end = encoder(path), 0, np.array([end_id], "<u4")
     while at < len(texts):
         stop, chars = at, 0
         while stop < len(texts) and (stop == at or chars + len(texts[stop] or "") <= _ENCODE_CHARS):
             chars += len(texts[stop] or "")
             stop += 1
         for ids in model.encode([t or "" for t in texts[at:stop]]):
-            yield np.frombuffer(ids + end, "<u4")
+            yield np.concatenate([ids, end])
         at = stop
 
 
