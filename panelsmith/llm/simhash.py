@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,7 @@ from panelsmith.llm.common import block_pairs, components, map_blocks, written
 BITS = 64
 BLOCK_ROWS = 4096
 SET_ROWS = 256  # rows of a block whose shingle sets are compared
+SHARED = 20  # similar sets of n shingles share n // 20 + 1 of their prefixes at least
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -297,32 +299,114 @@ def checked_links(sets: DataFrame, bits: int, sure_bits: int, similarity: float,
     return map_blocks(dealt, ["component", "lo", "hi"], link, "a long, b long")
 
 
+def common_shingles(docs: DataFrame, set_words: int, rows: int = 4000, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of shingles that several of about ``rows`` texts share.
+
+    They only order the shingles in :func:`prefix`: another sample costs work, not pairs.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for x in f["text"]:
+                yield pd.DataFrame({"s": np.unique(shingle_hashes(x, set_words)).view(np.int64)})
+
+    rate = min(1.0, rows / max(1, docs.count()))
+    chance = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)))
+    seen = docs.select("text").where(chance).mapInPandas(run, "s long").groupBy("s").count().where("count > 2")
+    top = seen.orderBy(F.desc("count"), "s").limit(most).toPandas()
+    s, n = top["s"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
+    order = np.argsort(s)
+    return s[order], n[order]
+
+
+def least_shared(n: int) -> int:
+    """How many shingles of their prefixes two sets share at least; the smaller of the numbers of both holds for a pair."""
+    return 1 + n // SHARED
+
+
+def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The part of a sorted set that decides which sets may have that Jaccard similarity with it.
+
+    All sets are in one order, common shingles last. Similar sets share at least ``similarity`` x n
+    of the n shingles of each, so the first k they share lie in the first n - similarity x n + k of both.
+    """
+    n, (known, counts) = len(hashes), common
+    if n and len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        hashes = hashes[np.argsort(np.where(known[at] == hashes, counts[at], 0), kind="stable")]
+    return hashes[: n - math.ceil(similarity * n - 1e-9) + least_shared(n)]
+
+
+def prefixed(docs: DataFrame, key: str, words_per_shingle: int, set_words: int, similarity: float) -> DataFrame:
+    """``key``, node, fp (see :func:`profiles`), n (size of the set of ``set_words`` shingles) and its prefix for every row."""
+    share = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, set_words))  # of bounded size
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common = share.value
+        for f in frames:
+            texts = f.pop("_text")
+            f["node"] = np.array([normal_id(x) for x in texts], np.uint64).view(np.int64)
+            f["fp"] = np.array([simhash(x, words_per_shingle) for x in texts], np.uint64).view(np.int64)
+            sets = [np.unique(shingle_hashes(x, set_words)) for x in texts]
+            f["n"] = np.array([len(x) for x in sets], np.int64)
+            f["prefix"] = [prefix(x, common, similarity).view(np.int64) for x in sets]
+            yield f
+
+    cut = docs.select(key, F.col("text").alias("_text"))
+    return cut.mapInPandas(run, f"`{key}` {cut.schema[key].dataType.simpleString()}, node long, fp long, n long, prefix array<long>")
+
+
+def similar_candidates(made: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a, b`` of nodes among which are all whose sets have that Jaccard similarity: they share enough of their prefixes."""
+    parts = written(made.dropDuplicates(["node"]).select("node", "n", F.explode("prefix").alias("s")), "prefixes")
+    a, b = (parts.select("s", F.col("node").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
+    sized = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - F.lit(1e-9)
+    shared = a.join(b, "s").where(F.col("a") < F.col("b")).where(sized).groupBy("a", "b").agg(F.count("*").alias("c"), F.first(F.least("na", "nb")).alias("n"))
+    return shared.where(F.col("c") >= F.floor(F.col("n") / SHARED) + 1).select("a", "b")
+
+
+def sure_links(made: DataFrame, bits: int) -> DataFrame:
+    """Links ``a, b`` that join all nodes whose fingerprints differ in at most ``bits`` bits."""
+    fps = made.select("node", "fp").distinct()
+    heads = written(fps.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    same = fps.join(heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    near = near_links(heads.select("fp"), bits)
+    for c in "ab":
+        near = near.join(heads.select(F.col("fp").alias(c), F.col("head").alias(f"_{c}")), c)
+    return same.unionByName(near.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+
+
 def near_copy_groups(
-    docs: DataFrame, key: str, words_per_shingle: int = 3, sure_bits: int = 2, bits: int = 11, set_words: int = 5, similarity: float = 0.8
+    docs: DataFrame, key: str, words_per_shingle: int = 3, sure_bits: int = 2, bits: int | None = 11, set_words: int = 5, similarity: float = 0.8
 ) -> DataFrame:
     """``key``, root for every row: rows share ``root`` exactly if links join them.
 
-    Two texts link if their fingerprints differ in at most ``sure_bits`` bits, or if they differ in
-    at most ``bits`` bits and the Jaccard similarity of their sets of ``set_words`` shingles is ``similarity`` or more. Fingerprints only
-    make the candidates; the second kind of link is checked exactly. Null texts count as empty, and
-    texts without words link with each other.
+    Two texts link if their fingerprints differ in at most ``sure_bits`` bits, or if the Jaccard similarity of their sets of
+    ``set_words`` shingles is ``similarity`` or more; with ``bits`` the second kind only where fingerprints differ in at most
+    ``bits`` bits. Candidates of the second kind come from prefixes of the sets without ``bits``, from fingerprints with it; all
+    are checked exactly. Null texts count as empty, and texts without words link with each other.
     """
-    made = written(profiles(docs, [key], words_per_shingle), "profiles")
-    below = components(wide_links(made.select("node", "fp").distinct(), bits), "wide-links")
+    if bits is None:
+        made = written(prefixed(docs, key, words_per_shingle, set_words, similarity), "profiles")
+        sure, below = written(sure_links(made, sure_bits), "sure-links"), components(similar_candidates(made, similarity), "candidates")
+    else:
+        made = written(profiles(docs, [key], words_per_shingle), "profiles")
+        sure, below = None, components(wide_links(made.select("node", "fp").distinct(), bits), "wide-links")
     wide = written(below.unionByName(below.select(F.col("component").alias("node"), "component").distinct()), "wide")
     named = made.join(wide, "node").groupBy("node").agg(F.min(key).alias(key)).select(key).distinct()
     texts = docs.select(key, "text").join(named, key, "left_semi").select("text")
     sets = profiles(texts, [], words_per_shingle, set_words).dropDuplicates(["node"]).join(wide, "node")
-    roots = components(checked_links(written(sets, "shingle-sets"), bits, sure_bits, similarity), "checked-links")
+    links = checked_links(written(sets, "shingle-sets"), BITS if bits is None else bits, sure_bits, similarity)
+    roots = components(links if sure is None else links.unionByName(sure), "checked-links")
     return made.join(roots, "node", "left").select(key, F.coalesce("component", "node").alias("root"))
 
 
-def keep_one(docs: DataFrame, bits: int = 2, **bounds) -> DataFrame:
+def keep_one(docs: DataFrame, bits: int | None = 2, **bounds) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group of :func:`near_copy_groups`, the row of the smallest doc_id.
 
     Rows of equal doc_id count as one document, of which one row stays; rows without a doc_id come
     last and are told apart by their text. All columns are kept. An empty table gives no rows. At
-    the default only fingerprints at most 2 bits apart link; more ``bits`` add checked links.
+    the default only fingerprints at most 2 bits apart link; more ``bits``, or None for no bound, add checked links.
     """
     tag = F.coalesce(F.concat(F.lit("id"), F.col("doc_id").cast("string")), F.concat(F.lit("text"), F.sha2(F.coalesce("text", F.lit("")), 256)))
     tagged = docs.withColumn("_tag", tag)
