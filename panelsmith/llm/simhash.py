@@ -404,14 +404,15 @@ def near_copy_groups(
 def keep_one(docs: DataFrame, bits: int | None = 2, **bounds) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group of :func:`near_copy_groups`, the row of the smallest doc_id.
 
-    Rows of equal doc_id count as one document, of which one row stays; rows without a doc_id come
-    last and are told apart by their text. All columns are kept. An empty table gives no rows. At
-    the default only fingerprints at most 2 bits apart link; more ``bits``, or None for no bound, add checked links.
+    Rows of equal doc_id and equal text count as one document, of which one row stays; of near copies of equal doc_id the one of
+    the smallest text hash. Rows without a doc_id come last and are told apart by their text. All columns are kept. An empty
+    table gives no rows. At the default only fingerprints at most 2 bits apart link; more ``bits``, or None for no bound, add
+    checked links.
     """
-    tag = F.coalesce(F.concat(F.lit("id"), F.col("doc_id").cast("string")), F.concat(F.lit("text"), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    tag = F.concat(F.coalesce(F.concat(F.lit("id"), F.col("doc_id").cast("string")), F.lit("text")), F.lit(":"), F.sha2(F.coalesce("text", F.lit("")), 256))
     tagged = docs.withColumn("_tag", tag)
     groups = near_copy_groups(tagged, "_tag", bits=bits, **bounds)
-    number = F.when(F.col("_tag").startswith("id"), F.expr("CAST(substring(_tag, 3) AS LONG)"))
+    number = F.when(F.col("_tag").startswith("id"), F.expr("CAST(substring(substring_index(_tag, ':', 1), 3) AS LONG)"))
     first = F.min(F.struct(number.isNull().alias("n"), number.alias("i"), F.col("_tag")))
     kept = groups.groupBy("root").agg(first.alias("x")).select("x._tag").distinct()
     return tagged.join(kept, "_tag", "left_semi").dropDuplicates(["_tag"]).drop("_tag")

@@ -67,3 +67,11 @@ def test_prefixes_meet(texts):
             for j in range(i):
                 if len(a) and simhash.jaccard(a, sets[j]) >= 0.8:
                     assert len(np.intersect1d(cut[i], cut[j])) >= simhash.least_shared(min(len(a), len(sets[j])))
+
+
+def test_clashing_ids_keep_unlike_texts(spark):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(words)), (1, "another text that has nothing in common with it"), (1, " ".join(words)), (1, " ".join([*words, "end"])), (2, " ".join(words)), (None, "lone"), (None, "lone"), (None, "other")]
+    df = spark.createDataFrame([(i, x, "en", "a", 1) for i, x in rows], KIND)
+    got = sorted((r.doc_id or 0, r.text[:7]) for r in pipe.near_dedup(spark, df, "").collect())
+    assert got == [(0, "lone"), (0, "other"), (1, "another"), (1, "w0 w1 w")]
