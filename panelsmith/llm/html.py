@@ -19,7 +19,8 @@ _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_SILENT = frozenset("script style noscript template title head iframe object svg math select option textarea".split())
+_SILENT = frozenset("script style noscript template title head iframe svg select option textarea".split())
+_HEAD = frozenset("html head title meta link script style base basefont bgsound noframes template noscript".split())  # tags that leave a head open
 _CLOSES_P = _BLOCK - frozenset("button label option select textarea".split())
 _SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _LIMITS = frozenset("ul ol table dl tbody thead".split())
@@ -48,7 +49,14 @@ class Blocks(HTMLParser):
         self.silent -= tag in _SILENT
         self.links -= tag == "a"
 
+    def _end_head(self) -> None:
+        """Close a head whose end tag is left out, unless a tag inside it is still open."""
+        if self.stack and self.stack[-1][0] == "head":
+            self._pop()
+
     def handle_starttag(self, tag, attrs):
+        if tag not in _HEAD:
+            self._end_head()
         if tag == "br":
             self.text.append(" ")
         if tag in _BLOCK:
@@ -81,6 +89,8 @@ class Blocks(HTMLParser):
                 break  # an inline end tag closes nothing outside its block
 
     def handle_data(self, data):
+        if not data.isspace():
+            self._end_head()
         if not self.silent:
             self.text.append(data)
             if self.links:
