@@ -73,7 +73,7 @@ class Blocks(HTMLParser):
         if tag in _VOID:
             return
         names = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v).lower().replace("-", " ").replace("_", " ").split()
-        self.stack.append((tag, ".".join([tag, *names[:6]])))
+        self.stack.append((tag, ".".join([tag, *names])))
         self.silent += tag in _SILENT
         self.links += tag == "a"
 

@@ -23,3 +23,9 @@ def test_head_without_end_tag(page):
 def test_math_and_fallback_text_stay():
     page = "<body><article><p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b<object data=u><p>fallback</object><svg><text>no</text></svg></article>"
     assert [b[1] for b in html.blocks(page)] == ["a x=2 b", "fallback"]
+
+
+def test_all_class_and_id_words_count():
+    path = html.blocks("<div class='flex mt-4 p-2 bg-gray text-sm' id='comments'>Reply</div>")[0][0]
+    assert path == "div.flex.mt.4.p.2.bg.gray.text.sm.comments"
+    assert html._path_slots(path) > () and html.crc32(b"comments") % html.PATH_SLOTS in html._path_slots(path)
