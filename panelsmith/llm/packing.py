@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,18 +85,24 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
 def cut_documents(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, piece: int = PIECE) -> DataFrame:
     """The pieces of every document: full windows first, then what is left in pieces of at most ``piece`` ids."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = {k.split()[0]: [] for k in _KINDS.split(", ")}
-            for doc_id, ids in zip(f["doc_id"], encode(f["text"].tolist(), path, end_id)):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in batches:
+            starts, lengths, crcs, totals = [], [], [], []
+            for ids in encode(f.column("text"), path, end_id):
                 n = len(ids)
                 full = n // capacity * capacity
-                for a, b in [(x, x + capacity) for x in range(0, full, capacity)] + [(x, min(x + piece, n)) for x in range(full, n, piece)]:
-                    for k, v in zip(out, (doc_id, a, b - a, crc(ids[a:b]), n)):
-                        out[k].append(v)
-            yield pd.DataFrame(out).astype({"doc_id": "Int64"})
+                edges = [*range(0, full, capacity), *range(full, n, piece), n]
+                starts.append(edges[:-1])
+                lengths += map(int.__sub__, edges[1:], edges)
+                crcs += [crc(ids[a:b]) for a, b in zip(edges, edges[1:])]
+                totals.append(n)
+            counts = np.fromiter(map(len, starts), np.int64, len(starts))
+            doc_id = f.column("doc_id").take(pa.array(np.repeat(np.arange(len(counts)), counts)))
+            flat = [x for s in starts for x in s]
+            rows = [doc_id, *[pa.array(x, pa.int64()) for x in (flat, lengths, crcs)], pa.array(np.repeat(np.array(totals, np.int64), counts))]
+            yield pa.record_batch(rows, names=[k.split()[0] for k in _KINDS.split(", ")])
 
-    return docs.select("doc_id", "text").mapInPandas(run, _KINDS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _KINDS)
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, piece: int = PIECE, chunk: int = CHUNK) -> DataFrame:
@@ -103,8 +110,8 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, capacity: int =
 
     doc_id, start (ids of the document before the piece), length, ids_crc32, doc_tokens,
     sequence_id, offset (in the sequence). A full window is a sequence of its own. Other pieces
-    are dealt by a hash of what they are into tasks, which pack ``chunk`` of them at a time:
-    memory does not grow with a task. Null texts are empty (the end id only); null, repeated and
+    are dealt evenly into tasks, equal ones too, which sort them and pack ``chunk`` of them at a
+    time: memory does not grow with a task, and a repeated task makes the same sequences. Null texts are empty (the end id only); null, repeated and
     equal doc_ids are documents of their own; an empty table gives no rows; other columns are not
     read.
     """
@@ -141,5 +148,6 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, capacity: int =
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(1, min(parts, -(-pieces.count() // (4 * chunk))))
-    dealt = pieces.repartition(tasks, "doc_id", "start", "ids_crc32")
+    # dealt in turn, each task's rows sorted before: the same rows for a repeated task
+    dealt = pieces.repartition(tasks).sortWithinPartitions("doc_id", "start", "length", "ids_crc32")
     return dealt.mapInPandas(run, _KINDS + ", sequence_id long, offset long")

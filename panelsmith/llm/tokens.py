@@ -22,21 +22,38 @@ from panelsmith.llm.common import new_folder, written
 
 SEQUENCE = 2048
 BATCH_ROWS = 64
-_ENCODE_CHARS = 1 << 21  # code points that are encoded at once
-_KEPT = 400_000  # words in a generation of a worker's memory
-_JOINED = 256  # new words that are encoded as one text
+_ENCODE_BYTES = 1 << 23  # UTF-8 bytes of texts that are encoded at once
+_KEPT = 400_000  # words that a worker remembers
+_JOINED = 4096  # new words that are encoded as one text
+_SPACES = r"\s\x0b\x1c-\x1f\x85\pZ"  # white space of any kind, for a class of RE2
+_UNEVEN = f"^ | $| [{_SPACES}]|[{_SPACES}] "  # a space that is not between two other characters
+_LOOSE = f"^[{_SPACES}]|[{_SPACES}]$|[{_SPACES}][{_SPACES}]"
+_TAIL = r"^(?P<word>\pL+)(?P<tail>[!-&(-/:-@\[-`{-~]+)$"
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
-_RUN = re.compile(r"\s\s")
-_TAIL = re.compile(r"( [^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+_PROBE = [
+    "", " ", "a", " The  cat's\nthe\n\nmat,\tsat (on) it... it's 12.5% 'd o'er!  ", "Éa ñandú,\nÇa!\u00a0x \u2003y\r\nz\x0b q\x85r s\x1ct", "x_y a1b2 <|endoftext|>, b<|endoftext|>c \n d",
+    "\u65e5\u672c\u8a9e \u30c6\u30ad\u30b9\u30c8\uff01 e\u0301t\u00e9 \u0130x \ufb01n \U0001f600\U0001f601 ab\u00b2 \u2167.", "don't  \n\n  stop\n",
+]
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that begin at ``starts``, end to end."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _flags(x) -> np.ndarray:
+    return x.to_numpy(zero_copy_only=False).astype(bool)
 
 
 class Encoder:
     """A tokenizer file, with a memory for words.
 
-    Texts are cut at single spaces between two characters that are not white space: pre-tokenizers
-    that start a token at such a space (or drop white space) encode the parts independently, so
-    each word is encoded once for as long as it is remembered. Words not met in the last two
-    generations of the memory are forgotten.
+    Texts are cut at single spaces between two characters that are not white space, at such line
+    feeds, and between letters and the marks that end a word: pre-tokenizers that begin a token
+    there (or drop white space) encode the parts independently, so each part is encoded once for
+    as long as it is remembered. Whether a tokenizer is of that kind is tried on a probe; any other
+    encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -45,87 +62,117 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-        self.known: dict[str, bytes] = {}  # of words that follow a space
-        self.older: dict[str, bytes] = {}
         vocabulary = self.model.get_vocab()
         names = [""] * (1 + max(vocabulary.values()))
         for name, i in vocabulary.items():
             names[i] = name
         self.closes = np.array([x.endswith("</w>") for x in names])  # ids that end a word
         self.opens = np.array([x.startswith("\u0120") for x in names])  # ids that begin with a space
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _many(self, words: list[str]) -> list[bytes]:
-        """The same for words that follow a space, many to a text: their ids are told apart by the word's end or the space."""
-        ends, out = self.closes.any(), []
-        for at in range(0, len(words), _JOINED):
-            part = words[at : at + _JOINED]
-            ids = np.array(self.model.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            starts = 4 * (np.nonzero(self.closes[ids])[0] + 1 if ends else np.nonzero(self.opens[ids])[0])
-            starts = [0, *starts.tolist()] if ends else [*starts.tolist(), 4 * len(ids)]
-            if len(starts) != len(part) + 1 or starts[0] != 0 or starts[-1] != 4 * len(ids):
-                out += self._plain(part)
-                continue
-            raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip(starts, starts[1:])]
-        return out
-
-    def _learn(self, words: list[str]) -> None:
-        """Remember words (each as it is in the text, with its space if it follows one)."""
-        single = self.closes.any()  # words are told apart by their ends, so each must be one word
-        many = [w for w in words if (w[1:].isalpha() if single else w[1:] and " " not in w[1:]) and w[0] == " "]
-        self.known.update(zip(many, self._many(many)))
-        rest = [w for w in words if w not in self.known]
-        self.known.update(zip(rest, self._plain(rest)))
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """The ids of words, each as it is in the text."""
-        if len(self.known) > _KEPT:
-            self.known, self.older = {}, self.known
-        ids = list(map(self.known.get, words))
-        missing = [i for i, x in enumerate(ids) if x is None]
-        new, cut = [], []
-        for i in missing:
-            w = words[i]
-            x = self.older.get(w)
-            if x is not None:
-                self.known[w] = ids[i] = x
-            elif tail := _TAIL.fullmatch(w):  # pre-tokenizers end a word of letters at such a mark
-                cut.append((i, *tail.groups()))
-            else:
-                new.append(w)
-        known = self.known
-        new += {x for _, a, b in cut for x in (a, b) if x not in known}
-        self._learn(list(dict.fromkeys(new)))
-        for i, a, b in cut:
-            ids[i] = known[a] + known[b]
-        return [known[w] if x is None else x for w, x in zip(words, ids)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, as unsigned 32-bit little-endian integers."""
-        if any(not t or t[0].isspace() or t[-1].isspace() or _RUN.search(t) for t in texts):
-            cut = pa.array([_SPLIT.split(t) for t in texts], pa.list_(pa.large_string()))
-        else:
-            cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-        flat_words = cut.flatten()
-        words = flat_words.dictionary_encode()
-        codes, firsts = words.indices.to_numpy().astype(np.int64), np.asarray(cut.offsets)[:-1].astype(np.int64)
-        follows = np.ones(len(codes), bool)
-        follows[firsts] = False
-        seen = np.bincount(codes[follows], minlength=len(words.dictionary)) > 0
-        used = np.nonzero(seen)[0]
-        heads = flat_words.take(pa.array(firsts)).to_pylist()
-        codes = np.where(follows, (np.cumsum(seen) - 1)[codes] if len(seen) else codes, 0)
-        codes[firsts] = len(used) + np.arange(len(firsts))
-        pieces = self._words([f" {w}" for w in words.dictionary.take(pa.array(used)).to_pylist()]) + self._plain(heads)
-        flat = np.frombuffer(b"".join(pieces), "<u4")
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-        starts, sizes = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
-        ends = np.cumsum(sizes)
-        ids = flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        return np.split(ids, ends[firsts[1:] - 1])
+        # words that can be told apart when many are encoded as one text
+        self.joins = r"^ \pL+$" if self.closes.any() else f"^ [^{_SPACES}]+$"
+        self._forget()
+        self.cuts = True
+        probe = pa.array(_PROBE, pa.large_string())
+        ids, sizes = self._whole(_PROBE)
+        said = self._cut(probe)
+        self.cuts = all(map(np.array_equal, (ids, sizes), said))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words = pa.array([], pa.large_string())  # as they are in a text, with the space if they follow one
+        self.flat, self.starts, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, "<u4"), *ids]), np.array([len(x) for x in ids], np.int64)
+
+    def _many(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that match ``joins``: encoded as one text, they are told apart by a word's end or the space."""
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string())), "")[0].as_py()
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        starts = np.concatenate([[0], np.nonzero(self.closes[ids])[0] + 1]) if self.closes.any() else np.concatenate([np.nonzero(self.opens[ids])[0], [len(ids)]])
+        if len(starts) != len(words) + 1 or starts[0] != 0 or starts[-1] != len(ids):
+            return self._whole(words.to_pylist())
+        return ids, np.diff(starts)
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Add words to the memory; returns their places in it."""
+        n, join = len(self.words), pc.match_substring_regex(words, self.joins)
+        many, rest = words.filter(join), words.filter(pc.invert(join))
+        made = [self._many(many.slice(at, _JOINED)) for at in range(0, len(many), _JOINED)]
+        if len(rest):
+            made.append(self._whole(rest.to_pylist()))
+        self.words = pa.concat_arrays([self.words, many, rest])
+        self.flat = np.concatenate([self.flat, *(x for x, _ in made)])
+        self.sizes = np.concatenate([self.sizes, *(n for _, n in made)])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        joined = _flags(join)
+        return n + np.where(joined, np.cumsum(joined) - 1, len(many) + np.cumsum(~joined) - 1)
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where different words are in the memory, which learns those it does not hold."""
+        if len(self.words) > _KEPT:
+            self._forget()
+        found = pc.index_in(words, value_set=self.words)
+        at = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+        if found.null_count:
+            at[at < 0] = self._learn(words.filter(found.is_null()))
+        return at
+
+    def _parts(self, words: pa.Array, spaced: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of words, of which those that are ``spaced`` follow a space."""
+        lined = _flags(pc.and_(pc.match_substring(words, "\n"), pc.invert(pc.match_substring_regex(words, _LOOSE))))
+        lines = pc.split_pattern(words.filter(pa.array(lined)), "\n")
+        order = np.concatenate([np.nonzero(~lined)[0], np.repeat(np.nonzero(lined)[0], np.diff(np.asarray(lines.offsets)))])
+        flat = pa.concat_arrays([words.filter(pa.array(~lined)), lines.flatten()])
+        sort = np.argsort(order, kind="stable")
+        order, flat = order[sort], flat.take(pa.array(sort))
+        first = np.concatenate([[True], order[1:] != order[:-1]]) if len(order) else np.zeros(0, bool)
+        found = pc.extract_regex(flat, _TAIL)
+        tailed = _flags(found.is_valid())
+        base = pc.if_else(pa.array(tailed), found.field("word"), flat)
+        base = pc.binary_join_element_wise(pc.if_else(pa.array(first & spaced[order]), pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())), base, pa.scalar("", pa.large_string()))
+        atoms = pa.concat_arrays([base, found.field("tail").filter(pa.array(tailed)), pa.array(["\n"], pa.large_string())]).dictionary_encode()
+        place = self._places(atoms.dictionary)[atoms.indices.to_numpy()]
+        counts = 1 + ~first + tailed
+        at = np.cumsum(counts) - counts
+        held = np.full(int(counts.sum()), place[-1])  # where it is not overwritten, the line feed
+        held[at + ~first] = place[: len(flat)]
+        held[(at + ~first + 1)[tailed]] = place[len(flat) : -1]
+        sizes = self.sizes[held]
+        whole = np.add.reduceat(sizes, at[first]) if len(at) else np.zeros(0, np.int64)
+        return gather(self.flat, self.starts[held], sizes), whole
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        uneven = pc.match_substring_regex(texts, _UNEVEN)
+        even = _flags(pc.invert(uneven))
+        lists = [pc.split_pattern(texts.filter(pa.array(even)), " "), pa.array([_SPLIT.split(t) for t in texts.filter(uneven).to_pylist()], pa.large_list(pa.large_string()))]
+        counts = np.concatenate([np.diff(np.asarray(x.offsets)) for x in lists]).astype(np.int64)
+        firsts = np.cumsum(counts) - counts
+        flat = pa.concat_arrays([x.flatten() for x in lists])
+        words = flat.dictionary_encode()
+        codes = words.indices.to_numpy().astype(np.int64)
+        codes[firsts] = len(words.dictionary) + np.arange(len(firsts))
+        both = pa.concat_arrays([words.dictionary, flat.take(pa.array(firsts))])
+        used = np.bincount(codes, minlength=len(both)) > 0
+        spaced = (np.arange(len(both)) < len(words.dictionary))[used]
+        ids, sizes = self._parts(both.filter(pa.array(used)), spaced)
+        starts = np.cumsum(sizes) - sizes
+        codes = (np.cumsum(used) - 1)[codes]
+        sizes, starts = sizes[codes], starts[codes]
+        order = np.concatenate([np.nonzero(even)[0], np.nonzero(~even)[0]])  # texts of uneven spaces come last
+        totals = np.add.reduceat(sizes, firsts)
+        out = gather(ids, starts, sizes)
+        if not even.all():
+            back = np.argsort(order)
+            out, totals = gather(out, (np.cumsum(totals) - totals)[back], totals[back]), totals[back]
+        return out, totals
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts end to end as unsigned 32-bit integers, the number of each text) of large strings without nulls."""
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        return self._cut(texts) if self.cuts else self._whole(texts.to_pylist())
 
 
 @lru_cache(maxsize=4)
@@ -140,16 +187,18 @@ def public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encode(texts: list[str | None], path: str, end_id: int) -> Iterator[np.ndarray]:
+def encode(texts: pa.Array, path: str, end_id: int) -> Iterator[np.ndarray]:
     """The ids of each whole text (null: empty), and the end id, as unsigned 32-bit integers."""
-    model, at, end = encoder(path), 0, np.array([end_id], "<u4")
+    model = encoder(path)
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    at, ends = 0, np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
     while at < len(texts):
-        stop, chars = at, 0
-        while stop < len(texts) and (stop == at or chars + len(texts[stop] or "") <= _ENCODE_CHARS):
-            chars += len(texts[stop] or "")
-            stop += 1
-        for ids in model.encode([t or "" for t in texts[at:stop]]):
-            yield np.concatenate([ids, end])
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + _ENCODE_BYTES, side="right")))
+        ids, sizes = model.encode(texts.slice(at, stop - at))
+        cuts = np.cumsum(sizes)
+        ids = np.insert(ids, cuts, np.full(len(cuts), end_id, "<u4"))
+        yield from np.split(ids, (cuts + np.arange(1, len(cuts) + 1))[:-1])
         at = stop
 
 
@@ -236,22 +285,25 @@ class SequenceFile:
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, length: int = SEQUENCE) -> DataFrame:
     """Write the ids of ``doc_id, text`` to files under ``folder`` in ascending doc_id order; returns the manifest.
 
-    Rows are dealt by ranges of doc_id, so file ``part`` holds lower ids than the next. Each task
+    Rows are dealt by ranges of doc_id, so file ``part`` holds no higher ids than the next. Each task
     writes ``tokens`` (sequences) and ``rows`` (doc_id, start in the file, n_tokens) under names of
     its own attempt and reports them; a repeated or lost attempt leaves files that no manifest
     names. Manifest: part, tokens, rows, n_tokens, one row for each file.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     narrow = max(encoder(path).model.get_vocab_size(), end_id + 1) <= 1 << 16
-    sorted_docs = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # rows of one doc_id, equal ones too, may lie in several ranges
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("nth"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("nth")]
+    sorted_docs = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         name = f"{task.partitionId():06d}-{task.stageId()}-{task.taskAttemptId()}"
         store, root = open_folder(folder)
         writer = None
-        for f in frames:
-            if not len(f):
+        for f in batches:
+            if not f.num_rows:
                 continue
             if writer is None:
                 store.create_dir(root, recursive=True)
@@ -260,16 +312,17 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, leng
                 writer, kind = SequenceWriter(sink, length, kind="<u2" if narrow else "<u4"), pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
                 rows = ipc.new_file(row_sink, kind)
             starts, counts = [], []
-            for ids in encode(f["text"].tolist(), path, end_id):
+            for ids in encode(f.column("text"), path, end_id):
                 starts.append(writer.total)
                 counts.append(len(ids))
                 writer.add(ids)
-            rows.write_batch(pa.record_batch([pa.array(f["doc_id"], pa.int64(), from_pandas=True), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], schema=kind))
+            rows.write_batch(pa.record_batch([f.column("doc_id"), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], schema=kind))
         if writer is not None:
             writer.close(), rows.close(), sink.close(), row_sink.close()
-            yield pd.DataFrame({"part": [task.partitionId()], "tokens": [f"tokens-{name}.arrow"], "rows": [f"rows-{name}.arrow"], "n_tokens": [writer.total]})
+            made = [[task.partitionId()], [f"tokens-{name}.arrow"], [f"rows-{name}.arrow"], [writer.total]]
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(made, (pa.int32(), pa.string(), pa.string(), pa.int64()))], names=["part", "tokens", "rows", "n_tokens"])
 
-    return sorted_docs.mapInPandas(run, "part int, tokens string, rows string, n_tokens long")
+    return sorted_docs.mapInArrow(run, "part int, tokens string, rows string, n_tokens long")
 
 
 def read_token_files(manifest: DataFrame, folder: str, length: int = SEQUENCE) -> DataFrame:
@@ -300,7 +353,7 @@ def token_documents(docs: DataFrame, path: str, end_id: int = 2, folder: str | N
     """Write all documents' ids to token files and return what the files hold of each document.
 
     Null texts are empty (the end id only). Null doc_ids come first, rows of equal doc_id in the
-    order of their texts. An empty table writes no file and gives no rows; other columns are not
+    order of a hash of their texts. An empty table writes no file and gives no rows; other columns are not
     read. The files stay in ``folder`` (one of the shared folder's if not given).
     """
     folder = folder or new_folder(docs.sparkSession, "tokens")
