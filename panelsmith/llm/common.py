@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,14 +17,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (local tests) a
-    temporary folder is made and set as the checkpoint folder.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and the master is local
+    (tests) a temporary folder is made and set as the checkpoint folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = current.get() if current.isDefined() else None
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="panelsmith-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -46,30 +48,86 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of :func:`new_folder` that no plan reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``df`` has in any case: each of ``names``, with underscores before it as needed."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+HOT_KEYS = 2048  # a key may be hot if it has more than this part of all rows; so there are no more hot keys
+HOT_ROWS = 64  # and more rows than this
+
+
+def hot_keys(counts: DataFrame, key: str, total: int | None = None) -> tuple[DataFrame | None, float]:
+    """The keys with more than 1 / ``HOT_KEYS`` of all rows (none: None), and that part of all rows, from ``key, _n`` (its rows).
+
+    The table is small whatever the data: it may be broadcast.
+    """
+    if total is None:
+        total = counts.agg(F.sum("_n")).first()[0] or 0
+    least = max(HOT_ROWS, total / HOT_KEYS)
+    top = counts.where(F.col(key).isNotNull() & (F.col("_n") > least)).select(F.col(key).alias("_hot"), F.col("_n").cast("long").alias("_n"))
+    rows = top.collect()  # at most HOT_KEYS
+    return (counts.sparkSession.createDataFrame(rows, top.schema) if rows else None), least
+
+
+def spread_join(df: DataFrame, lookup: DataFrame, key: str, how: str = "inner", hot: tuple[DataFrame | None, float] | None = None, scanned: bool = False) -> DataFrame:
+    """``df`` joined (inner or left) with the rows of ``lookup``, at most one for each ``key``.
+
+    Rows of a hot key are dealt over several tasks by a hash of themselves, and the row of ``lookup``
+    is repeated for each: no task holds more of a key than about its part of all rows. Equal rows of
+    a table that is ``scanned`` from files are told apart by their place.
+    """
+    keys, least = hot_keys(df.groupBy(key).agg(F.count("*").alias("_n")), key) if hot is None else hot
+    if keys is None:
+        return df.join(lookup, key, how)
+    parts, place = F.ceil(F.col("_n") / F.lit(least)).cast("int"), [F.monotonically_increasing_id()] * scanned
+    keys = F.broadcast(keys.select("_hot", parts.alias("_parts")))
+    dealt = df.join(keys, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*df.columns, *place), F.col("_parts")).cast("int"), F.lit(0)))
+    many = lookup.join(keys, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    return dealt.drop("_hot", "_parts").join(many.drop("_hot", "_parts"), [key, "_salt"], how).drop("_salt")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of the undirected links ``a, b`` (longs, no nulls).
 
     Alternates large-star and small-star steps until no link changes; each step groups with
-    map-side combining and joins back, so a node with very many links is never gathered in
-    one task, and each round is written to the shared folder. Self-links and repeated links
-    are allowed. Returns ``node, component`` (the smallest node reachable) for every node with a
-    link, but for the smallest of each component; an empty input gives an empty result.
+    map-side combining and joins back by :func:`spread_join`, so a node with very many links is
+    dealt over tasks; each round is written to the shared folder, and the one before it removed.
+    Self-links and repeated links are allowed. Returns ``node, component`` (the smallest node
+    reachable) for every node with a link, but for the smallest of each component; an empty input
+    gives an empty result.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = written(e, name)
-    state = None
+    spark, state, path = e.sparkSession, None, None
     while True:
+        last, path = path, new_folder(spark, name)
+        e.write.parquet(path)
+        if last is not None:
+            removed(spark, last)
+        e = spark.read.schema(e.schema).parquet(path)
         sums = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(sums) == state or not sums[0]:
-            break
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         state = tuple(sums)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hot = hot_keys(both.groupBy("u").agg(F.count("*").alias("_n")), "u", 2 * sums[0])  # a node has no more links in the second join
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = spread_join(both, low, "u", hot=hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        small = spread_join(large, low, "u", hot=hot).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
 def block_pairs(df: DataFrame, bucket: list[str], row: str, block_rows: int) -> DataFrame:
@@ -78,13 +136,16 @@ def block_pairs(df: DataFrame, bucket: list[str], row: str, block_rows: int) ->
     A pair of rows of one bucket meets in exactly one block pair ``lo, hi``: rows of the same
     block meet in ``lo = hi``. ``side`` is 0 for rows of block ``lo``, 1 for rows of block ``hi``
     (0 where both are the same). Buckets of one row are left out, since they hold no pair.
-    No group grows with its bucket: a hot bucket makes more groups, not larger ones.
+    No group grows with its bucket: a hot bucket makes more groups, not larger ones, and its rows
+    learn their bucket's size in several tasks. A row of a bucket of n rows is repeated n /
+    ``block_rows`` times.
     """
-    sizes = df.groupBy(*bucket).agg(F.count("*").alias("_n")).where("_n > 1")
     blocks = F.ceil(F.col("_n") / F.lit(block_rows)).cast("int")
+    keyed = df.select("*", F.xxhash64(*bucket).alias("_bucket"))  # buckets of equal hash share a size, but no group
+    sizes = written(keyed.groupBy("_bucket").agg(F.count("*").alias("_n")).where("_n > 1"), "bucket-sizes")
+    sized = spread_join(keyed, sizes, "_bucket", hot=hot_keys(sizes, "_bucket"))
     dealt = (
-        df.join(sizes, bucket)
-        .withColumn("_k", blocks)
+        sized.withColumn("_k", blocks)
         .withColumn("_b", F.pmod(F.xxhash64(row, F.lit("block")), F.col("_k")).cast("int"))
         .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,12 +11,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelsmith.llm.common import block_pairs, components, map_blocks, written
+from panelsmith.llm.common import block_pairs, components, fresh, hot_keys, map_blocks, spread_join, written
 
 BITS = 64
 BLOCK_ROWS = 4096
-SET_ROWS = 256  # rows of a block whose shingle sets are compared
-SHARED = 20  # similar sets of n shingles share n // 20 + 1 of their prefixes at least
+SET_ROWS = 1024  # rows of a block whose shingle sets are compared
+WIDE = 256  # bits of the fingerprints of sets
+WIDE_BITS = 80  # of them may differ: sets of a similarity of 0.8 differ in 39 on average (48 if tiny, deviation 6), unlike ones in 128
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -157,8 +158,8 @@ def simhash_groups(docs: DataFrame, key: list[str], bits: int = 2, words_per_shi
     paired.
     """
     fps = written(fingerprints(docs, key, words_per_shingle=words_per_shingle), "simhash")
-    roots = components(near_links(fps.select("fp").distinct(), bits), "simhash-links")
-    named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    roots = components(near_links(written(fps.select("fp").distinct(), "simhash-nodes"), bits), "simhash-links")
+    named = spread_join(fps, roots.withColumnRenamed("node", "fp"), "fp", "left", scanned=True)
     return named.select(*key, "fp", F.coalesce("component", "fp").alias("root"))
 
 
@@ -170,7 +171,7 @@ def simhash_components(docs: DataFrame, bits: int = 2, words_per_shingle: int =
     """
     groups = written(simhash_groups(docs, ["doc_id"], bits, words_per_shingle), "simhash-groups")
     lowest = groups.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = groups.join(lowest, "root")
+    named = spread_join(groups, lowest, "root", scanned=True)
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -179,78 +180,15 @@ def normal_id(text: str | None) -> int:
     return xxhash.xxh64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()))
 
 
-def profiles(docs: DataFrame, key: list[str], words_per_shingle: int, set_words: int | None = None) -> DataFrame:
-    """``key``, node (an id of the text's words), fp for every row; with ``set_words`` also the sorted set of hashes of such shingles, as bytes."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            texts = f.pop("_text")
-            f["node"] = np.array([normal_id(x) for x in texts], np.uint64).view(np.int64)
-            f["fp"] = np.array([simhash(x, words_per_shingle) for x in texts], np.uint64).view(np.int64)
-            if set_words:
-                f["shingles"] = [np.unique(shingle_hashes(x, set_words)).tobytes() for x in texts]
-            yield f
-
-    cut = docs.select(*key, F.col("text").alias("_text"))
-    kinds = ", ".join([f"`{c}` {t}" for c, t in cut.dtypes if c != "_text"] + ["node long, fp long"] + ["shingles binary"] * bool(set_words))
-    return cut.mapInPandas(run, kinds)
-
-
-def ring_pairs(left: np.ndarray, right: np.ndarray, start: int, bits: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The places of the pairs that pass :func:`ring_filter` from ``start`` and differ in at most ``bits`` bits."""
-    diff, segs = left[:, None] ^ right[None, :], segments(parts)
-    total = np.zeros(diff.shape, np.uint8)
-    for length in range(1, min(2, parts) + 1):
-        first, width = segs[(start + length - 1) % parts]
-        total = total + np.bitwise_count(diff & np.uint64(((1 << width) - 1) << first))
-        near = total <= length * bits // parts if length == 1 else near & (total <= length * bits // parts)
-    i, j = np.nonzero(near)
-    if not len(i):
-        return i, j
-    ok = ring_filter(diff := diff[i, j], start, bits, parts)
-    i, j, diff = i[ok], j[ok], diff[ok]
-    ok = np.bitwise_count(diff) <= bits
-    return i[ok], j[ok]
-
-
-def wide_links(nodes: DataFrame, bits: int, parts: int = 4, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Links ``a, b`` that join all nodes whose fingerprints may be near copies.
-
-    A pair passes if it differs in at most ``bits`` bits. The first segment of a chain may differ
-    in up to ``bits // parts`` = 2 bits, so each node goes to the bucket of its segment and of all values one bit away: values at most two
-    bits apart have a bucket in common. Each block pair returns a spanning forest.
-    """
-    if bits // parts > 2:
-        raise ValueError("the first segment of a chain may differ in two bits at most")
-    segs = segments(parts)
-    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("seg"), F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << w) - 1)).alias("own"), F.lit(w).alias("w")) for i, (a, w) in enumerate(segs)]))
-    flips = F.explode(F.expr("concat(array(0L), transform(sequence(0, k.w - 1), x -> shiftleft(1L, x)))"))
-    near = nodes.select("*", keys.alias("k")).select("*", flips.alias("flip"))
-    near = near.select("node", "fp", "k.seg", F.col("k.own").bitwiseXOR(F.col("flip")).alias("val"))
-    dealt = block_pairs(near, ["seg", "val"], "node", block_rows)
-
-    def link(frame: pd.DataFrame, groups: list[slice]) -> pd.DataFrame:
-        fp = frame["fp"].to_numpy().view(np.uint64)
-        node, seg, side = (frame[c].to_numpy() for c in ("node", "seg", "side"))
-        same = (frame["lo"] == frame["hi"]).to_numpy()
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for g in groups:
-            left = right = np.arange(g.start, g.stop)
-            if not same[g.start]:
-                left, right = left[side[g] == 0], right[side[g] == 1]
-            links = []
-            for at in range(0, len(left), 256):
-                i, j = ring_pairs(fp[left[at : at + 256]], fp[right], int(seg[g.start]), bits, parts)
-                i, j = left[at + i], right[j]
-                ok = i != j
-                if ok.any():
-                    links.append(forest(node[i[ok]], node[j[ok]]))
-            if links:
-                found.append(forest(*(np.concatenate(x) for x in zip(*links))))
-        a, b = (np.concatenate(x) for x in zip(*found))
-        return pd.DataFrame({"a": a, "b": b})
-
-    return map_blocks(dealt, ["seg", "val", "lo", "hi"], link, "a long, b long")
+def wide_simhash(hashes: np.ndarray) -> np.ndarray:
+    """The fingerprint of ``WIDE`` bits of a set of shingle hashes, as 32-bit segments: each hash yields as many bits by mixing."""
+    parts = []
+    for k in range(WIDE // BITS):
+        h = (hashes + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0x94D049BB133111EB)
+        parts.append(majority(h ^ (h >> np.uint64(32))))
+    return np.array(parts, "<u8").view("<u4")
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -263,42 +201,6 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(both) - common)
 
 
-def checked_links(sets: DataFrame, bits: int, sure_bits: int, similarity: float, block_rows: int = SET_ROWS) -> DataFrame:
-    """Links ``a, b`` that join all near copies among the nodes of each ``component`` of ``sets``.
-
-    Rows of a component meet in pairs of blocks. Pairs that :func:`wide_links` would pass are
-    checked by their shingle sets, unless links found in the block already join them; a block
-    pair returns those links, no more than rows.
-    """
-
-    def link(frame: pd.DataFrame, groups: list[slice]) -> pd.DataFrame:
-        fp, n = frame["fp"].to_numpy().view(np.uint64), frame["shingles"].map(len).to_numpy()
-        node, side = frame["node"].to_numpy(), frame["side"].to_numpy()
-        same = (frame["lo"] == frame["hi"]).to_numpy()
-        out = []
-        for g in groups:
-            at = np.arange(g.start, g.stop)
-            held = [np.frombuffer(x, np.uint64) for x in frame["shingles"].iloc[g]]
-            label = np.arange(len(at))
-            left = at if same[g.start] else at[side[g] == 0]
-            right = at if same[g.start] else at[side[g] == 1]
-            for i in left.tolist():
-                d = np.bitwise_count(fp[i] ^ fp[right])
-                sure = d <= sure_bits
-                near = (d <= bits) & (np.minimum(n[i], n[right]) >= similarity * np.maximum(n[i], n[right]) - 1e-9)
-                for j in right[sure | near].tolist():
-                    x, y = label[i - g.start], label[j - g.start]
-                    if x == y:
-                        continue
-                    if np.bitwise_count(fp[i] ^ fp[j]) <= sure_bits or jaccard(held[i - g.start], held[j - g.start]) >= similarity:
-                        label[label == max(x, y)] = min(x, y)
-                        out.append((node[i], node[j]))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    dealt = block_pairs(sets, ["component"], "node", block_rows)
-    return map_blocks(dealt, ["component", "lo", "hi"], link, "a long, b long")
-
-
 def common_shingles(docs: DataFrame, set_words: int, rows: int = 4000, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (sorted) and counts of shingles that several of about ``rows`` texts share.
 
@@ -319,27 +221,28 @@ def common_shingles(docs: DataFrame, set_words: int, rows: int = 4000, most: int
     return s[order], n[order]
 
 
-def least_shared(n: int) -> int:
-    """How many shingles of their prefixes two sets share at least; the smaller of the numbers of both holds for a pair."""
-    return 1 + n // SHARED
+def prefix_sizes(n: int, similarity: float) -> tuple[int, int]:
+    """How many of its n shingles (in an order that all sets share) a set must show for similar sets to meet: to smaller sets, and to larger ones.
 
+    Sets of that Jaccard similarity share at least ``similarity`` x n of the larger one's n shingles and 2 x
+    ``similarity`` / (1 + ``similarity``) x m of the smaller one's m, so the first they share lies in what both show.
+    """
+    return (n - math.ceil(similarity * n - 1e-9) + 1, n - math.ceil(2 * similarity / (1 + similarity) * n - 1e-9) + 1) if n else (0, 0)
 
-def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """The part of a sorted set that decides which sets may have that Jaccard similarity with it.
 
-    All sets are in one order, common shingles last. Similar sets share at least ``similarity`` x n
-    of the n shingles of each, so the first k they share lie in the first n - similarity x n + k of both.
-    """
+def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The part of a sorted set that a set shows to smaller ones, in the order of all sets: common shingles last."""
     n, (known, counts) = len(hashes), common
     if n and len(known):
         at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
         hashes = hashes[np.argsort(np.where(known[at] == hashes, counts[at], 0), kind="stable")]
-    return hashes[: n - math.ceil(similarity * n - 1e-9) + least_shared(n)]
+    return hashes[: prefix_sizes(n, similarity)[0]]
 
 
-def prefixed(docs: DataFrame, key: str, words_per_shingle: int, set_words: int, similarity: float) -> DataFrame:
-    """``key``, node, fp (see :func:`profiles`), n (size of the set of ``set_words`` shingles) and its prefix for every row."""
-    share = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, set_words))  # of bounded size
+def profiles(docs: DataFrame, key: str, words_per_shingle: int, set_words: int, similarity: float | None) -> DataFrame:
+    """``key``, node (an id of the text's words) and fp for every row; with ``similarity`` also of its set of ``set_words`` shingles
+    n (its size), wide (see :func:`wide_simhash`), shown (its prefix) and short (how much of it is shown to larger sets)."""
+    share = docs.sparkSession.sparkContext.broadcast(None if similarity is None else common_shingles(docs, set_words))  # of bounded size
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common = share.value
@@ -347,72 +250,215 @@ def prefixed(docs: DataFrame, key: str, words_per_shingle: int, set_words: int,
             texts = f.pop("_text")
             f["node"] = np.array([normal_id(x) for x in texts], np.uint64).view(np.int64)
             f["fp"] = np.array([simhash(x, words_per_shingle) for x in texts], np.uint64).view(np.int64)
-            sets = [np.unique(shingle_hashes(x, set_words)) for x in texts]
-            f["n"] = np.array([len(x) for x in sets], np.int64)
-            f["prefix"] = [prefix(x, common, similarity).view(np.int64) for x in sets]
+            if common is not None:
+                sets = [np.unique(shingle_hashes(x, set_words)) for x in texts]
+                f["n"] = np.array([len(x) for x in sets], np.int64)
+                f["wide"] = [wide_simhash(x).tobytes() for x in sets]
+                f["shown"] = [prefix(x, common, similarity).view(np.int64) for x in sets]
+                f["short"] = np.array([prefix_sizes(len(x), similarity)[1] for x in sets], np.int64)
             yield f
 
     cut = docs.select(key, F.col("text").alias("_text"))
-    return cut.mapInPandas(run, f"`{key}` {cut.schema[key].dataType.simpleString()}, node long, fp long, n long, prefix array<long>")
+    kinds = f"`{key}` {cut.schema[key].dataType.simpleString()}, node long, fp long" + ("" if similarity is None else ", n long, wide binary, shown array<long>, short long")
+    return cut.mapInPandas(run, kinds)
+
+
+def shingle_sets(docs: DataFrame, set_words: int) -> DataFrame:
+    """node, component, wide and the text's sorted set of shingle hashes as bytes."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(shingles=[np.unique(shingle_hashes(x, set_words)).tobytes() for x in f.pop("text")])
+
+    return docs.select("node", "component", "wide", "text").mapInPandas(run, "node long, component long, wide binary, shingles binary")
+
+
+def ring_near(diff: np.ndarray, bits: int) -> np.ndarray:
+    """Which pairs of wide fingerprints, given their differences (XORs) by segment, are at most ``bits`` apart.
+
+    From each segment of the ring a chain goes on as long as its cumulative difference is at most its
+    length's share of ``bits``; a pair that no chain brings round the ring is not checked in full.
+    """
+    n, parts = diff.shape
+    found, open_ = np.zeros(n, bool), np.arange(n)
+    for start in range(parts):
+        i, total = open_, np.zeros(len(open_), np.int64)
+        for length in range(1, parts + 1):
+            total = total + np.bitwise_count(diff[i, (start + length - 1) % parts])
+            ok = total <= length * bits // parts
+            i, total = i[ok], total[ok]
+            if not len(i):
+                break
+        found[i] = True
+        open_ = open_[~found[open_]]
+        if not len(open_):
+            break
+    at = np.nonzero(found)[0]
+    found[at] = np.bitwise_count(diff[at]).sum(axis=1) <= bits
+    return found
+
+
+def spanning(near: Callable[[int, np.ndarray], np.ndarray], group: np.ndarray, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join all rows that ``near`` (a row, rows to try) finds, no more than rows; rows of a ``group`` are joined already.
+
+    Every row reached is tried against the rows not reached yet, with ``side`` only those of the other
+    side. So rows that are all alike are tried once, not with each other.
+    """
+    free, out = np.ones(len(group), bool), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for seed in range(len(group)):
+        if not free[seed]:
+            continue
+        reached = free & (group == group[seed])
+        free &= ~reached
+        queue = np.nonzero(reached)[0].tolist()
+        while queue:
+            x = queue.pop()
+            rest = np.nonzero(free if side is None else free & (side != side[x]))[0]
+            y = near(x, rest) if len(rest) else rest
+            if len(y):
+                y = y[np.unique(group[y], return_index=True)[1]]
+                out.append((np.full(len(y), x), y))
+                reached = free & np.isin(group, group[y])
+                free &= ~reached
+                queue += np.nonzero(reached)[0].tolist()
+    return tuple(np.concatenate(z) for z in zip(*out))
+
+
+def _wide(frame: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(frame["wide"]), "<u4").reshape(len(frame), WIDE // 32)
+
+
+def ring_candidates(rows: DataFrame, similarity: float, bits: int = WIDE_BITS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Links ``a, b`` that join all nodes that meet in a bucket and whose sets may have that similarity.
+
+    ``rows``: s (the bucket), node, n, short (whether it shows s to larger sets), wide. Each pair of
+    blocks returns fewer links than rows.
+    """
+
+    def meet(frame: pd.DataFrame, groups: list[slice]) -> pd.DataFrame:
+        wide = _wide(frame)
+        node, n, short, side = (frame[c].to_numpy() for c in ("node", "n", "short", "side"))
+        same = (frame["lo"] == frame["hi"]).to_numpy()
+
+        def may(x, c):
+            ok = (np.minimum(n[x], n[c]) >= similarity * np.maximum(n[x], n[c]) - 1e-9) & (((n[x] <= n[c]) & short[x]) | ((n[c] <= n[x]) & short[c]))
+            ok[ok] = ring_near((wide[x] ^ wide[c])[ok], bits)
+            return ok
+
+        x = np.array([g.start for g in groups if g.stop - g.start == 2], np.int64)  # most buckets: all of them at once
+        x = x[same[x] | (side[x] != side[x + 1])]
+        x = x[may(x, x + 1)]
+        found = [(x, x + 1)]
+        for g in groups:
+            if g.stop - g.start > 2:
+                i, j = spanning(lambda x, c, at=g.start: c[may(at + x, at + c)], np.arange(g.stop - g.start), None if same[g.start] else side[g])
+                found.append((g.start + i, g.start + j))
+        a, b = (np.concatenate(z) for z in zip(*found))
+        return pd.DataFrame({"a": node[a], "b": node[b]})
+
+    return map_blocks(block_pairs(rows, ["s"], "node", block_rows), ["s", "lo", "hi"], meet, "a long, b long").distinct()
+
+
+def checked_links(dealt: DataFrame, similarity: float, bits: int = WIDE_BITS) -> DataFrame:
+    """Links ``a, b`` that join all nodes of the pairs of blocks ``component, lo, hi`` whose sets have that similarity, unless their cluster does."""
+
+    def check(frame: pd.DataFrame, groups: list[slice]) -> pd.DataFrame:
+        wide, sets = _wide(frame), [np.frombuffer(x, np.uint64) for x in frame["shingles"]]
+        n = np.array([len(x) for x in sets])
+        node, cluster, side = (frame[c].to_numpy() for c in ("node", "cluster", "side"))
+        same, found = (frame["lo"] == frame["hi"]).to_numpy(), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for g in groups:
+
+            def near(x, c, at=g.start):
+                c = c[np.minimum(n[at + x], n[at + c]) >= similarity * np.maximum(n[at + x], n[at + c]) - 1e-9]
+                c = c[ring_near(wide[at + x] ^ wide[at + c], bits)]
+                return c[[jaccard(sets[at + x], sets[at + y]) >= similarity for y in c.tolist()]] if len(c) else c
 
+            i, j = spanning(near, cluster[g], None if same[g.start] else side[g])
+            found.append((g.start + i, g.start + j))
+        a, b = (np.concatenate(z) for z in zip(*found))
+        return pd.DataFrame({"a": node[a], "b": node[b]})
 
-def similar_candidates(made: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``a, b`` of nodes among which are all whose sets have that Jaccard similarity: they share enough of their prefixes."""
-    parts = written(made.dropDuplicates(["node"]).select("node", "n", F.explode("prefix").alias("s")), "prefixes")
-    a, b = (parts.select("s", F.col("node").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
-    sized = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - F.lit(1e-9)
-    shared = a.join(b, "s").where(F.col("a") < F.col("b")).where(sized).groupBy("a", "b").agg(F.count("*").alias("c"), F.first(F.least("na", "nb")).alias("n"))
-    return shared.where(F.col("c") >= F.floor(F.col("n") / SHARED) + 1).select("a", "b")
+    return map_blocks(dealt, ["component", "lo", "hi"], check, "a long, b long")
+
+
+def similar_links(docs: DataFrame, made: DataFrame, key: str, set_words: int, similarity: float, block_rows: int = SET_ROWS) -> DataFrame:
+    """Links ``a, b`` that join all nodes of ``made`` whose shingle sets have that Jaccard similarity.
+
+    Similar sets meet in the bucket of a shingle that both show. Nodes of a bucket that pass
+    :func:`ring_near` are candidates; only links that span them are kept, and their components are
+    searched by whole sets, first inside blocks, then between blocks for what is not joined yet. So
+    links and rows grow with the texts, also in large groups of copies. No pair is lost but for
+    fingerprints further apart than ``WIDE_BITS`` (less than 1 of 10 million pairs of the
+    similarity) or equal hashes of unlike shingles.
+    """
+    nodes = made.dropDuplicates(["node"])
+    shown = nodes.select("node", "n", "short", F.posexplode("shown").alias("at", "s")).select("s", "node", "n", (F.col("at") < F.col("short")).alias("short"))
+    sizes = shown.groupBy("s").agg(F.count("*").alias("_n"), F.max("short").alias("some")).where("_n > 1 and some")
+    sizes = written(sizes.select("s", "_n"), "bucket-sizes")
+    rows = spread_join(shown, sizes, "s", hot=hot_keys(sizes, "s")).drop("_n")
+    rows = written(rows.join(nodes.select("node", "wide"), "node"), "buckets")
+    below = components(ring_candidates(rows, similarity), "candidates")
+    found = written(below.unionByName(below.select(F.col("component").alias("node"), "component").distinct()), "candidates")
+    one = made.join(found, "node").groupBy("node", "component").agg(F.min(key).alias(key), F.min("wide").alias("wide"))
+    texts = spread_join(docs.select(key, "text"), one, key).dropDuplicates([key])  # a node has one key here
+    sets = written(shingle_sets(texts, set_words).withColumn("cluster", F.col("node")), "shingle-sets")
+    dealt = block_pairs(sets, ["component"], "node", block_rows)
+    inside = written(checked_links(dealt.where("lo = hi"), similarity), "inside-links")
+    if found.groupBy("component").count().where(F.col("count") > block_rows).isEmpty():
+        return inside
+    joined = components(inside, "inside")
+    known = sets.drop("cluster").join(joined.select("node", F.col("component").alias("cluster")), "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+    between = block_pairs(written(known.select(*sets.columns), "set-clusters"), ["component"], "node", block_rows).where("lo < hi")
+    return inside.unionByName(written(checked_links(between, similarity), "between-links"))
 
 
 def sure_links(made: DataFrame, bits: int) -> DataFrame:
     """Links ``a, b`` that join all nodes whose fingerprints differ in at most ``bits`` bits."""
     fps = made.select("node", "fp").distinct()
     heads = written(fps.groupBy("fp").agg(F.min("node").alias("head")), "heads")
-    same = fps.join(heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    same = spread_join(fps, heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     near = near_links(heads.select("fp"), bits)
     for c in "ab":
         near = near.join(heads.select(F.col("fp").alias(c), F.col("head").alias(f"_{c}")), c)
     return same.unionByName(near.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
 
 
-def near_copy_groups(
-    docs: DataFrame, key: str, words_per_shingle: int = 3, sure_bits: int = 2, bits: int | None = 11, set_words: int = 5, similarity: float = 0.8
-) -> DataFrame:
-    """``key``, root for every row: rows share ``root`` exactly if links join them.
+def near_copy_groups(docs: DataFrame, key: str, words_per_shingle: int = 3, sure_bits: int = 2, set_words: int = 5, similarity: float | None = 0.8) -> DataFrame:
+    """``key`` (no nulls), root for every row: rows share ``root`` exactly if links join them.
 
     Two texts link if their fingerprints differ in at most ``sure_bits`` bits, or if the Jaccard similarity of their sets of
-    ``set_words`` shingles is ``similarity`` or more; with ``bits`` the second kind only where fingerprints differ in at most
-    ``bits`` bits. Candidates of the second kind come from prefixes of the sets without ``bits``, from fingerprints with it; all
-    are checked exactly. Null texts count as empty, and texts without words link with each other.
+    ``set_words`` shingles is ``similarity`` or more (None: by fingerprints only). See :func:`similar_links`. Null texts count as
+    empty; texts without words link with each other. Equal texts are one node.
     """
-    if bits is None:
-        made = written(prefixed(docs, key, words_per_shingle, set_words, similarity), "profiles")
-        sure, below = written(sure_links(made, sure_bits), "sure-links"), components(similar_candidates(made, similarity), "candidates")
-    else:
-        made = written(profiles(docs, [key], words_per_shingle), "profiles")
-        sure, below = None, components(wide_links(made.select("node", "fp").distinct(), bits), "wide-links")
-    wide = written(below.unionByName(below.select(F.col("component").alias("node"), "component").distinct()), "wide")
-    named = made.join(wide, "node").groupBy("node").agg(F.min(key).alias(key)).select(key).distinct()
-    texts = docs.select(key, "text").join(named, key, "left_semi").select("text")
-    sets = profiles(texts, [], words_per_shingle, set_words).dropDuplicates(["node"]).join(wide, "node")
-    links = checked_links(written(sets, "shingle-sets"), BITS if bits is None else bits, sure_bits, similarity)
-    roots = components(links if sure is None else links.unionByName(sure), "checked-links")
-    return made.join(roots, "node", "left").select(key, F.coalesce("component", "node").alias("root"))
-
-
-def keep_one(docs: DataFrame, bits: int | None = 2, **bounds) -> DataFrame:
+    made = written(profiles(docs, key, words_per_shingle, set_words, similarity), "profiles")
+    links = [written(sure_links(made, sure_bits), "sure-links")]
+    if similarity is not None:
+        links.append(similar_links(docs, made, key, set_words, similarity))
+    roots = components(_union(links), "near-copies")
+    return spread_join(made.select(key, "node"), roots, "node", "left", scanned=True).select(key, F.coalesce("component", "node").alias("root"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def keep_one(docs: DataFrame, **bounds) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group of :func:`near_copy_groups`, the row of the smallest doc_id.
 
-    Rows of equal doc_id and equal text count as one document, of which one row stays; of near copies of equal doc_id the one of
-    the smallest text hash. Rows without a doc_id come last and are told apart by their text. All columns are kept. An empty
-    table gives no rows. At the default only fingerprints at most 2 bits apart link; more ``bits``, or None for no bound, add
-    checked links.
+    Rows of equal doc_id and equal text (null: empty) count as one document, of which one row stays, whatever its other columns; of
+    near copies of equal doc_id the one of the smallest text hash. Rows without a doc_id come last and are told apart by their
+    text. All columns are kept. An empty table gives no rows.
     """
-    tag = F.concat(F.coalesce(F.concat(F.lit("id"), F.col("doc_id").cast("string")), F.lit("text")), F.lit(":"), F.sha2(F.coalesce("text", F.lit("")), 256))
-    tagged = docs.withColumn("_tag", tag)
-    groups = near_copy_groups(tagged, "_tag", bits=bits, **bounds)
+    (tag,) = fresh(docs, "_tag")
+    hashes = [F.hex(F.xxhash64(F.coalesce("text", F.lit("")), F.lit(k))) for k in range(2)]
+    marks = F.concat(F.coalesce(F.concat(F.lit("id"), F.col("doc_id").cast("string")), F.lit("text")), F.lit(":"), *hashes)
+    tagged = docs.withColumn(tag, marks)
+    groups = near_copy_groups(tagged.select("text", F.col(tag).alias("_tag")), "_tag", **bounds)
     number = F.when(F.col("_tag").startswith("id"), F.expr("CAST(substring(substring_index(_tag, ':', 1), 3) AS LONG)"))
     first = F.min(F.struct(number.isNull().alias("n"), number.alias("i"), F.col("_tag")))
-    kept = groups.groupBy("root").agg(first.alias("x")).select("x._tag").distinct()
-    return tagged.join(kept, "_tag", "left_semi").dropDuplicates(["_tag"]).drop("_tag")
+    kept = groups.groupBy("root").agg(first.alias("x")).select(F.col("x._tag").alias(tag)).distinct()
+    return spread_join(tagged, kept, tag, scanned=True).dropDuplicates([tag]).select(*[F.col(f"`{c}`") for c in docs.columns])

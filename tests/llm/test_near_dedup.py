@@ -41,20 +41,66 @@ def _links(texts):
                 yield i, j, d
 
 
-def test_all_similar_pairs_link(spark, texts):
+def _roots(texts):
     root, far = list(range(len(texts))), 0
     for i, j, d in _links(texts):
         far += d > 11
         x, y = root[i], root[j]
-        root = [min(x, y) if r == max(x, y) else r for r in root]
+        if x != y:
+            root = [min(x, y) if r == max(x, y) else r for r in root]
+    return root, far
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_all_similar_pairs_link(spark, texts, monkeypatch, small):
+    """Against links of all pairs; also with small blocks."""
+    if small:
+        monkeypatch.setattr(simhash.similar_links, "__defaults__", (4,))
+        monkeypatch.setattr(simhash.ring_candidates, "__defaults__", (simhash.WIDE_BITS, 5))
+    root, far = _roots(texts)
     assert far > 20
     df = spark.createDataFrame([(i, x, "en", "a", 1) for i, x in enumerate(texts)], KIND)
-    got = dict(simhash.near_copy_groups(df.select("doc_id", "text"), "doc_id", bits=None).collect())
+    got = dict(simhash.near_copy_groups(df.select("doc_id", "text"), "doc_id").collect())
     assert len({(root[i], got[i]) for i in got}) == len(set(root)) == len(set(got.values()))
     kept = sorted(r.doc_id for r in pipe.near_dedup(spark, df, "").collect())
     assert kept == sorted(set(root))
 
 
+def test_links_of_a_large_group_grow_with_its_rows(spark):
+    """A group of copies whose edits differ makes fewer links than texts in its blocks, and few between them."""
+    rng, made = np.random.default_rng(6), {}
+    base = [f"w{rng.integers(100_000)}" for _ in range(60)]
+    for n in (1000, 4000):
+        texts = []
+        for _ in range(n):
+            x = list(base)
+            x[int(rng.integers(60))] = f"new{rng.integers(1 << 40)}"
+            texts.append(" ".join(x))
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        rows = simhash.written(simhash.profiles(df, "doc_id", 3, 5, 0.8), "profiles")
+        links = simhash.similar_links(df, rows, "doc_id", 5, 0.8)
+        made[n] = links.count()
+        root = simhash.components(links).select("component").distinct().collect()
+        assert len(root) == 1
+    assert made[1000] == 999 and made[4000] <= 4000 + 4**2
+
+
+def test_spanning():
+    rng = np.random.default_rng(7)
+    for _ in range(40):
+        n = int(rng.integers(1, 40))
+        near = rng.random((n, n)) < 0.04
+        near |= near.T
+        group, side = rng.integers(0, n, n), rng.integers(0, 2, n)
+        for s in (None, side):
+            a, b = simhash.spanning(lambda x, c: c[near[x, c]], group, s)
+            assert len(a) < n and all(near[x, y] and (s is None or s[x] != s[y]) for x, y in zip(a, b))
+            i, j = np.nonzero(near & (True if s is None else side[:, None] != side[None, :]))
+            gi, gj = np.nonzero(group[:, None] == group[None, :])
+            want, got = (simhash.forest(np.concatenate([x, gi]), np.concatenate([y, gj])) for x, y in ((i, j), (a, b)))
+            assert dict(zip(*want)) == dict(zip(*got))
+
+
 def test_prefixes_meet(texts):
     """Whatever the common shingles are taken to be, pairs of the similarity share enough of their prefixes."""
     sets = [np.unique(simhash.shingle_hashes(x, 5)) for x in texts]
@@ -66,12 +112,27 @@ def test_prefixes_meet(texts):
         for i, a in enumerate(sets):
             for j in range(i):
                 if len(a) and simhash.jaccard(a, sets[j]) >= 0.8:
-                    assert len(np.intersect1d(cut[i], cut[j])) >= simhash.least_shared(min(len(a), len(sets[j])))
+                    small, large = (i, j) if len(a) <= len(sets[j]) else (j, i)
+                    assert len(np.intersect1d(cut[small][: simhash.prefix_sizes(len(sets[small]), 0.8)[1]], cut[large]))
+
+
+def test_wide_fingerprints_of_similar_sets_are_near():
+    """However large the sets, and far from the bound for unlike ones."""
+    rng, worst = np.random.default_rng(8), 0
+    for n in (5, 6, 10, 20, 40, 300, 2000):
+        for _ in range(150):
+            keep = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            cut = n // 10
+            pairs = [(keep[: -(-4 * n // 5)], keep), (keep[cut:], keep[: n - cut])]
+            for a, b in pairs:
+                if simhash.jaccard(np.sort(a), np.sort(b)) >= 0.8:
+                    worst = max(worst, int(np.bitwise_count(simhash.wide_simhash(a) ^ simhash.wide_simhash(b)).sum()))
+    assert 60 < worst <= simhash.WIDE_BITS - 5
 
 
-def test_clashing_ids_keep_unlike_texts(spark):
-    words = [f"w{i}" for i in range(100)]
-    rows = [(1, " ".join(words)), (1, "another text that has nothing in common with it"), (1, " ".join(words)), (1, " ".join([*words, "end"])), (2, " ".join(words)), (None, "lone"), (None, "lone"), (None, "other")]
-    df = spark.createDataFrame([(i, x, "en", "a", 1) for i, x in rows], KIND)
-    got = sorted((r.doc_id or 0, r.text[:7]) for r in pipe.near_dedup(spark, df, "").collect())
-    assert got == [(0, "lone"), (0, "other"), (1, "another"), (1, "w0 w1 w")]
+def test_ring_near_is_the_full_check():
+    rng = np.random.default_rng(9)
+    draw = lambda: rng.integers(0, 1 << 32, (3000, 8), dtype=np.uint32)
+    for diff in (np.uint32(1) << rng.integers(0, 32, (3000, 8), dtype=np.uint32), draw() & draw() & draw(), draw() & draw(), draw()):
+        for bits in (3, 8, 20, 32, 64, 80):
+            assert (simhash.ring_near(diff, bits) == (np.bitwise_count(diff).sum(axis=1) <= bits)).all()

@@ -101,44 +101,9 @@ def test_simhash(request, which):
     assert sorted((repr(r.doc_id), r.component_id) for r in rows) == _groups(fps)
 
 
-def _edited(words, rng, rate):
-    return " ".join(f"new{rng.integers(1 << 30)}" if rng.random() < rate else w for w in words)
-
-
-@pytest.mark.parametrize("rows", [4096, 7])
-def test_near_copy_groups(spark, docs, monkeypatch, rows):
-    """Against links of all pairs, with groups of near copies around the similarity, and with small blocks."""
-    monkeypatch.setattr(simhash.wide_links, "__defaults__", (4, rows))
-    monkeypatch.setattr(simhash.checked_links, "__defaults__", (rows,))
-    rng = np.random.default_rng(5)
-    texts = [r.text for r in docs.select("text").collect()] + [None, "", "two words", "two  WORDS"]
-    base = [[f"w{rng.integers(5000)}" for _ in range(n)] for n in (40, 150, 600)]
-    texts += [_edited(w, rng, rate) for w in base for rate in (0.004, 0.01, 0.02, 0.03, 0.05) for _ in range(6)]
-    df = spark.createDataFrame([(str(i), x) for i, x in enumerate(texts)], "k string, text string")
-    got = dict(simhash.near_copy_groups(df, "k").collect())
-    seen = [(simhash.simhash(x, 3), simhash.normal_id(x), np.unique(simhash.shingle_hashes(x, 5))) for x in texts]
-    root = list(range(len(texts)))
-    linked = 0
-    for i, a in enumerate(seen):
-        for j in range(i):
-            b = seen[j]
-            d = (a[0] ^ b[0]).bit_count()
-            if a[1] == b[1] or d <= 2 or (d <= 11 and simhash.jaccard(a[2], b[2]) >= 0.8):
-                linked += d > 2
-                x, y = root[i], root[j]
-                root = [min(x, y) if r == max(x, y) else r for r in root]
-    assert linked > 50
-    pairs = {(root[i], got[str(i)]) for i in range(len(texts))}
-    assert len(pairs) == len(set(root)) == len(set(got.values()))
-    # what the candidate bounds lose of all pairs of that similarity
-    near = [(a, b) for i, a in enumerate(seen) for b in seen[:i] if len(a[2]) > 30 and simhash.jaccard(a[2], b[2]) >= 0.8]
-    held = [(a[0] ^ b[0]).bit_count() <= 11 for a, b in near]
-    assert sum(held) >= 0.9 * len(near)
-
-
 def test_simhash_empty_and_kept(docs, odd, none):
     assert simhash.simhash_components(none).count() == 0
-    kept = simhash.keep_one(docs).select("doc_id").collect()
+    kept = simhash.keep_one(docs, similarity=None).select("doc_id").collect()
     assert sorted(r[0] for r in kept) == sorted({c for _, c in _groups([(r.doc_id, _hash(r.text)) for r in docs.collect()])})
     assert simhash.keep_one(odd).columns == odd.columns
 
