@@ -33,7 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Links: 3-word fingerprints at most 2 bits apart, or a five-word similarity of 0.8 or more at any distance.
     """
-    return keep_one(docs, sure_bits=2, bits=None, set_words=5, similarity=0.8)
+    return keep_one(docs, sure_bits=2, set_words=5, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
