@@ -1,5 +1,8 @@
 """Main text of web pages: a bidirectional LSTM labels every block by its tag path and words, in the context of the whole page."""
 
+import random
+import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -10,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PATH_SLOTS, WORD_SLOTS, NUMBERS = 128, 64, 8
+PATH_SLOTS, WORD_SLOTS, NUMBERS = 512, 64, 8
 INPUTS = PATH_SLOTS + WORD_SLOTS + NUMBERS
 HIDDEN = 24
 _ROWS = 8192  # block vectors that are in memory at once, a page at least
@@ -19,19 +22,24 @@ _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_SILENT = frozenset("script style noscript template title head iframe svg select option textarea".split())
+_SILENT = frozenset("script style noscript template title head iframe svg select datalist textarea".split())
+_CLOSED = _SILENT - {"head"}  # silent only if an end tag follows
+_END = re.compile(f"</({'|'.join(sorted(_CLOSED))})", re.IGNORECASE)
+_IN_SELECT = frozenset("option optgroup hr button legend div span script template".split())  # start tags that leave a select open
 _HEAD = frozenset("html head title meta link script style base basefont bgsound noframes template noscript".split())  # tags that leave a head open
 _CLOSES_P = _BLOCK - frozenset("button label option select textarea".split())
 _SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_LIMITS = frozenset("ul ol table dl tbody thead".split())
 
 
 class Blocks(HTMLParser):
     """The leaf blocks of a page in page order: (path of tags and their class and id words, text, characters in links, tag)."""
 
-    def __init__(self):
+    def __init__(self, page: str = ""):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, str]] = []
+        self.at: list[int] = []  # where block tags are in the stack
+        self.open: Counter[str] = Counter()
+        self.ends = Counter(t.lower() for t in _END.findall(page))  # end tags still to come
         self.found: list[tuple[str, str, int, str]] = []
         self.text: list[str] = []
         self.linked = 0
@@ -41,18 +49,27 @@ class Blocks(HTMLParser):
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.found.append(("/".join(p for _, p in self.stack), text, self.linked, next((t for t, _ in reversed(self.stack) if t in _BLOCK), "")))
+                self.found.append(("/".join(p for _, p in self.stack), text, self.linked, self._block()))
             self.text, self.linked = [], 0
 
-    def _pop(self) -> None:
-        tag, _ = self.stack.pop()
-        self.silent -= tag in _SILENT
-        self.links -= tag == "a"
+    def _block(self) -> str:
+        """The innermost open block tag."""
+        return self.stack[self.at[-1]][0] if self.at else ""
+
+    def _pop(self, k: int) -> None:
+        """Close what is open from place ``k`` of the stack."""
+        while len(self.stack) > k:
+            tag, path = self.stack.pop()
+            self.open[tag] -= 1
+            self.silent -= path.startswith("!")
+            self.links -= tag == "a"
+        while self.at and self.at[-1] >= k:
+            self.at.pop()
 
     def _end_head(self) -> None:
         """Close a head whose end tag is left out, unless a tag inside it is still open."""
         if self.stack and self.stack[-1][0] == "head":
-            self._pop()
+            self._pop(len(self.stack) - 1)
 
     def handle_starttag(self, tag, attrs):
         if tag not in _HEAD:
@@ -62,31 +79,31 @@ class Blocks(HTMLParser):
         if tag in _BLOCK:
             self._break()
             closes = _SELF.get(tag, set())
-            for k in range(len(self.stack) - 1, max(-1, len(self.stack) - 12), -1):
-                t = self.stack[k][0]
-                if t in closes or (t == "p" and tag in _CLOSES_P) or (t in ("head", "title") and tag == "body"):
-                    while len(self.stack) > k:
-                        self._pop()
-                    break
-                if t in _LIMITS or (t in _BLOCK and t not in closes):
-                    break
+            while (t := self._block()) in closes or (t == "p" and tag in _CLOSES_P) or (t in ("head", "title") and tag == "body") or (t in ("select", "option") and tag not in _IN_SELECT):
+                self._pop(self.at[-1])
         if tag in _VOID:
             return
         names = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v).lower().replace("-", " ").replace("_", " ").split()
-        self.stack.append((tag, ".".join([tag, *names])))
-        self.silent += tag in _SILENT
+        silent = tag in _SILENT and (tag == "head" or self.ends[tag] > 0)
+        if tag in _BLOCK:
+            self.at.append(len(self.stack))
+        self.stack.append((tag, "!" * silent + ".".join([tag, *names])))
+        self.open[tag] += 1
+        self.silent += silent
         self.links += tag == "a"
 
     def handle_endtag(self, tag):
+        if tag in _CLOSED:
+            self.ends[tag] -= 1
         if tag in _BLOCK:
             self._break()
-        for k in range(len(self.stack) - 1, -1, -1):
+        if not self.open[tag]:
+            return
+        least = self.at[-1] if self.at and tag not in _BLOCK else 0  # an inline end tag closes nothing outside its block
+        for k in range(len(self.stack) - 1, least - 1, -1):
             if self.stack[k][0] == tag:
-                while len(self.stack) > k:
-                    self._pop()
+                self._pop(k)
                 break
-            if self.stack[k][0] in _BLOCK and tag not in _BLOCK:
-                break  # an inline end tag closes nothing outside its block
 
     def handle_data(self, data):
         if not data.isspace():
@@ -101,7 +118,7 @@ class Blocks(HTMLParser):
 
 
 def blocks(page: str | None) -> list[tuple[str, str, int, str]]:
-    parser = Blocks()
+    parser = Blocks(page or "")
     parser.feed(page or "")
     parser.close()
     parser._break()
@@ -117,19 +134,26 @@ def _path_slots(path: str) -> tuple[int, ...]:
 
 
 def vectors(found: list[tuple[str, str, int, str]]) -> np.ndarray:
-    x = np.zeros((len(found), INPUTS), np.float32)
-    for k, (path, text, linked, tag) in enumerate(found):
-        x[k, list(_path_slots(path))] = 1
+    """Hashed words and numbers of each block."""
+    x = np.zeros((len(found), WORD_SLOTS + NUMBERS), np.float32)
+    for k, (_, text, linked, tag) in enumerate(found):
         words = text.split(" ")
         slots = np.array([crc32(w.lower().encode("utf-8", "replace")) for w in words], np.int64) % WORD_SLOTS
-        x[k, PATH_SLOTS : PATH_SLOTS + WORD_SLOTS] = 3 * np.bincount(slots, minlength=WORD_SLOTS) / len(words)
+        x[k, :WORD_SLOTS] = 3 * np.bincount(slots, minlength=WORD_SLOTS) / len(words)
         n = len(text)
-        x[k, PATH_SLOTS + WORD_SLOTS :] = (
+        x[k, WORD_SLOTS:] = (
             np.log1p(n) / 4, min(1.0, linked / n), text[-1] in ".!?:;\"'", sum(map(text.count, ".,;")) / len(words), k == 0, k == len(found) - 1, tag in ("h1", "h2", "h3", "h4"), n < 25,
         )
     return x
 
 
+def path_vectors(paths: list[str]) -> np.ndarray:
+    x = np.zeros((len(paths), PATH_SLOTS), np.float32)
+    for k, path in enumerate(paths):
+        x[k, list(_path_slots(path))] = 1
+    return x
+
+
 class Labeller:
     """One LSTM reads the blocks forwards, one backwards; a logistic unit reads both states."""
 
@@ -144,12 +168,11 @@ class Labeller:
         self.p["o"] = rng.normal(0, 0.3, (2 * h, 1)).astype(np.float32)
         self.p["ob"] = np.zeros(1, np.float32)
 
-    def _run(self, x: np.ndarray, live: np.ndarray, d: str, keep: bool):
-        """States of one direction. x: steps x pages x inputs; padded steps leave the state as it is."""
-        h = np.zeros((x.shape[1], HIDDEN), np.float32)
-        c, out, past = h.copy(), np.zeros((*x.shape[:2], HIDDEN), np.float32), []
-        z_all = x @ self.p[f"x{d}"] + self.p[f"c{d}"]
-        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+    def _run(self, z_all: np.ndarray, live: np.ndarray, d: str, keep: bool):
+        """States of one direction. z_all: steps x pages x weighted inputs of the gates; padded steps leave the state as it is."""
+        h = np.zeros((z_all.shape[1], HIDDEN), np.float32)
+        c, out, past = h.copy(), np.zeros((*z_all.shape[:2], HIDDEN), np.float32), []
+        for t in range(len(z_all)) if d == "f" else range(len(z_all) - 1, -1, -1):
             z = z_all[t] + h @ self.p[f"h{d}"]
             gates = 1 / (1 + np.exp(-np.clip(z[:, : 3 * HIDDEN], -30, 30)))
             i, f, o = np.split(gates, 3, axis=1)
@@ -163,12 +186,21 @@ class Labeller:
             out[t] = h
         return out, past
 
-    def logits(self, x: np.ndarray, live: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._run(x, live, d, False)[0] for d in "fb"], axis=2)
+    def logits(self, pages: list[list[tuple[str, str, int, str]]]) -> np.ndarray:
+        """steps x pages. Blocks of one path share the weighted input of it."""
+        places = {path: k for k, path in enumerate(dict.fromkeys(b[0] for p in pages for b in p))}
+        tags = path_vectors(list(places))
+        x, live = padded([vectors(p) for p in pages])
+        at, _ = padded([np.array([[places[b[0]]] for b in p], np.int64) for p in pages])
+        both = []
+        for d in "fb":
+            w = self.p[f"x{d}"]
+            both.append(self._run((tags @ w[:PATH_SLOTS])[at[..., 0]] + x @ w[PATH_SLOTS:] + self.p[f"c{d}"], live, d, False)[0])
+        both = np.concatenate(both, axis=2)
         return (both @ self.p["o"])[..., 0] + self.p["ob"]
 
     def _gradients(self, x, live, y):
-        runs = {d: self._run(x, live, d, True) for d in "fb"}
+        runs = {d: self._run(x @ self.p[f"x{d}"] + self.p[f"c{d}"], live, d, True) for d in "fb"}
         both = np.concatenate([runs[d][0] for d in "fb"], axis=2)
         said = 1 / (1 + np.exp(-((both @ self.p["o"])[..., 0] + self.p["ob"])))
         dz = ((said - y) * live / live.sum()).astype(np.float32)
@@ -189,10 +221,10 @@ class Labeller:
             grad[f"x{d}"], grad[f"h{d}"], grad[f"c{d}"] = np.einsum("tbi,tbz->iz", x, dzs, optimize=True), gh, dzs.sum((0, 1))
         return grad
 
-    def fit(self, pages: list[tuple[np.ndarray, np.ndarray]], rounds: int = 10, batch: int = 32, rate: float = 0.01, seed: int = 0) -> None:
-        """Adam over shuffled batches of pages of like length."""
+    def fit(self, pages: list[tuple[np.ndarray, np.ndarray]], rounds: int = 6, batch: int = 10, rate: float = 0.02, seed: int = 0) -> None:
+        """Adam over shuffled batches of pages of like length; the weights are the mean of those of the last two rounds."""
         rng, n = np.random.default_rng(seed), 0
-        first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
+        first, second, mean = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(3))
         order = sorted(range(len(pages)), key=lambda k: len(pages[k][1]))
         batches = [order[k : k + batch] for k in range(0, len(order), batch)]
         for r in range(rounds):
@@ -206,23 +238,25 @@ class Labeller:
                     first[k] = 0.9 * first[k] + 0.1 * g
                     second[k] = 0.99 * second[k] + 0.01 * g**2
                     self.p[k] -= (rate * (1 - r / rounds) * (first[k] / (1 - 0.9**n)) / (np.sqrt(second[k] / (1 - 0.99**n)) + 1e-8)).astype(np.float32)
+                    if r >= rounds - 2:
+                        mean[k] += self.p[k] / (len(batches) * min(2, rounds))
+        self.p = mean
 
-    def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """For each page, whether each block is main text; pages of like length are read together."""
+    def label(self, pages: list[list[tuple[str, str, int, str]]]) -> list[np.ndarray]:
+        """For each page's blocks, whether each is main text; pages of like length are read together, ``_ROWS`` blocks or one page at a time."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
         while order:
             width = max(1, min(256, _ROWS // len(pages[order[-1]])))
             some, order = order[-width:], order[:-width]
-            x, live = padded([pages[k] for k in some])
-            said = self.logits(x, live) > 0
+            said = self.logits([pages[k] for k in some]) > 0
             for col, k in enumerate(some):
                 out[k] = said[: len(pages[k]), col]
         return out
 
 
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    x, live = np.zeros((max(map(len, pages)), len(pages), INPUTS), np.float32), np.zeros((max(map(len, pages)), len(pages)), bool)
+    x, live = np.zeros((max(map(len, pages)), len(pages), pages[0].shape[1]), pages[0].dtype), np.zeros((max(map(len, pages)), len(pages)), bool)
     for k, p in enumerate(pages):
         x[: len(p), k], live[: len(p), k] = p, True
     return x, live
@@ -240,26 +274,43 @@ _ASIDE = {
     "share": (("div.share", "div.social", "ul.share-buttons", "div.sharing"), "Share Tweet Facebook Twitter Email Print Follow us"),
 }
 _MAIN = ("article", "main", "article", "div.content", "div.post", "div.entry-content", "div.article-body", "div#content", "section.story", "div.post-content", "main.container", "article.post", "div.text", "div#main")
+_PLAIN = ("div", "div", "div", "section", "div+div", "div+section", "div+div+div", "center", "table+tr+td", "")  # containers that tell nothing; + is nesting
 _SYLLABLES = "the of and in re er on an th es st un be ge ver lich ung ein la que de el en os as ción ment eau é ou tion ing ly ble ka mo ri ta lu zo".split()
 
 
 def sample_page(rng: np.random.Generator) -> tuple[str, list[tuple[str, int]]]:
-    """An invented page and (text, 1 if main) of its blocks in page order."""
+    """An invented page and (text, 1 if main) of its blocks in page order.
+
+    Main text lies in containers that are named for it or in plain ones, and may hold tables,
+    preformatted text, lists, figures, quotes and sections; what is not main text has a telling
+    name, or is a plain list of links.
+    """
     said: list[tuple[str, int]] = []
+    own = random.Random(int(rng.integers(1 << 40)))
 
     def words(n: int, extra: str = "") -> str:
         pool = extra.split()
-        return " ".join(str(rng.choice(pool)) if pool and rng.random() < 0.35 else "".join(rng.choice(_SYLLABLES, int(rng.integers(1, 5)))) for _ in range(n))
+        return " ".join(own.choice(pool) if pool and own.random() < 0.35 else "".join(own.choices(_SYLLABLES, k=own.randint(1, 4))) for _ in range(n))
 
     def sentences(n: int) -> str:
         return " ".join(words(int(rng.integers(3, 18))).capitalize() + str(rng.choice([".", ".", ".", "?", ", "])) for _ in range(n)).strip(", ")
 
+    def some_classes() -> str:
+        return " ".join(str(rng.choice(("flex", "mt-4", "col", "row", "p-2", "grid", "clearfix", "wide", "left", "inner", "outer"))) if rng.random() < 0.6 else "x" + words(1) for _ in range(int(rng.integers(1, 4))))
+
     def opened(kind: str) -> tuple[str, str]:
-        tag, mark, name = kind, "", ""
-        for m, attr in (("#", "id"), (".", "class")):
-            if m in kind:
-                (tag, name), mark = kind.split(m), attr
-        return (f'<{tag} {mark}="{name}">' if mark else f"<{tag}>"), f"</{tag}>"
+        a = z = ""
+        for one in kind.split("+") if kind else ():
+            tag, mark, name = one, "", ""
+            for m, attr in (("#", "id"), (".", "class")):
+                if m in one:
+                    (tag, name), mark = one.split(m), attr
+            attrs = {mark: name} if mark else {}
+            if rng.random() < 0.25:
+                attrs["class"] = (attrs.get("class", "") + " " + some_classes()).strip()
+            a += f"<{tag}" + "".join(f' {k}="{v}"' for k, v in attrs.items()) + ">"
+            z = f"</{tag}>" + z
+        return a, z
 
     def block(tag: str, text: str, main: int, close: bool = True) -> str:
         said.append((text, main))
@@ -270,65 +321,100 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[tuple[str, int]]]:
             inner = " ".join([*cut[:k], f'<a href="/x">{cut[k]}</a>', *cut[k + 1 :]])
         return f"<{tag}>{inner}" + (f"</{tag}>" if close else "")
 
+    def linked(extra: str, n: int, tag: str = "li") -> str:
+        out = []
+        for _ in range(n):
+            text = words(int(rng.integers(1, 6)), extra)
+            said.append((text, 0))
+            out.append(f'<{tag}><a href="/{rng.integers(99)}">{text}</a></{tag}>')
+        return "".join(out)
+
     def side(kind: str) -> str:
         tags, extra = _ASIDE[kind]
-        a, z = opened(str(rng.choice(tags)))
+        a, z = opened(tags[0] if rng.random() < 0.4 else str(rng.choice(tags)))
         items, style = int(rng.integers(1, 8)) if kind in ("menu", "sidebar", "comments", "footer", "share") else int(rng.integers(1, 4)), rng.random()
+        if kind == "comments" and style < 0.35:
+            inner, end = opened(str(rng.choice(("article", "li.comment", "div.comment-body", "article.comment", "div"))))
+            return a + block("h3", words(int(rng.integers(1, 4)), extra), 0) + "".join(inner + block("p", sentences(int(rng.integers(1, 5))), 0) + end for _ in range(items)) + z
         if kind in ("menu", "share") or (kind in ("sidebar", "footer") and style < 0.5):
-            body = []
-            for _ in range(items):
-                text = words(int(rng.integers(1, 6)), extra)
-                said.append((text, 0))
-                body.append(f'<li><a href="/{rng.integers(99)}">{text}</a></li>')
-            return f"{a}<ul>{''.join(body)}</ul>{z}"
+            return f"{a}<ul>{linked(extra, items)}</ul>{z}"
         if kind in ("advert", "notice", "footer", "header", "comments") and style < 0.6 or (kind == "sidebar" and style < 0.7):
             texts = [sentences(int(rng.integers(1, 5))) if rng.random() < 0.7 else words(int(rng.integers(2, 12)), extra) for _ in range(1 if style < 0.3 else items)]
             if len(texts) == 1:
                 said.append((texts[0], 0))
                 return f"{a}{texts[0]}{z}"
             return a + "".join(block(str(rng.choice(["p", "div", "p"])), t, 0) for t in texts) + z
-        return a + "".join(block(str(rng.choice(["p", "div", "h3", "label", "span><p"])).split(">")[0].replace("span", "p"), words(int(rng.integers(1, 9)), extra), 0) for _ in range(items)) + z
+        return a + "".join(block(str(rng.choice(["p", "div", "h3", "label", "p"])), words(int(rng.integers(1, 9)), extra), 0) for _ in range(items)) + z
 
     def some(kinds: tuple[str, ...], chance: float) -> str:
         return "".join(side(k) for k in kinds if rng.random() < chance)
 
-    out = "<!DOCTYPE html><html><head><title>x</title></head><body>" + some(("notice", "header", "menu", "advert", "form", "share"), 0.5)
-    wrap = opened(str(rng.choice(["div", "div.wrapper", "div.page", "div#container"]))) if rng.random() < 0.5 else ("", "")
+    def table() -> str:
+        many = int(rng.integers(2, 5))
+        rows = [[words(int(rng.integers(1, 4))) if rng.random() < 0.6 else f"{rng.integers(1000)}" for _ in range(many)] for _ in range(int(rng.integers(1, 6)))]
+        head = "<tr>" + "".join(block("th", words(1).capitalize(), 1) for _ in range(many)) + "</tr>" if rng.random() < 0.6 else ""
+        return f"<table>{head}" + "".join("<tr>" + "".join(block("td", x, 1) for x in r) + "</tr>" for r in rows) + "</table>"
+
+    def content(n: int) -> str:
+        out, close = "", rng.random() < 0.8
+        paragraph = "div" if rng.random() < 0.1 else "p"
+        for _ in range(n):
+            r = rng.random()
+            if r < 0.64:
+                out += block(paragraph, sentences(int(min(30, rng.geometric(0.25)))), 1, close or paragraph == "div")
+            elif r < 0.72:
+                out += block(str(rng.choice(("h2", "h2", "h3", "h4"))), words(int(rng.integers(1, 7))).capitalize(), 1)
+            elif r < 0.79:
+                out += block("p", words(int(rng.integers(1, 5))) + str(rng.choice([".", "", " |"])), 1, close)
+            elif r < 0.83:
+                listed = str(rng.choice(("ul", "ol")))
+                out += f"<{listed}>" + "".join(block("li", words(int(rng.integers(1, 14))), 1) for _ in range(int(rng.integers(1, 6)))) + f"</{listed}>"
+            elif r < 0.86:
+                out += block("blockquote", sentences(2), 1) if rng.random() < 0.5 else f"<blockquote>{block('p', sentences(2), 1)}</blockquote>"
+            elif r < 0.885:
+                out += table()
+            elif r < 0.905:
+                out += block("pre", " ".join(words(int(rng.integers(1, 8))) + " = " + str(rng.integers(99)) + ";" for _ in range(int(rng.integers(1, 6)))), 1)
+            elif r < 0.925:
+                out += "<dl>" + "".join(block("dt", words(int(rng.integers(1, 3))), 1) + block("dd", words(int(rng.integers(2, 16))), 1) for _ in range(int(rng.integers(1, 5)))) + "</dl>"
+            elif r < 0.945:
+                out += f"<figure><img src=a>{block('figcaption', words(int(rng.integers(2, 12))).capitalize() + str(rng.choice(('.', ''))), 1)}</figure>"
+            elif r < 0.965:
+                a, z = opened(str(rng.choice(("section", "div"))))
+                out += a + block("h2", words(int(rng.integers(1, 5))).capitalize(), 1) + "".join(block("p", sentences(int(rng.integers(1, 6))), 1) for _ in range(int(rng.integers(1, 4)))) + z
+            else:
+                out += side(str(rng.choice(["advert", "share", "form", "notice"])))
+        return out
+
+    out = "<!DOCTYPE html><html><head><title>x</title></head><body>" + some(("notice", "header", "menu", "advert", "form", "share"), 0.5 if rng.random() < 0.8 else 0.05)
+    if rng.random() < 0.1:  # a plain list of links
+        out += f"<div>{linked('', int(rng.integers(4, 10)), str(rng.choice(('div', 'p', 'li'))))}</div>"
+    wrap = opened(str(rng.choice(["div", "div.wrapper", "div.page", "div#container", "div+div"]))) if rng.random() < 0.5 else ("", "")
     out += wrap[0] + some(("sidebar", "menu", "advert"), 0.15)
-    a, z = opened(str(rng.choice(_MAIN)))
+    a, z = opened(str(rng.choice(_MAIN if rng.random() < 0.6 else _PLAIN)))
+    if rng.random() < 0.15:
+        inner = opened(str(rng.choice(_PLAIN[:-1])))
+        a, z = a + inner[0], inner[1] + z
     out += a
-    close, title = rng.random() < 0.8, sentences(1)
     if rng.random() < 0.8:
-        out += block(str(rng.choice(["h1", "h1", "h2"])), title, 1)
-    for k in range(int(min(60, rng.geometric(0.12)))):
-        r = rng.random()
-        if r < 0.75:
-            out += block("p", sentences(int(min(30, rng.geometric(0.25)))), 1, close)
-        elif r < 0.83:
-            out += block("h2" if r < 0.8 else "h3", words(int(rng.integers(1, 7))).capitalize(), 1)
-        elif r < 0.90:
-            out += block("p", words(int(rng.integers(1, 5))) + str(rng.choice([".", "", " |"])), 1, close)
-        elif r < 0.94:
-            out += "<ul>" + "".join(block("li", words(int(rng.integers(1, 14))), 1) for _ in range(int(rng.integers(1, 6)))) + "</ul>"
-        elif r < 0.97:
-            out += block("blockquote", sentences(2), 1)
-        else:
-            out += side(str(rng.choice(["advert", "share", "form", "notice"])))
+        title = block(str(rng.choice(["h1", "h1", "h2"])), sentences(1) if rng.random() < 0.6 else words(int(rng.integers(1, 8))).capitalize(), 1)
+        out += f"<header>{title}</header>" if rng.random() < 0.1 else title
+    out += content(int(min(60, rng.geometric(0.12))))
     if rng.random() < 0.25:
         out += some(("share", "form", "comments"), 0.5)
-    out += z + some(("share", "comments", "sidebar", "advert"), 0.3) + wrap[1] + some(("form", "notice", "footer", "menu"), 0.55) + "</body></html>"
+    out += z + some(("share", "comments", "sidebar", "advert"), 0.3) + wrap[1] + some(("form", "notice", "footer", "menu"), 0.55 if rng.random() < 0.8 else 0.05) + "</body></html>"
     return out, said
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 400, seed: int = 5) -> Labeller:
+def trained(pages: int = 1000, seed: int = 5) -> Labeller:
     """The labeller, trained on invented pages of known layout; the same for the same arguments."""
     rng, data = np.random.default_rng(seed), []
     for _ in range(pages):
         page, said = sample_page(rng)
         found = blocks(page)
         if [t for _, t, _, _ in found] == [" ".join(t.split()) for t, _ in said]:
-            data.append((vectors(found), np.array([m for _, m in said], np.float32)))
+            data.append((np.concatenate([path_vectors([b[0] for b in found]), vectors(found)], axis=1), np.array([m for _, m in said], np.float32)))
     model = Labeller(seed)
     model.fit(data, seed=seed)
     return model
@@ -343,7 +429,8 @@ def extract(pages: DataFrame, model: Labeller | None = None, html: str = "html")
 
     Character references are decoded, white space inside a block becomes one space, main blocks
     are joined by a line feed in page order. Null, empty and unparsable pages, and pages without a
-    main block, have an empty text. Every row is returned, with all its columns.
+    main block, have an empty text. Every row is returned, with all its columns; ``text`` takes the
+    place of a column of that name.
     """
     share = pages.sparkSession.sparkContext.broadcast(model or trained())  # of fixed size
 
@@ -353,12 +440,11 @@ def extract(pages: DataFrame, model: Labeller | None = None, html: str = "html")
             out: list[str] = []
             for at in range(0, len(batch), 256):
                 found = [blocks(p) for p in batch.iloc[at : at + 256]]
-                out += [main_text(f, k) for f, k in zip(found, m.label([vectors(f) for f in found]))]
+                out += [main_text(f, k) for f, k in zip(found, m.label(found))]
             yield pd.Series(out, dtype="object")
 
     read = F.pandas_udf(run, "string")
-    names = pages.columns
-    return pages.withColumn("_main", read(F.col(html))).select(*[F.col(f"`{c}`") for c in names], F.col("_main").alias("text"))
+    return pages.select(*[F.col(f"`{c}`") for c in pages.columns if c.lower() != "text"], read(F.col(f"`{html}`")).alias("text"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -29,3 +29,42 @@ def test_all_class_and_id_words_count():
     path = html.blocks("<div class='flex mt-4 p-2 bg-gray text-sm' id='comments'>Reply</div>")[0][0]
     assert path == "div.flex.mt.4.p.2.bg.gray.text.sm.comments"
     assert html._path_slots(path) > () and html.crc32(b"comments") % html.PATH_SLOTS in html._path_slots(path)
+
+
+P = "The council met on Monday and agreed on a plan for the old bridge, which has been closed since spring."
+Q = "Work will begin in June. Two lanes stay open, and the path along the river is moved for a year."
+R = "Nobody was hurt when the first stones fell, said the mayor; the cause is not known."
+NAV = "<nav><ul><li><a href=/>Home</a></li><li><a href=/news>News</a></li><li><a href=/about>About us</a></li></ul></nav>"
+FOOT = "<footer><p>Copyright 2021 All rights reserved</p></footer>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div><div><h1>A new bridge</h1><p>{P}</p><p>{Q}</p><p>{R}</p></div></div>", ["A new bridge", P, Q, R]),
+        (f"<body>{NAV}<div class='row mt-4'><div class=col><h1>A new bridge</h1><p>{P}</p><p>{Q}</p></div></div>{FOOT}", ["A new bridge", P, Q]),
+        (
+            f"<body>{NAV}<article><h1>A new bridge</h1><p>{P}</p><table><tr><th>Year</th><th>Sum</th></tr><tr><td>1999</td><td>12</td></tr></table><pre>x = 1;\ny = 2;</pre>"
+            f"<dl><dt>Span</dt><dd>The way between two piers</dd></dl><figure><img src=a><figcaption>The bridge in winter.</figcaption></figure><p>{Q}</p></article>{FOOT}",
+            ["A new bridge", P, "Year", "Sum", "1999", "12", "x = 1; y = 2;", "Span", "The way between two piers", "The bridge in winter.", Q],
+        ),
+        (f"<head><title>t</title><body>{NAV}<main><h1>A new bridge</h1><p>{P}<p>{Q}<p>{R}</main><aside><h3>Related</h3><ul><li><a href=/1>Older news</a></ul></aside>{FOOT}", ["A new bridge", P, Q, R]),
+        (f"<body><header><a href=/>Daily Site</a></header>{NAV}<section class=story><h2>A new bridge</h2><p>{P}</p><ul><li>Two lanes stay open</li><li>The path moves</li></ul></section>{FOOT}", ["A new bridge", P, "Two lanes stay open", "The path moves"]),
+        (f"<body>{NAV}<article><h1>A new bridge</h1><p>{P}</p><div class=ad>Buy now, only today</div><p>{Q}</p></article><section id=comments><h3>Comments</h3><p>Great, I agree with every word of it.</p></section>{FOOT}", ["A new bridge", P, Q]),
+        (f"<body>{NAV}<div id=content><h1>A new bridge</h1><blockquote><p>{R}</p></blockquote><p>{P}</p></div><form class=newsletter><label>Email</label><button>Subscribe</button></form>{FOOT}", ["A new bridge", R, P]),
+        (f"<body><div class=cookie-notice><p>We use cookies. By continuing you agree.</p></div>{NAV}<article><h1>A new bridge</h1><section><h2>Why</h2><p>{P}</p></section><section><h2>When</h2><p>{Q}</p></section></article>{FOOT}", ["A new bridge", "Why", P, "When", Q]),
+        (f"<body>{NAV}<article><h1>A new bridge</h1><p>{P} <select><option>One<option>Two<p>{Q}</article>{FOOT}", ["A new bridge", P, Q]),
+        (f"<body>{NAV}<article><h1>A new bridge</h1><noscript><p>{P}</p><p>{Q}</p></article>{FOOT}", ["A new bridge", P, Q]),
+        (f"<title>t<body><article><h1>A new bridge</h1><p>{P}</p></article>{FOOT}", ["A new bridge", P]),
+        (f"<body>{NAV}<article><h1>A new bridge</h1><p>{'<i>' * 14}{P}<p>{Q}</article>{FOOT}", ["A new bridge", P, Q]),
+    ],
+)
+def test_main_text_of_written_pages(page, want):
+    """Layouts that the labeller was not trained on: the expected text was written by hand."""
+    found = html.blocks(page)
+    assert html.main_text(found, html.trained().label([found])[0]).split("\n") == want
+
+
+def test_list_items_and_cells_close_each_other():
+    paths = [b[0] for b in html.blocks("<ul><li><p>a<li>b<ul><li>c</ul></ul><table><tr><td>d<td>e<tr><td>f</table><dl><dt>g<dd>h<dt>i</dl>")]
+    assert paths == ["ul/li/p", "ul/li", "ul/li/ul/li", "table/tr/td", "table/tr/td", "table/tr/td", "dl/dt", "dl/dd", "dl/dt"]
