@@ -11,6 +11,7 @@ BINS = 256
 BITS = 8
 WORDS = 5
 _PROBES = 8
+RANGE_BYTES = 32 << 20  # texts of a range that is sorted at once
 
 
 def minhash(df: DataFrame, text: str, out: str, words: int = WORDS, bins: int = BINS, bits: int = BITS) -> DataFrame:
@@ -81,7 +82,7 @@ def with_next(df: DataFrame, key: str, order: list[Column], carried: list[str],
     guest = F.when(F.col(key) == top, F.struct(F.lit(0).alias("range"), F.lit(2).alias("guest"))).when(spot > 0, F.struct(spot.alias("range"), F.lit(1).alias("guest")))
     none = F.lit(None).cast("struct<range:int,guest:int>")
     homes = F.filter(F.array(F.struct(F.when(F.col(key).isNull(), 0).otherwise(mine).alias("range"), F.lit(0).alias("guest")), F.coalesce(guest, none)), lambda x: x.isNotNull())
-    dealt = df.withColumn("_home", F.explode(homes))
+    dealt = df.withColumn("_home", F.explode(homes)).repartition(parts, "_home.range")
     inside = Window.partitionBy("_home.range").orderBy((F.col("_home.guest") == 2).asc(), F.col(key).desc_nulls_last(), *order)
     nexts = [F.lead(c).over(inside).alias(f"next_{c}") for c in carried]
     return dealt.select(*df.columns, "_home", *nexts).where("_home.guest = 0").drop("_home")
@@ -97,7 +98,8 @@ def fingerprint_documents(docs: DataFrame, words: int = WORDS, bins: int = BINS,
     columns are not read.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     printed = minhash(base, "text", "fingerprint", words, bins, bits)
     paired = with_next(printed, "doc_id", [F.col("text").desc()], ["text", "fingerprint"], parts)
     n = F.length("text")

@@ -3,12 +3,15 @@
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelsmith.llm.common import fresh
+
 UNDETERMINED = "und"
 _SPACE = 32
 _PIECE = 1 << 18  # code points of a text that are scored at once
@@ -16,11 +19,10 @@ _PIECE = 1 << 18  # code points of a text that are scored at once
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_rows`` and ``sample_chars`` bound what is learned from (rows in all; code points of each)."""
+    """``sample_rows`` bounds what is learned from: so many rows in all, with their whole texts."""
 
     slots: int = 4096
     sample_rows: int = 1200
-    sample_chars: int = 20_000
     rounds: int = 120
     ridge: float = 1e-3
     most_bits: int = 31
@@ -68,17 +70,29 @@ def grams(codes: np.ndarray, slots: int) -> list[np.ndarray]:
     return out
 
 
+def gram_shares(codes: np.ndarray, slots: int) -> np.ndarray:
+    """The share of each slot in all grams of a text, counted piece by piece."""
+    total = np.zeros(slots)
+    for at in range(0, len(codes), _PIECE):
+        for found in grams(codes[max(0, at - 2) : at + _PIECE], slots):
+            total += np.bincount(found, minlength=slots)
+    return total / max(1.0, total.sum())
+
+
 def margins(text: str, model: LanguageModel) -> np.ndarray | None:
     """What each bit's classifier says of the whole text; None if it has no letter."""
     codes = code_points(text)
     if len(codes) < 2 or not (codes != _SPACE).any():
         return None
-    total, count = np.zeros(model.weights.shape[1]), 0
-    for at in range(0, len(codes), _PIECE):
-        for slots in grams(codes[max(0, at - 2) : at + _PIECE], model.settings.slots):
-            total += np.bincount(slots, minlength=model.settings.slots) @ model.weights
-            count += len(slots)
-    return total / count + model.bias
+    return gram_shares(codes, model.settings.slots) @ model.weights + model.bias
+
+
+def samples(text: str, slots: int) -> np.ndarray:
+    """The shares of a whole text and of a short piece of it, which a hash of the text chooses."""
+    rng = np.random.default_rng(crc32(text.encode("utf-8", "surrogatepass")))
+    short = int(rng.integers(20, 200))
+    at = int(rng.integers(0, max(1, len(text) - short)))
+    return np.array([gram_shares(code_points(part), slots) for part in (text, text[at : at + short])], np.float32)
 
 
 def code_matrix(n: int, most: int, seed: int) -> np.ndarray:
@@ -98,8 +112,8 @@ def code_matrix(n: int, most: int, seed: int) -> np.ndarray:
     return best
 
 
-def fit(texts: list[str], langs: list[str], settings: Settings = Settings()) -> LanguageModel:
-    """Learn one logistic classifier per codeword bit from whole texts and short pieces of them.
+def fit(parts: list[np.ndarray], langs: list[str], settings: Settings = Settings()) -> LanguageModel:
+    """Learn one logistic classifier per codeword bit from the :func:`samples` of texts.
 
     A fifth of the rows is left out to measure each bit: its accuracy above chance is its weight
     in decoding.
@@ -109,17 +123,8 @@ def fit(texts: list[str], langs: list[str], settings: Settings = Settings()) ->
     bits = codes.shape[1]
     if not bits:
         return LanguageModel(names, codes, np.zeros((settings.slots, 0)), np.zeros(0), np.zeros(0), settings)
-    rng = np.random.default_rng(settings.seed)
-    rows, which = [], []
-    for text, lang in zip(texts, langs):
-        short = int(rng.integers(20, 200))
-        at = int(rng.integers(0, max(1, len(text) - short)))
-        for part in (text, text[at : at + short]):
-            found = np.concatenate(grams(code_points(part), settings.slots))
-            rows.append(np.bincount(found, minlength=settings.slots).astype(np.float32) / max(1, len(found)))
-            which.append(names.index(lang))
-    x, which = np.array(rows), np.array(which)
-    del rows
+    place = {x: k for k, x in enumerate(names)}
+    x, which = np.concatenate(parts), np.repeat([place[lang] for lang in langs], [len(p) for p in parts])
     held = np.arange(len(x)) // 2 % 5 == 0 if len(x) >= 40 else np.zeros(len(x), bool)
     mean, scale = x[~held].mean(0), x[~held].std(0) + 1e-4
     x -= mean
@@ -154,32 +159,36 @@ def decode(said: np.ndarray, model: LanguageModel) -> tuple[str, float, bool]:
 
 
 def learn(rows: DataFrame, settings: Settings = Settings()) -> LanguageModel | None:
-    """Fit on a bounded sample of ``doc_id, text, lang``, about as many rows of each language.
+    """Fit on a bounded sample of ``text, lang``, as many rows of each language as ``sample_rows`` allows, and at least one.
 
-    The sample is chosen by a hash of doc_id and holds about ``sample_rows`` rows whatever the
-    table's size. None where no row has a language and a text.
+    Rows are drawn one by one, so repeated rows count as often as they occur; tasks count the grams
+    of whole texts, and only these counts reach the driver. Every language that has rows is
+    learned: the driver holds their names and codewords. None where no row has a language and a text.
     """
-    usable = rows.where("lang is not null and text is not null")
-    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()}
+    usable = rows.where("lang is not null and text is not null").select("text", "lang")
+    counts = dict(usable.groupBy("lang").count().collect())  # one row a language
     if not counts:
         return None
-    each = settings.sample_rows / len(counts)
-    rate: Column = F.lit(0.0)
-    for lang, n in counts.items():
-        rate = F.when(F.col("lang") == lang, F.lit(each / n)).otherwise(rate)
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(settings.seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = usable.where(chance < rate).select("doc_id", F.substring("text", 1, settings.sample_chars).alias("text"), "lang").toPandas()
-    if sample.empty:
-        sample = usable.orderBy("doc_id").limit(settings.sample_rows).select("doc_id", F.substring("text", 1, settings.sample_chars).alias("text"), "lang").toPandas()
-    sample = sample.sort_values(["doc_id", "text"])
-    return fit(sample["text"].tolist(), sample["lang"].tolist(), settings)
+    each = max(1, settings.sample_rows // len(counts))
+    rates = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, (1.3 * each + 20) / n))])
+    drawn = usable.withColumn("draw", F.rand(settings.seed)).where(F.col("draw") < F.element_at(rates, F.col("lang")))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))  # of the few rows drawn
+    drawn = drawn.withColumn("nth", nth).where(F.col("nth") <= each)
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"lang": f["lang"], "nth": f["nth"], "shares": [samples(t, settings.slots).tobytes() for t in f["text"]]})
+
+    sample = drawn.select("text", "lang", "nth").mapInPandas(count, "lang string, nth int, shares binary").toPandas().sort_values(["lang", "nth"])
+    return fit([np.frombuffer(x, np.float32).reshape(-1, settings.slots) for x in sample["shares"]], sample["lang"].tolist(), settings)
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score (0 to 1) and ambiguous, from the whole of each text.
 
     Null texts and texts without a letter are ``und`` with score 0, and so is everything where
-    there is no model. Every row is returned, with all its columns.
+    there is no model. Every row is returned, with all its columns; the new ones take the place of
+    columns of their names.
     """
     share = docs.sparkSession.sparkContext.broadcast(model)  # at most slots x bits numbers
 
@@ -193,8 +202,9 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text") -
             yield pd.DataFrame(out, columns=["lang_pred", "score", "ambiguous"])
 
     labelled = F.pandas_udf(run, "lang_pred string, score double, ambiguous boolean")
-    names = docs.columns
-    return docs.withColumn("_said", labelled(F.col(text))).select(*[F.col(f"`{c}`") for c in names], "_said.*")
+    (said,) = fresh(docs, "_said")
+    names = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "ambiguous")]
+    return docs.withColumn(said, labelled(F.col(f"`{text}`"))).select(*[F.col(f"`{c}`") for c in names], f"{said}.*")
 
 
 def in_fold(key: str, parts: int, part: int) -> Column:

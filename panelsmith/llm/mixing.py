@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelsmith.llm.common import WORD, written
+from panelsmith.llm.common import WORD, fresh, written
 
 FANOUT = 64
 
@@ -163,10 +163,20 @@ def mix_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share:
 def take_copies(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
     """``docs`` as the mix takes them: every row as often as :func:`mix_documents` says, with all its columns.
 
-    Rows equal in doc_id, source and text are one row, taken as often as they are together.
+    Rows equal in doc_id, source and text share the copies they have together, as evenly as they can.
     """
-    key = [F.xxhash64("doc_id", "source").alias("_key"), F.xxhash64("text").alias("_text_key")]
-    taken = mix_documents(docs, weights, share, most, seed).select(key[0], F.col("text_hash").alias("_text_key"), "copies")
-    taken = taken.groupBy("_key", "_text_key").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    rows = docs.select("*", *key).join(taken, ["_key", "_text_key"]).dropDuplicates(["_key", "_text_key"])
-    return rows.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+    key, text_key, copies, alike, part, nth, start = fresh(docs, "key", "text_key", "copies", "alike", "part", "nth", "start")
+    same = [key, text_key]
+    keys = [F.xxhash64("doc_id", "source").alias(key), F.xxhash64("text").alias(text_key)]
+    taken = mix_documents(docs, weights, share, most, seed).select(keys[0], F.col("text_hash").alias(text_key), "copies")
+    taken = taken.groupBy(*same).agg(F.sum("copies").alias(copies), F.count("*").alias(alike)).where(F.col(copies) > 0)
+    rows = docs.select("*", *keys, F.spark_partition_id().alias(part)).join(taken, same)
+    # equal rows are numbered inside the parts of the table, so no task holds all of them
+    many = rows.where(F.col(alike) > 1)
+    sizes = many.groupBy(*same, part).agg(F.count("*").alias(nth))
+    before = F.sum(nth).over(Window.partitionBy(*same).orderBy(part)) - F.col(nth)
+    place = F.row_number().over(Window.partitionBy(*same, part).orderBy(copies)) + F.col(start)
+    own = F.floor(F.col(copies) / F.col(alike)) + F.when(F.col(nth) <= F.col(copies) % F.col(alike), 1).otherwise(0)
+    many = many.join(sizes.select(*same, part, before.alias(start)), [*same, part]).withColumn(nth, place).withColumn(nth, own).drop(start)
+    each = rows.where(F.col(alike) == 1).withColumn(nth, F.col(copies)).unionByName(many).where(F.col(nth) > 0)
+    return each.withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), F.col(nth).cast("long")))).select(*[F.col(f"`{c}`") for c in docs.columns])

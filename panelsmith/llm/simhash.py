@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,16 +19,22 @@ BLOCK_ROWS = 4096
 SET_ROWS = 1024  # rows of a block whose shingle sets are compared
 WIDE = 256  # bits of the fingerprints of sets
 WIDE_BITS = 80  # of them may differ: sets of a similarity of 0.8 differ in 39 on average (48 if tiny, deviation 6), unlike ones in 128
+_ROWS = 500  # texts that are hashed at once
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def shingle_hashes(text: str | None, words_per_shingle: int) -> np.ndarray:
-    """The hash of each shingle of a text, repeats included; none for a text without words.
+def words_of(text: str | bytes | None) -> list[bytes]:
+    """The words of a text (or its UTF-8 bytes): A-Z becomes a-z, split at ASCII white space."""
+    raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+    return raw.translate(_LOWER).split()
 
-    A-Z becomes a-z, words are split at ASCII white space, shingles are joined by one space; a
-    text of fewer words is one shingle. The hash is XXH64 of the UTF-8 bytes with seed 42.
+
+def shingles(words: list[bytes], words_per_shingle: int) -> np.ndarray:
+    """The hash of each shingle, repeats included; none without words.
+
+    Shingles are joined by one space; fewer words are one shingle. The hash is XXH64 of the UTF-8
+    bytes with seed 42.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)
     joined, k = memoryview(b" ".join(words)), min(words_per_shingle, len(words))
@@ -37,6 +44,25 @@ def shingle_hashes(text: str | None, words_per_shingle: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[k - 1 :].tolist())), np.uint64, len(starts))
 
 
+def shingle_hashes(text: str | bytes | None, words_per_shingle: int) -> np.ndarray:
+    return shingles(words_of(text), words_per_shingle)
+
+
+def by_rows(docs: DataFrame, columns: list[str], made: str, run: Callable[[list[bytes]], dict[str, pa.Array]]) -> DataFrame:
+    """``columns`` and what ``run`` makes of the UTF-8 bytes of each ``text``, a few rows at a time, so that little is in memory."""
+    cut = docs.select(*columns, F.col("text").cast("binary").alias("text"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, _ROWS):
+                part = whole.slice(at, _ROWS)
+                new = run([x or b"" for x in part.column(len(columns)).to_pylist()])
+                yield pa.record_batch([*part.columns[:-1], *new.values()], names=[*columns, *new])
+
+    kinds = [f"`{c}` {cut.schema[c].dataType.simpleString()}" for c in columns]
+    return cut.mapInArrow(work, ", ".join([*kinds, made]))
+
+
 def majority(hashes: np.ndarray) -> int:
     """Bit by bit, whether over half of the hashes have it; 0 without hashes."""
     counts, n = np.zeros(BITS, np.int64), len(hashes)
@@ -46,22 +72,18 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def simhash(text: str | None, words_per_shingle: int = 3) -> int:
+def simhash(text: str | bytes | None, words_per_shingle: int = 3) -> int:
     """The fingerprint of a text: bit by bit, whether over half of its shingle hashes have it (0 without words)."""
     return majority(shingle_hashes(text, words_per_shingle))
 
 
-def fingerprints(docs: DataFrame, key: list[str], text: str = "text", words_per_shingle: int = 3) -> DataFrame:
-    """``key``, fp (the fingerprint as a signed long) for every row."""
+def fingerprints(docs: DataFrame, key: list[str], words_per_shingle: int = 3) -> DataFrame:
+    """``key``, fp (the fingerprint of ``text`` as a signed long) for every row."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            fp = np.array([simhash(x, words_per_shingle) for x in f.pop("_text")], np.uint64).view(np.int64)
-            yield f.assign(fp=fp)
+    def run(texts: list[bytes]) -> dict[str, pa.Array]:
+        return {"fp": pa.array(np.array([simhash(x, words_per_shingle) for x in texts], np.uint64).view(np.int64))}
 
-    cut = docs.select(*key, F.col(text).alias("_text"))
-    kinds = ", ".join(f"`{c}` {t}" for c, t in cut.dtypes if c != "_text")
-    return cut.mapInPandas(run, f"{kinds}, fp long")
+    return by_rows(docs, key, "fp long", run)
 
 
 def segments(parts: int) -> list[tuple[int, int]]:
@@ -175,9 +197,9 @@ def simhash_components(docs: DataFrame, bits: int = 2, words_per_shingle: int =
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def normal_id(text: str | None) -> int:
+def normal_id(text: str | bytes | None) -> int:
     """An id of a text's words: A-Z becomes a-z, white space counts as one space."""
-    return xxhash.xxh64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()))
+    return xxhash.xxh64_intdigest(b" ".join(words_of(text)))
 
 
 def wide_simhash(hashes: np.ndarray) -> np.ndarray:
@@ -207,14 +229,14 @@ def common_shingles(docs: DataFrame, set_words: int, rows: int = 4000, most: int
     They only order the shingles in :func:`prefix`: another sample costs work, not pairs.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for x in f["text"]:
-                yield pd.DataFrame({"s": np.unique(shingle_hashes(x, set_words)).view(np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in batches:
+            for x in f.column(0):
+                yield pa.record_batch([pa.array(np.unique(shingle_hashes(x.as_py(), set_words)).view(np.int64))], names=["s"])
 
     rate = min(1.0, rows / max(1, docs.count()))
     chance = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)))
-    seen = docs.select("text").where(chance).mapInPandas(run, "s long").groupBy("s").count().where("count > 2")
+    seen = docs.where(chance).select(F.col("text").cast("binary")).mapInArrow(run, "s long").groupBy("s").count().where("count > 2")
     top = seen.orderBy(F.desc("count"), "s").limit(most).toPandas()
     s, n = top["s"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
     order = np.argsort(s)
@@ -244,33 +266,29 @@ def profiles(docs: DataFrame, key: str, words_per_shingle: int, set_words: int,
     n (its size), wide (see :func:`wide_simhash`), shown (its prefix) and short (how much of it is shown to larger sets)."""
     share = docs.sparkSession.sparkContext.broadcast(None if similarity is None else common_shingles(docs, set_words))  # of bounded size
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        common = share.value
-        for f in frames:
-            texts = f.pop("_text")
-            f["node"] = np.array([normal_id(x) for x in texts], np.uint64).view(np.int64)
-            f["fp"] = np.array([simhash(x, words_per_shingle) for x in texts], np.uint64).view(np.int64)
-            if common is not None:
-                sets = [np.unique(shingle_hashes(x, set_words)) for x in texts]
-                f["n"] = np.array([len(x) for x in sets], np.int64)
-                f["wide"] = [wide_simhash(x).tobytes() for x in sets]
-                f["shown"] = [prefix(x, common, similarity).view(np.int64) for x in sets]
-                f["short"] = np.array([prefix_sizes(len(x), similarity)[1] for x in sets], np.int64)
-            yield f
-
-    cut = docs.select(key, F.col("text").alias("_text"))
-    kinds = f"`{key}` {cut.schema[key].dataType.simpleString()}, node long, fp long" + ("" if similarity is None else ", n long, wide binary, shown array<long>, short long")
-    return cut.mapInPandas(run, kinds)
+    def run(texts: list[bytes]) -> dict[str, pa.Array]:
+        words = [words_of(x) for x in texts]
+        node = np.array([xxhash.xxh64_intdigest(b" ".join(w)) for w in words], np.uint64)
+        fp = np.array([majority(shingles(w, words_per_shingle)) for w in words], np.uint64)
+        out = {"node": pa.array(node.view(np.int64)), "fp": pa.array(fp.view(np.int64))}
+        if share.value is not None:
+            sets = [np.unique(shingles(w, set_words)) for w in words]
+            out["n"] = pa.array([len(x) for x in sets], pa.int64())
+            out["wide"] = pa.array([wide_simhash(x).tobytes() for x in sets], pa.binary())
+            out["shown"] = pa.array([prefix(x, share.value, similarity).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            out["short"] = pa.array([prefix_sizes(len(x), similarity)[1] for x in sets], pa.int64())
+        return out
+
+    return by_rows(docs, [key], "node long, fp long" + ("" if similarity is None else ", n long, wide binary, shown array<long>, short long"), run)
 
 
 def shingle_sets(docs: DataFrame, set_words: int) -> DataFrame:
     """node, component, wide and the text's sorted set of shingle hashes as bytes."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield f.assign(shingles=[np.unique(shingle_hashes(x, set_words)).tobytes() for x in f.pop("text")])
+    def run(texts: list[bytes]) -> dict[str, pa.Array]:
+        return {"shingles": pa.array([np.unique(shingle_hashes(x, set_words)).tobytes() for x in texts], pa.binary())}
 
-    return docs.select("node", "component", "wide", "text").mapInPandas(run, "node long, component long, wide binary, shingles binary")
+    return by_rows(docs, ["node", "component", "wide"], "shingles binary", run)
 
 
 def ring_near(diff: np.ndarray, bits: int) -> np.ndarray:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelsmith.llm.common import written
+from panelsmith.llm.common import fresh, written
 from panelsmith.llm.language import in_fold
 
 SEED_LEXICON = frozenset("idiot idiots moron morons stupid dumb loser losers pathetic worthless scum trash disgusting clown imbecile fool".split())
@@ -225,9 +225,9 @@ def learn_lexicons(rows: DataFrame, settings: Settings) -> list[dict[str, float]
         return found.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
     sizes = {(int(r[0]), int(r[1])): r[2] for r in columns.groupBy("toxic", "half").count().collect()}
-    # the most frequent terms of toxic documents, whatever the corpus: a bounded list
+    # all terms of several toxic documents: the sample bounds them
     frequent = counted(columns.where("toxic = 1"), None).where(F.col("n0") + F.col("n1") >= settings.least_documents)
-    held = {r[0]: (r[1], r[2]) for r in frequent.orderBy(F.desc(F.col("n0") + F.col("n1")), "term").limit(20 * settings.lexicon).collect()}
+    held = {r[0]: (r[1], r[2]) for r in frequent.collect()}
     clean = counted(columns.where("toxic = 0"), frozenset(held))
     other = {r[0]: (r[1], r[2]) for r in clean.collect()}  # at most as many terms as candidates
     out = []
@@ -247,16 +247,15 @@ def learn_lexicons(rows: DataFrame, settings: Settings) -> list[dict[str, float]
 def learn(rows: DataFrame, settings: Settings = Settings()) -> ToxicityModel:
     """Fit on a bounded sample of ``doc_id, text, toxic``.
 
-    The sample is chosen by a hash of doc_id and holds about ``sample_rows`` rows whatever the
-    table's size. Each half of it is described by a lexicon of the other half, so that trees and
+    The sample is drawn row by row, so repeated rows cannot flood it, and holds about ``sample_rows``
+    rows whatever the table's size. Each half of it is described by a lexicon of the other half, so that trees and
     calibration learn what a lexicon is worth on unseen texts; three quarters give the trees, a
     quarter the calibration. The final lexicon is of all rows. Without labels of both kinds the
     model says the share of toxic labels.
     """
     n = rows.count()
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(settings.seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     half, part = (F.pmod(F.xxhash64("doc_id", F.lit(settings.seed + k)), F.lit(m)).cast("int") for k, m in ((1, 2), (2, 4)))
-    sample = rows.where(chance < F.lit(settings.sample_rows / max(n, 1))).select("doc_id", "text", "toxic", half.alias("half"), part.alias("part"))
+    sample = rows.where(F.rand(settings.seed) < F.lit(settings.sample_rows / max(n, 1))).select("doc_id", "text", "toxic", half.alias("half"), part.alias("part"))
     sample = written(sample, "toxicity-sample")
     lexicons = learn_lexicons(sample, settings)
 
@@ -280,7 +279,7 @@ def toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataF
     """``docs`` with score (0 to 1) and predicted (1 if score >= 0.5), from the whole of each text.
 
     Null and empty texts have the score of a text without words. Every row is returned, with all
-    its columns.
+    its columns; score and predicted take the place of columns of their names.
     """
     share = docs.sparkSession.sparkContext.broadcast(model)  # lexicon and trees, bounded by the settings
 
@@ -292,9 +291,10 @@ def toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataF
             yield pd.Series(m.score(x))
 
     scored = F.pandas_udf(run, "double")
-    names = docs.columns
-    return docs.withColumn("_score", scored(F.col(text))).select(
-        *[F.col(f"`{c}`") for c in names], F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted")
+    (score,) = fresh(docs, "_score")
+    names = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
+    return docs.withColumn(score, scored(F.col(f"`{text}`"))).select(
+        *[F.col(f"`{c}`") for c in names], F.col(score).alias("score"), (F.col(score) >= 0.5).cast("int").alias("predicted")
     )
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelsmith.llm.common import block_pairs, components, map_blocks, written
+from panelsmith.llm.common import block_pairs, components, hot_keys, map_blocks, spread_join, written
 from panelsmith.llm.simhash import forest
 
 
@@ -134,7 +134,8 @@ def near_vectors(rows: DataFrame, s: Settings = Settings()) -> DataFrame:
     named = good.join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("component", "node"))
     named = written(named.select("node", "v", "root", "copies", F.coalesce("links", F.lit(0)).alias("links"), "first"), "vector-roots")
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(lowest, "root").select("v", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id")
-    out = base.where("v is not null").join(named, "v").select("vec_id", "n_links", "component_id")
+    named = spread_join(named, lowest, "root").select("node", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id")
+    hot = hot_keys(good.select("node", F.col("copies").alias("_n")), "node")
+    out = spread_join(base.where("v is not null").select("vec_id", F.xxhash64("v").alias("node")), named, "node", hot=hot, scanned=True).select("vec_id", "n_links", "component_id")
     out = out.unionByName(base.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
