@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,28 @@ def causality(build: Callable[[DataFrame], DataFrame], panel: DataFrame, cut: st
     return full.exceptAll(erased).unionByName(erased.exceptAll(full))
 
 
+def causality_report(build: Callable[[DataFrame], DataFrame], panel: DataFrame, cuts: list[str]) -> DataFrame:
+    """cut, rows (at or before it) and changed (those that the erased data change, on either side), one row a cut."""
+    out = []
+    for cut in cuts:
+        rows = panel.where(F.col("trade_date") <= F.lit(cut).cast("date")).agg(F.count("*").alias("rows"))
+        changed = causality(build, panel, cut).agg(F.count("*").alias("changed"))
+        out.append(rows.crossJoin(changed).select(F.lit(cut).alias("cut"), "rows", "changed"))  # one row each
+    return reduce(DataFrame.unionByName, out)
+
+
+def cell_report(a: DataFrame, b: DataFrame, value: str, tol: float = 0.0, keys: tuple[str, ...] = ("instrument", "trade_date")) -> DataFrame:
+    """cells (keys that both have) and mismatches (see :func:`cell_mismatches`), one row."""
+    cells = a.select(*keys).join(b.select(*keys), list(keys)).agg(F.count("*").alias("cells"))
+    return cells.crossJoin(cell_mismatches(a, b, value, tol, keys).agg(F.count("*").alias("mismatches")))
+
+
+def key_report(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("instrument", "trade_date")) -> DataFrame:
+    """Keys that only the first, only the second and both have, one row."""
+    x, y = a.select(*keys).distinct().withColumn("_a", F.lit(1)), b.select(*keys).distinct().withColumn("_b", F.lit(1))
+    return x.join(y, list(keys), "full").agg(*[F.count_if(c).alias(n) for n, c in (("only_a", F.col("_b").isNull()), ("only_b", F.col("_a").isNull()), ("both", F.col("_a").isNotNull() & F.col("_b").isNotNull()))])
+
+
 def pool_leaks(signal: DataFrame, membership: DataFrame, value: str) -> DataFrame:
     """Live values outside the pool."""
     return signal.where(F.col(value).isNotNull()).join(membership, ["instrument", "trade_date"], "left_anti")

@@ -16,10 +16,11 @@ def rebalance_dates(days: DataFrame, unit: str = "week") -> DataFrame:
 
 
 def forward_return(panel: DataFrame, rebalances: DataFrame, price: str = "close", out: str = "fwd") -> DataFrame:
-    """Price at the next rebalance over this one, less 1, on rebalance dates; missing where either is."""
-    at = panel.select("instrument", "trade_date", price).join(rebalances, "trade_date")
-    nxt = at.select("instrument", (F.col("rb_idx") - 1).alias("rb_idx"), F.col(price).alias("_next"))
-    return at.join(nxt, ["instrument", "rb_idx"], "left").withColumn(out, F.try_divide(F.col("_next"), F.col(price)) - 1).drop("_next")
+    """Price at the next rebalance over this one, less 1, on rebalance dates; missing where either is. All columns are kept."""
+    at = panel.join(F.broadcast(rebalances), "trade_date")  # one row a rebalance
+    w = Window.partitionBy("instrument").orderBy("rb_idx")
+    ahead = F.when(F.lead("rb_idx").over(w) == F.col("rb_idx") + 1, F.lead(price).over(w))
+    return at.withColumn(out, F.try_divide(ahead, F.col(price)) - 1)
 
 
 def long_short_weights(deciles: DataFrame, groups: int = 10, keys: tuple[str, ...] = ("rb_idx",), decile: str = "decile") -> DataFrame:
@@ -38,24 +39,27 @@ def effective_index(book: DataFrame) -> DataFrame:
     return book.join(F.broadcast(scored), "rb_idx")  # one row a rebalance
 
 
-def turnover(book: DataFrame, universe: DataFrame | None = None) -> DataFrame:
+def turnover(book: DataFrame, universe: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Half the absolute change of weights from the book of the rebalance before; 1 for the first.
 
     With ``universe`` (``eff_idx, instrument``) the carried book keeps only names still present.
+    Each name's weights are compared along its own rebalances: a weight that the next book lacks
+    counts there as sold. Several books are told apart by the columns ``by``.
     """
-    now = book.select("eff_idx", "instrument", "weight")
-    before = now.select((F.col("eff_idx") + 1).alias("eff_idx"), "instrument", F.col("weight").alias("_was"))
-    last = now.agg(F.max("eff_idx").alias("_last"))
-    before = before.crossJoin(F.broadcast(last)).where("eff_idx <= _last").drop("_last")  # one row
+    w = Window.partitionBy(*by, "instrument").orderBy("eff_idx")
+    near = book.select(*by, "eff_idx", "instrument", "weight", F.lag("eff_idx").over(w).alias("_p"), F.lag("weight").over(w).alias("_was"), F.lead("eff_idx").over(w).alias("_n"))
+    held = F.abs(F.col("weight") - F.when(F.col("_p") == F.col("eff_idx") - 1, F.col("_was")).otherwise(0.0))
+    sold = F.when(F.coalesce(F.col("_n") != F.col("eff_idx") + 1, F.lit(True)), F.abs("weight"))
+    sides = F.array(F.struct("eff_idx", held.alias("move"), F.lit(1).alias("own")), F.struct((F.col("eff_idx") + 1).alias("eff_idx"), sold.alias("move"), F.lit(0).alias("own")))
+    moves = near.select(*by, "instrument", F.inline(sides)).where("move is not null")
     if universe is not None:
-        before = before.join(universe, ["eff_idx", "instrument"], "left_semi")
-    moved = now.join(before, ["eff_idx", "instrument"], "full")
-    half = 0.5 * F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("_was", F.lit(0.0))))
-    return moved.groupBy("eff_idx").agg(half.alias("_t")).select("eff_idx", F.when(F.col("eff_idx") == 0, 1.0).otherwise(F.col("_t")).alias("turnover"))
+        moves = moves.where("own = 1").unionByName(moves.where("own = 0").join(universe, [*by, "eff_idx", "instrument"], "left_semi"))
+    sums = moves.groupBy(*by, "eff_idx").agg((0.5 * F.sum("move")).alias("_t"), F.max("own").alias("_own")).where("_own = 1")  # no book follows the last
+    return sums.select(*by, "eff_idx", F.when(F.col("eff_idx") == 0, 1.0).otherwise(F.col("_t")).alias("turnover"))
 
 
-def net_return(gross: DataFrame, turn: DataFrame, cost: float = COST) -> DataFrame:
-    return gross.join(turn, "eff_idx").withColumn("net", F.col("gross") - cost * F.col("turnover"))
+def net_return(gross: DataFrame, turn: DataFrame, cost: float = COST, by: tuple[str, ...] = ()) -> DataFrame:
+    return gross.join(turn, [*by, "eff_idx"]).withColumn("net", F.col("gross") - cost * F.col("turnover"))
 
 
 def total_return(series: DataFrame, value: str, keys: tuple[str, ...] = (), out: str = "total") -> DataFrame:
@@ -77,3 +81,9 @@ def group_totals(deciles: DataFrame, future: str = "fwd") -> DataFrame:
 def tolerance_report(metrics: DataFrame, expected: DataFrame) -> DataFrame:
     """``metric, value`` against ``metric, want, tol``: the difference and whether it is within tolerance."""
     return metrics.join(expected, "metric", "right").withColumn("diff", F.abs(F.col("value") - F.col("want"))).withColumn("ok", F.coalesce(F.col("diff") <= F.col("tol"), F.lit(False)))
+
+
+def period_bounds(series: DataFrame, periods: DataFrame) -> DataFrame:
+    """First and last number of a series (``eff_idx, trade_date``) in each period (``period, begin, finish``), both ends included."""
+    inside = series.join(F.broadcast(periods), F.col("trade_date").between(F.col("begin"), F.col("finish")))
+    return inside.groupBy("period").agg(F.min("eff_idx").alias("first_idx"), F.max("eff_idx").alias("last_idx"), F.count("*").alias("n"))

@@ -56,3 +56,19 @@ def masked_daily_mean(bars: DataFrame, value: str, events: DataFrame, out: str =
     """Mean of ``value`` over each day's event bars, missing values left out; days without an event are missing."""
     marked = bars.join(events.select(*DAY, "minute").withColumn("_hit", F.lit(True)), [*DAY, "minute"], "left")
     return marked.groupBy(*DAY).agg(F.avg(F.when(F.col("_hit"), F.col(value))).alias(out))
+
+
+def event_mean(bars: DataFrame, value: str, size: str = "volume", k: int = 10, exclude_before: int = 15, min_gap: int = 5, out: str = "factor") -> DataFrame:
+    """:func:`masked_daily_mean` of ``value`` over :func:`separated_events` of ``size``, in one grouping of the bars of a day.
+
+    A day's bars, a bounded session, become one sorted array: the largest, those far from larger ones, their mean.
+    """
+    able = (F.col("minute") >= exclude_before) & F.col(size).isNotNull()
+    bar = F.when(able, F.struct((-F.col(size)).alias("o"), F.col("minute").cast("long").alias("m"), F.col(value).alias("v")))
+    day = bars.groupBy(*DAY).agg(F.slice(F.sort_array(F.collect_list(bar)), 1, k).alias("a"))
+    start = F.struct(F.array().cast("array<bigint>").alias("kept"), F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+    step = lambda acc, x: F.when(
+        F.forall(acc["kept"], lambda a: F.abs(a - x["m"]) >= min_gap),
+        F.struct(F.array_append(acc["kept"], x["m"]).alias("kept"), (acc["s"] + F.coalesce(x["v"], F.lit(0.0))).alias("s"), (acc["n"] + x["v"].isNotNull().cast("int")).alias("n")),
+    ).otherwise(acc)
+    return day.select(*DAY, F.aggregate("a", start, step, lambda acc: F.try_divide(acc["s"], acc["n"])).alias(out))

@@ -7,8 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelsmith.functions import rounded
 from panelsmith.operators.intraday import forward_std, log_return, separated_events
-from panelsmith.operators.xsection import average_rank, pearson
+from panelsmith.operators.xsection import average_rank, ic, neutralize, pearson, rank_ic, spread_rank
+
+
+POPULATION = 20_000  # candidates that may be compared with each other
 
 
 def grid(spark: SparkSession, **lists: list) -> DataFrame:
@@ -35,19 +39,23 @@ def dominates(a: str, b: str, objectives: list[str]):
 
 
 def pareto_front(rows: DataFrame, objectives: list[str]) -> DataFrame:
-    """Rows that no row dominates; a population, not a data table, is compared."""
+    """Rows that no row dominates; a population of candidates (see :data:`POPULATION`), not a data table, is compared."""
     return rows.alias("x").join(rows.alias("y"), dominates("y", "x", objectives), "left_anti")
 
 
-def pareto_ranks(rows: DataFrame, key: str, objectives: list[str], fronts: int = 100) -> DataFrame:
-    """Add pareto_rank: 0 for the front, 1 for the front of the rest, and so on."""
-    left, out = rows, None
-    for rank in range(fronts):
-        if left.isEmpty():
-            break
+def pareto_ranks(rows: DataFrame, key: str, objectives: list[str]) -> DataFrame:
+    """Add pareto_rank: 0 for the front, 1 for the front of the rest, and so on, until none is left.
+
+    What is left is checkpointed for each front (set ``spark.checkpoint.dir``). Raises ValueError above :data:`POPULATION` rows.
+    """
+    left, out, rank = rows.checkpoint(), None, 0
+    if (n := left.count()) > POPULATION:
+        raise ValueError(f"a population of {n} candidates; at most {POPULATION} are compared with each other")
+    while n:
         front = pareto_front(left, objectives).withColumn("pareto_rank", F.lit(rank))
         out = front if out is None else out.unionByName(front)
-        left = left.join(front.select(key), key, "left_anti")
+        left = left.join(front.select(key), key, "left_anti").checkpoint()
+        rank, n = rank + 1, left.count()
     return out if out is not None else rows.withColumn("pareto_rank", F.lit(0))
 
 
@@ -106,6 +114,14 @@ def ddof_study(bars: DataFrame, horizon: int, window: int) -> DataFrame:
     return both.where("s0 > 1e-12").agg(F.min(ratio).alias("ratio_min"), F.max(ratio).alias("ratio_max")).withColumns({"horizon": F.lit(horizon), "window": F.lit(window), "expected": F.sqrt(F.lit(window / (window - 1)))})
 
 
+def ddof_rank_change(bars: DataFrame, horizon: int, window: int) -> DataFrame:
+    """The largest change of an instrument's rank on a date between the daily means of the two deviations; values are rounded before they are ranked."""
+    both = forward_std(forward_std(log_return(bars, horizon), "log_ret", window, 1, "s1"), "log_ret", window, 0, "s0")
+    days = both.groupBy("instrument", "trade_date").agg(*[rounded(F.avg(c), 8).alias(c) for c in ("s1", "s0")])
+    ranks = average_rank(average_rank(days, "s1", "_r1"), "s0", "_r0")
+    return ranks.agg(F.max(F.abs(F.col("_r1") - F.col("_r0"))).alias("max_rank_difference"))
+
+
 def responses(bars: DataFrame, combos: list[tuple[int, int]]) -> DataFrame:
     """Daily mean response of every (horizon, window), named ``h_w``."""
     parts = [
@@ -116,11 +132,47 @@ def responses(bars: DataFrame, combos: list[tuple[int, int]]) -> DataFrame:
 
 
 def response_correlation(rows: DataFrame) -> DataFrame:
-    """Rank correlation of every pair of responses over all instrument-days; pairs meet within an instrument-day."""
-    r = average_rank(rows.where("response is not null"), "response", "_r", ("combo",)).select("instrument", "trade_date", "combo", "_r")
+    """Rank correlation of every pair of responses over all instrument-days, ranked range by range; pairs meet within an instrument-day."""
+    r = spread_rank(rows, "response", "_r", ("combo",)).select("instrument", "trade_date", "combo", "_r")
     a, b = r.select("instrument", "trade_date", F.col("combo").alias("a"), F.col("_r").alias("ra")), r.select("instrument", "trade_date", F.col("combo").alias("b"), F.col("_r").alias("rb"))
     return a.join(b, ["instrument", "trade_date"]).where("a < b").groupBy("a", "b").agg(pearson("ra", "rb").alias("corr"))
 
 
 def response_dispersion(rows: DataFrame) -> DataFrame:
     return rows.groupBy("combo").agg(F.avg("response").alias("mean"), F.stddev_samp("response").alias("std"), F.try_divide(F.stddev_samp("response"), F.avg("response")).alias("cv"))
+
+
+def incremental_ic(panel: DataFrame, score: str, known: str, future: str, least: int = 30, keys: tuple[str, ...] = ("trade_date",)) -> DataFrame:
+    """IC of what an accepted factor ``known`` does not explain of a score, by date."""
+    return ic(neutralize(panel, score, known, least, "_own", keys), "_own", future, keys)
+
+
+def fitness(panel: DataFrame, replayed: DataFrame, score: str, known: str, future: str, fold: str, nodes: int, least: int = 30, keys: tuple[str, ...] = ("rb_idx",)) -> DataFrame:
+    """One row that says how good a factor is.
+
+    direction (sign of the mean rank IC), robust_ic (|mean| less half a deviation of rank IC),
+    incremental_ic (mean IC against one accepted factor), pool_correlation with it, net_long_short and
+    turnover (means), fold_consistency (share of folds whose mean rank IC has the direction),
+    coverage, complexity (``nodes``) and valid (scored rebalances).
+    ``replayed``: rb_idx, net, turnover, rank_ic and the column ``fold``.
+    """
+    mean, dev = F.avg("rank_ic"), F.stddev_samp("rank_ic")
+    series = replayed.agg(F.signum(mean).alias("direction"), (F.abs(mean) - 0.5 * dev).alias("robust_ic"), F.avg("net").alias("net_long_short"), F.avg("turnover").alias("turnover"), F.count("rank_ic").alias("valid"))
+    folds = replayed.groupBy(fold).agg(F.avg("rank_ic").alias("_fold")).crossJoin(F.broadcast(series.select("direction")))
+    consistent = folds.agg(F.avg((F.signum("_fold") == F.col("direction")).cast("double")).alias("fold_consistency"))
+    new = incremental_ic(panel, score, known, future, least, keys).agg(F.avg("ic").alias("incremental_ic"))
+    whole = panel.agg((F.count(score) / F.count("*")).alias("coverage"), pearson(score, known).alias("pool_correlation"))
+    return series.crossJoin(consistent).crossJoin(new).crossJoin(whole).withColumn("complexity", F.lit(nodes))  # one row each
+
+
+def sweep(factors: dict[str, DataFrame], prices: DataFrame, baseline: str, periods: int = 252) -> DataFrame:
+    """Combinations (``instrument, trade_date, factor`` each) in the order of their full rank ICIR, with the place of the baseline.
+
+    ``prices``: instrument, trade_date, fwd. combo, mean, icir, n (scored dates), place, baseline_place.
+    """
+    every = reduce(DataFrame.unionByName, [f.select("instrument", "trade_date", "factor").withColumn("combo", F.lit(c)) for c, f in factors.items()])
+    scored = rank_ic(every.join(prices, ["instrument", "trade_date"]), "factor", "fwd", ("combo", "trade_date"))
+    icir = F.try_divide(F.avg("rank_ic"), F.stddev_samp("rank_ic")) * F.sqrt(F.lit(float(periods)))
+    out = scored.groupBy("combo").agg(F.avg("rank_ic").alias("mean"), rounded(icir).alias("icir"), F.count("rank_ic").alias("n"))
+    placed = ranked(out, "icir", "combo")
+    return placed.crossJoin(F.broadcast(placed.where(F.col("combo") == baseline).select(F.col("place").alias("baseline_place"))))

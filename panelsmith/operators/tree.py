@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from panelsmith.operators import intraday, rolling
-from panelsmith.sources.panel import with_date_idx
+from panelsmith.sources.panel import calendar, with_date_idx
 
 MINUTE_NUM, MINUTE_MASK, DAILY = "MINUTE_NUM", "MINUTE_MASK", "DAILY"
 
@@ -109,8 +109,8 @@ def compile_tree(node: Node, bars: DataFrame, daily: dict[str, DataFrame] | None
         if n.operator == "masked_daily_mean_signal":
             value, mask = n.children
             column, source = minute(value), minute(mask.children[0])
-            return intraday.masked_daily_mean(frame, column, intraday.separated_events(frame, source, **(RULES[mask.operator].defaults | dict(mask.params))))
-        below = with_date_idx(day(n.children[0]))
+            return intraday.event_mean(frame, column, source, **(RULES[mask.operator].defaults | dict(mask.params)))
+        below = with_date_idx(day(n.children[0]), None if daily else calendar(bars))
         if n.operator == "seed_ts_std_daily":
             return rolling.rolling_std(below, "factor", **p, out="_f").select("instrument", "trade_date", below["date_idx"], "_f").withColumnRenamed("_f", "factor").drop("date_idx")
         return rolling.trailing_mean(below, "factor", **p, out="_f").select("instrument", "trade_date", "_f").withColumnRenamed("_f", "factor")
@@ -140,8 +140,9 @@ def decode(root: Node) -> dict[str, int]:
     return {"horizon": dict(ret.params)["horizon"], "response_window": r["window"], "top_k": e["k"], "exclude_before": e["exclude_before"], "min_gap": e["min_gap"], "ts_std": dict(root.params)["window"]}
 
 
-def random_tree(rng: random.Random) -> Node:
-    """A random tree of the daily type."""
+def random_tree(rng: random.Random, leaves: tuple[str, ...] = (), graft: float = 0.1) -> Node:
+    """A random tree of the daily type; with probability ``graft`` its inner daily value is one of the external ``leaves``."""
+
     def num(depth: int) -> Node:
         op = rng.choice(["leaf", "close_minute_log_return", "forward_window_std"]) if depth else "leaf"
         if op == "leaf":
@@ -150,19 +151,29 @@ def random_tree(rng: random.Random) -> Node:
             return Node(op, (("horizon", rng.choice([1, 2, 5])),), (Node(leaf="minute_close"),))
         return Node(op, (("ddof", 1), ("window", rng.choice([3, 5]))), (num(depth - 1),))
 
-    events = Node("topk_separated_events", (("exclude_before", rng.choice([0, 2, 5])), ("k", rng.choice([3, 5, 10])), ("min_gap", rng.choice([1, 3, 5]))), (num(1),))
-    mean = Node("masked_daily_mean_signal", (), (num(2), events))
-    return Node(rng.choice(["seed_ts_std_daily", "seed_ts_std_daily"]), (("ddof", 1), ("window", rng.choice([5, 20, 60]))), (mean,))
+    def day(depth: int) -> Node:
+        op = rng.choice(["seed_ts_std_daily", "ts_mean_daily", "masked_daily_mean_signal"]) if depth else "masked_daily_mean_signal"
+        if op == "seed_ts_std_daily":
+            return Node(op, (("ddof", 1), ("window", rng.choice([5, 20, 60]))), (day(depth - 1),))
+        if op == "ts_mean_daily":
+            return Node(op, (("days", rng.choice([2, 5, 10])),), (day(depth - 1),))
+        if leaves and rng.random() < graft:
+            return Node(leaf=rng.choice(list(leaves)))
+        events = Node("topk_separated_events", (("exclude_before", rng.choice([0, 2, 5])), ("k", rng.choice([3, 5, 10])), ("min_gap", rng.choice([1, 3, 5]))), (num(1),))
+        return Node("masked_daily_mean_signal", (), (num(2), events))
+
+    return day(2)
 
 
 def subtrees(node: Node) -> list[Node]:
     return [node, *(x for c in node.children for x in subtrees(c))]
 
 
-def crossover(a: Node, b: Node, rng: random.Random) -> Node:
-    """``a`` with one subtree replaced by one of ``b`` of the same type."""
+def crossover(a: Node, b: Node, rng: random.Random, leaves: tuple[str, ...] = ()) -> Node:
+    """``a`` with one subtree replaced by one of ``b`` of the same type (the external ``leaves`` are daily)."""
+    daily = dict.fromkeys(leaves)
     spot = rng.choice(subtrees(a))
-    fits = [x for x in subtrees(b) if kind(x) == kind(spot)]
+    fits = [x for x in subtrees(b) if kind(x, daily) == kind(spot, daily)]
     graft = rng.choice(fits) if fits else spot
 
     def swap(n: Node) -> Node:

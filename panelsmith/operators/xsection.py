@@ -68,6 +68,23 @@ def average_rank(panel: DataFrame, value: str, out: str = "rank", keys: tuple[st
     return panel.withColumn(out, F.when(F.col(value).isNotNull(), mean.cast("double")))
 
 
+def spread_rank(rows: DataFrame, value: str, out: str = "rank", keys: tuple[str, ...] = (), parts: int = 128) -> DataFrame:
+    """:func:`average_rank` of large groups: values are dealt into ``parts`` ranges of a group, ranked inside, and shifted by the sizes of the lower ranges.
+
+    The ranges' bounds are a few numbers a group of ``keys``, of which there must be few. Rows without a value have no rank.
+    """
+    live = rows.where(F.col(value).isNotNull())
+    quantiles = F.percentile_approx(value, F.array(*[F.lit(k / parts) for k in range(1, parts)]), 10_000)
+    bounds = live.groupBy(*keys).agg(quantiles.alias("_bounds"))
+    both = live.join(F.broadcast(bounds), list(keys)) if keys else live.crossJoin(F.broadcast(bounds))
+    cut = both.withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col(value)))).drop("_bounds")
+    sizes = cut.groupBy(*keys, "_range").agg(F.count("*").alias("_size"))
+    lower = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*keys, "_range", F.coalesce(lower, F.lit(0)).alias("_start"))  # parts rows a group
+    inside = average_rank(cut, value, out, (*keys, "_range")).join(F.broadcast(starts), [*keys, "_range"])
+    return inside.withColumn(out, F.col(out) + F.col("_start")).drop("_range", "_start")
+
+
 def pearson(x: str, y: str) -> Column:
     """Correlation aggregate over pairs; missing if degenerate."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelsmith.operators import backtest as b
 from panelsmith.operators import intraday, rolling
 from panelsmith.operators import xsection as x
-from panelsmith.sources.panel import with_date_idx
+from panelsmith.sources.panel import calendar, with_date_idx
 
 
 def raw_factor(bars: DataFrame, horizon: int = 5, response_window: int = 5, top_k: int = 10, exclude_before: int = 15, min_gap: int = 5, ts_std: int = 60) -> DataFrame:
     """Dispersion after the day's separated volume peaks, and its deviation over the last days: one exchange of bars, one of days."""
     response = intraday.forward_std(intraday.log_return(bars, horizon), "log_ret", response_window)
-    daily = intraday.masked_daily_mean(response, "fwd_std", intraday.separated_events(bars, "volume", top_k, exclude_before, min_gap), "mean_response")
-    return rolling.rolling_std(with_date_idx(daily), "mean_response", ts_std, out="factor")
+    daily = intraday.event_mean(response, "fwd_std", "volume", top_k, exclude_before, min_gap, "mean_response")
+    return rolling.rolling_std(with_date_idx(daily, calendar(bars)), "mean_response", ts_std, out="factor")
 
 
 def signal_from_raw(panel: DataFrame, value: str, exposure: str, days: int = 10, n_mad: float = 5.0, least: int = 30, direction: int = -1) -> DataFrame:
@@ -26,16 +26,32 @@ def signal_from_raw(panel: DataFrame, value: str, exposure: str, days: int = 10,
     return x.mad_clip(s, "_m", n_mad).withColumn("signal", F.col("_m") * direction).drop("_v", "_r", "_m")
 
 
+def weighted(scored: DataFrame, groups: int = 10, least: int = 30, by: tuple[str, ...] = ()) -> DataFrame:
+    """Groups and weights of every scored rebalance, by windows over a rebalance. ``scored``: rb_idx, instrument, score, fwd."""
+    live, keys = scored.where("score is not null and fwd is not null"), (*by, "rb_idx")
+    live = x.min_cross_section(live, "score", max(least, groups), keys)
+    return b.long_short_weights(x.quantile_groups(live, "score", groups, keys=keys), groups, keys)
+
+
 def book(scored: DataFrame, groups: int = 10, least: int = 30) -> DataFrame:
-    """Groups, weights and effective numbers of every scored rebalance. ``scored``: rb_idx, instrument, score, fwd."""
-    live = scored.where("score is not null and fwd is not null")
-    live = x.min_cross_section(live, "score", max(least, groups), ("rb_idx",))
-    return b.effective_index(b.long_short_weights(x.quantile_groups(live, "score", groups, keys=("rb_idx",)), groups))
-
-
-def replay(scored: DataFrame, groups: int = 10, least: int = 30, cost: float = b.COST) -> DataFrame:
-    """Gross, turnover, net, IC and rank IC of each scored rebalance."""
-    held = book(scored, groups, least)
-    gross = b.gross_return(held, keys=("eff_idx",))
-    scores = x.ic(held, "score", "fwd", ("eff_idx",)).join(x.rank_ic(held, "score", "fwd", ("eff_idx",)), "eff_idx")
-    return b.net_return(gross, b.turnover(held), cost).join(scores, "eff_idx")
+    """:func:`weighted`, with the effective number of each rebalance."""
+    return b.effective_index(weighted(scored, groups, least))
+
+
+def numbered(per: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row a scored rebalance (``rb_idx``), with its effective number."""
+    return per.withColumn("eff_idx", (F.row_number().over(Window.partitionBy(*by).orderBy("rb_idx")) - 1).cast("long"))
+
+
+def replay(scored: DataFrame, groups: int = 10, least: int = 30, cost: float = b.COST, by: tuple[str, ...] = ()) -> DataFrame:
+    """Gross, turnover, net, IC and rank IC of each scored rebalance, of each book ``by`` columns tell apart.
+
+    One pass over the weights gives all sums of a rebalance; the other compares each name's weights
+    along its rebalances (numbered by the first).
+    """
+    held, keys = weighted(scored, groups, least, by), (*by, "rb_idx")
+    ranks = x.average_rank(x.average_rank(held, "score", "_rs", keys), "fwd", "_rf", keys)
+    per = ranks.groupBy(*keys).agg(F.sum(F.col("weight") * F.col("fwd")).alias("gross"), x.pearson("score", "fwd").alias("ic"), x.pearson("_rs", "_rf").alias("rank_ic"))
+    per = numbered(per, by)
+    moved = b.turnover(held.join(F.broadcast(per.select(*keys, "eff_idx")), list(keys)), by=by)  # one row a rebalance
+    return b.net_return(per, moved, cost, by).select(*by, "eff_idx", "rb_idx", "gross", "turnover", "net", "ic", "rank_ic")

@@ -87,7 +87,7 @@ def trade_dates(spark, d):
 
 @query("SELECT instrument, trade_date, in_pool FROM panel")
 def daily_mask(spark, d):
-    return panel(spark, d).select(*IT, "in_pool")
+    return src.pit_mask(view(spark, d, "supp_week"), view(spark, d, "membership")).select(*IT, "in_pool")
 
 
 @query(", iv AS (SELECT instrument, min(trade_date) AS a, max(trade_date) AS z FROM membership GROUP BY 1) SELECT iv.instrument, c.trade_date FROM iv JOIN calendar c ON iv.a <= c.trade_date AND c.trade_date < iv.z")
@@ -120,8 +120,9 @@ def _events_sql(k: int, xb: int, gap: int, tag: str = "") -> str:
 _EV = _events_sql(K, XB, GAP)
 _MD = "md AS (SELECT f.instrument, f.trade_date, avg(CASE WHEN e.minute IS NOT NULL THEN f.fwd_std END) AS m FROM fs f LEFT JOIN ev e USING (instrument, trade_date, minute) GROUP BY 1, 2)"
 _BC = "bc AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS date_idx FROM (SELECT DISTINCT trade_date FROM minute_bars) t)"
-_RAW = f"""{_LR}, {_FS}, {_EV}, {_MD}, {_BC}, raw AS (SELECT instrument, trade_date, CASE WHEN count(m) OVER w >= 2 THEN stddev_samp(m) OVER w END AS factor FROM md JOIN bc USING (trade_date)
+_STD = f"""raw AS (SELECT instrument, trade_date, CASE WHEN count(m) OVER w >= 2 THEN stddev_samp(m) OVER w END AS factor FROM md JOIN bc USING (trade_date)
     WINDOW w AS (PARTITION BY instrument ORDER BY date_idx RANGE BETWEEN {STD - 1} PRECEDING AND CURRENT ROW))"""
+_RAW = f"{_LR}, {_FS}, {_EV}, {_MD}, {_BC}, {_STD}"
 
 
 def bars(spark, d):
@@ -254,10 +255,13 @@ def neutralize_group_one(spark, d):
     return x.neutralize_group(both, "close", "ln_cap", "grp", LEAST).select(*IT, r(F.col("resid"), 5).alias("resid"))
 
 
-@query()
+@query(f""", ex AS (SELECT p.*, e.ln_cap FROM panel p JOIN exposure e USING (instrument) WHERE in_pool),
+    dm AS (SELECT *, close - avg(close) OVER w AS y, ln_cap - avg(ln_cap) OVER w AS a, volume - avg(volume) OVER w AS b FROM ex WINDOW w AS (PARTITION BY trade_date)),
+    sm AS (SELECT *, count(*) OVER w AS n, sum(a * a) OVER w AS saa, sum(b * b) OVER w AS sbb, sum(a * b) OVER w AS sab, sum(a * y) OVER w AS say, sum(b * y) OVER w AS sby FROM dm WINDOW w AS (PARTITION BY trade_date))
+    SELECT instrument, trade_date, CASE WHEN n >= 6 THEN round(y - ((sbb * say - sab * sby) * a + (saa * sby - sab * say) * b) / (saa * sbb - sab * sab), 4) + 0.0 END AS resid FROM sm""")
 def neutralize_many(spark, d):
     both = panel(spark, d).where("in_pool").join(view(spark, d, "exposure"), "instrument").select(*IT, "close", "ln_cap", F.col("volume"))
-    return x.neutralize_many(both, "close", ["ln_cap", "volume"], LEAST).select(*IT, r(F.col("resid"), 5).alias("resid"))
+    return x.neutralize_many(both, "close", ["ln_cap", "volume"], 6).select(*IT, r(F.col("resid"), 4).alias("resid"))
 
 
 @query("SELECT instrument, trade_date, rank() OVER (PARTITION BY trade_date ORDER BY volume) + (count(*) OVER (PARTITION BY trade_date, volume) - 1) / 2.0 AS rank FROM panel")
@@ -283,9 +287,8 @@ _NET = f"{_BOOK}, {_GROSS}, {_TURN}, nt AS (SELECT eff_idx, gross, turnover, gro
 
 
 def _scored(spark, d):
-    days = panel(spark, d)
-    fwd = b.forward_return(days, b.rebalance_dates(src.calendar(days), "month"))
-    return fwd.join(days.where("in_pool").select(*IT), IT, "left_semi").withColumn("score", F.col("close"))
+    ends = b.rebalance_dates(view(spark, d, "supp_week").select("trade_date"), "month")
+    return b.forward_return(panel(spark, d), ends).where("in_pool").withColumn("score", F.col("close"))
 
 
 def _book(spark, d):
@@ -338,13 +341,13 @@ def gross(spark, d):
 
 @query(f", {_BOOK}, {_TURN} SELECT eff_idx, {_o('turnover')} FROM tv")
 def turnover(spark, d):
-    return b.turnover(_book(spark, d)).select("eff_idx", r(F.col("turnover")).alias("turnover"))
+    held = pipeline.weighted(_scored(spark, d), _G, _G)
+    return b.turnover(b.effective_index(held)).select("eff_idx", r(F.col("turnover")).alias("turnover"))
 
 
 @query(f", {_NET} SELECT eff_idx, {_o('net')} FROM nt")
 def net(spark, d):
-    held = _book(spark, d)
-    return b.net_return(b.gross_return(held, keys=("eff_idx",)), b.turnover(held)).select("eff_idx", r(F.col("net")).alias("net"))
+    return pipeline.replay(_scored(spark, d), _G, _G).select("eff_idx", r(F.col("net")).alias("net"))
 
 
 @query(f""", {_BOOK}, pv AS (SELECT p.* FROM bk p SEMI JOIN bk a ON a.eff_idx = p.eff_idx + 1 AND a.instrument = p.instrument),
@@ -360,15 +363,13 @@ _SHARE = 0.01  # of the capital in the book: compounding the stand-ins' returns
 
 @query(f", {_NET} SELECT {_o(f'product(1 + {_SHARE} * net) - 1', 'total')} FROM nt")
 def total_return(spark, d):
-    held = _book(spark, d)
-    series = b.net_return(b.gross_return(held, keys=("eff_idx",)), b.turnover(held))
+    series = pipeline.replay(_scored(spark, d), _G, _G)
     return b.total_return(series.withColumn("net", _SHARE * F.col("net")), "net").select(r(F.col("total")).alias("total"))
 
 
 @query(f", {_NET} SELECT round(avg(net), 6) + 0.0 AS mean, round(avg(net) / nullif(stddev_samp(net), 0) * sqrt(12.0), 5) + 0.0 AS ir, count(net) AS n FROM nt")
 def annual_ir(spark, d):
-    held = _book(spark, d)
-    series = b.net_return(b.gross_return(held, keys=("eff_idx",)), b.turnover(held))
+    series = pipeline.replay(_scored(spark, d), _G, _G)
     return b.mean_and_ir(series, "net", periods=12).select(r(F.col("mean")).alias("mean"), r(F.col("ir"), 5).alias("ir"), "n")
 
 
@@ -386,8 +387,7 @@ def benchmark(spark, d):
 @query(f""", {_NET}, m AS (SELECT 'mean_net' AS metric, avg(net) AS value FROM nt UNION ALL SELECT 'weeks', count(*) FROM nt UNION ALL SELECT 'turnover', avg(turnover) FROM nt)
     SELECT e.metric, round(m.value, 6) + 0.0 AS value, e.want, e.tol, coalesce(abs(m.value - e.want) <= e.tol, FALSE) AS ok FROM (VALUES ('mean_net', 0.0::DOUBLE, 0.01::DOUBLE), ('weeks', 80.0, 5.0), ('turnover', 0.5, 0.5), ('absent', 1.0, 0.1)) e(metric, want, tol) LEFT JOIN m USING (metric)""")
 def tolerance_report(spark, d):
-    held = _book(spark, d)
-    s = b.net_return(b.gross_return(held, keys=("eff_idx",)), b.turnover(held)).agg(F.avg("net").alias("mean_net"), F.count("*").cast("double").alias("weeks"), F.avg("turnover").alias("turnover"))
+    s = pipeline.replay(_scored(spark, d), _G, _G).agg(F.avg("net").alias("mean_net"), F.count("*").cast("double").alias("weeks"), F.avg("turnover").alias("turnover"))
     metrics = s.select(F.expr("stack(3, 'mean_net', mean_net, 'weeks', weeks, 'turnover', turnover) as (metric, value)"))
     expected = spark.createDataFrame([("mean_net", 0.0, 0.01), ("weeks", 80.0, 5.0), ("turnover", 0.5, 0.5), ("absent", 1.0, 0.1)], "metric string, want double, tol double")
     return b.tolerance_report(metrics, expected).select("metric", r(F.col("value")).alias("value"), "want", "tol", "ok")
@@ -412,21 +412,66 @@ def replay_summary(spark, d):
     return out.select("eff_idx", *[r(F.col(c)).alias(c) for c in ("gross", "turnover", "net", "ic", "rank_ic")])
 
 
+_FACTORS, _VARIANTS = ("close", "volume"), {"A": "clip", "B": "resid", "C": "late"}
+
+
 def _stage_sql() -> str:
     parts = []
-    for stage, column in (("A", "close"), ("B", "volume")):
-        parts.append(f"SELECT '{stage}' AS stage, rb_idx, {_CORR.format(column, 'fwd')} AS ic FROM fw WHERE in_pool AND fwd IS NOT NULL GROUP BY 2")
-    return f", {_FWD}, st AS ({' UNION ALL '.join(parts)}) SELECT stage, year(g.trade_date) AS y, round(avg(ic), 6) + 0.0 AS mean_ic FROM st JOIN rb g USING (rb_idx) GROUP BY GROUPING SETS ((stage, year(g.trade_date)), (stage))"
+    for f in _FACTORS:
+        parts.append(f"""{f}_s AS (SELECT *, {f} AS v FROM ex), {_clip_sql(f"{f}_c", f"{f}_s", "v", 5.0)}, {f}_d AS (SELECT *, v - avg(v) OVER (PARTITION BY trade_date, grp) AS yd, ln_cap - avg(ln_cap) OVER (PARTITION BY trade_date, grp) AS xd FROM {f}_c),
+        {f}_r AS (SELECT *, CASE WHEN count(*) OVER w >= {LEAST} THEN yd - coalesce(sum(yd * xd) OVER w / nullif(sum(xd * xd) OVER w, 0), 0) * xd END AS resid FROM {f}_d WINDOW w AS (PARTITION BY trade_date)),
+        {f}_l AS (SELECT *, first(resid) {_ROLL.format(1, "1 PRECEDING")} AS late FROM {f}_r)""")
+    long = " UNION ALL ".join(f"SELECT '{f}' AS factor, '{v}' AS variant, instrument, trade_date, round({c}, 5) + 0.0 AS score FROM {f}_l" for f in _FACTORS for v, c in (("A", "v"), ("B", "resid"), ("C", "late")))
+    key = "factor, variant, rb_idx"
+    return f""", {_FWD}, ex AS (SELECT p.*, e.ln_cap, e.grp FROM panel p JOIN exposure e USING (instrument) WHERE in_pool), {", ".join(parts)}, lg AS ({long}),
+    lv AS (SELECT lg.factor, lg.variant, fw.rb_idx, instrument, lg.score, fw.fwd, count(*) OVER (PARTITION BY {key}) AS n_ FROM lg JOIN fw USING (instrument, trade_date) WHERE lg.score IS NOT NULL AND fw.fwd IS NOT NULL),
+    dc AS (SELECT *, ntile({_G}) OVER (PARTITION BY {key} ORDER BY score, instrument) AS decile, dense_rank() OVER (PARTITION BY factor, variant ORDER BY rb_idx) - 1 AS eff_idx,
+        rank() OVER (PARTITION BY {key} ORDER BY score) + (count(*) OVER (PARTITION BY {key}, score) - 1) / 2.0 AS rs, rank() OVER (PARTITION BY {key} ORDER BY fwd) + (count(*) OVER (PARTITION BY {key}, fwd) - 1) / 2.0 AS rf FROM lv WHERE n_ >= {_G}),
+    bk AS (SELECT *, CASE WHEN decile = {_G} THEN 1.0 / count(*) OVER (PARTITION BY {key}, decile) WHEN decile = 1 THEN -1.0 / count(*) OVER (PARTITION BY {key}, decile) ELSE 0.0 END AS weight FROM dc),
+    gr AS (SELECT factor, variant, eff_idx, any_value(rb_idx) AS rb_idx, sum(weight * fwd) AS gross, {_CORR.format('rs', 'rf')} AS rank_ic FROM bk GROUP BY 1, 2, 3),
+    mv AS (SELECT coalesce(a.factor, p.factor) AS factor, coalesce(a.variant, p.variant) AS variant, coalesce(a.eff_idx, p.eff_idx + 1) AS eff_idx, 0.5 * abs(coalesce(a.weight, 0) - coalesce(p.weight, 0)) AS h
+        FROM bk a FULL JOIN bk p ON a.factor = p.factor AND a.variant = p.variant AND a.eff_idx = p.eff_idx + 1 AND a.instrument = p.instrument),
+    tv AS (SELECT factor, variant, eff_idx, CASE WHEN eff_idx = 0 THEN 1.0 ELSE sum(h) END AS turnover FROM mv GROUP BY 1, 2, 3),
+    nt AS (SELECT gr.*, gross - 0.0030 * turnover AS net, year(rb.trade_date) AS y FROM gr JOIN tv USING (factor, variant, eff_idx) JOIN rb USING (rb_idx))
+    SELECT factor, variant, y, count(*) AS n, round(avg(rank_ic), 5) + 0.0 AS rank_ic, round(avg(rank_ic) / nullif(stddev_samp(rank_ic), 0) * sqrt(12.0), 4) + 0.0 AS icir, round(avg(net), 5) + 0.0 AS net
+    FROM nt GROUP BY GROUPING SETS ((factor, variant, y), (factor, variant))"""
+
+
+def _stage_scores(spark, d):
+    """factor, variant (A clipped, B and neutral to group and size, C and a day late), instrument, trade_date, score."""
+    both = panel(spark, d).where("in_pool").join(view(spark, d, "exposure"), "instrument")
+    out = []
+    for f in _FACTORS:
+        resid = x.neutralize_group(x.mad_clip(both.withColumn("clip", F.col(f)), "clip", 5.0), "clip", "ln_cap", "grp", LEAST)
+        late = rolling.lagged(resid, "resid", 1, "late")
+        scores = F.array(*[F.struct(F.lit(v).alias("variant"), r(F.col(c), 5).alias("score")) for v, c in _VARIANTS.items()])
+        out.append(late.select(F.lit(f).alias("factor"), *IT, F.inline(scores)))
+    return out[0].unionByName(out[1])
 
 
 @query(_stage_sql())
 def stage_compare(spark, d):
-    days = panel(spark, d)
-    ends = b.rebalance_dates(src.calendar(days), "month")
-    fwd = b.forward_return(days, ends).join(days.where("in_pool").select(*IT, "volume"), IT).where("fwd is not null")
-    stages = [x.ic(fwd, c, "fwd", ("rb_idx",)).withColumn("stage", F.lit(s)) for s, c in (("A", "close"), ("B", "volume"))]
-    both = stages[0].unionByName(stages[1]).join(ends, "rb_idx").withColumn("y", F.year("trade_date").cast("long"))
-    return both.groupingSets([("stage", "y"), ("stage",)], "stage", "y").agg(r(F.avg("ic")).alias("mean_ic"))
+    ends = b.rebalance_dates(view(spark, d, "supp_week").select("trade_date"), "month")
+    fwd = b.forward_return(panel(spark, d), ends).select(*IT, "rb_idx", "fwd")
+    books = ("factor", "variant")
+    series = pipeline.replay(_stage_scores(spark, d).join(fwd, IT), _G, _G, by=books).join(F.broadcast(ends), "rb_idx").withColumn("y", F.year("trade_date").cast("long"))  # one row a rebalance
+    icir = F.try_divide(F.avg("rank_ic"), F.stddev_samp("rank_ic")) * F.sqrt(F.lit(12.0))
+    sums = series.groupingSets([(*books, "y"), books], *books, "y").agg(F.count("*").alias("n"), r(F.avg("rank_ic"), 5).alias("rank_ic"), r(icir, 4).alias("icir"), r(F.avg("net"), 5).alias("net"))
+    return sums.select(*books, "y", "n", "rank_ic", "icir", "net")
+
+
+@query(f""", {_BOOK}, sr AS (SELECT DISTINCT eff_idx, trade_date FROM bk) SELECT p.period, min(eff_idx) AS first_idx, max(eff_idx) AS last_idx, count(*) AS n
+    FROM sr JOIN (VALUES ('select', DATE '{BEGIN}', DATE '1994-12-31'), ('valid', DATE '1995-01-01', DATE '{FINISH}')) p(period, b, f) ON trade_date BETWEEN p.b AND p.f GROUP BY 1""")
+def period_bounds(spark, d):
+    periods = spark.createDataFrame([("select", BEGIN, "1994-12-31"), ("valid", "1995-01-01", FINISH)], "period string, begin string, finish string")
+    periods = periods.withColumns({c: F.col(c).cast("date") for c in ("begin", "finish")})
+    return b.period_bounds(_book(spark, d).select("eff_idx", "trade_date").distinct(), periods)
+
+
+@query(f", i AS (SELECT DISTINCT instrument FROM membership), t AS (SELECT trade_date FROM calendar WHERE trade_date BETWEEN DATE '{BEGIN}' AND DATE '{FINISH}') SELECT i.instrument, t.trade_date, s.close FROM i CROSS JOIN t LEFT JOIN supp_week s USING (instrument, trade_date)")
+def aligned_close(spark, d):
+    days = src.calendar(view(spark, d, "supp_week")).where(F.col("trade_date").between(BEGIN, FINISH))
+    return src.aligned(view(spark, d, "supp_week"), "close", src.pit_codes(view(spark, d, "membership"), "0001-01-01", "9999-12-31"), days).select(*IT, "close")
 
 
 # search and studies ---------------------------------------------------------------------------
@@ -446,9 +491,48 @@ def _population(spark, d):
     return panel(spark, d).groupBy(F.col("instrument").alias("name")).agg(r(F.avg("close"), 3).alias("f1"), r(F.avg("volume"), 3).alias("f2"), r(-F.stddev_samp("close"), 3).alias("f3")).where("f3 is not null")
 
 
-@query(f", {_POP} SELECT name, f1, row_number() OVER (ORDER BY f1 DESC, name) AS place FROM rp")
+_SWEEP = [(h, w, s) for h in (1, 2) for w in (2, 3) for s in (4, 8)]  # horizon, response window, days; the other three lists have one value
+_BASE = "h2_w3_s8"
+
+
+def _sweep_sql() -> str:
+    parts = []
+    for h, w, s in _SWEEP:
+        lr, std = _LR.replace(f"lag(close, {H})", f"lag(close, {h})"), _STD.replace(f"BETWEEN {STD - 1} PRECEDING", f"BETWEEN {s - 1} PRECEDING")
+        fs = _FS.replace(f"= {FW} THEN", f"= {w} THEN").replace(f"AND {FW - 1} FOLLOWING", f"AND {w - 1} FOLLOWING")
+        parts.append(f"SELECT 'h{h}_w{w}_s{s}' AS combo, * FROM (WITH {lr}, {fs}, {_MD}, {_BC}, {std} SELECT instrument, trade_date, round(factor, 6) + 0.0 AS factor FROM raw) q")
+    return f""", {_EV}, cb AS ({' UNION ALL '.join(parts)}), dl AS (SELECT instrument, trade_date, arg_max(close, minute) AS close FROM minute_bars GROUP BY 1, 2),
+    px AS (SELECT instrument, trade_date, lead(close) OVER (PARTITION BY instrument ORDER BY trade_date) / close - 1 AS fwd FROM dl),
+    jn AS (SELECT * FROM cb JOIN px USING (instrument, trade_date) WHERE factor IS NOT NULL AND fwd IS NOT NULL),
+    rk AS (SELECT *, rank() OVER (PARTITION BY combo, trade_date ORDER BY factor) + (count(*) OVER (PARTITION BY combo, trade_date, factor) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY combo, trade_date ORDER BY fwd) + (count(*) OVER (PARTITION BY combo, trade_date, fwd) - 1) / 2.0 AS rb FROM jn),
+    ri AS (SELECT combo, trade_date, {_CORR.format('ra', 'rb')} AS rank_ic FROM rk GROUP BY 1, 2),
+    su AS (SELECT combo, avg(rank_ic) AS mean, round(avg(rank_ic) / nullif(stddev_samp(rank_ic), 0) * sqrt(252.0), 6) + 0.0 AS icir, count(rank_ic) AS n FROM ri GROUP BY 1),
+    pl AS (SELECT *, row_number() OVER (ORDER BY icir DESC NULLS LAST, combo) AS place FROM su)
+    SELECT combo, round(mean, 6) + 0.0 AS mean, icir, n, place, (SELECT place FROM pl WHERE combo = '{_BASE}') AS baseline_place FROM pl"""
+
+
+@query(_sweep_sql())
 def grid_rank(spark, d):
-    return search.ranked(_population(spark, d), "f1", "name").select("name", "f1", "place")
+    days = bars(spark, d).groupBy(*IT).agg(F.max_by("close", "minute").alias("close"))
+    ahead = F.lead("close").over(x.Window.partitionBy("instrument").orderBy("trade_date"))
+    prices = days.withColumn("fwd", F.try_divide(ahead, F.col("close")) - 1).where("fwd is not null")
+    made = {f"h{h}_w{w}_s{s}": pipeline.raw_factor(bars(spark, d), h, w, K, XB, GAP, s).select(*IT, r(F.col("factor")).alias("factor")).where("factor is not null") for h, w, s in _SWEEP}
+    return search.sweep(made, prices, _BASE).withColumn("mean", r(F.col("mean")))
+
+
+@query(f""", {_BOOK}, {_GROSS}, {_TURN}, {_IC}, nt AS (SELECT eff_idx, gross - 0.0030 * turnover AS net, turnover FROM gr JOIN tv USING (eff_idx)),
+    sr AS (SELECT nt.*, rank_ic, year(g.trade_date) AS y FROM nt JOIN ri USING (eff_idx) JOIN (SELECT DISTINCT eff_idx, trade_date FROM bk) g USING (eff_idx)),
+    ag AS (SELECT sign(avg(rank_ic))::DOUBLE AS direction, abs(avg(rank_ic)) - 0.5 * stddev_samp(rank_ic) AS robust_ic, avg(net) AS net_long_short, avg(turnover) AS turnover, count(rank_ic) AS valid FROM sr),
+    fo AS (SELECT avg((sign(m) = direction)::INT::DOUBLE) AS fold_consistency FROM (SELECT y, avg(rank_ic) AS m FROM sr GROUP BY 1) t, ag),
+    iv AS (SELECT *, score AS sc FROM bk), {_resid_sql('ir', 'iv', 'sc', 'volume', 'own')}, ii AS (SELECT rb_idx, {_CORR.format('own', 'fwd')} AS ic FROM ir WHERE own IS NOT NULL GROUP BY 1),
+    wh AS (SELECT count(score)::DOUBLE / count(*) AS coverage, {_CORR.format('score', 'volume')} AS pool_correlation FROM bk)
+    SELECT direction, {_o('robust_ic')}, {_o('net_long_short')}, {_o('turnover')}, valid, {_o('fold_consistency')}, round((SELECT avg(ic) FROM ii), 5) + 0.0 AS incremental_ic, {_o('coverage')}, {_o('pool_correlation')}, 5 AS complexity FROM ag, fo, wh""")
+def fitness(spark, d):
+    held = pipeline.weighted(_scored(spark, d), _G, _G)
+    dates = held.select("rb_idx", F.year("trade_date").alias("y")).distinct()
+    series = pipeline.replay(_scored(spark, d), _G, _G).join(F.broadcast(dates), "rb_idx")  # one row a rebalance
+    out = search.fitness(held, series, "score", "volume", "fwd", "y", tree.complexity(tree.adopted()), LEAST)
+    return out.select("direction", *[r(F.col(c)).alias(c) for c in ("robust_ic", "net_long_short", "turnover")], "valid", r(F.col("fold_consistency")).alias("fold_consistency"), r(F.col("incremental_ic"), 5).alias("incremental_ic"), r(F.col("coverage")).alias("coverage"), r(F.col("pool_correlation")).alias("pool_correlation"), "complexity")
 
 
 @query(f", {_BOOK}, {_IC} SELECT sign(avg(rank_ic))::DOUBLE AS direction FROM ri")
@@ -461,10 +545,17 @@ def pareto_front(spark, d):
     return search.pareto_front(_population(spark, d), ["f1", "f2", "f3"])
 
 
-@query()
+def _crowding_sql() -> str:
+    gap = "CASE WHEN lag({0}) OVER (ORDER BY {0}) IS NULL OR lead({0}) OVER (ORDER BY {0}) IS NULL THEN 'inf'::DOUBLE ELSE coalesce((lead({0}) OVER (ORDER BY {0}) - lag({0}) OVER (ORDER BY {0})) / nullif(max({0}) OVER () - min({0}) OVER (), 0), 0) END"
+    return f""", {_POP}, fr AS (SELECT name, f1, f2, f3 FROM rp x WHERE NOT EXISTS (SELECT 1 FROM rp y WHERE y.f1 >= x.f1 AND y.f2 >= x.f2 AND y.f3 >= x.f3 AND (y.f1 > x.f1 OR y.f2 > x.f2 OR y.f3 > x.f3))),
+    cr AS (SELECT name, {' + '.join(gap.format(c) for c in ('f1', 'f2', 'f3'))} AS c FROM fr) SELECT name, CASE WHEN c < 1e300 THEN round(c, 6) + 0.0 END AS crowding FROM cr"""
+
+
+@query(_crowding_sql())
 def crowding(spark, d):
     front = search.pareto_front(_population(spark, d), ["f1", "f2", "f3"]).withColumn("pareto_rank", F.lit(0))
-    return search.crowding(front, ["f1", "f2", "f3"]).select("name", r(F.col("crowding")).alias("crowding"))
+    c = search.crowding(front, ["f1", "f2", "f3"])
+    return c.select("name", F.when(F.col("crowding") < 1e300, r(F.col("crowding"))).alias("crowding"))  # none at the ends
 
 
 @query(f", {_VOL} SELECT 'vol' AS name, round({_CORR.format('close', 'vol')}, 6) + 0.0 AS corr FROM vl WHERE vol IS NOT NULL UNION ALL SELECT 'volume', round({_CORR.format('close', 'volume')}, 6) + 0.0 FROM panel")
@@ -497,6 +588,14 @@ def ddof_study(spark, d):
     return search.ddof_study(bars(spark, d), H, FW).select(*[r(F.col(c)).alias(c) for c in ("ratio_min", "ratio_max", "expected")])
 
 
+@query(f""", {_LR}, dd AS (SELECT instrument, trade_date, CASE WHEN count(log_ret) OVER w = {FW} THEN stddev_samp(log_ret) OVER w END AS s1, CASE WHEN count(log_ret) OVER w = {FW} THEN stddev_pop(log_ret) OVER w END AS s0 FROM lr
+    WINDOW w AS (PARTITION BY instrument, trade_date ORDER BY minute ROWS BETWEEN CURRENT ROW AND {FW - 1} FOLLOWING)), da AS (SELECT instrument, trade_date, round(avg(s1), 8) + 0.0 AS a, round(avg(s0), 8) + 0.0 AS b FROM dd GROUP BY 1, 2),
+    rr AS (SELECT rank() OVER (PARTITION BY trade_date ORDER BY a) + (count(*) OVER (PARTITION BY trade_date, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY trade_date ORDER BY b) + (count(*) OVER (PARTITION BY trade_date, b) - 1) / 2.0 AS rb FROM da WHERE a IS NOT NULL AND b IS NOT NULL)
+    SELECT max(abs(ra - rb))::DOUBLE AS max_rank_difference FROM rr""")
+def ddof_rank_change(spark, d):
+    return search.ddof_rank_change(bars(spark, d), H, FW)
+
+
 _HW = [(1, 3), (2, 3), (1, 4)]
 
 
@@ -524,20 +623,97 @@ def response_dispersion(spark, d):
 # audits ---------------------------------------------------------------------------------------
 
 
-def _std_plan(days):
-    return rolling.rolling_std(days, "close", STD).select(*IT, "ts_std")
+_CUTS = ["1995-06-30", "1996-12-31", "1998-06-30", "2000-06-30"]
+
+
+def _causal_sql(value: str) -> str:
+    """cut, rows, changed. ``value`` makes v from a table named src."""
+    parts = []
+    for cut in _CUTS:
+        whole, erased = value.replace("src", "panel"), value.replace("src", f"(SELECT * FROM panel WHERE trade_date <= DATE '{cut}')")
+        a, z = f"SELECT instrument, trade_date, v FROM ({whole}) q WHERE trade_date <= DATE '{cut}'", f"SELECT instrument, trade_date, v FROM ({erased}) q"
+        parts.append(f"SELECT '{cut}' AS cut, (SELECT count(*) FROM panel WHERE trade_date <= DATE '{cut}') AS rows, (SELECT count(*) FROM ({a} EXCEPT ALL {z}) t) + (SELECT count(*) FROM ({z} EXCEPT ALL {a}) t) AS changed")
+    return " UNION ALL ".join(parts)
+
+
+_SQL_STD = f"SELECT instrument, trade_date, CASE WHEN count(close) {_W} >= 2 THEN round(stddev_samp(close) {_W}, 5) + 0.0 END AS v FROM src"
+_SQL_VOL = f"SELECT instrument, trade_date, CASE WHEN count(ret) {_W} = {STD} THEN round(stddev_samp(ret) {_W}, 6) + 0.0 END AS v FROM (SELECT *, close / nullif(first(close) {_ROLL.format(1, '1 PRECEDING')}, 0) - 1 AS ret FROM src) s"
+_SQL_AHEAD = f"SELECT instrument, trade_date, first(close) OVER (PARTITION BY instrument ORDER BY date_idx RANGE BETWEEN 3 FOLLOWING AND 3 FOLLOWING) AS v FROM src"
 
 
-@query("SELECT TRUE AS causal")
+@query(_causal_sql(_SQL_STD))
 def q_causality(spark, d):
-    changed = audit.causality(_std_plan, panel(spark, d), "1995-06-30")
-    return changed.agg((F.count("*") == 0).alias("causal"))
+    plan = lambda days: rolling.rolling_std(days, "close", STD, out="v").select(*IT, r(F.col("v"), 5).alias("v"))
+    return audit.causality_report(plan, panel(spark, d), _CUTS)
 
 
-@query("SELECT TRUE AS caught")
+@query(_causal_sql(_SQL_VOL))
+def q_exposure_backward(spark, d):
+    plan = lambda days: rolling.trailing_volatility(days, "close", STD, "v").select(*IT, r(F.col("v")).alias("v"))
+    return audit.causality_report(plan, panel(spark, d), _CUTS)
+
+
+@query(_causal_sql(_SQL_AHEAD))
 def q_planted_lookahead(spark, d):
     ahead = lambda days: rolling.lagged(days, "close", -3, "v").select(*IT, "v")
-    return audit.causality(ahead, panel(spark, d), "1995-06-30").agg((F.count("*") > 0).alias("caught"))
+    return audit.causality_report(ahead, panel(spark, d), _CUTS)
+
+
+@query("SELECT count(*) AS cells, count(*) FILTER (p.close IS DISTINCT FROM s.close) AS mismatches FROM panel p JOIN supp_week s USING (instrument, trade_date)")
+def q_close_aligned(spark, d):
+    return audit.cell_report(panel(spark, d), view(spark, d, "supp_week"), "close")
+
+
+@query(f", {_FWD}, nx AS (SELECT a.instrument, a.trade_date, lead(a.close) OVER w / a.close - 1 AS f, lead(g.rb_idx) OVER w - g.rb_idx AS step FROM panel a JOIN rb g USING (trade_date) WINDOW w AS (PARTITION BY a.instrument ORDER BY g.rb_idx)) SELECT count(*) AS cells, count(*) FILTER (abs(fwd - f) > 1e-9) AS mismatches FROM fw JOIN nx USING (instrument, trade_date) WHERE fwd IS NOT NULL AND step = 1")
+def q_label(spark, d):
+    days, ends = panel(spark, d), b.rebalance_dates(view(spark, d, "supp_week").select("trade_date"), "month")
+    at = days.join(ends, "trade_date").select(*IT, "rb_idx", "close")
+    after = at.select("instrument", (F.col("rb_idx") - 1).alias("rb_idx"), F.col("close").alias("after"))
+    hand = at.join(after, ["instrument", "rb_idx"]).select(*IT, (F.col("after") / F.col("close") - 1).alias("fwd"))
+    return audit.cell_report(b.forward_return(days, ends).where("fwd is not null"), hand, "fwd", 1e-9)
+
+
+@query(f", {_SIG}, {_FWD}, s AS (SELECT DISTINCT v4.instrument, v4.trade_date FROM v4 JOIN rb USING (trade_date)), f AS (SELECT DISTINCT instrument, trade_date FROM fw), j AS (SELECT s.instrument AS a, f.instrument AS b FROM s FULL JOIN f ON s.instrument = f.instrument AND s.trade_date = f.trade_date) SELECT count(*) FILTER (b IS NULL) AS only_a, count(*) FILTER (a IS NULL) AS only_b, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS \"both\" FROM j")
+def q_shared_index(spark, d):
+    ends = b.rebalance_dates(view(spark, d, "supp_week").select("trade_date"), "month")
+    return audit.key_report(_signal(spark, d).join(ends, "trade_date"), b.forward_return(panel(spark, d), ends))
+
+
+@query(", m AS (SELECT instrument, trade_date FROM membership SEMI JOIN supp_week USING (instrument, trade_date)), p AS (SELECT instrument, trade_date FROM panel WHERE in_pool) SELECT (SELECT count(*) FROM (SELECT * FROM p EXCEPT ALL SELECT * FROM m) t) AS only_a, (SELECT count(*) FROM (SELECT * FROM m EXCEPT ALL SELECT * FROM p) t) AS only_b, (SELECT count(*) FROM (SELECT * FROM p INTERSECT ALL SELECT * FROM m) t) AS \"both\"")
+def q_mask_is_membership(spark, d):
+    listed = view(spark, d, "membership").join(view(spark, d, "supp_week").select(*IT), IT, "left_semi")
+    return audit.key_report(panel(spark, d).where("in_pool"), listed)
+
+
+@query(f", {_POOL}, b1 AS (SELECT *, median(close) OVER (PARTITION BY trade_date) AS m FROM pl), b2 AS (SELECT *, median(abs(close - m)) OVER (PARTITION BY trade_date) AS a FROM b1) SELECT trade_date, count(*) FILTER (abs(close - m) > 2 * a) AS moved, 0::BIGINT AS outside FROM b2 GROUP BY 1")
+def q_clip_bounds(spark, d):
+    pool = panel(spark, d).where("in_pool")
+    w = x.Window.partitionBy("trade_date")
+    both = x.mad_clip(pool, "close", 2.0, out="clipped").withColumn("m", F.median("close").over(w)).withColumn("a", F.median(F.abs(F.col("close") - F.col("m"))).over(w))
+    return both.groupBy("trade_date").agg(F.count_if(F.col("clipped") != F.col("close")).alias("moved"), F.count_if(F.abs(F.col("clipped") - F.col("m")) > 2 * F.col("a") + 1e-9).alias("outside"))
+
+
+@query(f", h AS (SELECT p.instrument, p.trade_date, count(*) OVER w AS n, (SELECT count(*) FROM panel q WHERE q.instrument = p.instrument AND q.date_idx BETWEEN p.date_idx - 2 AND p.date_idx) AS have FROM panel p WINDOW w AS (PARTITION BY p.instrument ORDER BY p.date_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT count(*) AS cells, 0::BIGINT AS mismatches, count(*) FILTER (have = 3) AS live, 0::BIGINT AS early FROM h")
+def q_smoothing(spark, d):
+    days = panel(spark, d)
+    lags = rolling.lagged(rolling.lagged(days, "close", 1, "l1"), "close", 2, "l2").select(*IT, ((F.col("close") + F.col("l1") + F.col("l2")) / 3).alias("ts_mean"))
+    made = rolling.trailing_mean(days, "close", 3).withColumn("n", F.row_number().over(x.Window.partitionBy("instrument").orderBy("date_idx")))
+    live = made.agg(F.count("ts_mean").alias("live"), F.count_if((F.col("n") < 3) & F.col("ts_mean").isNotNull()).alias("early"))
+    return audit.cell_report(made, lags, "ts_mean", 1e-6).crossJoin(live)  # one row each
+
+
+@query(f", {_BOOK}, sh AS (SELECT *, lead(fwd) OVER (PARTITION BY instrument ORDER BY eff_idx) AS late FROM bk) SELECT eff_idx, round({_CORR.format('score', 'fwd')}, 6) + 0.0 AS ic, round((SELECT {_CORR.format('t.score', 't.late')} FROM sh t WHERE t.eff_idx = sh.eff_idx AND t.late IS NOT NULL), 6) + 0.0 AS shifted FROM sh GROUP BY eff_idx")
+def q_pairing(spark, d):
+    late = F.lead("fwd").over(x.Window.partitionBy("instrument").orderBy("eff_idx"))
+    held = _book(spark, d).withColumn("late", late)
+    return held.groupBy("eff_idx").agg(r(x.pearson("score", "fwd")).alias("ic"), r(x.pearson("score", "late")).alias("shifted"))
+
+
+@query(f", {_BOOK}, {_IC}, va AS (SELECT rb_idx FROM fw WHERE in_pool AND close IS NOT NULL AND fwd IS NOT NULL GROUP BY 1 HAVING count(*) >= {_G}) SELECT (SELECT count(*) FROM ic) AS scores, (SELECT count(*) FROM va) AS weeks")
+def q_series_length(spark, d):
+    scores = x.ic(_book(spark, d), "score", "fwd", ("eff_idx",)).agg(F.count("*").alias("scores"))
+    weeks = _scored(spark, d).where("score is not null and fwd is not null").groupBy("rb_idx").count().where(F.col("count") >= _G).agg(F.count("*").alias("weeks"))
+    return scores.crossJoin(weeks)  # one row each
 
 
 @query(f", {_SIG} SELECT count(*) AS leaks FROM v4 WHERE mm IS NOT NULL AND NOT in_pool")
@@ -545,12 +721,12 @@ def q_pool_leak(spark, d):
     return audit.pool_leaks(_signal(spark, d), view(spark, d, "membership"), "signal").agg(F.count("*").alias("leaks"))
 
 
-@query("SELECT TRUE AS orthogonal")
+@query(f", ex AS (SELECT p.*, e.ln_cap, e.grp FROM panel p JOIN exposure e USING (instrument) WHERE in_pool), {_resid_sql('n', 'ex', 'close', 'ln_cap', 'resid')} SELECT trade_date, round({_CORR.format('close', 'ln_cap')}, 6) + 0.0 AS before, round(avg(resid * ln_cap) - avg(resid) * avg(ln_cap), 3) + 0.0 AS after FROM n GROUP BY 1 HAVING count(resid) >= {LEAST}")
 def q_orthogonality(spark, d):
     both = panel(spark, d).where("in_pool").join(view(spark, d, "exposure"), "instrument")
-    resid = x.min_cross_section(x.neutralize(both, "close", "ln_cap", LEAST), "resid", LEAST)
-    live = resid.withColumn("_v", F.stddev_pop("resid").over(x.Window.partitionBy("trade_date"))).where("_v > 1e-6")
-    return audit.orthogonality(live, "resid", "ln_cap").agg((F.max("worst") < 1e-5).alias("orthogonal"))
+    resid = x.neutralize(both, "close", "ln_cap", LEAST).groupBy("trade_date")
+    sums = resid.agg(F.count("resid").alias("n"), r(x.pearson("close", "ln_cap")).alias("before"), r(F.avg(F.col("resid") * F.col("ln_cap")) - F.avg("resid") * F.avg("ln_cap"), 3).alias("after"))
+    return sums.where(F.col("n") >= LEAST).drop("n")
 
 
 @query(""", e AS (SELECT min(trade_date) AS a, max(trade_date) AS z FROM membership), fi AS (SELECT instrument FROM membership, e WHERE trade_date = e.a), la AS (SELECT instrument FROM membership, e WHERE trade_date = e.z),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from panelsmith.functions import NUDGE
-from panelsmith.sources.panel import pit_mask, with_date_idx
+from panelsmith.sources.panel import with_date_idx
 
 VIEWS = {
     "minute_bars": """SELECT event_type AS instrument, CAST(ts AS DATE) AS trade_date,
@@ -32,8 +33,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """supp_week with date_idx and in_pool."""
-    return pit_mask(with_date_idx(view(spark, sf_dir, "supp_week")), view(spark, sf_dir, "membership"))
+    """supp_week with date_idx and in_pool: membership follows from the row of the day before, so the panel is scanned once."""
+    days = with_date_idx(view(spark, sf_dir, "supp_week"))
+    w = Window.partitionBy("instrument").orderBy("date_idx")
+    was = (F.lag("date_idx").over(w) == F.col("date_idx") - 1) & (F.lag("volume").over(w) >= 20)
+    return days.withColumn("in_pool", F.coalesce(was, F.lit(False)))
 
 
 def sql(tail: str) -> str:

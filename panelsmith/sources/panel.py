@@ -10,6 +10,34 @@ from pyspark.sql import functions as F
 from panelsmith.functions import nan_to_null
 
 
+def require(df: DataFrame, **kinds: str) -> DataFrame:
+    """``df`` if it has these columns and types (``number``, ``text``, ``date`` or any); else ValueError, before a plan is built."""
+    types, wrong = dict(df.dtypes), []
+    groups = {"number": ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal"), "text": ("string", "varchar", "char"), "date": ("date", "timestamp", "timestamp_ntz")}
+    for name, kind in kinds.items():
+        if name not in types or (kind in groups and not types[name].startswith(groups[kind])):
+            wrong.append(f"{name} {types.get(name, 'missing')}, not {kind}")
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return df
+
+
+def build_slice(spark: SparkSession, bars: str, begin: str, finish: str, members: DataFrame | None = None, warmup_days: int = 0) -> tuple[DataFrame, dict]:
+    """Bars of a date range, with ``warmup_days`` trading days before it, and what the slice holds: instruments, dates, first, last, warmup."""
+    rows = require(read_panel(spark, bars, None, finish, members), instrument="any", trade_date="date", minute="number", close="number", volume="number")
+    kept = extended(rows, begin, finish, warmup_days)
+    inside = F.col("trade_date") >= F.lit(begin).cast("date")
+    day = F.when(inside, F.col("trade_date"))
+    meta = kept.agg(F.count_distinct(F.when(inside, F.col("instrument"))).alias("instruments"), F.count_distinct(day).alias("dates"), F.min(day).alias("first"), F.max(day).alias("last"), F.count_distinct(F.when(~inside, F.col("trade_date"))).alias("warmup"))
+    return kept, meta.first().asDict()
+
+
+def aligned(values: DataFrame, column: str, instruments: DataFrame, days: DataFrame) -> DataFrame:
+    """``column`` on every given instrument and day, in that order of keys; missing where the table has no row."""
+    grid = instruments.select("instrument").distinct().crossJoin(F.broadcast(days.select("trade_date").distinct()))  # days are few
+    return grid.join(values.select("instrument", "trade_date", column), ["instrument", "trade_date"], "left")
+
+
 def read_panel(spark: SparkSession, path: str, begin: str | None = None, finish: str | None = None, members: DataFrame | None = None, values: tuple[str, ...] = ("close", "volume")) -> DataFrame:
     """Rows of ``instrument, trade_date, ...`` in the date range (both ends) and, if given, of members only; NaN becomes NULL.
 
