@@ -8,9 +8,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ARROW_BYTES = 8 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -44,6 +45,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; Arrow batches to Python workers hold ``ARROW_BYTES`` of rows at most from now on, so long texts do not fill a worker."""
+    setting, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if int(conf.get(setting, str(ARROW_BYTES + 1)).rstrip("bB")) > ARROW_BYTES:
+        conf.set(setting, str(ARROW_BYTES))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -99,6 +108,15 @@ def spread_join(df: DataFrame, lookup: DataFrame, key: str, how: str = "inner",
     return dealt.drop("_hot", "_parts").join(many.drop("_hot", "_parts"), [key, "_salt"], how).drop("_salt")
 
 
+def repeated(df: DataFrame, count: str, number: str, each: int = 100_000) -> DataFrame:
+    """``df`` with every row ``count`` times, numbered from 1; a row of a large count is repeated in several tasks, ``each`` times in one go."""
+    n, part, size = F.col(count).cast("long"), F.col("_part"), F.lit(each).cast("long")
+    few = df.where(n <= each).withColumn(number, F.explode(F.sequence(F.lit(1).cast("long"), n)))
+    parts = df.where(n > each).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / size).cast("long"))))
+    spread = parts.repartition(F.xxhash64(*parts.columns))
+    return few.unionByName(spread.withColumn(number, F.explode(F.sequence(part * size + 1, F.least(n, (part + 1) * size)))).drop("_part"))
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of the undirected links ``a, b`` (longs, no nulls).
 
@@ -181,7 +199,7 @@ def map_blocks(df: DataFrame, keys: list[str], run: Callable[[pd.DataFrame, list
             yield run(rows := pd.concat(held, ignore_index=True), _slices(rows, keys))
 
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, *keys).sortWithinPartitions(*keys).mapInPandas(batches, schema)
+    return small_batches(df).repartition(parts, *keys).sortWithinPartitions(*keys).mapInPandas(batches, schema)
 
 
 def _group_starts(f: pd.DataFrame, keys: list[str]) -> np.ndarray:

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelsmith.llm.common import small_batches
+
 PATH_SLOTS, WORD_SLOTS, NUMBERS = 512, 64, 8
 INPUTS = PATH_SLOTS + WORD_SLOTS + NUMBERS
 HIDDEN = 24
@@ -444,7 +446,7 @@ def extract(pages: DataFrame, model: Labeller | None = None, html: str = "html")
             yield pd.Series(out, dtype="object")
 
     read = F.pandas_udf(run, "string")
-    return pages.select(*[F.col(f"`{c}`") for c in pages.columns if c.lower() != "text"], read(F.col(f"`{html}`")).alias("text"))
+    return small_batches(pages).select(*[F.col(f"`{c}`") for c in pages.columns if c.lower() != "text"], read(F.col(f"`{html}`")).alias("text"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

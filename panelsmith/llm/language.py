@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelsmith.llm.common import fresh
+from panelsmith.llm.common import fresh, small_batches
 
 UNDETERMINED = "und"
 _SPACE = 32
@@ -165,7 +165,7 @@ def learn(rows: DataFrame, settings: Settings = Settings()) -> LanguageModel | N
     of whole texts, and only these counts reach the driver. Every language that has rows is
     learned: the driver holds their names and codewords. None where no row has a language and a text.
     """
-    usable = rows.where("lang is not null and text is not null").select("text", "lang")
+    usable = small_batches(rows).where("lang is not null and text is not null").select("text", "lang")
     counts = dict(usable.groupBy("lang").count().collect())  # one row a language
     if not counts:
         return None
@@ -204,7 +204,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text") -
     labelled = F.pandas_udf(run, "lang_pred string, score double, ambiguous boolean")
     (said,) = fresh(docs, "_said")
     names = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "ambiguous")]
-    return docs.withColumn(said, labelled(F.col(f"`{text}`"))).select(*[F.col(f"`{c}`") for c in names], f"{said}.*")
+    return small_batches(docs).withColumn(said, labelled(F.col(f"`{text}`"))).select(*[F.col(f"`{c}`") for c in names], f"{said}.*")
 
 
 def in_fold(key: str, parts: int, part: int) -> Column:

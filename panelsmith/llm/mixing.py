@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelsmith.llm.common import WORD, fresh, written
+from panelsmith.llm.common import WORD, fresh, repeated, written
 
 FANOUT = 64
 
@@ -141,9 +141,7 @@ def mix_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share:
     base = written(base, "mix-sizes")
     targets = source_targets(base, weights, share, most).withColumnRenamed("source", "name")
     same = base.groupBy(*base.columns).agg(F.count("*").alias("n"))  # equal rows get ids of their own by their number
-    rows = same.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select(
-        *base.columns, F.xxhash64(*base.columns, "nth").alias("id")
-    )
+    rows = repeated(same, "n", "nth").select(*base.columns, F.xxhash64(*base.columns, "nth").alias("id"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = (
         rows.join(targets, F.col("source").eqNullSafe(F.col("name")))

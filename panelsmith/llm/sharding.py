@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelsmith.llm.common import repeated
+
 
 def rendezvous(key: Column, shards: int, weights: Sequence[float] | None = None) -> Column:
     """The shard (0 to ``shards - 1``) with the highest weighted score for ``key``.
@@ -31,30 +33,21 @@ def rendezvous(key: Column, shards: int, weights: Sequence[float] | None = None)
 def gapless_slots(df: DataFrame, group: str, key: Column, order: list[str], buckets: int = 256) -> DataFrame:
     """Add ``slot``: the position of each row in its ``group``, gapless from 0.
 
-    Each group is cut into ``buckets`` by a hash of ``key``. The sizes of all (group, bucket)
-    pairs, at most groups x buckets rows, become offsets; the rows are numbered inside a pair
-    only, so no task holds a whole group. Rows equal in ``order`` are numbered arbitrarily.
+    Equal rows are counted first, and written out again at the end. Each group is cut into
+    ``buckets`` by a hash of ``key``. The sizes of all (group, bucket) pairs, at most groups x
+    buckets rows, become offsets; the rows are numbered inside a pair only, so no task holds a
+    whole group or all equal rows. Rows equal in ``order`` are numbered arbitrarily.
     """
-    cut = df.withColumn("_bucket", F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(buckets)).cast("int"))
-    sizes = cut.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
-    sums = sizes.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("_bucket", "_n"))).alias("_all"))
-    ends = F.aggregate(
-        "_all",
-        F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<_bucket:int,_start:bigint>>)").alias("done")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["_n"]).alias("at"),
-            F.concat(acc["done"], F.array(F.struct(x["_bucket"].alias("_bucket"), acc["at"].alias("_start")))).alias("done"),
-        ),
-    )["done"]
-    starts = sums.select(group, F.inline(ends))
+    cut = df.groupBy(*df.columns).agg(F.count("*").alias("_many")).withColumn("_bucket", F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(buckets)).cast("int"))
+    sizes = cut.groupBy(group, "_bucket").agg(F.sum("_many").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(group, "_bucket", F.coalesce(before, F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(group, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = cut.withColumn("_before", F.coalesce(F.sum("_many").over(inside), F.lit(0)))
     # groups x buckets rows at most: a bound that does not depend on the data
-    inside = Window.partitionBy(group, "_bucket").orderBy(*order)
-    return (
-        cut.withColumn("_rn", F.row_number().over(inside))
-        .join(F.broadcast(starts), [group, "_bucket"])
-        .withColumn("slot", F.col("_start") + F.col("_rn") - 1)
-        .drop("_rn", "_start", "_bucket")
-    )
+    placed = numbered.join(F.broadcast(starts), [group, "_bucket"])
+    slot = F.col("_start") + F.col("_before") + F.col("_nth") - 1
+    return repeated(placed, "_many", "_nth").withColumn("slot", slot.cast("long")).drop("_start", "_before", "_bucket", "_many", "_nth")
 
 
 def shard_documents(

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelsmith.llm.common import block_pairs, components, fresh, hot_keys, map_blocks, spread_join, written
+from panelsmith.llm.common import block_pairs, components, fresh, hot_keys, map_blocks, small_batches, spread_join, written
 
 BITS = 64
 BLOCK_ROWS = 4096
@@ -50,7 +50,7 @@ def shingle_hashes(text: str | bytes | None, words_per_shingle: int) -> np.ndarr
 
 def by_rows(docs: DataFrame, columns: list[str], made: str, run: Callable[[list[bytes]], dict[str, pa.Array]]) -> DataFrame:
     """``columns`` and what ``run`` makes of the UTF-8 bytes of each ``text``, a few rows at a time, so that little is in memory."""
-    cut = docs.select(*columns, F.col("text").cast("binary").alias("text"))
+    cut = small_batches(docs).select(*columns, F.col("text").cast("binary").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

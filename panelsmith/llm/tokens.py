@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelsmith.llm.common import new_folder, written
+from panelsmith.llm.common import new_folder, small_batches, written
 
 SEQUENCE = 2048
 BATCH_ROWS = 64
@@ -293,7 +293,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, leng
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     narrow = max(encoder(path).model.get_vocab_size(), end_id + 1) <= 1 << 16
     # rows of one doc_id, equal ones too, may lie in several ranges
-    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("nth"))
+    keyed = small_batches(docs).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("nth"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("nth")]
     sorted_docs = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelsmith.llm.common import fresh, written
+from panelsmith.llm.common import fresh, small_batches, written
 from panelsmith.llm.language import in_fold
 
 SEED_LEXICON = frozenset("idiot idiots moron morons stupid dumb loser losers pathetic worthless scum trash disgusting clown imbecile fool".split())
@@ -245,7 +245,7 @@ def learn_lexicons(rows: DataFrame, settings: Settings) -> list[dict[str, float]
 
 
 def learn(rows: DataFrame, settings: Settings = Settings()) -> ToxicityModel:
-    """Fit on a bounded sample of ``doc_id, text, toxic``.
+    """Fit on a bounded sample of ``doc_id, text, toxic, draw`` (see :func:`labelled`).
 
     The sample is drawn row by row, so repeated rows cannot flood it, and holds about ``sample_rows``
     rows whatever the table's size. Each half of it is described by a lexicon of the other half, so that trees and
@@ -253,9 +253,9 @@ def learn(rows: DataFrame, settings: Settings = Settings()) -> ToxicityModel:
     quarter the calibration. The final lexicon is of all rows. Without labels of both kinds the
     model says the share of toxic labels.
     """
-    n = rows.count()
+    n = small_batches(rows).count()
     half, part = (F.pmod(F.xxhash64("doc_id", F.lit(settings.seed + k)), F.lit(m)).cast("int") for k, m in ((1, 2), (2, 4)))
-    sample = rows.where(F.rand(settings.seed) < F.lit(settings.sample_rows / max(n, 1))).select("doc_id", "text", "toxic", half.alias("half"), part.alias("part"))
+    sample = rows.where(F.col("draw") < F.lit(settings.sample_rows / max(n, 1))).select("doc_id", "text", "toxic", half.alias("half"), part.alias("part"))
     sample = written(sample, "toxicity-sample")
     lexicons = learn_lexicons(sample, settings)
 
@@ -293,15 +293,18 @@ def toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataF
     scored = F.pandas_udf(run, "double")
     (score,) = fresh(docs, "_score")
     names = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
-    return docs.withColumn(score, scored(F.col(f"`{text}`"))).select(
+    return small_batches(docs).withColumn(score, scored(F.col(f"`{text}`"))).select(
         *[F.col(f"`{c}`") for c in names], F.col(score).alias("score"), (F.col(score) >= 0.5).cast("int").alias("predicted")
     )
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, toxic of the documents that have a label, outside the held-out fold; one label per document (the larger)."""
+def labelled(docs: DataFrame, labels: DataFrame, seed: int = Settings.seed) -> DataFrame:
+    """doc_id, text, toxic, draw of the documents that have a label, outside the held-out fold; one label per document (the larger).
+
+    ``draw`` is a random number of each row, so a sample by it is drawn before texts are shuffled.
+    """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    return docs.select("doc_id", "text").where(~in_fold("doc_id", 5, 0)).join(known, "doc_id")
+    return docs.where(~in_fold("doc_id", 5, 0)).select("doc_id", "text", F.rand(seed).alias("draw")).join(known, "doc_id")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
