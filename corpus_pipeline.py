@@ -17,13 +17,19 @@ from panelsmith.llm.toxicity import learn as learn_toxicity
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: those without text or without a letter go."""
+    """Documents in a language: those without text (null or empty) or without a letter go.
+
+    Repeated rows and null doc_ids stay as they are; an empty table, or one without any lang, gives no rows.
+    """
     model = learn(docs.select("doc_id", "text", "lang").where(~in_fold("doc_id", 4, 2)))
     return identify(docs, model).where(f"lang_pred <> '{UNDETERMINED}'").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted to be toxic."""
+    """Documents that are not predicted to be toxic, from their whole texts (null: empty).
+
+    Repeated rows are judged alike and all stay or go; without labels none goes; an empty table gives no rows.
+    """
     model = learn_toxicity(labelled(docs, table(spark, sf_dir, "labels")))
     return toxicity(docs, model).where("predicted = 0").select(*docs.columns)
 
@@ -31,18 +37,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of the smallest doc_id.
 
-    Links: 3-word fingerprints at most 2 bits apart, or a five-word similarity of 0.8 or more at any distance.
+    Links: 3-word fingerprints at most 2 bits apart, or a five-word similarity of 0.8 or more at any distance. Null texts
+    count as empty; rows of one doc_id and unlike texts are documents of their own; an empty table gives no rows.
     """
     return keep_one(docs, sure_bits=2, set_words=5, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; those without words (or text) are not taken.
+
+    A null source is a source; equal rows share their copies; an empty table gives no rows.
+    """
     return take_copies(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in their sequences."""
+    """The pieces of all documents in their sequences: null texts are empty, every row is a document of its own, an empty table gives no rows."""
     return pack_documents(docs, public_tokenizer("byte_bpe_50k.json"))
 
 
