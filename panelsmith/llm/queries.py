@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelsmith.llm.alignment import align_documents
 from panelsmith.llm.common import table
 from panelsmith.llm.fingerprints import fingerprint_documents
 from panelsmith.llm.html import extract_pages
 from panelsmith.llm.language import identify_documents
+from panelsmith.llm.licenses import license_labels
 from panelsmith.llm.mixing import mix_documents
 from panelsmith.llm.packing import pack_documents
+from panelsmith.llm.periods import run_digests
 from panelsmith.llm.sharding import shard_documents
 from panelsmith.llm.simhash import simhash_components
 from panelsmith.llm.tokens import public_tokenizer, token_documents
@@ -57,6 +60,18 @@ def op10_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_labels(table(spark, sf_dir, "documents"))
+
+
+def op12_suffix_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"), public_tokenizer("piece_bpe_32k.model"))
+
+
+def op13_grid_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -70,6 +85,9 @@ QUERIES = {
         op8_simhash_pigeonring,
         op9_differencing_packing,
         op10_pivotal_mixing,
+        op11_license_templates,
+        op12_suffix_alignment,
+        op13_grid_periods,
     )
 }
 # no SQL has these operators' hashes, models, tokenizers or random rounding: tests hold them against brute force
