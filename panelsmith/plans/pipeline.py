@@ -2,28 +2,80 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelsmith.operators import backtest as b
 from panelsmith.operators import intraday, rolling
 from panelsmith.operators import xsection as x
-from panelsmith.sources.panel import calendar, with_date_idx
+from panelsmith.sources.panel import calendar, period_codes, period_days, with_date_idx
+
+
+@dataclass(frozen=True)
+class Params:
+    """The adopted parameters of both stages, and how the job runs; only those given explicitly replace them."""
+
+    horizon: int = 5
+    response_window: int = 5
+    top_k: int = 10
+    exclude_before: int = 15
+    min_gap: int = 5
+    ts_std: int = 60
+    vol_window: int = 60
+    smooth_days: int = 10
+    n_mad: float = 5.0
+    least: int = 30
+    direction: int = -1
+    warmup_days: int = 80
+    smooth_on_warmup: bool = False
+
+
+def daily_response(bars: DataFrame, horizon: int = 5, response_window: int = 5, top_k: int = 10, exclude_before: int = 15, min_gap: int = 5) -> DataFrame:
+    """``instrument, trade_date, mean_response``: dispersion after the day's separated volume peaks; one exchange of bars."""
+    response = intraday.forward_std(intraday.log_return(bars, horizon), "log_ret", response_window)
+    return intraday.event_mean(response, "fwd_std", "volume", top_k, exclude_before, min_gap, "mean_response")
 
 
 def raw_factor(bars: DataFrame, horizon: int = 5, response_window: int = 5, top_k: int = 10, exclude_before: int = 15, min_gap: int = 5, ts_std: int = 60) -> DataFrame:
     """Dispersion after the day's separated volume peaks, and its deviation over the last days: one exchange of bars, one of days."""
-    response = intraday.forward_std(intraday.log_return(bars, horizon), "log_ret", response_window)
-    daily = intraday.event_mean(response, "fwd_std", "volume", top_k, exclude_before, min_gap, "mean_response")
+    daily = daily_response(bars, horizon, response_window, top_k, exclude_before, min_gap)
     return rolling.rolling_std(with_date_idx(daily, calendar(bars)), "mean_response", ts_std, out="factor")
 
 
-def signal_from_raw(panel: DataFrame, value: str, exposure: str, days: int = 10, n_mad: float = 5.0, least: int = 30, direction: int = -1) -> DataFrame:
-    """Pool mask, clip, residual, smoothing, clip, direction. ``panel`` has in_pool and date_idx."""
+def signal_from_raw(panel: DataFrame, value: str, exposure: str, days: int = 10, n_mad: float = 5.0, least: int = 30, direction: int = -1, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pool mask, clip, residual, smoothing, clip, direction. ``panel`` has in_pool and date_idx; several panels are told apart by the columns ``by``."""
+    date, name = (*by, "trade_date"), (*by, "instrument")
     s = panel.withColumn("_v", F.when(F.col("in_pool"), F.col(value)))
-    s = x.neutralize(x.mad_clip(s, "_v", n_mad), "_v", exposure, least, "_r")
-    s = rolling.trailing_mean(s, "_r", days, "_m").withColumn("_m", F.when(F.col("in_pool"), F.col("_m")))
-    return x.mad_clip(s, "_m", n_mad).withColumn("signal", F.col("_m") * direction).drop("_v", "_r", "_m")
+    s = x.neutralize(x.mad_clip(s, "_v", n_mad, keys=date), "_v", exposure, least, "_r", date)
+    s = rolling.trailing_mean(s, "_r", days, "_m", name).withColumn("_m", F.when(F.col("in_pool"), F.col("_m")))
+    return x.mad_clip(s, "_m", n_mad, keys=date).withColumn("signal", F.col("_m") * direction).drop("_v", "_r", "_m")
+
+
+def period_tables(response: DataFrame, daily: DataFrame, membership: DataFrame, periods: DataFrame, p: Params = Params()) -> DataFrame:
+    """``period, instrument, trade_date, raw, signal``: every instrument of a period's universe on each of its days, missing where invalid.
+
+    Each ``period, begin, finish`` has the universe of who is a member on any of its days, and ``p.warmup_days`` trading days of
+    history that only rolling values see. Days may belong to one period and warm up another: cells are told apart by
+    period before any window. The pool is membership and a close. The exposure sees the warmup. The factor is
+    scoped to the period before it is made neutral and smoothed, so the first ``smooth_days - 1`` days of a
+    period have no signal; with ``p.smooth_on_warmup`` it is scoped last.
+
+    ``response``: instrument, trade_date, mean_response (:func:`daily_response`); ``daily``: instrument, trade_date, close, whose days
+    are the calendar; ``membership``: instrument, trade_date.
+    """
+    span = period_days(calendar(daily), periods, p.warmup_days)
+    grid = period_codes(membership, span).join(F.broadcast(span), "period")  # the days of a period are few
+    key = ["instrument", "trade_date"]
+    pool = membership.select(*key).distinct().withColumn("_member", F.lit(True))
+    cells = grid.join(daily.select(*key, "close"), key, "left").join(response.select(*key, "mean_response"), key, "left").join(pool, key, "left")
+    cells = cells.withColumn("in_pool", F.coalesce("_member", F.lit(False)) & F.col("close").isNotNull())
+    own = ("period", "instrument")
+    made = rolling.trailing_volatility(rolling.rolling_std(cells, "mean_response", p.ts_std, out="factor", keys=own), "close", p.vol_window, keys=own)
+    made = made if p.smooth_on_warmup else made.where("inside")
+    signal = signal_from_raw(made, "factor", "vol", p.smooth_days, p.n_mad, p.least, p.direction, ("period",)).where("inside")
+    return signal.select("period", *key, F.when(F.col("in_pool"), F.col("factor")).alias("raw"), "signal")
 
 
 def weighted(scored: DataFrame, groups: int = 10, least: int = 30, by: tuple[str, ...] = ()) -> DataFrame:

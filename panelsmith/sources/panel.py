@@ -81,8 +81,30 @@ def pit_mask(panel: DataFrame, membership: DataFrame) -> DataFrame:
 
 
 def interval_days(intervals: DataFrame, days: DataFrame) -> DataFrame:
-    """Membership rows of half-open intervals ``instrument, start, end`` on the calendar."""
-    return intervals.join(days, (F.col("start") <= F.col("trade_date")) & (F.col("trade_date") < F.coalesce("end", F.lit("9999-12-31").cast("date")))).select("instrument", "trade_date").distinct()
+    """Membership rows of half-open intervals ``instrument, start, end`` on the calendar; an interval without end is open.
+
+    Each interval becomes its calendar days, which meet the trading days by equality.
+    """
+    ends = days.agg(F.min("trade_date").alias("_a"), F.max("trade_date").alias("_z"))
+    first, last = F.greatest("start", "_a"), F.least(F.coalesce(F.date_sub("end", 1), F.col("_z")), F.col("_z"))
+    spans = intervals.crossJoin(F.broadcast(ends)).where(first <= last)  # one row
+    return spans.select("instrument", F.explode(F.sequence(first, last)).alias("trade_date")).join(F.broadcast(days.select("trade_date")), "trade_date", "left_semi").select("instrument", "trade_date").distinct()
+
+
+def period_days(days: DataFrame, periods: DataFrame, warmup_days: int = 0) -> DataFrame:
+    """period, trade_date, date_idx, inside: the trading days of every ``period, begin, finish`` (both ends), and up to ``warmup_days`` before its first.
+
+    A day is there once for each period it belongs to or warms up. ``days``: trade_date, date_idx; both tables are small.
+    """
+    own = days.join(F.broadcast(periods), F.col("trade_date").between(F.col("begin"), F.col("finish")))
+    ends = own.groupBy("period").agg(F.min("date_idx").alias("_a"), F.max("date_idx").alias("_z"))
+    span = F.sequence(F.greatest(F.col("_a") - warmup_days, F.lit(0)), F.col("_z"))
+    return ends.select("period", "_a", F.explode(span).alias("date_idx")).join(days, "date_idx").select("period", "trade_date", "date_idx", (F.col("date_idx") >= F.col("_a")).alias("inside"))
+
+
+def period_codes(membership: DataFrame, span: DataFrame) -> DataFrame:
+    """period, instrument: who is a member on any day inside a period of :func:`period_days`."""
+    return membership.join(F.broadcast(span.where("inside").select("period", "trade_date")), "trade_date").select("period", "instrument").distinct()
 
 
 def dense_rectangle(values: DataFrame, column: str) -> DataFrame:
@@ -93,8 +115,14 @@ def dense_rectangle(values: DataFrame, column: str) -> DataFrame:
 
 
 def write_factor(values: DataFrame, path: str, column: str, parts: int | None = None) -> None:
-    """The long interchange table, sorted by instrument and date: date as text, factor as float."""
-    out = dense_rectangle(values, column).withColumns({"factor": F.col("factor").cast("float"), "trade_date": F.date_format("trade_date", "yyyy-MM-dd")})
+    """The long interchange table of the dense rectangle of ``values`` (see :func:`write_cells`)."""
+    write_cells(dense_rectangle(values, column), path, "factor", parts)
+
+
+def write_cells(cells: DataFrame, path: str, column: str, parts: int | None = None) -> None:
+    """The long interchange table, sorted by instrument and date: date as text, factor as float, status ``ok`` or ``invalid``."""
+    out = cells.select("instrument", F.date_format("trade_date", "yyyy-MM-dd").alias("trade_date"), F.col(column).cast("float").alias("factor"))
+    out = out.withColumn("status", F.when(F.col("factor").isNull(), "invalid").otherwise("ok"))
     out.repartitionByRange(*([parts] if parts else []), "instrument", "trade_date").sortWithinPartitions("instrument", "trade_date").write.parquet(path)
 
 
@@ -106,10 +134,21 @@ def coverage(values: DataFrame, column: str, periods: DataFrame | None = None) -
     return values.groupBy(*keys).agg(F.min("trade_date").alias("first"), F.max("trade_date").alias("last"), F.count_distinct("instrument").alias("instruments"), F.count("*").alias("rows"), F.count(column).alias("ok_cells"))
 
 
-def write_sidecar(values: DataFrame, path: str, column: str, params: dict, periods: DataFrame | None = None) -> None:
-    """A JSON record beside the table: the parameters as they were and what the table covers."""
-    record = coverage(values, column, periods).agg(F.to_json(F.collect_list(F.struct("*"))).alias("windows"))
-    record.withColumns({"params": F.lit(json.dumps(params, sort_keys=True)), "column": F.lit(column)}).write.json(path)
+def period_coverage(cells: DataFrame) -> DataFrame:
+    """instruments, dates, first, last and live cells of ``raw`` and ``signal``, one row a ``period``."""
+    return cells.groupBy("period").agg(
+        F.count_distinct("instrument").alias("instruments"), F.count_distinct("trade_date").alias("dates"), F.min("trade_date").alias("first"), F.max("trade_date").alias("last"),
+        F.count("raw").alias("raw_live_cells"), F.count("signal").alias("signal_live_cells"),
+    )
+
+
+def write_sidecar(cells: DataFrame, path: str, column: str, record: dict) -> None:
+    """A JSON record beside the table of ``column``: what each period covers, rows and live cells, and ``record`` (text that follows the parameters)."""
+    windows = period_coverage(cells).select("period", F.struct("instruments", "dates", *[F.col(c).cast("string").alias(c) for c in ("first", "last")], "raw_live_cells", "signal_live_cells").alias("w"))
+    whole = windows.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("period", "w")))).alias("windows"))  # a row a period
+    counts = cells.agg(F.count("*").alias("rows"), F.count(column).alias("ok_cells"))
+    fields = {k: F.from_json(F.lit(json.dumps(v)), F.schema_of_json(F.lit(json.dumps(v)))) if isinstance(v, (dict, list)) else F.lit(v) for k, v in record.items()}
+    whole.crossJoin(counts).withColumns(fields | {"column": F.lit(column)}).coalesce(1).write.json(path)
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:

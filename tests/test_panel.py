@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 from datetime import date, timedelta
 
 import numpy as np
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from panelsmith.operators import audit, intraday, search, tree
 from panelsmith.operators import xsection as x
-from panelsmith.plans import export
+from panelsmith.plans import export, pipeline
+from panelsmith.sources import definitions
 from panelsmith.sources import panel as src
 
 DAYS = [date(2024, 1, 1) + timedelta(days=k) for k in range(12)]
@@ -47,20 +49,86 @@ def test_reading(spark, folder):
         src.require(members, instrument="text", minute="number")
 
 
+SMALL = {"horizon": 1, "response_window": 2, "top_k": 3, "exclude_before": 2, "min_gap": 2, "ts_std": 3, "vol_window": 3, "smooth_days": 2, "least": 3, "warmup_days": 4}
+
+
 def test_export(spark, folder, tmp_path):
-    given = {"bars": f"{folder}/bars", "daily": f"{folder}/daily", "membership": f"{folder}/members", "out": str(tmp_path), "begin": "2024-01-06", "finish": "2024-01-12"}
-    small = {"horizon": 1, "response_window": 2, "top_k": 3, "exclude_before": 2, "min_gap": 2, "ts_std": 3, "vol_window": 3, "smooth_days": 2, "least": 3}
-    words = [w for k, v in (given | small).items() for w in (f"--{k.replace('_', '-')}", str(v))]
-    paths, params = export.arguments(words)
-    assert paths == given and params.n_mad == 5.0 and params.direction == -1 and params.ts_std == 3
-    export.export(spark, **paths, p=params)
+    given = {"bars": f"{folder}/bars", "daily": f"{folder}/daily", "membership": f"{folder}/members", "out": str(tmp_path)}
+    words = [w for k, v in (given | SMALL).items() for w in (f"--{k.replace('_', '-')}", str(v))]
+    paths, periods, adopted, own = export.arguments([*words, "--period", "select:2024-01-05:2024-01-08", "--period=valid:2024-01-09:2024-01-12"])
+    assert paths == given and adopted is None and periods == [("select", "2024-01-05", "2024-01-08"), ("valid", "2024-01-09", "2024-01-12")]
+    p = export.settings(spark, adopted, own)
+    assert p.n_mad == 5.0 and p.direction == -1 and p.ts_std == 3 and not p.smooth_on_warmup and export.settings(spark, None, export.arguments([*words, "--period", "a:b:c", "--smooth-on-warmup"])[3]).smooth_on_warmup
+    export.export(spark, **paths, periods=periods, p=p)
     raw, signal = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("raw", "signal"))
     assert dict(raw.dtypes) == {"instrument": "string", "trade_date": "string", "factor": "float", "status": "string"}
-    assert raw.count() == signal.count() == 6 * 7 and raw.where("status = 'ok'").count() == 5 * 7
-    assert signal.where("instrument = 'i5' and status = 'ok'").count() == 0 < signal.where("status = 'ok'").count()
-    side = spark.read.json(f"{tmp_path}/raw.json").first()
-    assert json.loads(side["params"])["horizon"] == 1 and json.loads(side["windows"])[0]["ok_cells"] == 35
+    assert raw.count() == signal.count() == 5 * 8 and raw.where("status = 'ok'").count() == 5 * 8
+    live = {r.trade_date for r in signal.where("status = 'ok'").collect()}
+    assert live == {f"2024-01-{n:02}" for n in (6, 7, 8, 10, 11, 12)}  # the first day of each period has no smoothed value
+    side = json.loads((spark.read.text(f"{tmp_path}/signal.json").first()[0]))
+    assert side["params"]["horizon"] == 1 and side["rows"] == 40 and side["ok_cells"] == 30 and "window=3" in side["expression"] and "2-day mean" in side["pipeline"]
+    assert side["windows"]["valid"] == {"instruments": 5, "dates": 4, "first": "2024-01-09", "last": "2024-01-12", "raw_live_cells": 20, "signal_live_cells": 15}
     assert spark.read.json(f"{tmp_path}/manifest").where("length(sha256_16) = 16 and bytes > 0").count() >= 2
+    for bad in ([("a", "2024-01-05", "2024-01-04")], [("a", "2024-01-01", "2024-01-02")] * 2, [("a", "1999-01-01", "1999-02-01")]):
+        with pytest.raises(ValueError):
+            export.export(spark, **paths, periods=bad, p=p)
+
+
+def test_job_reads_no_further_than_its_periods(spark, folder):
+    periods = export.period_table(spark, [("a", "2024-01-06", "2024-01-07"), ("b", "2024-01-08", "2024-01-09")])
+    bars, daily, members = export.read_inputs(spark, f"{folder}/bars", f"{folder}/daily", f"{folder}/members", periods, 2)
+    for t in (bars, daily, members):
+        assert t.select(F.min("trade_date"), F.max("trade_date")).first() == (DAYS[3], DAYS[8])
+    assert "i5" not in {r.instrument for r in bars.select("instrument").distinct().collect()}
+    plan = bars._jdf.queryExecution().executedPlan().toString()
+    assert all(re.search(rf"DataFilters: \[.*trade_date#\d+ {c}", plan) for c in (">= 2024-01-04", "<= 2024-01-09"))
+    made = export.tables(bars, daily, members, periods, export.Params(**SMALL | {"warmup_days": 2}))
+    assert len(re.findall(r"FileScan parquet \[.*minute#", made._jdf.queryExecution().executedPlan().toString())) == 1  # bars are read once for all periods
+
+
+def test_a_period_has_its_own_universe_and_history(spark):
+    """Two periods whose warmups overlap, each name a member of one: against one period at a time."""
+    rng = np.random.default_rng(5)
+    rows = [(f"n{i}", d, float(50 + rng.normal()), float(rng.normal())) for i in range(8) for d in DAYS if rng.random() < 0.9]
+    table = spark.createDataFrame(rows, "instrument string, trade_date date, close double, mean_response double")
+    members = table.where("(trade_date < date'2024-01-07' and instrument <> 'n7') or (trade_date >= date'2024-01-07' and instrument <> 'n0')").select("instrument", "trade_date")
+    spans = [("a", "2024-01-04", "2024-01-06"), ("b", "2024-01-07", "2024-01-11")]
+    for warm in (False, True):
+        p = export.Params(**SMALL | {"smooth_on_warmup": warm})
+        key = ["period", "instrument", "trade_date", "raw", "signal"]
+        both = pipeline.period_tables(table, table, members, export.period_table(spark, spans), p).select(*key).collect()
+        alone = [r for s in spans for r in pipeline.period_tables(table, table, members, export.period_table(spark, [s]), p).select(*key).collect()]
+        assert sorted(map(repr, both)) == sorted(map(repr, alone)) and len(both) == 7 * 3 + 7 * 5
+        assert {r.instrument for r in both if r.period == "a"} == {f"n{i}" for i in range(7)}
+        assert any(r.signal is not None for r in both if r.trade_date == DAYS[6]) == warm
+
+
+RECORD = {
+    "family": "seed_tree", "pareto_rank": 0, "unknown": [1], "genome": {"kind": "typed_seed_tree", "name": "own", "root": None},
+    "definition": {"stage_2_cross_section": {"winsorize": {"method": "MAD", "n_mad": 4.0}, "neutralize": {"vol_window": 40, "min_cross_section": 20}, "smooth": {"days": 7}, "direction": 1}},
+    "measured": {"windows": {"select": {"weeks": 10, "rank_ic": 0.5}}, "full": {"weeks": 12, "net": -0.25}},
+}
+
+
+def test_adopted_definition(spark, tmp_path):
+    node = lambda n: {"leaf": n.leaf} if n.leaf else {"operator": n.operator, "params": dict(n.params), "children": [node(c) for c in n.children]}
+    record = RECORD | {"genome": RECORD["genome"] | {"root": node(tree.adopted(horizon=3, ts_std=20))}}
+    (tmp_path / "own.jsonl").write_text(json.dumps(record) + "\n")
+    words = ["--bars", "b", "--daily", "d", "--membership", "m", "--out", "o", "--period", "a:2024-01-01:2024-01-02", "--from-adopted", f"{tmp_path}/own.jsonl", "--smooth-days=9", "--horizon", "4"]
+    _, _, adopted, own = export.arguments(words)
+    p = export.settings(spark, adopted, own)
+    assert (p.horizon, p.smooth_days) == (4, 9)  # given explicitly, in either form
+    assert (p.ts_std, p.vol_window, p.least, p.n_mad, p.direction, p.top_k, p.warmup_days) == (20, 40, 20, 4.0, 1, 10, 80)
+    got = {(r.period, r.metric): (r.want, r.tol) for r in definitions.expected_metrics(definitions.read_definitions(spark, f"{tmp_path}/own.jsonl")).collect()}
+    assert got == {("select", "weeks"): (10, 0), ("select", "rank_ic"): (0.5, 1e-4), ("full", "weeks"): (12, 0), ("full", "net"): (-0.25, 2e-2)}
+    assert "ts_std" in export.expression(export.asdict(p)) and "window=20" in export.expression(export.asdict(p))
+    for genome in ({"kind": "x", "name": "y", "root": {"operator": "ts_mean_daily", "params": {}, "children": []}}, {"kind": "x", "name": "y", "root": None}):
+        (tmp_path / "bad.jsonl").write_text(json.dumps(RECORD | {"genome": genome}) + "\n")
+        with pytest.raises(ValueError):
+            definitions.adopted_parameters(spark, f"{tmp_path}/bad.jsonl")
+    (tmp_path / "none.jsonl").write_text("")
+    with pytest.raises(ValueError):
+        definitions.adopted_parameters(spark, f"{tmp_path}/none.jsonl")
 
 
 def test_event_mean_is_the_join(bars):
