@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 COST = 0.0030
 
 
-def rebalance_dates(days: DataFrame, unit: str = "week") -> DataFrame:
-    """The last trading date of each week (or month), numbered."""
-    last = F.max("trade_date").over(Window.partitionBy(F.date_trunc(unit, "trade_date")))
-    ends = days.select("trade_date").distinct().withColumn("_last", last).where("trade_date = _last").drop("_last")
-    return ends.withColumn("rb_idx", (F.row_number().over(Window.orderBy("trade_date")) - 1).cast("long"))
+def rebalance_dates(days: DataFrame, unit: str = "week", by: tuple[str, ...] = ()) -> DataFrame:
+    """The last trading date of each week (or month), numbered; of each calendar that the columns ``by`` tell apart."""
+    last = F.max("trade_date").over(Window.partitionBy(*by, F.date_trunc(unit, "trade_date")))
+    ends = days.select(*by, "trade_date").distinct().withColumn("_last", last).where("trade_date = _last").drop("_last")
+    return ends.withColumn("rb_idx", (F.row_number().over(Window.partitionBy(*by).orderBy("trade_date")) - 1).cast("long"))
 
 
-def forward_return(panel: DataFrame, rebalances: DataFrame, price: str = "close", out: str = "fwd") -> DataFrame:
+def forward_return(panel: DataFrame, rebalances: DataFrame, price: str = "close", out: str = "fwd", by: tuple[str, ...] = ()) -> DataFrame:
     """Price at the next rebalance over this one, less 1, on rebalance dates; missing where either is. All columns are kept."""
-    at = panel.join(F.broadcast(rebalances), "trade_date")  # one row a rebalance
-    w = Window.partitionBy("instrument").orderBy("rb_idx")
+    at = panel.join(F.broadcast(rebalances), [*by, "trade_date"])  # one row a rebalance
+    w = Window.partitionBy(*by, "instrument").orderBy("rb_idx")
     ahead = F.when(F.lead("rb_idx").over(w) == F.col("rb_idx") + 1, F.lead(price).over(w))
     return at.withColumn(out, F.try_divide(ahead, F.col(price)) - 1)
 
@@ -42,7 +42,8 @@ def effective_index(book: DataFrame) -> DataFrame:
 def turnover(book: DataFrame, universe: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Half the absolute change of weights from the book of the rebalance before; 1 for the first.
 
-    With ``universe`` (``eff_idx, instrument``) the carried book keeps only names still present.
+    With ``universe`` (``eff_idx, instrument``) the book carried into each rebalance that it lists keeps only the names it
+    lists there: others leave without turnover.
     Each name's weights are compared along its own rebalances: a weight that the next book lacks
     counts there as sold. Several books are told apart by the columns ``by``.
     """
@@ -53,7 +54,9 @@ def turnover(book: DataFrame, universe: DataFrame | None = None, by: tuple[str,
     sides = F.array(F.struct("eff_idx", held.alias("move"), F.lit(1).alias("own")), F.struct((F.col("eff_idx") + 1).alias("eff_idx"), sold.alias("move"), F.lit(0).alias("own")))
     moves = near.select(*by, "instrument", F.inline(sides)).where("move is not null")
     if universe is not None:
-        moves = moves.where("own = 1").unionByName(moves.where("own = 0").join(universe, [*by, "eff_idx", "instrument"], "left_semi"))
+        sold, listed = moves.where("own = 0"), F.broadcast(universe.select(*by, "eff_idx").distinct())  # at most a row a rebalance
+        kept = sold.join(listed, [*by, "eff_idx"], "left_semi").join(universe, [*by, "eff_idx", "instrument"], "left_semi")
+        moves = moves.where("own = 1").unionByName(sold.join(listed, [*by, "eff_idx"], "left_anti")).unionByName(kept)
     sums = moves.groupBy(*by, "eff_idx").agg((0.5 * F.sum("move")).alias("_t"), F.max("own").alias("_own")).where("_own = 1")  # no book follows the last
     return sums.select(*by, "eff_idx", F.when(F.col("eff_idx") == 0, 1.0).otherwise(F.col("_t")).alias("turnover"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelsmith.functions import spread
@@ -72,3 +72,73 @@ def event_mean(bars: DataFrame, value: str, size: str = "volume", k: int = 10, e
         F.struct(F.array_append(acc["kept"], x["m"]).alias("kept"), (acc["s"] + F.coalesce(x["v"], F.lit(0.0))).alias("s"), (acc["n"] + x["v"].isNotNull().cast("int")).alias("n")),
     ).otherwise(acc)
     return day.select(*DAY, F.aggregate("a", start, step, lambda acc: F.try_divide(acc["s"], acc["n"])).alias(out))
+
+
+def response_columns(bars: DataFrame, pairs: list[tuple[int, int]], ddofs: tuple[int, ...] = (1,), price: str = "close") -> tuple[DataFrame, dict[tuple[int, int, int], str]]:
+    """Bars with the forward deviation of the log return of every (horizon, window, ddof), and the columns' names.
+
+    All windows are over the bars of a day, so any number of columns takes one exchange and one sort.
+    """
+    c, logs = F.when(F.col(price) > 0, F.col(price)), {h: f"_l{h}" for h, _ in pairs}
+    step = bars.withColumns({name: F.ln(c) - F.ln(F.lag(c, h).over(_bars())) for h, name in logs.items()})
+    names, made = {}, {}
+    for h, w in pairs:
+        ahead = _bars().rowsBetween(0, w - 1)
+        for d in ddofs:
+            names[h, w, d] = f"_r{h}_{w}_{d}"
+            made[names[h, w, d]] = F.when(F.count(logs[h]).over(ahead) == w, spread(logs[h], d).over(ahead))
+    return step.withColumns(made).drop(*logs.values()), names
+
+
+def _from(day: Column, exclude: int) -> Column:
+    return F.filter(day, lambda b: b["m"] >= exclude) if exclude else day
+
+
+def _separated(day: Column, k: int, min_gap: int, start: Column, add) -> Column:
+    """The fold over the first ``k`` bars of a sorted day: ``add`` takes what is kept (with the minutes ``kept``) and a bar that is far from all of these."""
+    return F.aggregate(F.slice(day, 1, k), start, lambda acc, x: F.when(F.forall(acc["kept"], lambda a: F.abs(a - x["m"]) >= min_gap), add(acc, x)).otherwise(acc))
+
+
+def _sorted_day(bars: DataFrame, size: str, values: list[str]) -> DataFrame:
+    """One row an instrument-day: its bars that have a size, by falling size, then time, as an array ``a`` of ``o, m, v``."""
+    bar = F.when(F.col(size).isNotNull(), F.struct((-F.col(size)).alias("o"), F.col("minute").cast("long").alias("m"), F.array(*[F.col(v).cast("double") for v in values]).alias("v")))
+    return bars.groupBy(*DAY).agg(F.sort_array(F.collect_list(bar)).alias("a"))
+
+
+def event_means(bars: DataFrame, values: list[str], events: list[tuple[int, int, int]], size: str = "volume") -> DataFrame:
+    """``instrument, trade_date, event, value, mean``: :func:`event_mean` of every value over every (k, exclude_before, min_gap), by their places in the lists.
+
+    A day's bars, a bounded session, become one sorted array, which is folded for all combinations: bars are
+    scanned and exchanged once however many there are.
+    """
+    n = len(values)
+    day, parts = F.col("a"), []
+    zero = F.struct(F.array().cast("array<bigint>").alias("kept"), F.array_repeat(F.lit(0.0), n).alias("s"), F.array_repeat(F.lit(0), n).alias("n"))
+    add = lambda acc, x: F.struct(
+        F.array_append(acc["kept"], x["m"]).alias("kept"),
+        F.zip_with(acc["s"], x["v"], lambda s, v: s + F.coalesce(v, F.lit(0.0))).alias("s"),
+        F.zip_with(acc["n"], x["v"], lambda s, v: s + v.isNotNull().cast("int")).alias("n"),
+    )
+    for k, exclude, gap in events:
+        total = _separated(_from(day, exclude), k, gap, zero, add)
+        parts.append(F.zip_with(total["s"], total["n"], lambda s, c: F.try_divide(s, c)))
+    rows = _sorted_day(bars, size, values).select(*DAY, F.posexplode(F.array(*parts)).alias("event", "_m"))
+    return rows.select(*DAY, "event", F.posexplode("_m").alias("value", "mean"))
+
+
+def event_patterns(bars: DataFrame, events: list[tuple[int, int, int]], size: str = "volume") -> DataFrame:
+    """``members, n``: how many bars are an event of just these of the (k, exclude_before, min_gap), by their places in the list.
+
+    Each event bar becomes one set of combinations (words of 62 bits); equal sets are counted. There are no rows of
+    a bar and a combination.
+    """
+    day, start = F.col("a"), F.struct(F.array().cast("array<bigint>").alias("kept"))
+    kept = []
+    for k, exclude, gap in events:
+        kept.append(_separated(_from(day, exclude), k, gap, start, lambda acc, x: F.struct(F.array_append(acc["kept"], x["m"]).alias("kept")))["kept"])
+    each = _sorted_day(bars, size, []).select(F.array(*kept).alias("k"))
+    chunks = [range(a, min(a + 62, len(events))) for a in range(0, len(events), 62)]
+    bits = lambda m: F.array(*[sum((F.when(F.array_contains(F.get("k", F.lit(c)), m), F.lit(1 << (c - ids[0]))).otherwise(F.lit(0)).cast("long") for c in ids), F.lit(0).cast("long")) for ids in chunks])
+    words = each.select(F.explode(F.transform(F.array_distinct(F.flatten("k")), bits)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    own = [F.when(F.shiftrightunsigned(F.get("w", F.lit(i)), c - ids[0]).bitwiseAND(F.lit(1)) == 1, F.lit(c)) for i, ids in enumerate(chunks) for c in ids]
+    return words.select(F.array_compact(F.array(*own)).alias("members"), "n")

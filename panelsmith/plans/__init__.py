@@ -1 +1,3 @@
-"""Whole plans: the factor and signal pipelines, replay, and the registered queries."""
+"""Plans, the export job, and the registered queries (those of the modules imported here register themselves)."""
+
+from panelsmith.plans import period_queries, study_queries  # noqa: F401

@@ -107,3 +107,30 @@ def replay(scored: DataFrame, groups: int = 10, least: int = 30, cost: float = b
     per = numbered(per, by)
     moved = b.turnover(held.join(F.broadcast(per.select(*keys, "eff_idx")), list(keys)), by=by)  # one row a rebalance
     return b.net_return(per, moved, cost, by).select(*by, "eff_idx", "rb_idx", "gross", "turnover", "net", "ic", "rank_ic")
+
+
+def replay_periods(scores: DataFrame, daily: DataFrame, membership: DataFrame, span: DataFrame, unit: str = "week", groups: int = 10, least: int = 30, cost: float = b.COST) -> DataFrame:
+    """Gross, turnover, net, IC and rank IC of each scored rebalance of several periods, with one book carried through all of them.
+
+    Each period has its own rebalances, labels and universe (members on any of its days). The book that one period ends
+    with is carried into the next one; names that its universe lacks leave without turnover. Rebalances are numbered over
+    all periods by date. ``scores``: period, instrument, trade_date, score; ``span``: :func:`period_days`.
+    """
+    key = ["instrument", "trade_date"]
+    own = span.where("inside")
+    ends = b.rebalance_dates(own, unit, ("period",))
+    codes = period_codes(membership, span)
+    pool = membership.select(*key).distinct()
+    priced = daily.select(*key, "close").join(F.broadcast(ends), "trade_date").join(codes, ["period", "instrument"], "left_semi")  # a few rows a rebalance
+    w = Window.partitionBy("period", "instrument").orderBy("rb_idx")
+    ahead = F.when(F.lead("rb_idx").over(w) == F.col("rb_idx") + 1, F.lead("close").over(w))
+    labelled = priced.withColumn("fwd", F.try_divide(ahead, F.col("close")) - 1).join(pool, key, "left_semi")
+    held = weighted(labelled.join(scores, ["period", *key]), groups, least, ("period",))
+    rank = ("period", "rb_idx")
+    ranks = x.average_rank(x.average_rank(held, "score", "_rs", rank), "fwd", "_rf", rank)
+    per = ranks.groupBy("period", "rb_idx", "trade_date").agg(F.sum(F.col("weight") * F.col("fwd")).alias("gross"), x.pearson("score", "fwd").alias("ic"), x.pearson("_rs", "_rf").alias("rank_ic"))
+    per = per.withColumn("eff_idx", (F.row_number().over(Window.orderBy("trade_date", "period")) - 1).cast("long"))  # one row a rebalance
+    firsts = per.groupBy("period").agg(F.min("eff_idx").alias("eff_idx")).where("eff_idx > 0")
+    book = held.join(F.broadcast(per.select("period", "rb_idx", "eff_idx")), ["period", "rb_idx"])
+    moved = b.turnover(book, codes.join(F.broadcast(firsts), "period").select("eff_idx", "instrument"))
+    return b.net_return(per, moved, cost).select("period", "trade_date", "eff_idx", "gross", "turnover", "net", "ic", "rank_ic")

@@ -479,9 +479,13 @@ def aligned_close(spark, d):
 _GRID = {"horizon": [3, 5], "window": [3, 5], "k": [5, 10], "exclude": [0, 15], "gap": [3, 5], "std": [20, 60]}
 
 
-@query("SELECT h AS horizon, w AS \"window\", k, e AS exclude, g AS gap, s AS std FROM (VALUES (3), (5)) a(h), (VALUES (3), (5)) b(w), (VALUES (5), (10)) c(k), (VALUES (0), (15)) d(e), (VALUES (3), (5)) f(g), (VALUES (20), (60)) i(s)")
+@query("""SELECT h AS horizon, w AS "window", k, e AS exclude, g AS gap, s AS std, (SELECT count(*) FROM (SELECT count(*) AS n FROM minute_bars GROUP BY instrument, trade_date) t WHERE n >= h + w AND n > e) AS days
+    FROM (VALUES (3), (5)) a(h), (VALUES (3), (5)) b(w), (VALUES (5), (10)) c(k), (VALUES (0), (15)) d(e), (VALUES (3), (5)) f(g), (VALUES (20), (60)) i(s)""")
 def grid(spark, d):
-    return search.grid(spark, **_GRID)
+    """The grid, and how many instrument-days have bars enough for each combination."""
+    sizes = bars(spark, d).groupBy(*IT).agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("days"))  # a row a session length
+    able = (F.col("n") >= F.col("horizon") + F.col("window")) & (F.col("n") > F.col("exclude"))
+    return sizes.crossJoin(F.broadcast(search.grid(spark, **_GRID))).groupBy(*_GRID).agg(F.coalesce(F.sum(F.when(able, F.col("days"))), F.lit(0)).alias("days"))
 
 
 _POP = "pop AS (SELECT instrument AS name, avg(close) AS f1, avg(volume) AS f2, -stddev_samp(close) AS f3 FROM panel GROUP BY 1), rp AS (SELECT name, round(f1, 3) AS f1, round(f2, 3) AS f2, round(f3, 3) AS f3 FROM pop WHERE f3 IS NOT NULL)"
@@ -516,8 +520,10 @@ def grid_rank(spark, d):
     days = bars(spark, d).groupBy(*IT).agg(F.max_by("close", "minute").alias("close"))
     ahead = F.lead("close").over(x.Window.partitionBy("instrument").orderBy("trade_date"))
     prices = days.withColumn("fwd", F.try_divide(ahead, F.col("close")) - 1).where("fwd is not null")
-    made = {f"h{h}_w{w}_s{s}": pipeline.raw_factor(bars(spark, d), h, w, K, XB, GAP, s).select(*IT, r(F.col("factor")).alias("factor")).where("factor is not null") for h, w, s in _SWEEP}
-    return search.sweep(made, prices, _BASE).withColumn("mean", r(F.col("mean")))
+    lists = [sorted({c[i] for c in _SWEEP}) for i in range(3)]
+    made = search.sweep_factors(bars(spark, d), lists[0], lists[1], [K], [XB], [GAP], lists[2]).where("factor is not null")
+    named = made.select(F.format_string("h%d_w%d_s%d", "horizon", "window", "std").alias("combo"), *IT, r(F.col("factor")).alias("factor"))
+    return search.sweep(named, prices, _BASE).withColumn("mean", r(F.col("mean")))
 
 
 @query(f""", {_BOOK}, {_GROSS}, {_TURN}, {_IC}, nt AS (SELECT eff_idx, gross - 0.0030 * turnover AS net, turnover FROM gr JOIN tv USING (eff_idx)),
@@ -572,20 +578,20 @@ _MASKS = ", ".join(_events_sql(k, e, g, f"_{i}") for i, (k, e, g) in enumerate(_
 
 @query(f", {_MASKS} SELECT combo, round(count(*)::DOUBLE / (SELECT count(*) FROM (SELECT DISTINCT instrument, trade_date FROM minute_bars) t), 6) AS mean_events FROM mk GROUP BY 1")
 def mask_counts(spark, d):
-    out = search.mask_counts(search.event_masks(bars(spark, d), _COMBOS), bars(spark, d))
+    out = search.mask_counts(bars(spark, d), _COMBOS)
     return out.select("combo", r(F.col("mean_events")).alias("mean_events"))
 
 
 @query(f""", {_MASKS}, sz AS (SELECT combo, count(*) AS n FROM mk GROUP BY 1), bo AS (SELECT a.combo AS a, c.combo AS b, count(*) AS n FROM mk a JOIN mk c USING (instrument, trade_date, minute) WHERE a.combo < c.combo GROUP BY 1, 2)
     SELECT p.combo AS a, q.combo AS b, round(coalesce(bo.n, 0)::DOUBLE / (p.n + q.n - coalesce(bo.n, 0)), 6) AS jaccard FROM sz p JOIN sz q ON p.combo < q.combo LEFT JOIN bo ON bo.a = p.combo AND bo.b = q.combo""")
 def mask_jaccard(spark, d):
-    return search.mask_jaccard(search.event_masks(bars(spark, d), _COMBOS)).select("a", "b", r(F.col("jaccard")).alias("jaccard"))
+    return search.mask_jaccard(bars(spark, d), _COMBOS).select("a", "b", r(F.col("jaccard")).alias("jaccard"))
 
 
 @query(f""", {_LR}, dd AS (SELECT CASE WHEN count(log_ret) OVER w = {FW} THEN stddev_samp(log_ret) OVER w END AS s1, CASE WHEN count(log_ret) OVER w = {FW} THEN stddev_pop(log_ret) OVER w END AS s0 FROM lr
     WINDOW w AS (PARTITION BY instrument, trade_date ORDER BY minute ROWS BETWEEN CURRENT ROW AND {FW - 1} FOLLOWING)) SELECT round(min(s1 / s0), 6) AS ratio_min, round(max(s1 / s0), 6) AS ratio_max, round(sqrt({FW}.0 / {FW - 1}), 6) AS expected FROM dd WHERE s0 > 1e-12""")
 def ddof_study(spark, d):
-    return search.ddof_study(bars(spark, d), H, FW).select(*[r(F.col(c)).alias(c) for c in ("ratio_min", "ratio_max", "expected")])
+    return search.ddof_study(bars(spark, d), [(H, FW)]).select(*[r(F.col(c)).alias(c) for c in ("ratio_min", "ratio_max", "expected")])
 
 
 @query(f""", {_LR}, dd AS (SELECT instrument, trade_date, CASE WHEN count(log_ret) OVER w = {FW} THEN stddev_samp(log_ret) OVER w END AS s1, CASE WHEN count(log_ret) OVER w = {FW} THEN stddev_pop(log_ret) OVER w END AS s0 FROM lr
@@ -593,7 +599,7 @@ def ddof_study(spark, d):
     rr AS (SELECT rank() OVER (PARTITION BY trade_date ORDER BY a) + (count(*) OVER (PARTITION BY trade_date, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY trade_date ORDER BY b) + (count(*) OVER (PARTITION BY trade_date, b) - 1) / 2.0 AS rb FROM da WHERE a IS NOT NULL AND b IS NOT NULL)
     SELECT max(abs(ra - rb))::DOUBLE AS max_rank_difference FROM rr""")
 def ddof_rank_change(spark, d):
-    return search.ddof_rank_change(bars(spark, d), H, FW)
+    return search.ddof_rank_change(bars(spark, d), [(H, FW)]).select("max_rank_difference")
 
 
 _HW = [(1, 3), (2, 3), (1, 4)]
@@ -611,7 +617,7 @@ def _response_sql() -> str:
 @query(f"""{_response_sql()}, rr AS (SELECT *, rank() OVER (PARTITION BY combo ORDER BY response) + (count(*) OVER (PARTITION BY combo, response) - 1) / 2.0 AS k FROM rs WHERE response IS NOT NULL)
     SELECT p.combo AS a, q.combo AS b, round({_CORR.format('p.k', 'q.k')}, 6) + 0.0 AS corr FROM rr p JOIN rr q USING (instrument, trade_date) WHERE p.combo < q.combo GROUP BY 1, 2""")
 def response_corr(spark, d):
-    return search.response_correlation(search.responses(bars(spark, d), _HW)).select("a", "b", r(F.col("corr")).alias("corr"))
+    return search.response_correlation(search.responses(bars(spark, d), _HW), _HW).select("a", "b", r(F.col("corr")).alias("corr"))
 
 
 @query(f"{_response_sql()} SELECT combo, {_o('avg(response)', 'mean')}, {_o('stddev_samp(response)', 'std')}, {_o('stddev_samp(response) / nullif(avg(response), 0)', 'cv')} FROM rs GROUP BY 1")

@@ -19,6 +19,9 @@ VIEWS = {
     "calendar": "SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS date_idx FROM (SELECT DISTINCT trade_date FROM {supp_week}) t",
     "membership": """SELECT a.instrument, c.trade_date FROM {supp_week} a JOIN {calendar} p ON a.trade_date = p.trade_date
         JOIN {calendar} c ON c.date_idx = p.date_idx + 1 WHERE a.volume >= 20""",
+    "bar_daily": "SELECT instrument, trade_date, max_by(close, minute) AS close, sum(volume) AS volume FROM {minute_bars} GROUP BY 1, 2",
+    "bar_members": """SELECT instrument, trade_date FROM (SELECT instrument, trade_date, lag(share) OVER (PARTITION BY instrument ORDER BY trade_date) AS was
+        FROM (SELECT instrument, trade_date, volume / sum(volume) OVER (PARTITION BY trade_date) AS share FROM {bar_daily}) s) t WHERE was >= 0.17""",
     "exposure": "SELECT CAST(s_suppkey AS VARCHAR(20)) AS instrument, s_nationkey % 5 AS grp, ln(s_acctbal + 2000) AS ln_cap FROM {supplier}",
 }
 _BASE = ("events", "lineitem", "supplier")
