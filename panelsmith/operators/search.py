@@ -5,19 +5,16 @@ from __future__ import annotations
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelsmith.functions import rounded
 from panelsmith.operators.intraday import event_means, event_patterns, response_columns, separated_events
 from panelsmith.operators.rolling import rolling_std
-from panelsmith.operators.xsection import average_rank, ic, neutralize, pearson, rank_ic, spread_rank
+from panelsmith.operators.xsection import average_rank, ic, neutralize, neutralize_many, pearson, rank_ic, spread_rank
 from panelsmith.sources.panel import with_date_idx
 from panelsmith.sources.shared import stored
 
-POPULATION = 20_000  # candidates that may be compared with each other
-
-
 def grid(spark: SparkSession, **lists: list) -> DataFrame:
     """The cross product of parameter lists; bounded by the lists that are given."""
     frames = [spark.createDataFrame([(v,) for v in values], [name]) for name, values in lists.items()]
@@ -34,34 +31,6 @@ def direction(scores: DataFrame, metric: str = "rank_ic") -> DataFrame:
     return scores.agg(F.signum(F.avg(metric)).alias("direction"))
 
 
-def dominates(a: str, b: str, objectives: list[str]):
-    """Row ``a`` is at least as good in all objectives (higher is better) and better in one."""
-    no_worse = reduce(lambda x, y: x & y, [F.col(f"{a}.{o}") >= F.col(f"{b}.{o}") for o in objectives])
-    better = reduce(lambda x, y: x | y, [F.col(f"{a}.{o}") > F.col(f"{b}.{o}") for o in objectives])
-    return no_worse & better
-
-
-def pareto_front(rows: DataFrame, objectives: list[str]) -> DataFrame:
-    """Rows that no row dominates; a population of candidates (see :data:`POPULATION`), not a data table, is compared."""
-    return rows.alias("x").join(rows.alias("y"), dominates("y", "x", objectives), "left_anti")
-
-
-def pareto_ranks(rows: DataFrame, key: str, objectives: list[str]) -> DataFrame:
-    """Add pareto_rank: 0 for the front, 1 for the front of the rest, and so on, until none is left.
-
-    What is left is checkpointed for each front (set ``spark.checkpoint.dir``). Raises ValueError above :data:`POPULATION` rows.
-    """
-    left, out, rank = rows.checkpoint(), None, 0
-    if (n := left.count()) > POPULATION:
-        raise ValueError(f"a population of {n} candidates; at most {POPULATION} are compared with each other")
-    while n:
-        front = pareto_front(left, objectives).withColumn("pareto_rank", F.lit(rank))
-        out = front if out is None else out.unionByName(front)
-        left = left.join(front.select(key), key, "left_anti").checkpoint()
-        rank, n = rank + 1, left.count()
-    return out if out is not None else rows.withColumn("pareto_rank", F.lit(0))
-
-
 def crowding(rows: DataFrame, objectives: list[str], front: str = "pareto_rank") -> DataFrame:
     """Crowding distance in a front: the sum over objectives of the gap between neighbours over the range; infinite at the ends."""
     step, parts = rows, []
@@ -78,13 +47,6 @@ def pool_correlation(candidate: DataFrame, pool: DataFrame, value: str = "factor
     return pool.join(a, ["instrument", "trade_date"]).groupBy("name").agg(pearson("_a", value).alias("corr"))
 
 
-def distinct_factors(candidates: DataFrame, correlations: DataFrame, most: float = 0.95) -> DataFrame:
-    """Drop factors of equal expression (the first name stays) and those that correlate above ``most`` with an earlier name."""
-    first = candidates.groupBy("expression").agg(F.min("name").alias("name"))
-    near = correlations.where(F.abs(F.col("corr")) > most).select(F.greatest("a", "b").alias("name")).distinct()
-    return first.join(near, "name", "left_anti")
-
-
 def event_name(k: int, exclude: int, gap: int) -> str:
     return f"k{k}_x{exclude}_g{gap}"
 
@@ -189,16 +151,24 @@ def sweep_factors(bars: DataFrame, horizons: list[int], windows: list[int], ks:
     return panel.select(*labels, "instrument", "trade_date", F.inline(cells))
 
 
-def incremental_ic(panel: DataFrame, score: str, known: str, future: str, least: int = 30, keys: tuple[str, ...] = ("trade_date",)) -> DataFrame:
-    """IC of what an accepted factor ``known`` does not explain of a score, by date."""
-    return ic(neutralize(panel, score, known, least, "_own", keys), "_own", future, keys)
+def incremental_ic(panel: DataFrame, score: str, known: str | list[str], future: str, least: int = 30, keys: tuple[str, ...] = ("trade_date",)) -> DataFrame:
+    """IC of what the accepted factors ``known`` (one, or a pool of several) do not explain of a score, by date."""
+    pool = [known] if isinstance(known, str) else known
+    own = neutralize(panel, score, pool[0], least, "_own", keys) if len(pool) == 1 else neutralize_many(panel, score, pool, least, "_own", keys)
+    return ic(own, "_own", future, keys)
+
+
+def _nearest(score: str, known: str | list[str]) -> Column:
+    """The correlation with the accepted factor whose correlation is the largest either way."""
+    pool = [known] if isinstance(known, str) else known
+    return F.array_max(F.array(*[F.struct(F.abs(c := pearson(score, k)).alias("_a"), c.alias("c")) for k in pool]))["c"]
 
 
-def fitness(panel: DataFrame, replayed: DataFrame, score: str, known: str, future: str, fold: str, nodes: int, least: int = 30, keys: tuple[str, ...] = ("rb_idx",)) -> DataFrame:
+def fitness(panel: DataFrame, replayed: DataFrame, score: str, known: str | list[str], future: str, fold: str, nodes: int, least: int = 30, keys: tuple[str, ...] = ("rb_idx",)) -> DataFrame:
     """One row that says how good a factor is.
 
     direction (sign of the mean rank IC), robust_ic (|mean| less half a deviation of rank IC),
-    incremental_ic (mean IC against one accepted factor), pool_correlation with it, net_long_short and
+    incremental_ic (mean IC against the accepted factors), pool_correlation (with the nearest of them), net_long_short and
     turnover (means), fold_consistency (share of folds whose mean rank IC has the direction),
     coverage, complexity (``nodes``) and valid (scored rebalances).
     ``replayed``: rb_idx, net, turnover, rank_ic and the column ``fold``.
@@ -208,7 +178,7 @@ def fitness(panel: DataFrame, replayed: DataFrame, score: str, known: str, futur
     folds = replayed.groupBy(fold).agg(F.avg("rank_ic").alias("_fold")).crossJoin(F.broadcast(series.select("direction")))
     consistent = folds.agg(F.avg((F.signum("_fold") == F.col("direction")).cast("double")).alias("fold_consistency"))
     new = incremental_ic(panel, score, known, future, least, keys).agg(F.avg("ic").alias("incremental_ic"))
-    whole = panel.agg((F.count(score) / F.count("*")).alias("coverage"), pearson(score, known).alias("pool_correlation"))
+    whole = panel.agg((F.count(score) / F.count("*")).alias("coverage"), _nearest(score, known).alias("pool_correlation"))
     return series.crossJoin(consistent).crossJoin(new).crossJoin(whole).withColumn("complexity", F.lit(nodes))  # one row each
 
 
@@ -225,7 +195,7 @@ def sweep(every: DataFrame, prices: DataFrame, baseline: str, periods: int = 252
 
 
 def sweep_periods(every: DataFrame, prices: DataFrame, periods: DataFrame, train: str) -> DataFrame:
-    """combo, period (and ``full``), direction, ic, rank_ic, n: the mean scores in the direction that the period ``train`` chooses.
+    """combo, period (and ``full``), direction, ic, rank_ic, n: the mean scores in the direction that the period ``train`` chooses (none if its mean is 0 to 6 digits).
 
     ``every``: combo, instrument, trade_date, factor; ``prices``: instrument, trade_date, fwd; ``periods``: period, begin, finish.
     """
@@ -235,5 +205,5 @@ def sweep_periods(every: DataFrame, prices: DataFrame, periods: DataFrame, train
     days = ranks.groupBy(*keys).agg(pearson("_rs", "_rf").alias("rank_ic"), pearson("factor", "fwd").alias("ic"))
     spans = F.broadcast(periods.unionByName(periods.agg(F.lit("full").alias("period"), F.lit("0001-01-01").cast("date").alias("begin"), F.lit("9999-12-31").cast("date").alias("finish"))))
     sums = days.join(spans, F.col("trade_date").between(F.col("begin"), F.col("finish"))).groupBy("combo", "period").agg(F.avg("ic").alias("ic"), F.avg("rank_ic").alias("rank_ic"), F.count("rank_ic").alias("n"))
-    sign = F.max(F.when(F.col("period") == train, F.signum("rank_ic"))).over(Window.partitionBy("combo"))
+    sign = F.max(F.when(F.col("period") == train, F.signum(rounded(F.col("rank_ic"))))).over(Window.partitionBy("combo"))
     return sums.withColumn("direction", sign).withColumns({c: F.col("direction") * F.col(c) for c in ("ic", "rank_ic")})

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelsmith.functions import finite, nan_to_null
+
 DATE = ("trade_date",)
 
 
@@ -45,20 +49,54 @@ def neutralize_group(panel: DataFrame, value: str, exposure: str, group: str, le
     return step.withColumn(out, F.when(F.count("_y").over(w) >= least, F.col("_yd") - slope * F.col("_xd"))).drop("_y", "_x", "_yd", "_xd")
 
 
+def _solved(gram: pd.Series, cross: pd.Series) -> pd.Series:
+    """Slopes of one date's normal equations, scaled to correlations; what others explain gets its least-norm share."""
+    out = []
+    for g, c in zip(gram, cross):
+        c = np.asarray(c, float)
+        g = np.asarray(g, float).reshape(len(c), len(c))
+        size = np.sqrt(np.diag(g))
+        unit = np.where(size > 0, size, 1.0)
+        out.append(np.linalg.pinv(g / np.outer(unit, unit), rcond=1e-10, hermitian=True) @ (c / unit) / unit)
+    return pd.Series(out)
+
+
+def regression(panel: DataFrame, value: str, exposures: list[str], keys: tuple[str, ...] = DATE) -> DataFrame:
+    """One row a date: ``keys, _n, _y`` (mean of the value), ``_x`` (means of the exposures) and ``_b`` (slopes) over rows that have all.
+
+    Means and covariances are one aggregate, combined before the shuffle; only these few numbers a date are solved. One or
+    two exposures are solved by expressions, more by a pseudo-inverse of the date's matrix.
+    """
+    m = len(exposures)
+    whole = reduce(lambda a, b: a & b, [finite(F.col(c).cast("double")) for c in (value, *exposures)])
+    x, y = [F.col(c).cast("double") for c in exposures], F.col(value).cast("double")
+    sums = [F.count("*").alias("_n"), F.avg(y).alias("_y"), F.array(*map(F.avg, x)).alias("_x")]
+    gram = [F.covar_pop(x[min(i, j)], x[max(i, j)]) for i in range(m) for j in range(m)]
+    made = panel.where(whole).groupBy(*keys).agg(*sums, F.array(*gram).alias("_g"), F.array(*[F.covar_pop(e, y) for e in x]).alias("_c"))
+    g, c = (lambda i, j: F.get("_g", F.lit(i * m + j))), (lambda i: F.get("_c", F.lit(i)))
+    one = lambda i: F.when(g(i, i) > 0, c(i) / g(i, i)).otherwise(0.0)
+    if m == 1:
+        slopes = F.array(one(0))
+    elif m == 2:
+        det, full = g(0, 0) * g(1, 1) - g(0, 1) * g(0, 1), g(0, 0) * g(1, 1)
+        apart = det > 1e-10 * full  # else one exposure says what both do
+        both = F.array((g(1, 1) * c(0) - g(0, 1) * c(1)) / det, (g(0, 0) * c(1) - g(0, 1) * c(0)) / det)
+        slopes = F.when(apart & (full > 0), both).when(g(0, 0) > 0, F.array(one(0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), one(1)))
+    else:
+        slopes = F.pandas_udf(_solved, "array<double>")("_g", "_c")
+    return made.select(*keys, "_n", "_y", "_x", slopes.alias("_b"))
+
+
 def neutralize_many(panel: DataFrame, value: str, exposures: list[str], least: int = 30, out: str = "resid", keys: tuple[str, ...] = DATE) -> DataFrame:
-    """Residual on 1 and several exposures by least squares (pseudo-inverse); one date's rows, a bounded universe, meet in a group."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in panel.schema) + f", `{out}` double"
-
-    def fit(day: pd.DataFrame) -> pd.DataFrame:
-        x, y = day[exposures].to_numpy(float), day[value].to_numpy(float)
-        live = np.isfinite(y) & np.isfinite(x).all(axis=1)
-        resid = np.full(len(day), None, object)
-        if live.sum() >= least:
-            a = np.column_stack([np.ones(live.sum()), x[live]])
-            resid[live] = y[live] - a @ (np.linalg.pinv(a) @ y[live])
-        return day.assign(**{out: resid})
-
-    return panel.groupBy(*keys).applyInPandas(fit, schema)
+    """Residual of each date's least squares on 1 and several exposures; missing where a value is, and below ``least`` rows.
+
+    Rows of the panel are not shuffled for it: the slopes of a date (:func:`regression`, one row a date) are broadcast.
+    """
+    fit = F.broadcast(regression(panel, value, exposures, keys))
+    resid = F.col(value).cast("double") - F.col("_y")
+    for i, e in enumerate(exposures):
+        resid = resid - F.get("_b", F.lit(i)) * (F.col(e).cast("double") - F.get("_x", F.lit(i)))
+    return panel.join(fit, list(keys), "left").withColumn(out, F.when(F.col("_n") >= least, nan_to_null(resid))).drop("_n", "_y", "_x", "_b")
 
 
 def average_rank(panel: DataFrame, value: str, out: str = "rank", keys: tuple[str, ...] = DATE) -> DataFrame:

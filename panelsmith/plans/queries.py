@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelsmith.functions import finite
 from panelsmith.functions import rounded as r
-from panelsmith.operators import audit, intraday, rolling, search, tree
+from panelsmith.operators import audit, intraday, rolling, search, skyline, tree
 from panelsmith.operators import backtest as b
 from panelsmith.operators import xsection as x
 from panelsmith.plans import pipeline
@@ -548,7 +548,7 @@ def direction(spark, d):
 
 @query(f", {_POP} SELECT name, f1, f2, f3 FROM rp x WHERE NOT EXISTS (SELECT 1 FROM rp y WHERE y.f1 >= x.f1 AND y.f2 >= x.f2 AND y.f3 >= x.f3 AND (y.f1 > x.f1 OR y.f2 > x.f2 OR y.f3 > x.f3))")
 def pareto_front(spark, d):
-    return search.pareto_front(_population(spark, d), ["f1", "f2", "f3"])
+    return skyline.pareto_front(_population(spark, d), ["f1", "f2", "f3"])
 
 
 def _crowding_sql() -> str:
@@ -559,7 +559,7 @@ def _crowding_sql() -> str:
 
 @query(_crowding_sql())
 def crowding(spark, d):
-    front = search.pareto_front(_population(spark, d), ["f1", "f2", "f3"]).withColumn("pareto_rank", F.lit(0))
+    front = skyline.pareto_front(_population(spark, d), ["f1", "f2", "f3"]).withColumn("pareto_rank", F.lit(0))
     c = search.crowding(front, ["f1", "f2", "f3"])
     return c.select("name", F.when(F.col("crowding") < 1e300, r(F.col("crowding"))).alias("crowding"))  # none at the ends
 

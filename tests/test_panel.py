@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelsmith.operators import audit, intraday, search, tree
+from panelsmith.operators import audit, intraday, skyline, tree
 from panelsmith.operators import xsection as x
 from panelsmith.plans import export, pipeline
 from panelsmith.sources import definitions
@@ -158,24 +158,74 @@ def test_trees(bars):
         assert tree.compile_tree(t, bars, {"known": known}).count() == 72
 
 
-def test_pareto_ranks(spark):
+@pytest.mark.parametrize("block", [4, 16, 4096])
+def test_pareto_ranks(spark, block):
+    """Against comparing all rows: with ties, repeated points and missing objectives; large fronts take the pairs of blocks."""
     rng = np.random.default_rng(2)
-    points = [(k, *map(int, rng.integers(0, 6, 2))) for k in range(40)]
-    got = {r.name: r.pareto_rank for r in search.pareto_ranks(spark.createDataFrame(points, "name long, a long, b long"), "name", ["a", "b"]).collect()}
+    points = [(k, *map(float, rng.integers(0, 6, 2))) for k in range(40)] + [(k, float(k), float(-k)) for k in range(40, 70)] + [(70, None, 3.0), (71, 2.0, 2.0), (72, 2.0, 2.0)]
+    got = {r.name: r.pareto_rank for r in skyline.pareto_ranks(spark.createDataFrame(points, "name long, a double, b double"), "name", ["a", "b"], block=block).collect()}
     left, rank, want = list(points), 0, {}
+    better = lambda q, p: None not in (*q, *p) and q[1] >= p[1] and q[2] >= p[2] and (q[1] > p[1] or q[2] > p[2])
     while left:
-        front = [p for p in left if not any(q[1] >= p[1] and q[2] >= p[2] and (q[1] > p[1] or q[2] > p[2]) for q in left)]
+        front = [p for p in left if not any(better(q, p) for q in left)]
         want |= {p[0]: rank for p in front}
         left, rank = [p for p in left if p not in front], rank + 1
     assert got == want
-    chain = spark.createDataFrame([(k, k) for k in range(8)], "name long, a long")
-    assert {r.pareto_rank for r in search.pareto_ranks(chain, "name", ["a"]).collect()} == set(range(8))
+
+
+def test_pareto_ranks_of_chains_and_nothing(spark):
+    chain = spark.createDataFrame([(k, k) for k in range(5)], "name long, a long")
+    assert {r.pareto_rank for r in skyline.pareto_ranks(chain, "name", ["a"]).collect()} == set(range(5))
+    assert [r.name for r in skyline.pareto_ranks(chain, "name", ["a"], 1).orderBy("pareto_rank").collect()] == [4, 3]
+    assert skyline.pareto_ranks(chain.where("a < 0"), "name", ["a"]).count() == 0 == skyline.pareto_front(chain.where("a < 0"), ["a"]).count()
 
 
 def test_distinct_factors(spark):
-    c = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y"), ("d", "z")], "name string, expression string")
-    pairs = spark.createDataFrame([("c", "d", -0.99), ("a", "c", 0.2)], "a string, b string, corr double")
-    assert sorted(r.name for r in search.distinct_factors(c, pairs).collect()) == ["a", "c"]
+    """Against taking names one after the other; c repeats b, which goes for a, and stays."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(3, 200))
+    values = {"a": base[0], "b": base[0] + 0.25 * base[1], "c": base[0] + 0.5 * base[1], "d": -base[2], "e": base[2] + 0.01 * base[0], "f": base[1], "g": np.full(200, 2.0), "h": base[0]}
+    values |= {f"x{k}": base[0] * np.cos(k / 9) + base[1] * np.sin(k / 9) for k in range(12)}
+    rows = [(n, f"i{k % 20}", DAYS[k // 20], float(v[k])) for n, v in values.items() for k in range(200) if not (n == "e" and k < 30)]
+    factors = spark.createDataFrame(rows, "name string, instrument string, trade_date date, factor double").repartition(6)
+    corr = {(r.a, r.b): r.corr for r in skyline.factor_correlations(factors).collect()}
+    for (a, b), c in corr.items():
+        live = slice(30, None) if "e" in (a, b) else slice(None)
+        want = np.corrcoef(values[a][live], values[b][live])[0, 1] if "g" not in (a, b) else None
+        assert (c is None) == (want is None) and (c is None or abs(c - want) < 1e-9)
+    assert len(corr) == len(values) * (len(values) - 1) // 2
+    expressions = spark.createDataFrame([(n, "same" if n in ("a", "h") else n) for n in values], "name string, expression string")
+    kept = []
+    for n in sorted(set(values) - {"h"}):
+        if not any(abs(corr[min(n, k), max(n, k)] or 0) > 0.95 for k in kept):
+            kept.append(n)
+    assert sorted(r.name for r in skyline.distinct_factors(expressions, factors).collect()) == kept and "b" not in kept and "c" in kept
+
+
+def test_neutralize_many(spark):
+    """Against numpy's least squares a date: collinear and constant exposures, missing values, a date too small."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k, d in enumerate(DAYS[:5]):
+        for i in range(3 if k == 4 else 40):
+            a, b, c = rng.normal(size=3)
+            a, b, c = (a, 2 * a + 1, c) if k == 1 else (a, b, 5.0) if k == 2 else (1e6 + a, 1e6 + a + 1e-3 * b, c) if k == 3 else (a, b, c)
+            rows.append((f"i{i}", d, None if i == 7 else float(rng.normal() + a - c), float(a), float(b), float("nan") if i == 9 else float(c)))
+    df = spark.createDataFrame(rows, "instrument string, trade_date date, y double, a double, b double, c double")
+    for use in (["a"], ["a", "b"], ["a", "b", "c"], ["c", "a"]):
+        got = {(r.instrument, r.trade_date): r.resid for r in x.neutralize_many(df, "y", use, 6).collect()}
+        assert len(got) == len(rows)
+        for d in DAYS[:5]:
+            live = [r for r in rows if r[1] == d and r[2] is not None and not any(np.isnan(r[3 + "abc".index(c)]) for c in use)]
+            own = {i: v for (i, day), v in got.items() if day == d and v is not None}
+            if len(live) < 6:
+                assert not own
+                continue
+            m = np.array([[r[3 + "abc".index(c)] for c in use] for r in live])
+            m = np.column_stack([np.ones(len(live)), m - m.mean(axis=0)])
+            y = np.array([r[2] for r in live])
+            want = y - m @ np.linalg.lstsq(m, y, rcond=1e-7)[0]
+            assert own.keys() == {r[0] for r in live} and max(abs(own[r[0]] - w) for r, w in zip(live, want)) < 1e-4
 
 
 def test_mismatches(spark):
