@@ -126,6 +126,25 @@ def event_means(bars: DataFrame, values: list[str], events: list[tuple[int, int,
     return rows.select(*DAY, "event", F.posexplode("_m").alias("value", "mean"))
 
 
+def event_means_of(bars: DataFrame, specs: list[tuple[str, str, int, int, int]]) -> DataFrame:
+    """``instrument, trade_date`` and a column ``_m0, _m1, ...`` for each (value, size, k, exclude_before, min_gap): its :func:`event_mean`, all in one grouping of the bars of a day."""
+    arrays = {}
+    for value, size, *_ in specs:
+        arrays.setdefault(size, []).append(value)
+    places = {size: {v: i for i, v in enumerate(dict.fromkeys(values))} for size, values in arrays.items()}
+    bar = lambda size: F.when(F.col(size).isNotNull(), F.struct((-F.col(size)).alias("o"), F.col("minute").cast("long").alias("m"), F.array(*[F.col(v).cast("double") for v in places[size]]).alias("v")))
+    names = {size: f"_a{i}" for i, size in enumerate(places)}
+    day = bars.groupBy(*DAY).agg(*([F.sort_array(F.collect_list(bar(size))).alias(a) for size, a in names.items()] or [F.count("*").alias("_n")]))
+    zero = F.struct(F.array().cast("array<bigint>").alias("kept"), F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+    out = []
+    for i, (value, size, k, exclude, gap) in enumerate(specs):
+        own = F.lit(places[size][value])
+        add = lambda acc, x, own=own: F.struct(F.array_append(acc["kept"], x["m"]).alias("kept"), (acc["s"] + F.coalesce(F.get(x["v"], own), F.lit(0.0))).alias("s"), (acc["n"] + F.get(x["v"], own).isNotNull().cast("int")).alias("n"))
+        total = _separated(_from(F.col(names[size]), exclude), k, gap, zero, add)
+        out.append(F.try_divide(total["s"], total["n"]).alias(f"_m{i}"))
+    return day.select(*DAY, *out)
+
+
 def event_patterns(bars: DataFrame, events: list[tuple[int, int, int]], size: str = "volume") -> DataFrame:
     """``members, n``: how many bars are an event of just these of the (k, exclude_before, min_gap), by their places in the list.
 

@@ -31,11 +31,11 @@ def direction(scores: DataFrame, metric: str = "rank_ic") -> DataFrame:
     return scores.agg(F.signum(F.avg(metric)).alias("direction"))
 
 
-def crowding(rows: DataFrame, objectives: list[str], front: str = "pareto_rank") -> DataFrame:
-    """Crowding distance in a front: the sum over objectives of the gap between neighbours over the range; infinite at the ends."""
+def crowding(rows: DataFrame, objectives: list[str], front: str = "pareto_rank", tie: str | None = None) -> DataFrame:
+    """Crowding distance in a front: the sum over objectives of the gap between neighbours over the range; infinite at the ends. Equal values are ordered by ``tie``."""
     step, parts = rows, []
     for o in objectives:
-        w, every = Window.partitionBy(front).orderBy(o), Window.partitionBy(front)
+        w, every = Window.partitionBy(front).orderBy(o, *([tie] if tie else [])), Window.partitionBy(front)
         gap = F.try_divide(F.lead(o).over(w) - F.lag(o).over(w), F.max(o).over(every) - F.min(o).over(every))
         parts.append(F.when(F.lag(o).over(w).isNull() | F.lead(o).over(w).isNull(), F.lit(float("inf"))).otherwise(F.coalesce(gap, F.lit(0.0))))
     return step.withColumn("crowding", reduce(lambda a, b: a + b, parts))

@@ -45,7 +45,7 @@ def parse(record: str | dict) -> Node:
     """A node of nested ``operator, params, children`` or ``leaf`` records."""
     r = json.loads(record) if isinstance(record, str) else record
     if r.get("leaf"):
-        return Node(leaf=r["leaf"])
+        return Node(leaf=r["type"] if r.get("type") in LEAVES else r["leaf"])
     return Node(r["operator"], tuple(sorted((r.get("params") or {}).items())), tuple(parse(c) for c in r.get("children", ())))
 
 
@@ -68,9 +68,9 @@ def kind(node: Node, daily: dict[str, DataFrame] | None = None) -> str:
 
 
 def text(node: Node) -> str:
-    """One line with sorted parameters; equal trees have equal text."""
+    """One line with sorted parameters; equal trees have equal text. Minute leaves go by their column."""
     if node.leaf:
-        return node.leaf
+        return LEAVES.get(node.leaf, node.leaf)
     return f"{node.operator}({', '.join([*map(text, node.children), *(f'{k}={v}' for k, v in node.params)])})"
 
 

@@ -71,7 +71,7 @@ def sweep_rank(spark, d):
 _SIDES = ", ".join(f"('{n}', DATE '{a}', DATE '{z}')" for n, a, z in SPANS)
 
 
-@query(f""", {_sweep_sql()}, sp(period, a, z) AS (VALUES {_SIDES}), dr AS (SELECT combo, sign(avg(rank_ic))::DOUBLE AS direction FROM ri JOIN sp ON trade_date BETWEEN a AND z WHERE period = 'select' GROUP BY 1),
+@query(f""", {_sweep_sql()}, sp(period, a, z) AS (VALUES {_SIDES}), dr AS (SELECT combo, sign(round(avg(rank_ic), 6))::DOUBLE AS direction FROM ri JOIN sp ON trade_date BETWEEN a AND z WHERE period = 'select' GROUP BY 1),
     al AS (SELECT combo, period, rank_ic, ic FROM ri JOIN sp ON trade_date BETWEEN a AND z UNION ALL SELECT combo, 'full', rank_ic, ic FROM ri)
     SELECT combo, period, direction, round(direction * avg(ic), 6) + 0.0 AS ic, round(direction * avg(rank_ic), 6) + 0.0 AS rank_ic, count(rank_ic) AS n FROM al JOIN dr USING (combo) GROUP BY 1, 2, 3""")
 def sweep_periods(spark, d):

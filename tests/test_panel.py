@@ -7,11 +7,12 @@ from datetime import date, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelsmith.operators import audit, intraday, skyline, tree
 from panelsmith.operators import xsection as x
-from panelsmith.plans import export, pipeline
+from panelsmith.plans import export, miner, pipeline
 from panelsmith.sources import definitions
 from panelsmith.sources import panel as src
 
@@ -243,3 +244,48 @@ def test_spread_rank(spark):
     want = sorted(map(tuple, x.average_rank(df.where("v is not null"), "v", "k", ("g",)).select("g", "v", "k").collect()))
     for parts in (2, 16):
         assert sorted(map(tuple, x.spread_rank(df, "v", "k", ("g",), parts).select("g", "v", "k").collect())) == want
+
+
+def test_causality_report_is_the_run_of_each_cut(spark, bars):
+    """Against erasing and running again, for plans that look back, ahead, and drop rows."""
+    days = bars.groupBy("instrument", "trade_date").agg(F.max_by("volume", "minute").alias("volume"))
+    cuts = ["2024-01-03", "2024-01-07", "2024-01-11", "1999-01-01"]
+
+    def ahead(rows, by=(), n=1):
+        w = Window.partitionBy(*by, "instrument").orderBy("trade_date")
+        return rows.withColumn("v", F.lead("volume", n).over(w))
+
+    plans = [lambda rows, by=(): ahead(rows, by, -1), ahead, lambda rows, by=(): ahead(rows, by).where("v is not null")]
+    for build, changes in zip(plans, (False, True, True)):
+        got = {r.cut: r.changed for r in audit.causality_report(build, days, cuts).collect()}
+        for cut in cuts[:3]:
+            assert got[cut] == audit.causality(lambda p: build(p).select("instrument", "trade_date", "v"), days, cut).count()
+            assert (got[cut] > 0) == changes
+        assert set(got) == set(cuts[:3])
+
+
+def test_miner(spark, bars):
+    """One plan for a population: each tree as it is compiled alone; the same seed gives the same rows, and no tree twice."""
+    bars = bars.where(~F.isnan("close"))
+    days = bars.groupBy("instrument", "trade_date").agg(F.max_by("close", "minute").alias("close"))
+    known = days.withColumn("factor", F.col("close"))
+    rng = random.Random(5)
+    nodes = {}
+    while len(nodes) < 12:
+        n = tree.random_tree(rng, ("known",), 0.3)
+        nodes[tree.text(n)] = n
+    whole = miner.compile_population(nodes, bars, {"known": known})
+    assert len(re.findall("FileScan|Scan ExistingRDD|LogicalRDD", whole._jdf.queryExecution().optimizedPlan().toString())) <= 4
+    for name, n in list(nodes.items())[:5]:
+        alone = tree.compile_tree(n, bars, {"known": known})
+        assert audit.cell_mismatches(whole.where(F.col("name") == name), alone, "factor", 1e-9).count() == 0
+    ahead = F.lead("close").over(Window.partitionBy("instrument").orderBy("trade_date"))
+    prices = days.withColumn("fwd", ahead / F.col("close") - 1).select("instrument", "trade_date", "fwd", (F.dayofmonth("trade_date") % 3).alias("fold"))
+    s = miner.Search(seed=2, population=8, generations=2, keep=3)
+    first, again = ([tuple(r) for r in miner.mine(bars, prices, s, {"known": known}).orderBy("name").collect()] for _ in range(2))
+    assert first == again and len(first) == len({r[0] for r in first}) == 16 and {r[1] for r in first} == {0, 1} and min(r[8] for r in first) == 0
+
+
+def test_leaves_of_a_record():
+    leaf = tree.parse({"leaf": "close", "type": "minute_close"})
+    assert leaf.leaf == "minute_close" and tree.text(leaf) == "close"
