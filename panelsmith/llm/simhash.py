@@ -9,14 +9,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelsmith.llm.common import block_pairs, components, fresh, hot_keys, map_blocks, small_batches, spread_join, written
+from panelsmith.llm.tokens import gather
 
 BITS = 64
 BLOCK_ROWS = 4096
 SET_ROWS = 1024  # rows of a block whose shingle sets are compared
+PIVOTS = 4  # rows of a large group that all its blocks are tried against
 WIDE = 256  # bits of the fingerprints of sets
 WIDE_BITS = 80  # of them may differ: sets of a similarity of 0.8 differ in 39 on average (48 if tiny, deviation 6), unlike ones in 128
 _ROWS = 500  # texts that are hashed at once
@@ -197,11 +199,6 @@ def simhash_components(docs: DataFrame, bits: int = 2, words_per_shingle: int =
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def normal_id(text: str | bytes | None) -> int:
-    """An id of a text's words: A-Z becomes a-z, white space counts as one space."""
-    return xxhash.xxh64_intdigest(b" ".join(words_of(text)))
-
-
 def wide_simhash(hashes: np.ndarray) -> np.ndarray:
     """The fingerprint of ``WIDE`` bits of a set of shingle hashes, as 32-bit segments: each hash yields as many bits by mixing."""
     parts = []
@@ -377,6 +374,37 @@ def ring_candidates(rows: DataFrame, similarity: float, bits: int = WIDE_BITS, b
     return map_blocks(block_pairs(rows, ["s"], "node", block_rows), ["s", "lo", "hi"], meet, "a long, b long").distinct()
 
 
+class Overlaps:
+    """How many elements one set of a group shares with each set, from the rows that hold each element."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        sizes = np.array([len(x) for x in sets], np.int64)
+        _, of = np.unique(np.concatenate(sets), return_inverse=True)
+        self.sets = np.split(of, np.cumsum(sizes)[:-1])
+        self.counts = np.bincount(of)
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.rows = np.repeat(np.arange(len(sets)), sizes)[np.argsort(of, kind="stable")]
+
+    def shared(self, x: int) -> np.ndarray:
+        own = self.sets[x]
+        return np.bincount(gather(self.rows, self.starts[own], self.counts[own]), minlength=len(self.sets))
+
+
+def in_blocks(sets: DataFrame, block_rows: int) -> DataFrame:
+    """The nodes of each component dealt into blocks (``lo = hi``) of about ``block_rows``; up to ``PIVOTS`` nodes of the first block are in all blocks.
+
+    A large group whose texts are like most others of it is joined by its pivots, so its rows are shipped once.
+    """
+    sizes = written(sets.groupBy("component").agg(F.count("*").alias("_n")), "component-sizes")
+    sized = spread_join(sets, sizes, "component", hot=hot_keys(sizes, "component")).withColumn("_k", F.ceil(F.col("_n") / F.lit(block_rows)).cast("int"))
+    own = sized.withColumn("lo", F.pmod(F.xxhash64("node", F.lit("block")), F.col("_k")).cast("int"))
+    first = own.where("lo = 0 and _k > 1")  # about a block of each large component
+    rank = F.row_number().over(Window.partitionBy("component").orderBy(F.xxhash64("node", F.lit("pivot"))))
+    pivots = first.withColumn("_r", rank).where(F.col("_r") <= PIVOTS).drop("_r")
+    every = own.unionByName(pivots.withColumn("lo", F.explode(F.sequence(F.lit(1), F.col("_k") - 1))))
+    return every.select(*sets.columns, "lo", F.col("lo").alias("hi"), F.lit(0).alias("side"))
+
+
 def checked_links(dealt: DataFrame, similarity: float, bits: int = WIDE_BITS) -> DataFrame:
     """Links ``a, b`` that join all nodes of the pairs of blocks ``component, lo, hi`` whose sets have that similarity, unless their cluster does."""
 
@@ -386,10 +414,14 @@ def checked_links(dealt: DataFrame, similarity: float, bits: int = WIDE_BITS) ->
         node, cluster, side = (frame[c].to_numpy() for c in ("node", "cluster", "side"))
         same, found = (frame["lo"] == frame["hi"]).to_numpy(), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for g in groups:
+            overlaps = Overlaps(sets[g]) if g.stop - g.start > 8 else None
 
-            def near(x, c, at=g.start):
+            def near(x, c, at=g.start, overlaps=overlaps):
                 c = c[np.minimum(n[at + x], n[at + c]) >= similarity * np.maximum(n[at + x], n[at + c]) - 1e-9]
                 c = c[ring_near(wide[at + x] ^ wide[at + c], bits)]
+                if len(c) and overlaps is not None and n[at + x]:
+                    common = overlaps.shared(x)[c]
+                    return c[common / (n[at + x] + n[at + c] - common) >= similarity]
                 return c[[jaccard(sets[at + x], sets[at + y]) >= similarity for y in c.tolist()]] if len(c) else c
 
             i, j = spanning(near, cluster[g], None if same[g.start] else side[g])
@@ -408,7 +440,9 @@ def similar_links(docs: DataFrame, made: DataFrame, key: str, set_words: int, si
     searched by whole sets, first inside blocks, then between blocks for what is not joined yet. So
     links and rows grow with the texts, also in large groups of copies. No pair is lost but for
     fingerprints further apart than ``WIDE_BITS`` (less than 1 of 10 million pairs of the
-    similarity) or equal hashes of unlike shingles.
+    similarity) or equal hashes of unlike shingles. Only a component of several blocks that its
+    pivots leave in several clusters (:func:`in_blocks`) is compared block by block, whose rows are
+    shipped once a block.
     """
     nodes = made.dropDuplicates(["node"])
     shown = nodes.select("node", "n", "short", F.posexplode("shown").alias("at", "s")).select("s", "node", "n", (F.col("at") < F.col("short")).alias("short"))
@@ -418,15 +452,19 @@ def similar_links(docs: DataFrame, made: DataFrame, key: str, set_words: int, si
     rows = written(rows.join(nodes.select("node", "wide"), "node"), "buckets")
     below = components(ring_candidates(rows, similarity), "candidates")
     found = written(below.unionByName(below.select(F.col("component").alias("node"), "component").distinct()), "candidates")
-    one = made.join(found, "node").groupBy("node", "component").agg(F.min(key).alias(key), F.min("wide").alias("wide"))
+    one = spread_join(made, found, "node", scanned=True).groupBy("node", "component").agg(F.min(key).alias(key), F.min("wide").alias("wide"))
     texts = spread_join(docs.select(key, "text"), one, key).dropDuplicates([key])  # a node has one key here
     sets = written(shingle_sets(texts, set_words).withColumn("cluster", F.col("node")), "shingle-sets")
-    dealt = block_pairs(sets, ["component"], "node", block_rows)
-    inside = written(checked_links(dealt.where("lo = hi"), similarity), "inside-links")
+    inside = written(checked_links(in_blocks(sets, block_rows), similarity), "inside-links")
     if found.groupBy("component").count().where(F.col("count") > block_rows).isEmpty():
         return inside
-    joined = components(inside, "inside")
-    known = sets.drop("cluster").join(joined.select("node", F.col("component").alias("cluster")), "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+    joined = components(inside, "inside").select("node", F.col("component").alias("cluster"))
+    named = written(found.join(joined, "node", "left").select("node", "component", F.coalesce("cluster", "node").alias("cluster")), "clusters")
+    spread = named.groupBy("component").agg(F.count("*").alias("_n"), F.min("cluster").alias("_a"), F.max("cluster").alias("_z"))
+    parted = written(spread.where((F.col("_n") > block_rows) & (F.col("_a") < F.col("_z"))).select("component", "_n"), "parted")
+    if parted.isEmpty():
+        return inside
+    known = spread_join(sets.drop("cluster"), parted, "component", hot=hot_keys(parted, "component")).join(named.select("node", "cluster"), "node")
     between = block_pairs(written(known.select(*sets.columns), "set-clusters"), ["component"], "node", block_rows).where("lo < hi")
     return inside.unionByName(written(checked_links(between, similarity), "between-links"))
 
@@ -438,7 +476,7 @@ def sure_links(made: DataFrame, bits: int) -> DataFrame:
     same = spread_join(fps, heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     near = near_links(heads.select("fp"), bits)
     for c in "ab":
-        near = near.join(heads.select(F.col("fp").alias(c), F.col("head").alias(f"_{c}")), c)
+        near = spread_join(near, heads.select(F.col("fp").alias(c), F.col("head").alias(f"_{c}")), c)
     return same.unionByName(near.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
 
 

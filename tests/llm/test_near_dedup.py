@@ -86,6 +86,32 @@ def test_links_of_a_large_group_grow_with_its_rows(spark):
     assert made[1000] == 999 and made[4000] <= 4000 + 4**2
 
 
+def test_rows_of_a_large_group_are_shipped_once(spark, monkeypatch):
+    """Near copies are joined by pivots: their sets are dealt once and a few times a block; only what pivots leave apart is dealt by pairs of blocks."""
+    rng = np.random.default_rng(16)
+    base = [f"w{rng.integers(100_000)}" for _ in range(60)]
+    shipped = []
+    deal, pairs = simhash.in_blocks, simhash.block_pairs
+    monkeypatch.setattr(simhash, "in_blocks", lambda *a: shipped.append(("in", (x := deal(*a)).count())) or x)
+    monkeypatch.setattr(simhash, "block_pairs", lambda df, bucket, *a: (shipped.append(("pairs", x.count())) if bucket == ["component"] else None, x)[1] if (x := pairs(df, bucket, *a)) else x)
+    for n in (2000, 4000):
+        texts = [" ".join(f"new{k}" if j == k % 60 else w for j, w in enumerate(base)) for k in range(n)]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        shipped.clear()
+        rows = simhash.written(simhash.profiles(df, "doc_id", 3, 5, 0.8), "profiles")
+        links = simhash.similar_links(df, rows, "doc_id", 5, 0.8)
+        assert len(simhash.components(links).select("component").distinct().collect()) == 1
+        assert [k for k, _ in shipped] == ["in"] and n <= shipped[0][1] <= n + simhash.PIVOTS * (n // simhash.SET_ROWS + 1)
+
+
+def test_overlaps_are_those_of_pairs():
+    rng = np.random.default_rng(17)
+    sets = [np.unique(rng.integers(0, 60, int(rng.integers(0, 40)))).astype(np.uint64) for _ in range(30)]
+    o = simhash.Overlaps(sets)
+    for x, a in enumerate(sets):
+        assert o.shared(x).tolist() == [len(np.intersect1d(a, b)) for b in sets] if len(a) else True
+
+
 def test_spanning():
     rng = np.random.default_rng(7)
     for _ in range(40):
