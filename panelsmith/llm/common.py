@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -63,6 +64,12 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Ask for the shuffle files of plans that nothing refers to any more: Spark drops them when the driver collects its garbage, which a loop of small jobs seldom makes it do."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names that no column of ``df`` has in any case: each of ``names``, with underscores before it as needed."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -122,13 +129,15 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Alternates large-star and small-star steps until no link changes; each step groups with
     map-side combining and joins back by :func:`spread_join`, so a node with very many links is
-    dealt over tasks; each round is written to the shared folder, and the one before it removed.
+    dealt over tasks; each round is written to the shared folder, and the one before it removed, with its
+    shuffle files.
     Self-links and repeated links are allowed. Returns ``node, component`` (the smallest node
     reachable) for every node with a link, but for the smallest of each component; an empty input
     gives an empty result.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     spark, state, path = e.sparkSession, None, None
+    del edges
     while True:
         last, path = path, new_folder(spark, name)
         e.write.parquet(path)
@@ -139,13 +148,19 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if tuple(sums) == state or not sums[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         state = tuple(sums)
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hot = hot_keys(both.groupBy("u").agg(F.count("*").alias("_n")), "u", 2 * sums[0])  # a node has no more links in the second join
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = spread_join(both, low, "u", hot=hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = spread_join(large, low, "u", hot=hot).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        free_shuffles(spark)
+        e = _contracted(e, 2 * sums[0])
+
+
+def _contracted(e: DataFrame, ends: int) -> DataFrame:
+    """The links ``u, v`` (v below u), of that many ends, after a large-star and a small-star step."""
+    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    hot = hot_keys(both.groupBy("u").agg(F.count("*").alias("_n")), "u", ends)  # a node has no more links in the second join
+    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = spread_join(both, low, "u", hot=hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = spread_join(large, low, "u", hot=hot).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
 def block_pairs(df: DataFrame, bucket: list[str], row: str, block_rows: int) -> DataFrame:
