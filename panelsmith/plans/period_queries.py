@@ -65,7 +65,7 @@ def period_tables_warm(spark, d):
 
 
 @query(f", {_CELLS} SELECT period, count(DISTINCT instrument) AS instruments, count(DISTINCT trade_date) AS dates, min(trade_date) AS first, max(trade_date) AS last, count(raw) AS raw_live_cells, count(signal) AS signal_live_cells FROM cells GROUP BY 1")
-def period_coverage(spark, d):
+def period_cells_coverage(spark, d):
     return src.period_coverage(_cells(spark, d))
 
 

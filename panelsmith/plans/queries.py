@@ -27,6 +27,8 @@ BEGIN, FINISH = "1993-01-01", "1996-12-31"
 
 def query(text: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         QUERIES[f.__name__] = f
         if text is not None:
             ORACLE_SQL[f.__name__] = sql(text)
