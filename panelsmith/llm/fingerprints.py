@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelsmith.llm.common import WORD
+from panelsmith.llm.common import WORD, written
 
 BINS = 256
 BITS = 8
 WORDS = 5
 _PROBES = 8
 RANGE_BYTES = 32 << 20  # texts of a range that is sorted at once
+MOST_RANGES = 1 << 18  # larger tables have larger ranges
 
 
 def minhash(df: DataFrame, text: str, out: str, words: int = WORDS, bins: int = BINS, bits: int = BITS) -> DataFrame:
@@ -62,30 +65,49 @@ def likeness(a: str, b: str, bits: int = BITS) -> Column:
     return F.greatest(F.lit(0.0), (equal - chance) / (1 - chance))
 
 
-def with_next(df: DataFrame, key: str, order: list[Column], carried: list[str], parts: int) -> DataFrame:
+def range_edges(rows: DataFrame, parts: int) -> DataFrame:
+    """``n, edge``: the first ``pos`` of each of at most ``parts`` ranges of about as many rows, numbered from 0 in order."""
+    names = ["nul", "at", "h"]
+    dealt = rows.select("pos.*").repartitionByRange(parts, *names)
+    first = dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct(*names)).alias("edge"))
+    first = written(first.select("edge").distinct(), "range-edges")  # bounds come from a sample: they are drawn once
+    return first.select((F.row_number().over(Window.orderBy("edge")) - 1).alias("n"), "edge")  # at most MOST_RANGES rows
+
+
+def with_next(df: DataFrame, key: str, text: str, carried: list[str], parts: int) -> DataFrame:
     """Add ``next_*`` of the ``carried`` columns: those of the next row by descending key, after the last the first.
 
-    Rows are dealt by ranges of the key, at most ``parts`` of them, whose bounds are keys of the
-    table. A range's highest rows also go, as guests, to the range above, where the last row needs
-    them; those of the highest range go to the lowest. So each range is sorted on its own, and
-    no row waits for a whole table. Null keys come after all others.
+    Rows are ordered by descending key (null keys last), rows of equal key by a hash of their ``text``,
+    and dealt by ranges of that order, at most ``parts`` of them; so rows that share a key are dealt
+    over ranges too, unless they also share the text. A range's first rows also go, as guests, to
+    the range before it, whose last row needs them; those of the first range go to the last. So each
+    range is sorted on its own, and no row waits for a whole table. A row finds its range in two
+    steps, among the first edges of groups of ranges and among those of its group, so it compares
+    with about twice the root of their number.
     """
-    shares = [(k + 1) / parts for k in range(parts)]
-    found = df.agg(F.percentile_approx(key, F.array(*[F.lit(s) for s in shares]), 10_000).alias("q"), F.max(key).alias("top")).first()
-    bounds = sorted({*(found["q"] or []), *([] if found["top"] is None else [found["top"]])})
-    if not bounds:
-        bounds = [0]
-    top = bounds[-1]
-    edges = F.array(*[F.lit(b) for b in bounds])
-    mine = F.coalesce(F.size(F.filter(edges, lambda b: b < F.col(key))), F.lit(0))
-    spot = F.array_position(edges, F.col(key)).cast("int")  # 1 is the lowest range's highest key
-    guest = F.when(F.col(key) == top, F.struct(F.lit(0).alias("range"), F.lit(2).alias("guest"))).when(spot > 0, F.struct(spot.alias("range"), F.lit(1).alias("guest")))
-    none = F.lit(None).cast("struct<range:int,guest:int>")
-    homes = F.filter(F.array(F.struct(F.when(F.col(key).isNull(), 0).otherwise(mine).alias("range"), F.lit(0).alias("guest")), F.coalesce(guest, none)), lambda x: x.isNotNull())
-    dealt = df.withColumn("_home", F.explode(homes)).repartition(parts, "_home.range")
-    inside = Window.partitionBy("_home.range").orderBy((F.col("_home.guest") == 2).asc(), F.col(key).desc_nulls_last(), *order)
+    at = F.coalesce(F.bitwise_not(F.col(key).cast("long")), F.lit(0).cast("long"))
+    pos = F.struct(F.col(key).isNull().alias("nul"), at.alias("at"), F.xxhash64(text).alias("h"))
+    edges = written(range_edges(df.select(pos.alias("pos")), parts), "ranges")
+    count = edges.count()
+    width = max(1, math.isqrt(max(count - 1, 0)) + 1)  # ranges of a group
+    coarse = edges.where(F.col("n") % width == 0).orderBy("n").collect()  # at most the root of MOST_RANGES
+    kind = edges.schema["edge"].dataType.simpleString()
+    heads = F.array(*[F.struct(F.lit(r.edge.nul).alias("nul"), F.lit(r.edge.at).cast("long").alias("at"), F.lit(r.edge.h).cast("long").alias("h")) for r in coarse])
+    fine = edges.groupBy(F.floor(F.col("n") / width).cast("int").alias("_group")).agg(F.sort_array(F.collect_list("edge")).alias("_edges"))
+    home = F.struct(F.col("_range").alias("range"), F.lit(False).alias("guest"))
+    before = F.struct(F.pmod(F.col("_range") - 1, F.lit(max(count, 1))).alias("range"), F.lit(True).alias("guest"))
+    found = (
+        df.withColumn("_pos", pos)
+        .withColumn("_group", F.size(F.filter(heads.cast(f"array<{kind}>"), lambda e: e <= F.col("_pos"))) - 1)
+        .join(F.broadcast(fine), "_group")
+        .withColumn("_place", F.size(F.filter("_edges", lambda e: e <= F.col("_pos"))) - 1)
+        .withColumn("_range", F.col("_group") * width + F.col("_place"))
+        .withColumn("_home", F.explode(F.when(F.get("_edges", F.col("_place")) == F.col("_pos"), F.array(home, before)).otherwise(F.array(home))))
+    )
+    dealt = found.select(*df.columns, "_pos", "_home").repartition(parts, "_home.range")
+    inside = Window.partitionBy("_home.range").orderBy("_home.guest", "_pos")
     nexts = [F.lead(c).over(inside).alias(f"next_{c}") for c in carried]
-    return dealt.select(*df.columns, "_home", *nexts).where("_home.guest = 0").drop("_home")
+    return dealt.select(*df.columns, "_home", *nexts).where("not _home.guest").drop("_home")
 
 
 def fingerprint_documents(docs: DataFrame, words: int = WORDS, bins: int = BINS, bits: int = BITS) -> DataFrame:
@@ -93,15 +115,15 @@ def fingerprint_documents(docs: DataFrame, words: int = WORDS, bins: int = BINS,
 
     The edited text has its last third (code points, rounded down) replaced by the first as many of
     the next document by descending doc_id (all of it if shorter). Null texts are empty. Rows of
-    equal doc_id follow each other in the order of their texts, null doc_ids come last; repeated
-    rows are rows of their own. A lone document follows itself. An empty table gives no rows; other
+    equal doc_id follow each other in the order of hashes of their texts, null doc_ids come last;
+    repeated rows are rows of their own. A lone document follows itself, whatever its doc_id. An empty table gives no rows; other
     columns are not read.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    parts = min(MOST_RANGES, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES)))
     printed = minhash(base, "text", "fingerprint", words, bins, bits)
-    paired = with_next(printed, "doc_id", [F.col("text").desc()], ["text", "fingerprint"], parts)
+    paired = with_next(printed, "doc_id", "text", ["text", "fingerprint"], parts)
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - cut), F.substr("next_text", F.lit(1), cut))

@@ -55,7 +55,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share
     return ranked.select(level.alias("level"), F.explode("a").alias("x")).select(
         F.col("x.source").alias("source"),
         F.col("x.source_size").alias("source_size"),
-        (F.least(F.col("x.fill"), F.col("level")) * F.col("x.weight")).alias("target"),
+        F.least(F.least(F.col("x.fill"), F.col("level")) * F.col("x.weight"), F.lit(most) * F.col("x.source_size")).alias("target"),
     )
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from panelsmith.llm import html, language, packing, simhash, tokens, toxicity, vectors
 from panelsmith.llm.common import components
-from panelsmith.llm.fingerprints import fingerprint_documents
+from panelsmith.llm.fingerprints import fingerprint_documents, with_next
 from panelsmith.llm.mixing import mix_documents, source_targets, take_copies
 from panelsmith.llm.sharding import rendezvous, shard_documents
 
@@ -149,6 +150,8 @@ def test_mixing(docs, odd, none):
     assert mix_documents(odd).count() == len(ODD) and mix_documents(none).count() == 0
     assert take_copies(docs).count() == sum(r.copies for r in first)
     assert source_targets(none.select("source", F.lit(1).alias("size"))).count() == 0
+    per = docs.select("source", F.length("text").alias("size"))
+    assert all(r.target <= 2 * r.source_size for w in ((3, 1, 2), (0.1, 0.7, 0.3), (7, 11, 13)) for r in source_targets(per, w, share=1.9).collect())
 
 
 def test_fingerprints(docs, odd, none):
@@ -169,6 +172,24 @@ def test_fingerprints(docs, odd, none):
     assert fingerprint_documents(none).count() == 0
 
 
+def test_next_document_without_ids_and_over_many_ranges(spark):
+    def paired(rows, parts):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = with_next(df, "doc_id", "text", ["text"], parts).collect()
+        assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+        return got
+
+    assert {(r.text, r.next_text) for r in paired([(None, "a"), (None, "b")], 4)} == {("a", "b"), ("b", "a")}
+    assert [(r.text, r.next_text) for r in paired([(None, "a")], 4)] == [("a", "a")]
+    rows = [(k * 7919 % 3000 - 1000, f"t{k}") for k in range(3000)]
+    order = sorted(rows, reverse=True)
+    want = {i: order[(k + 1) % len(order)][1] for k, (i, _) in enumerate(order)}
+    assert {r.doc_id: r.next_text for r in paired(rows, 300)} == want
+    # a hot key is dealt over ranges by its texts; repeated rows follow each other
+    got = paired([(None, str(k % 100)) for k in range(400)] + [(5, str(k)) for k in range(200)], 40)
+    assert Counter(r.text for r in got) == Counter(r.next_text for r in got)
+
+
 def test_token_files(docs, odd, none):
     path = tokens.public_tokenizer("word_bpe_49k.json")
     at = 0
