@@ -28,10 +28,9 @@ FEATURES = (
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_rows`` bounds the labelled documents that are learned from, ``lexicon`` the terms kept."""
+    """``sample_rows`` bounds the labelled documents that are learned from, and so the terms of the lexicon."""
 
     sample_rows: int = 12_000
-    lexicon: int = 2000
     least_documents: int = 3
     trees: int = 60
     depth: int = 3
@@ -233,14 +232,13 @@ def learn_lexicons(rows: DataFrame, settings: Settings) -> list[dict[str, float]
     out = []
     for halves in ((1,), (0,), (0, 1)):
         total = [sum(sizes.get((toxic, h), 0) for h in halves) for toxic in (0, 1)]
-        weight, often = {}, {}
+        weight = {}
         for t, by_half in held.items():
             n, m = (sum(x[h] for h in halves) for x in (by_half, other.get(t, (0, 0))))
             odds = np.log((n + 0.5) / (total[1] + 1)) - np.log((m + 0.5) / (total[0] + 1))
             if n >= min(settings.least_documents, 2) and odds > 1.5 and n > m:
-                weight[t], often[t] = float(odds), n
-        top = sorted(weight, key=lambda t: (-weight[t] * np.sqrt(often[t]), t))[: settings.lexicon]
-        out.append({t: weight[t] for t in top})
+                weight[t] = float(odds)
+        out.append(weight)
     return out
 
 
