@@ -2,6 +2,7 @@
 
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 
 from panelsmith.llm.common import small_batches
 
-PATH_SLOTS, WORD_SLOTS, NUMBERS = 512, 64, 8
+PATH_SLOTS, WORD_SLOTS, NUMBERS = 4096, 64, 8
 INPUTS = PATH_SLOTS + WORD_SLOTS + NUMBERS
+DEPTH = 3  # tags of a path, from the leaf, that are read with their depth
 HIDDEN = 24
 _ROWS = 8192  # block vectors that are in memory at once, a page at least
 
@@ -27,18 +29,31 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _SILENT = frozenset("script style noscript template title head iframe svg select datalist textarea".split())
 _CLOSED = _SILENT - {"head"}  # silent only if an end tag follows
 _END = re.compile(f"</({'|'.join(sorted(_CLOSED))})", re.IGNORECASE)
+_LABELS = frozenset("title select option".split())  # their own text is never main, though no end tag follows
 _IN_SELECT = frozenset("option optgroup hr button legend div span script template".split())  # start tags that leave a select open
 _HEAD = frozenset("html head title meta link script style base basefont bgsound noframes template noscript".split())  # tags that leave a head open
 _CLOSES_P = _BLOCK - frozenset("button label option select textarea".split())
 _SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
+@lru_cache(maxsize=4096)
+def _slots(word: str) -> tuple[int, ...]:
+    """Two slots of a word, so that an unknown one that shares a slot with a telling one is not taken for it."""
+    return tuple(crc32(w.encode("utf-8", "replace")) % PATH_SLOTS for w in (word, f"{word}\n"))
+
+
 class Blocks(HTMLParser):
-    """The leaf blocks of a page in page order: (path of tags and their class and id words, text, characters in links, tag)."""
+    """The leaf blocks of a page in page order: (path of tags and their class and id words, text, characters in links, tag).
+
+    A path has the innermost ``DEPTH`` tags and, of those outside, each that adds a slot, with the words that add one; so
+    it is bounded however deep a page nests, and its slots are those of the whole path. Words of html and body tags tell nothing.
+    """
 
     def __init__(self, page: str = ""):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str]] = []
+        self.stack: list[tuple[str, str, tuple[int, ...]]] = []
+        self.adding: list[int] = []  # where tags that add slots are in the stack
+        self.held: Counter[int] = Counter()  # slots of the open tags
         self.at: list[int] = []  # where block tags are in the stack
         self.open: Counter[str] = Counter()
         self.ends = Counter(t.lower() for t in _END.findall(page))  # end tags still to come
@@ -50,8 +65,11 @@ class Blocks(HTMLParser):
     def _break(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
-            if text:
-                self.found.append(("/".join(p for _, p in self.stack), text, self.linked, self._block()))
+            if text and self._block() not in _LABELS:
+                inner = max(0, len(self.stack) - DEPTH)
+                outer = self.adding[: bisect_left(self.adding, inner)]
+                path = "/".join(self.stack[k][1] for k in (*outer, *range(inner, len(self.stack))))
+                self.found.append((path, text, self.linked, self._block()))
             self.text, self.linked = [], 0
 
     def _block(self) -> str:
@@ -61,7 +79,10 @@ class Blocks(HTMLParser):
     def _pop(self, k: int) -> None:
         """Close what is open from place ``k`` of the stack."""
         while len(self.stack) > k:
-            tag, path = self.stack.pop()
+            tag, path, slots = self.stack.pop()
+            if self.adding and self.adding[-1] == len(self.stack):
+                self.adding.pop()
+            self.held.subtract(slots)
             self.open[tag] -= 1
             self.silent -= path.startswith("!")
             self.links -= tag == "a"
@@ -89,7 +110,16 @@ class Blocks(HTMLParser):
         silent = tag in _SILENT and (tag == "head" or self.ends[tag] > 0)
         if tag in _BLOCK:
             self.at.append(len(self.stack))
-        self.stack.append((tag, "!" * silent + ".".join([tag, *names])))
+        before = set(_slots(f"<{tag}"))
+        adds, kept = any(not self.held[k] for k in before), []
+        for name in () if tag in ("html", "body") else names:
+            if any(k not in before and not self.held[k] for k in _slots(name)):
+                kept.append(name)
+            before.update(_slots(name))
+        if adds or kept:
+            self.adding.append(len(self.stack))
+        self.held.update(before)
+        self.stack.append((tag, "!" * silent + ".".join([tag, *kept]), tuple(before)))
         self.open[tag] += 1
         self.silent += silent
         self.links += tag == "a"
@@ -127,12 +157,12 @@ def blocks(page: str | None) -> list[tuple[str, str, int, str]]:
     return parser.found
 
 
-@lru_cache(maxsize=50_000)
+@lru_cache(maxsize=4096)
 def _path_slots(path: str) -> tuple[int, ...]:
     """Slots of every tag with its depth from the leaf (up to 3) and of every tag and name word of the path."""
     parts = [p.split(".") for p in path.split("/")]
-    words = {f"{len(parts) - k}>{p[0]}" for k, p in enumerate(parts) if len(parts) - k <= 3} | {x for p in parts for x in (f"<{p[0]}", *p[1:])}
-    return tuple(sorted({crc32(w.encode("utf-8", "replace")) % PATH_SLOTS for w in words}))
+    words = {f"{len(parts) - k}>{p[0]}" for k, p in enumerate(parts) if len(parts) - k <= DEPTH} | {x for p in parts for x in (f"<{p[0]}", *p[1:])}
+    return tuple(sorted({k for w in words for k in _slots(w)}))
 
 
 def vectors(found: list[tuple[str, str, int, str]]) -> np.ndarray:
@@ -194,18 +224,39 @@ class Labeller:
         tags = path_vectors(list(places))
         x, live = padded([vectors(p) for p in pages])
         at, _ = padded([np.array([[places[b[0]]] for b in p], np.int64) for p in pages])
-        both = []
+        z = []
         for d in "fb":
             w = self.p[f"x{d}"]
-            both.append(self._run((tags @ w[:PATH_SLOTS])[at[..., 0]] + x @ w[PATH_SLOTS:] + self.p[f"c{d}"], live, d, False)[0])
-        both = np.concatenate(both, axis=2)
+            z.append((tags @ w[:PATH_SLOTS])[at[..., 0]] + x @ w[PATH_SLOTS:] + self.p[f"c{d}"])
+        both = self._read(np.stack([z[0], z[1][::-1]], axis=1), np.stack([live, live[::-1]], axis=1))
+        both = np.concatenate([both[:, 0], both[::-1, 1]], axis=2)
         return (both @ self.p["o"])[..., 0] + self.p["ob"]
 
-    def _gradients(self, x, live, y):
-        runs = {d: self._run(x @ self.p[f"x{d}"] + self.p[f"c{d}"], live, d, True) for d in "fb"}
+    def _read(self, z_all: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """States of both directions, step by step together: steps x 2 x pages (see :meth:`_run`, which keeps what training needs)."""
+        w, full = np.stack([self.p["hf"], self.p["hb"]]), live.all(axis=(1, 2))
+        h = np.zeros((*z_all.shape[1:3], HIDDEN), np.float32)
+        c, out = h, np.zeros((*z_all.shape[:3], HIDDEN), np.float32)
+        with np.errstate(over="ignore"):
+            for t in range(len(z_all)):
+                z = z_all[t] + h @ w
+                gates = 1 / (1 + np.exp(-z[..., : 3 * HIDDEN]))
+                new = gates[..., HIDDEN : 2 * HIDDEN] * c + gates[..., :HIDDEN] * np.tanh(z[..., 3 * HIDDEN :])
+                now = gates[..., 2 * HIDDEN :] * np.tanh(new)
+                if not full[t]:
+                    m = live[t][..., None]
+                    now, new = np.where(m, now, h), np.where(m, new, c)
+                h = out[t] = now
+                c = new
+        return out
+
+    def _gradients(self, x, live, y, used):
+        """Of all weights; ``x`` has the inputs ``used`` only, and so has the gradient of their weights."""
+        runs = {d: self._run(x @ self.p[f"x{d}"][used] + self.p[f"c{d}"], live, d, True) for d in "fb"}
         both = np.concatenate([runs[d][0] for d in "fb"], axis=2)
         said = 1 / (1 + np.exp(-((both @ self.p["o"])[..., 0] + self.p["ob"])))
-        dz = ((said - y) * live / live.sum()).astype(np.float32)
+        told = live & (y >= 0)
+        dz = ((said - y) * told / max(1, told.sum())).astype(np.float32)
         grad = {"o": np.einsum("tbh,tb->h", both, dz)[:, None], "ob": dz.sum(keepdims=True).reshape(1)}
         for k, d in enumerate("fb"):
             dout = dz[..., None] * self.p["o"][k * HIDDEN : (k + 1) * HIDDEN, 0]
@@ -223,23 +274,25 @@ class Labeller:
             grad[f"x{d}"], grad[f"h{d}"], grad[f"c{d}"] = np.einsum("tbi,tbz->iz", x, dzs, optimize=True), gh, dzs.sum((0, 1))
         return grad
 
-    def fit(self, pages: list[tuple[np.ndarray, np.ndarray]], rounds: int = 6, batch: int = 10, rate: float = 0.02, seed: int = 0) -> None:
-        """Adam over shuffled batches of pages of like length; the weights are the mean of those of the last two rounds."""
+    def fit(self, pages: list[tuple[list[str], np.ndarray, np.ndarray]], rounds: int = 6, batch: int = 10, rate: float = 0.01, seed: int = 0) -> None:
+        """Adam over shuffled batches of pages (paths, vectors, labels: 1, 0, or -1 where either is right) of like length; the weights are the mean of those of the last two rounds."""
         rng, n = np.random.default_rng(seed), 0
         first, second, mean = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(3))
-        order = sorted(range(len(pages)), key=lambda k: len(pages[k][1]))
+        order = sorted(range(len(pages)), key=lambda k: len(pages[k][2]))
         batches = [order[k : k + batch] for k in range(0, len(order), batch)]
         for r in range(rounds):
             for b in rng.permutation(len(batches)):
-                x, live = padded([pages[k][0] for k in batches[b]])
+                x, live = padded([np.concatenate([path_vectors(pages[k][0]), pages[k][1]], axis=1) for k in batches[b]])
+                used = np.nonzero(x.any(axis=(0, 1)))[0]
                 y = np.zeros(live.shape, np.float32)
                 for col, k in enumerate(batches[b]):
-                    y[: len(pages[k][1]), col] = pages[k][1]
+                    y[: len(pages[k][2]), col] = pages[k][2]
                 n += 1
-                for k, g in self._gradients(x, live, y).items():
-                    first[k] = 0.9 * first[k] + 0.1 * g
-                    second[k] = 0.99 * second[k] + 0.01 * g**2
-                    self.p[k] -= (rate * (1 - r / rounds) * (first[k] / (1 - 0.9**n)) / (np.sqrt(second[k] / (1 - 0.99**n)) + 1e-8)).astype(np.float32)
+                for k, g in self._gradients(x[..., used], live, y, used).items():
+                    at = used if k[0] == "x" else slice(None)
+                    first[k][at] = 0.9 * first[k][at] + 0.1 * g
+                    second[k][at] = 0.99 * second[k][at] + 0.01 * g**2
+                    self.p[k][at] -= (rate * (1 - r / rounds) * (first[k][at] / (1 - 0.9**n)) / (np.sqrt(second[k][at] / (1 - 0.99**n)) + 1e-8)).astype(np.float32)
                     if r >= rounds - 2:
                         mean[k] += self.p[k] / (len(batches) * min(2, rounds))
         self.p = mean
@@ -281,9 +334,9 @@ _SYLLABLES = "the of and in re er on an th es st un be ge ver lich ung ein la qu
 
 
 def sample_page(rng: np.random.Generator) -> tuple[str, list[tuple[str, int]]]:
-    """An invented page and (text, 1 if main) of its blocks in page order.
+    """An invented page and (text, 1 if main, -1 if either) of its blocks in page order.
 
-    Main text lies in containers that are named for it or in plain ones, and may hold tables,
+    Main text lies in containers that are named for it, in plain ones, or in such of invented names, and may hold tables,
     preformatted text, lists, figures, quotes and sections; what is not main text has a telling
     name, or is a plain list of links.
     """
@@ -300,6 +353,18 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[tuple[str, int]]]:
     def some_classes() -> str:
         return " ".join(str(rng.choice(("flex", "mt-4", "col", "row", "p-2", "grid", "clearfix", "wide", "left", "inner", "outer"))) if rng.random() < 0.6 else "x" + words(1) for _ in range(int(rng.integers(1, 4))))
 
+    def invented() -> str:
+        one = lambda: words(1) if own.random() < 0.6 else "".join(own.choices("abcdefghijklmnopqrstuvwxyz", k=own.randint(2, 8)))
+        return " ".join(own.choice("-_").join(one() for _ in range(own.randint(1, 3))) + own.choice(("", "", "__" + one())) for _ in range(own.randint(1, 2)))
+
+    def unseen() -> tuple[str, str]:
+        """One to three nested containers of names that say nothing."""
+        a = z = ""
+        for _ in range(own.choice((1, 1, 2, 3))):
+            tag, attr = own.choice(("div", "div", "div", "section", "article", "main")), own.choice(("class", "class", "class", "id"))
+            a, z = f'{a}<{tag} {attr}="{invented()}">', f"</{tag}>{z}"
+        return a, z
+
     def opened(kind: str) -> tuple[str, str]:
         a = z = ""
         for one in kind.split("+") if kind else ():
@@ -321,7 +386,8 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[tuple[str, int]]]:
             cut = text.split(" ")
             k = int(rng.integers(0, len(cut)))
             inner = " ".join([*cut[:k], f'<a href="/x">{cut[k]}</a>', *cut[k + 1 :]])
-        return f"<{tag}>{inner}" + (f"</{tag}>" if close else "")
+        named = f' class="{invented()}"' if own.random() < 0.12 else ""
+        return f"<{tag}{named}>{inner}" + (f"</{tag}>" if close else "")
 
     def linked(extra: str, n: int, tag: str = "li") -> str:
         out = []
@@ -340,6 +406,10 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[tuple[str, int]]]:
             return a + block("h3", words(int(rng.integers(1, 4)), extra), 0) + "".join(inner + block("p", sentences(int(rng.integers(1, 5))), 0) + end for _ in range(items)) + z
         if kind in ("menu", "share") or (kind in ("sidebar", "footer") and style < 0.5):
             return f"{a}<ul>{linked(extra, items)}</ul>{z}"
+        if kind in ("footer", "header", "notice", "advert") and own.random() < 0.4:  # one line of a name and prose
+            text = f"{'© ' * (kind == 'footer' and own.random() < 0.7)}{words(1)}{own.choice(('', '.com', '.org', ' ' + words(1)))} {own.choice('·|-—')} {sentences(own.randint(1, 3))}"
+            said.append((text, 0))
+            return f"{a}{text}{z}"
         if kind in ("advert", "notice", "footer", "header", "comments") and style < 0.6 or (kind == "sidebar" and style < 0.7):
             texts = [sentences(int(rng.integers(1, 5))) if rng.random() < 0.7 else words(int(rng.integers(2, 12)), extra) for _ in range(1 if style < 0.3 else items)]
             if len(texts) == 1:
@@ -393,14 +463,21 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[tuple[str, int]]]:
         out += f"<div>{linked('', int(rng.integers(4, 10)), str(rng.choice(('div', 'p', 'li'))))}</div>"
     wrap = opened(str(rng.choice(["div", "div.wrapper", "div.page", "div#container", "div+div"]))) if rng.random() < 0.5 else ("", "")
     out += wrap[0] + some(("sidebar", "menu", "advert"), 0.15)
-    a, z = opened(str(rng.choice(_MAIN if rng.random() < 0.6 else _PLAIN)))
+    chance = rng.random()
+    a, z = unseen() if chance < 0.4 else opened(str(rng.choice(_MAIN if chance < 0.75 else _PLAIN)))
     if rng.random() < 0.15:
         inner = opened(str(rng.choice(_PLAIN[:-1])))
         a, z = a + inner[0], inner[1] + z
     out += a
     if rng.random() < 0.8:
         title = block(str(rng.choice(["h1", "h1", "h2"])), sentences(1) if rng.random() < 0.6 else words(int(rng.integers(1, 8))).capitalize(), 1)
-        out += f"<header>{title}</header>" if rng.random() < 0.1 else title
+        top = unseen() if own.random() < 0.15 else ("<header>", "</header>") if own.random() < 0.1 else ("", "")
+        byline = ""
+        if own.random() < 0.2:
+            said.append((words(own.randint(2, 6)), -1))
+            tag = own.choice(("span", "p", "div"))
+            byline = f'<{tag} class="{own.choice(("byline", "author", "date", "meta", invented()))}">{said[-1][0]}</{tag}>'
+        out += top[0] + title + byline + top[1]
     out += content(int(min(60, rng.geometric(0.12))))
     if rng.random() < 0.25:
         out += some(("share", "form", "comments"), 0.5)
@@ -409,14 +486,14 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[tuple[str, int]]]:
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 1000, seed: int = 5) -> Labeller:
+def trained(pages: int = 1500, seed: int = 5) -> Labeller:
     """The labeller, trained on invented pages of known layout; the same for the same arguments."""
     rng, data = np.random.default_rng(seed), []
     for _ in range(pages):
         page, said = sample_page(rng)
         found = blocks(page)
         if [t for _, t, _, _ in found] == [" ".join(t.split()) for t, _ in said]:
-            data.append((np.concatenate([path_vectors([b[0] for b in found]), vectors(found)], axis=1), np.array([m for _, m in said], np.float32)))
+            data.append(([b[0] for b in found], vectors(found), np.array([m for _, m in said], np.float32)))
     model = Labeller(seed)
     model.fit(data, seed=seed)
     return model

@@ -1,5 +1,8 @@
 """Pages in forms that HTML allows and the given tables do not have."""
 
+import time
+
+import numpy as np
 import pytest
 
 from panelsmith.llm import html
@@ -68,3 +71,49 @@ def test_main_text_of_written_pages(page, want):
 def test_list_items_and_cells_close_each_other():
     paths = [b[0] for b in html.blocks("<ul><li><p>a<li>b<ul><li>c</ul></ul><table><tr><td>d<td>e<tr><td>f</table><dl><dt>g<dd>h<dt>i</dl>")]
     assert paths == ["ul/li/p", "ul/li", "ul/li/ul/li", "table/tr/td", "table/tr/td", "table/tr/td", "dl/dt", "dl/dd", "dl/dt"]
+
+
+@pytest.mark.parametrize("name", "field-item mw-parser-output hentry c-article__body prose td-post-content wysiwyg storytext body__inner StoryBody caas-body".split())
+@pytest.mark.parametrize("top", ["<h1>A new bridge</h1>", "<div class=top><h1 class=entry-title>A new bridge</h1><span class=byline>By Ann Lee</span></div>", "<h1>A new bridge</h1><h3>Why</h3>"])
+def test_container_names_that_training_does_not_have(name, top):
+    found = html.blocks(f'<body class="single single-post">{NAV}<div class="{name}">{top}<p>{P}</p><p>{Q}</p><p>{R}</p></div>{FOOT}')
+    kept = html.main_text(found, html.trained().label([found])[0]).split("\n")
+    assert [x for x in kept if x != "By Ann Lee"] == ["A new bridge", *(["Why"] if "<h3" in top else []), P, Q, R]
+
+
+def test_paths_are_bounded_and_keep_their_slots():
+    """Words of tags that a path leaves out have no slot of their own."""
+    rng = np.random.default_rng(1)
+    opened = [(str(rng.choice(["div", "p", "section", "span"])), " ".join(f"n{k}" for k in rng.integers(0, 40, 3))) for _ in range(60)]
+    page = "".join(f"<{tag if tag != 'p' else 'div'} class='{names}'>" for tag, names in opened) + "word"
+    whole = "/".join(".".join([tag if tag != "p" else "div", *names.split()]) for tag, names in opened)
+    (path, *_), *rest = html.blocks(page)
+    assert not rest and len(path) < len(whole) and html._path_slots(path) == html._path_slots(whole)
+    start = time.monotonic()
+    found = html.blocks("<div>word " * 90_000)
+    assert len(found) == 90_000 and max(len(b[0]) for b in found) < 40
+    assert len(html.trained().label([found])[0]) == len(found) and time.monotonic() - start < 60
+
+
+def test_states_follow_from_the_step_by_step_pass():
+    model = html.Labeller(3)
+    pages = [html.blocks(f"<body>{NAV}<article><p>{P}</p></article>{FOOT}"), html.blocks(f"<p>{Q}"), html.blocks(f"<ul><li>{R}<li>a<li>b</ul>")]
+    got = model.logits(pages)
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    for col, found in enumerate(pages):
+        x = np.concatenate([html.path_vectors([b[0] for b in found]), html.vectors(found)], axis=1).astype(float)
+        states = {}
+        for d, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+            h, c = np.zeros(html.HIDDEN), np.zeros(html.HIDDEN)
+            for t in order:
+                i, f, o, g = np.split(x[t] @ model.p[f"x{d}"] + h @ model.p[f"h{d}"] + model.p[f"c{d}"], 4)
+                c = sigmoid(f) * c + sigmoid(i) * np.tanh(g)
+                h = sigmoid(o) * np.tanh(c)
+                states[d, t] = h
+        want = [np.concatenate([states["f", t], states["b", t]]) @ model.p["o"][:, 0] + model.p["ob"][0] for t in range(len(x))]
+        assert np.allclose(got[: len(x), col], want, atol=1e-4)
+
+
+def test_empty_table(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html.extract_pages(none).collect() == []
