@@ -14,6 +14,7 @@ BITS = 8
 WORDS = 5
 _PROBES = 8
 RANGE_BYTES = 32 << 20  # texts of a range that is sorted at once
+RANGES_A_TASK = 8  # so tasks are about even
 MOST_RANGES = 1 << 18  # larger tables have larger ranges
 
 
@@ -78,7 +79,7 @@ def with_next(df: DataFrame, key: str, text: str, carried: list[str], parts: int
     """Add ``next_*`` of the ``carried`` columns: those of the next row by descending key, after the last the first.
 
     Rows are ordered by descending key (null keys last), rows of equal key by a hash of their ``text``,
-    and dealt by ranges of that order, at most ``parts`` of them; so rows that share a key are dealt
+    and dealt by ranges of that order, several for each of ``parts`` tasks; so rows that share a key are dealt
     over ranges too, unless they also share the text. A range's first rows also go, as guests, to
     the range before it, whose last row needs them; those of the first range go to the last. So each
     range is sorted on its own, and no row waits for a whole table. A row finds its range in two
@@ -87,7 +88,7 @@ def with_next(df: DataFrame, key: str, text: str, carried: list[str], parts: int
     """
     at = F.coalesce(F.bitwise_not(F.col(key).cast("long")), F.lit(0).cast("long"))
     pos = F.struct(F.col(key).isNull().alias("nul"), at.alias("at"), F.xxhash64(text).alias("h"))
-    edges = written(range_edges(df.select(pos.alias("pos")), parts), "ranges")
+    edges = written(range_edges(df.select(pos.alias("pos")), min(MOST_RANGES, RANGES_A_TASK * parts)), "ranges")
     count = edges.count()
     width = max(1, math.isqrt(max(count - 1, 0)) + 1)  # ranges of a group
     coarse = edges.where(F.col("n") % width == 0).orderBy("n").collect()  # at most the root of MOST_RANGES
