@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,13 +125,48 @@ def repeated(df: DataFrame, count: str, number: str, each: int = 100_000) -> Dat
     return few.unionByName(spread.withColumn(number, F.explode(F.sequence(part * size + 1, F.least(n, (part + 1) * size)))).drop("_part"))
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A link from each node to the smallest node of its component, given the links ``a, b``."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    far = label != np.arange(len(nodes))
+    return nodes[far], nodes[label[far]]
+
+
+CHUNK_LINKS = 1 << 17  # links that one task joins by itself (2 MB of ends)
+
+
+def joined_chunk(e: DataFrame) -> DataFrame:
+    """The links ``u, v`` from each node to the smallest of its component, of at most ``CHUNK_LINKS`` links ``u, v``, found in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.array([b.column(0).to_numpy(), b.column(1).to_numpy()], np.int64) for b in batches]
+        u, v = forest(*np.concatenate(parts, axis=1)) if parts else np.zeros((2, 0), np.int64)
+        yield pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return e.select("u", "v").coalesce(1).mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of the undirected links ``a, b`` (longs, no nulls).
 
     Alternates large-star and small-star steps until no link changes; each step groups with
     map-side combining and joins back by :func:`spread_join`, so a node with very many links is
     dealt over tasks; each round is written to the shared folder, and the one before it removed, with its
-    shuffle files.
+    shuffle files. Links that are no more than a chunk of ``CHUNK_LINKS`` (after any round, or from the start) need no
+    further round: one task joins them.
     Self-links and repeated links are allowed. Returns ``node, component`` (the smallest node
     reachable) for every node with a link, but for the smallest of each component; an empty input
     gives an empty result.
@@ -149,6 +185,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         state = tuple(sums)
         free_shuffles(spark)
+        if sums[0] <= CHUNK_LINKS:
+            e = written(joined_chunk(e), name)
+            removed(spark, path)
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         e = _contracted(e, 2 * sums[0])
 
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelsmith.llm.common import block_pairs, components, fresh, hot_keys, map_blocks, small_batches, spread_join, written
+from panelsmith.llm.common import block_pairs, components, forest, fresh, hot_keys, map_blocks, small_batches, spread_join, written
 from panelsmith.llm.tokens import gather
 
 BITS = 64
@@ -154,26 +154,6 @@ def near_links(reps: DataFrame, bits: int = 2, parts: int | None = None, block_r
     return map_blocks(dealt, ["seg", "val", "lo", "hi"], link, "a long, b long")
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A link from each node to the smallest node of its component, given the links ``a, b``."""
-    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = ends[: len(a)], ends[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, label[x], low)
-        np.minimum.at(new, label[y], low)
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    far = label != np.arange(len(nodes))
-    return nodes[far], nodes[label[far]]
-
-
 def simhash_groups(docs: DataFrame, key: list[str], bits: int = 2, words_per_shingle: int = 3) -> DataFrame:
     """``key``, fp, root for every row: rows share ``root`` exactly if links of fingerprints join them.
 
@@ -474,7 +454,7 @@ def sure_links(made: DataFrame, bits: int) -> DataFrame:
     fps = made.select("node", "fp").distinct()
     heads = written(fps.groupBy("fp").agg(F.min("node").alias("head")), "heads")
     same = spread_join(fps, heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    near = near_links(heads.select("fp"), bits)
+    near = written(near_links(heads.select("fp"), bits), "fingerprint-links")
     for c in "ab":
         near = spread_join(near, heads.select(F.col("fp").alias(c), F.col("head").alias(f"_{c}")), c)
     return same.unionByName(near.select(F.col("_a").alias("a"), F.col("_b").alias("b")))

@@ -10,8 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelsmith.llm.common import block_pairs, components, hot_keys, map_blocks, spread_join, written
-from panelsmith.llm.simhash import forest
+from panelsmith.llm.common import block_pairs, components, forest, hot_keys, map_blocks, spread_join, written
 
 
 @dataclass(frozen=True)

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from panelsmith.llm import html, language, packing, simhash, tokens, toxicity, vectors
+from panelsmith.llm import common, html, language, packing, simhash, tokens, toxicity, vectors
 from panelsmith.llm.common import components
 from panelsmith.llm.fingerprints import fingerprint_documents, with_next
 from panelsmith.llm.mixing import mix_documents, source_targets, take_copies
@@ -117,10 +117,14 @@ def test_ring_filter_loses_no_pair():
             assert any(simhash.ring_filter(np.array([diff]), s, bits, parts)[0] for s in range(parts))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("chunk", [common.CHUNK_LINKS, 3, 0])
+def test_components(spark, monkeypatch, chunk):
+    """Joined by one task, by rounds until a task may hold the links, and by rounds alone."""
+    monkeypatch.setattr(common, "CHUNK_LINKS", chunk)
     links = [(1, 2), (2, 3), (5, 4), (4, 4), (9, 8), (8, 7), (7, 6), (6, 5)]
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
     assert got == {2: 1, 3: 1, 5: 4, 6: 4, 7: 4, 8: 4, 9: 4}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_mixing(docs, odd, none):
