@@ -46,3 +46,18 @@ def test_distinct_factors_of_many_tasks(spark):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got = QUERIES["distinct_factors"](spark, sf).collect()
     assert _norm(tuple(r) for r in got) == _norm(con.execute(ORACLE_SQL["distinct_factors"]).fetchall())
+
+
+def test_crowding_of_equal_points(spark, tmp_path):
+    """On three copies of each supplier: as the SQL with its ties broken by name."""
+    con = duckdb.connect()
+    for t, key in (("lineitem", "l_suppkey"), ("supplier", "s_suppkey"), ("events", None)):
+        copies = f"SELECT t.* REPLACE ({key} + 1000 * k AS {key}) FROM '{SF}/{t}.parquet' t, range(3) r(k)" if key else f"SELECT * FROM '{SF}/{t}.parquet'"
+        con.execute(f"COPY ({copies}) TO '{tmp_path}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    text = ORACLE_SQL["crowding"]
+    for f in ("f1", "f2", "f3"):
+        text = text.replace(f"(ORDER BY {f})", f"(ORDER BY {f}, name)")
+    want = con.execute(f"SELECT crowding, name FROM ({text}) q").fetchall()
+    assert len({r[0] for r in want}) < len(want)
+    assert _norm(tuple(r) for r in QUERIES["crowding"](spark, str(tmp_path)).select("crowding", "name").collect()) == _norm(want)
