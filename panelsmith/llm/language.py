@@ -117,6 +117,7 @@ def fit(parts: list[np.ndarray], langs: list[str], settings: Settings = Settings
 
     A fifth of the rows is left out to measure each bit: its accuracy above chance is its weight
     in decoding.
+    The driver holds one copy of the numbers: ``parts`` is emptied as its rows are taken over.
     """
     names = tuple(sorted(set(langs)))
     codes = code_matrix(len(names), settings.most_bits, settings.seed)
@@ -124,24 +125,35 @@ def fit(parts: list[np.ndarray], langs: list[str], settings: Settings = Settings
     if not bits:
         return LanguageModel(names, codes, np.zeros((settings.slots, 0)), np.zeros(0), np.zeros(0), settings)
     place = {x: k for k, x in enumerate(names)}
-    x, which = np.concatenate(parts), np.repeat([place[lang] for lang in langs], [len(p) for p in parts])
-    held = np.arange(len(x)) // 2 % 5 == 0 if len(x) >= 40 else np.zeros(len(x), bool)
-    mean, scale = x[~held].mean(0), x[~held].std(0) + 1e-4
-    x -= mean
-    x /= scale
+    which = np.repeat([place[lang] for lang in langs], [len(p) for p in parts])
+    held = np.arange(len(which)) // 2 % 5 == 0 if len(which) >= 40 else np.zeros(len(which), bool)
+    ends = np.cumsum([0, *[len(p) for p in parts]])
+    x, at, away = np.empty((len(which), settings.slots), np.float32), 0, int((~held).sum())
+    for k in range(len(parts)):  # rows that are learned from come first, so they are a view; a part is dropped once it is copied
+        own = held[ends[k] : ends[k + 1]]
+        new, old = parts[k][~own], parts[k][own]
+        x[at : at + len(new)], x[away : away + len(old)] = new, old
+        at, away, parts[k] = at + len(new), away + len(old), None
+    which, xt, xh = np.concatenate([which[~held], which[held]]), x[:at], x[at:]
+    held = np.arange(len(which)) >= at
+    mean = xt.mean(0)
+    scale = np.concatenate([xt[:, c : c + 256].std(0) for c in range(0, settings.slots, 256)]) + 1e-4
+    for c in range(0, len(x), 64):
+        x[c : c + 64] = (x[c : c + 64] - mean) / scale
     share = np.bincount(which[~held], minlength=len(names)).astype(float)
     importance = (1 / np.maximum(share, 1))[which[~held]]
     importance = (importance / importance.sum())[:, None].astype(np.float32)
-    y, xt = codes[which[~held]].astype(np.float32), x[~held]
+    y = codes[which[~held]].astype(np.float32)
     w, bias, step = np.zeros((settings.slots, bits), np.float32), np.zeros(bits, np.float32), np.zeros((settings.slots + 1, bits), np.float32)
-    rate = np.float32(4.0 / max(1.0, float((xt**2).sum(1).mean())))
+    size = np.concatenate([(xt[c : c + 64] ** 2).sum(1) for c in range(0, len(xt), 64)])
+    rate = np.float32(4.0 / max(1.0, float(size.mean())))
     for _ in range(settings.rounds):
         pull = -y / (1 + np.exp(np.clip(y * (xt @ w + bias), -30, 30))) * importance
         step = 0.9 * step - rate * np.vstack([xt.T @ pull + settings.ridge * w, pull.sum(0, keepdims=True)])
         w, bias = w + step[:-1], bias + step[-1]
     trust = np.ones(bits)
     if held.any():
-        right = (np.sign(x[held] @ w + bias) == codes[which[held]]).mean(0)
+        right = (np.sign(xh @ w + bias) == codes[which[held]]).mean(0)
         trust = np.maximum(right - 0.5, 0.01)
         trust *= bits / trust.sum()
     w = (w / scale[:, None]).astype(np.float64)
@@ -179,8 +191,13 @@ def learn(rows: DataFrame, settings: Settings = Settings()) -> LanguageModel | N
         for f in frames:
             yield pd.DataFrame({"lang": f["lang"], "nth": f["nth"], "shares": [samples(t, settings.slots).tobytes() for t in f["text"]]})
 
-    sample = drawn.select("text", "lang", "nth").mapInPandas(count, "lang string, nth int, shares binary").toPandas().sort_values(["lang", "nth"])
-    return fit([np.frombuffer(x, np.float32).reshape(-1, settings.slots) for x in sample["shares"]], sample["lang"].tolist(), settings)
+    sample = drawn.select("text", "lang", "nth").mapInPandas(count, "lang string, nth int, shares binary").toArrow()  # at most sample_rows
+    keys = sorted(zip(sample["lang"].to_pylist(), sample["nth"].to_pylist(), range(len(sample))))
+    shares = sample["shares"]
+    del sample
+    parts = [np.frombuffer(shares[k].as_buffer(), np.float32).reshape(-1, settings.slots) for *_, k in keys]  # no copy
+    del shares
+    return fit(parts, [lang for lang, *_ in keys], settings)
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:

@@ -195,3 +195,15 @@ def test_equal_rows_share_their_copies(spark):
     counts = dict(mixing.take_copies(df).where("doc_id = 1").groupBy("other").count().collect())
     total = mixing.mix_documents(df).where("doc_id = 1").agg(F.sum("copies")).first()[0]
     assert sum(counts.values()) == total and max(counts.values()) - min(counts.get(k, 0) for k in range(7)) <= 1
+
+
+def test_language_fit_holds_one_copy_of_its_rows():
+    """The driver fits: beside the rows it is given, it holds them once, not several times."""
+    rng = np.random.default_rng(4)
+    parts = [rng.random((2, 4096), np.float32) for _ in range(400)]
+    given = sum(p.nbytes for p in parts)
+    tracemalloc.start()
+    model = language.fit(parts, [("de", "en")[k % 2] for k in range(400)], language.Settings(rounds=2))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.languages == ("de", "en") and peak < 1.5 * given
