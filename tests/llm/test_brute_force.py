@@ -1,5 +1,6 @@
 """Operators against plainer computations of the same thing, and against columns of clashing names."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
