@@ -61,3 +61,9 @@ def test_crowding_of_equal_points(spark, tmp_path):
     want = con.execute(f"SELECT crowding, name FROM ({text}) q").fetchall()
     assert len({r[0] for r in want}) < len(want)
     assert _norm(tuple(r) for r in QUERIES["crowding"](spark, str(tmp_path)).select("crowding", "name").collect()) == _norm(want)
+
+
+def test_stage_compare_reads_its_cells_once(spark):
+    """All that follows reads stored scores; before, every reader of the books made the panel anew."""
+    plan = QUERIES["stage_compare"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_extendedprice" not in plan and "l_shipdate" not in plan
