@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pandas as pd
@@ -55,6 +58,37 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+TOOLS: list[Callable[[], None]] = []  # each drops a tool that a Python worker remembers for the tasks of one kind of stage
+
+
+def lean(run: Callable[[Iterator], Iterator], tools: bool = False) -> Callable[[Iterator], Iterator]:
+    """``run``, for a task's batches, so that its worker keeps little for later stages, whose tasks it runs beside a JVM that needs the memory.
+
+    What other stages' tasks remember is dropped first, unless the task uses such ``tools`` itself; what was freed goes back to the system at the end.
+    """
+
+    @wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        if not tools:
+            drop_tools()
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
+def drop_tools() -> None:
+    for drop in TOOLS:
+        drop()
+
+
+def give_back() -> None:
+    """Return the freed memory of Arrow and of the C library to the system, where they can do that."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -254,7 +288,7 @@ def map_blocks(df: DataFrame, keys: list[str], run: Callable[[pd.DataFrame, list
             yield run(rows := pd.concat(held, ignore_index=True), _slices(rows, keys))
 
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return small_batches(df).repartition(parts, *keys).sortWithinPartitions(*keys).mapInPandas(batches, schema)
+    return small_batches(df).repartition(parts, *keys).sortWithinPartitions(*keys).mapInPandas(lean(batches), schema)
 
 
 def _group_starts(f: pd.DataFrame, keys: list[str]) -> np.ndarray:

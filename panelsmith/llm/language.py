@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelsmith.llm.common import fresh, small_batches
+from panelsmith.llm.common import fresh, lean, small_batches
 
 UNDETERMINED = "und"
 _SPACE = 32
@@ -191,7 +191,7 @@ def learn(rows: DataFrame, settings: Settings = Settings()) -> LanguageModel | N
         for f in frames:
             yield pd.DataFrame({"lang": f["lang"], "nth": f["nth"], "shares": [samples(t, settings.slots).tobytes() for t in f["text"]]})
 
-    sample = drawn.select("text", "lang", "nth").mapInPandas(count, "lang string, nth int, shares binary").toArrow()  # at most sample_rows
+    sample = drawn.select("text", "lang", "nth").mapInPandas(lean(count), "lang string, nth int, shares binary").toArrow()  # at most sample_rows
     keys = sorted(zip(sample["lang"].to_pylist(), sample["nth"].to_pylist(), range(len(sample))))
     shares = sample["shares"]
     del sample
@@ -218,7 +218,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text") -
                 out.append((UNDETERMINED, 0.0, False) if said is None else decode(said, m))
             yield pd.DataFrame(out, columns=["lang_pred", "score", "ambiguous"])
 
-    labelled = F.pandas_udf(run, "lang_pred string, score double, ambiguous boolean")
+    labelled = F.pandas_udf(lean(run), "lang_pred string, score double, ambiguous boolean")
     (said,) = fresh(docs, "_said")
     names = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "ambiguous")]
     return small_batches(docs).withColumn(said, labelled(F.col(f"`{text}`"))).select(*[F.col(f"`{c}`") for c in names], f"{said}.*")

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelsmith.llm.common import small_batches, written
+from panelsmith.llm.common import lean, small_batches, written
 from panelsmith.llm.tokens import crc, encode
 
 CAPACITY = 2048
@@ -102,7 +102,7 @@ def cut_documents(docs: DataFrame, path: str, end_id: int, capacity: int = CAPAC
             rows = [doc_id, *[pa.array(x, pa.int64()) for x in (flat, lengths, crcs)], pa.array(np.repeat(np.array(totals, np.int64), counts))]
             yield pa.record_batch(rows, names=[k.split()[0] for k in _KINDS.split(", ")])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _KINDS)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run, tools=True), _KINDS)
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, piece: int = PIECE, chunk: int = CHUNK) -> DataFrame:
@@ -150,4 +150,4 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, capacity: int =
     tasks = max(1, min(parts, -(-pieces.count() // (4 * chunk))))
     # dealt in turn, each task's rows sorted before: the same rows for a repeated task
     dealt = pieces.repartition(tasks).sortWithinPartitions("doc_id", "start", "length", "ids_crc32")
-    return dealt.mapInPandas(run, _KINDS + ", sequence_id long, offset long")
+    return dealt.mapInPandas(lean(run), _KINDS + ", sequence_id long, offset long")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelsmith.llm.common import block_pairs, components, forest, fresh, hot_keys, map_blocks, small_batches, spread_join, written
+from panelsmith.llm.common import block_pairs, components, forest, fresh, hot_keys, lean, map_blocks, small_batches, spread_join, written
 from panelsmith.llm.tokens import gather
 
 BITS = 64
@@ -62,7 +62,7 @@ def by_rows(docs: DataFrame, columns: list[str], made: str, run: Callable[[list[
                 yield pa.record_batch([*part.columns[:-1], *new.values()], names=[*columns, *new])
 
     kinds = [f"`{c}` {cut.schema[c].dataType.simpleString()}" for c in columns]
-    return cut.mapInArrow(work, ", ".join([*kinds, made]))
+    return cut.mapInArrow(lean(work), ", ".join([*kinds, made]))
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -213,7 +213,7 @@ def common_shingles(docs: DataFrame, set_words: int, rows: int = 4000, most: int
 
     rate = min(1.0, rows / max(1, docs.count()))
     chance = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)))
-    seen = docs.where(chance).select(F.col("text").cast("binary")).mapInArrow(run, "s long").groupBy("s").count().where("count > 2")
+    seen = docs.where(chance).select(F.col("text").cast("binary")).mapInArrow(lean(run), "s long").groupBy("s").count().where("count > 2")
     top = seen.orderBy(F.desc("count"), "s").limit(most).toPandas()
     s, n = top["s"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
     order = np.argsort(s)

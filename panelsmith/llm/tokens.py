@@ -18,11 +18,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelsmith.llm.common import new_folder, small_batches, written
+from panelsmith.llm.common import TOOLS, lean, new_folder, small_batches, written
 
 SEQUENCE = 2048
 BATCH_ROWS = 64
-_ENCODE_BYTES = 1 << 23  # UTF-8 bytes of texts that are encoded at once
+_ENCODE_BYTES = 1 << 21  # UTF-8 bytes of texts that are encoded at once; the arrays that this takes are many times as large
 _KEPT = 400_000  # words that a worker remembers
 _JOINED = 4096  # new words that are encoded as one text
 _SPACES = r"\s\x0b\x1c-\x1f\x85\pZ"  # white space of any kind, for a class of RE2
@@ -181,6 +181,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+TOOLS.append(encoder.cache_clear)
+
+
 def public_tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -322,7 +325,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, leng
             made = [[task.partitionId()], [f"tokens-{name}.arrow"], [f"rows-{name}.arrow"], [writer.total]]
             yield pa.record_batch([pa.array(x, t) for x, t in zip(made, (pa.int32(), pa.string(), pa.string(), pa.int64()))], names=["part", "tokens", "rows", "n_tokens"])
 
-    return sorted_docs.mapInArrow(run, "part int, tokens string, rows string, n_tokens long")
+    return sorted_docs.mapInArrow(lean(run, tools=True), "part int, tokens string, rows string, n_tokens long")
 
 
 def read_token_files(manifest: DataFrame, folder: str, length: int = SEQUENCE) -> DataFrame:

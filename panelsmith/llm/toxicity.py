@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelsmith.llm.common import fresh, small_batches, written
+from panelsmith.llm.common import fresh, lean, small_batches, written
 from panelsmith.llm.language import in_fold
 
 SEED_LEXICON = frozenset("idiot idiots moron morons stupid dumb loser losers pathetic worthless scum trash disgusting clown imbecile fool".split())
@@ -220,7 +220,7 @@ def learn_lexicons(rows: DataFrame, settings: Settings) -> list[dict[str, float]
         return run
 
     def counted(kept: DataFrame, known: frozenset[str] | None) -> DataFrame:
-        found = kept.mapInPandas(count(known), "term string, n0 long, n1 long")
+        found = kept.mapInPandas(lean(count(known)), "term string, n0 long, n1 long")
         return found.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
     sizes = {(int(r[0]), int(r[1])): r[2] for r in columns.groupBy("toxic", "half").count().collect()}
@@ -264,7 +264,7 @@ def learn(rows: DataFrame, settings: Settings = Settings()) -> ToxicityModel:
             if x:
                 yield pd.DataFrame({"doc_id": f["doc_id"], "part": f["part"], "toxic": f["toxic"], "x": x})
 
-    dense = sample.mapInPandas(run, "doc_id long, part int, toxic int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    dense = sample.mapInPandas(lean(run), "doc_id long, part int, toxic int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
     x = np.array(dense["x"].tolist()).reshape(-1, len(FEATURES))
     y, trees = dense["toxic"].to_numpy(float), (dense["part"] > 0).to_numpy()
     model = boost(x[trees], y[trees], settings)
@@ -288,7 +288,7 @@ def toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataF
             x = np.array([features(t, lexicon, m.settings.window) for t in texts]).reshape(-1, len(FEATURES))
             yield pd.Series(m.score(x))
 
-    scored = F.pandas_udf(run, "double")
+    scored = F.pandas_udf(lean(run), "double")
     (score,) = fresh(docs, "_score")
     names = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     return small_batches(docs).withColumn(score, scored(F.col(f"`{text}`"))).select(

@@ -4,6 +4,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,3 +209,20 @@ def test_language_fit_holds_one_copy_of_its_rows():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert model.languages == ("de", "en") and peak < 1.5 * given
+
+
+def test_memory_of_workers():
+    """Texts are encoded in pieces that take little, however large the batch; a task of another stage drops the tokenizer, one of its own keeps it."""
+    path = tokens.public_tokenizer("byte_bpe_50k.json")
+    rng = np.random.default_rng(2)
+    words = np.array([f"word{k}" for k in range(2000)])
+    texts = pa.array([" ".join(rng.choice(words, 1000)) for _ in range(1000)])
+    model = tokens.encoder(path)
+    tracemalloc.start()
+    sizes = [len(ids) for ids in tokens.encode(texts, path, 1)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes[:3] == [len(model.model.encode(t.as_py(), add_special_tokens=False).ids) + 1 for t in texts[:3]] and len(sizes) == 1000
+    assert peak < 60 << 20, peak
+    assert list(common.lean(lambda x: (2 * k for k in x), tools=True)(iter([1, 2]))) == [2, 4] and tokens.encoder.cache_info().currsize
+    assert list(common.lean(lambda x: (2 * k for k in x))(iter([1, 2]))) == [2, 4] and not tokens.encoder.cache_info().currsize
